@@ -18,7 +18,7 @@ from .operators import freshness, fusion, hits as ht, lexical, nearest, neardup,
 from .plans import crawl, ingest, resolve, retrieval
 from .plans.store import lib_stats
 from .session import small_side, spread
-from .sources import listings, packages, tables as tb
+from .sources import listings, tables as tb
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -277,8 +277,8 @@ def _(spark, sf):
     return both.select(F.col("c_custkey").alias("id"), metrics.resolve_hit(top, F.col("n_name")).alias("by_nation"), metrics.resolve_hit(top, F.col("c_name")).alias("by_name"))
 
 
-@register("keyword_hit", """WITH q AS (SELECT item_id, text, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), w -> length(w) > 3)) AS terms FROM benchmark)
-  SELECT item_id, bool_or(len(list_filter(terms, t -> contains(lower(d.text), t))) > 0) AS hit, count(*) FILTER (len(list_filter(terms, t -> contains(lower(d.text), t))) > 0) AS n_chunks
+@register("keyword_hit", """WITH q AS (SELECT item_id, text, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) > 3)) AS terms FROM benchmark)
+  SELECT item_id, bool_or(len(list_filter(terms, lambda t: contains(lower(d.text), t))) > 0) AS hit, count(*) FILTER (len(list_filter(terms, lambda t: contains(lower(d.text), t))) > 0) AS n_chunks
   FROM q JOIN documents d ON d.source = 'src' || (item_id % 20) GROUP BY item_id""")
 def _(spark, sf):
     asked = tb.queries(spark, sf).select(F.col("qid").alias("item_id"), "lib_id", tx.keyword_terms(F.col("query")).alias("terms"))
@@ -298,10 +298,10 @@ def _(spark, sf):
     'p' || (item_id // 40 * 20 + item_id % 20) AS frag FROM benchmark),
   one AS (SELECT lib, start, arg_min(frag, item_id) AS frag FROM g GROUP BY ALL),
   e AS (SELECT event_id, 'src' || (b.item_id % 20) AS lib, b.text AS q, ['guide/p' || (value::INT % 7), 'guide/p' || user_id] AS top FROM events JOIN benchmark b ON b.item_id = user_id),
-  j AS (SELECT event_id, list_position(list_transform(top, p -> contains(regexp_replace(lower(p), '[^a-z0-9]', '', 'g'), frag)), true) AS at FROM e JOIN one
+  j AS (SELECT event_id, list_position(list_transform(top, lambda p: contains(regexp_replace(lower(p), '[^a-z0-9]', '', 'g'), frag)), true) AS place FROM e JOIN one
     ON one.lib = regexp_replace(lower(e.lib), '[^a-z0-9]', '', 'g') AND one.start = regexp_replace(lower(left(e.q, 24)), '[^a-z0-9]', '', 'g'))
-  SELECT count(*) AS docs, count(*) FILTER (at = 1) AS hit1, count(*) FILTER (at > 0) AS hit5, round(100.0 * count(*) FILTER (at = 1) / greatest(count(*), 1), 1) AS pct_hit1,
-    round(100.0 * count(*) FILTER (at > 0) / greatest(count(*), 1), 1) AS pct_hit5 FROM j""")
+  SELECT count(*) AS docs, count(*) FILTER (place = 1) AS hit1, count(*) FILTER (place > 0) AS hit5, round(100.0 * count(*) FILTER (place = 1) / greatest(count(*), 1), 1) AS pct_hit1,
+    round(100.0 * count(*) FILTER (place > 0) / greatest(count(*), 1), 1) AS pct_hit5 FROM j""")
 def _(spark, sf):
     items = tb.read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), tb.lib_of(F.col("item_id")).alias("lib"), F.col("text").alias("q"))
     golden = items.select("qid", F.col("lib").alias("library_name"), F.col("q").alias("query"),
@@ -517,3 +517,440 @@ def _(spark, sf):
     pages = tb.read(spark, sf, "pages").select(F.col("page_id").alias("dst"))
     links = tb.read(spark, sf, "pages").select(F.col("page_id").alias("src"), F.explode(F.array(2 * F.col("page_id") + 1, 2 * F.col("page_id") + 2)).alias("dst"))
     return crawl.levels(links.join(pages, "dst", "left_semi"), pages.filter("dst = 0").select(F.col("dst").alias("node")))
+
+
+# ---------------------------------------------------------------- text
+
+# Documents as Markdown: a heading first, one more after each sentence that ends a line, and the
+# German texts inside a code fence, where such lines are no headings.
+S_MARKDOWN = """md AS (SELECT doc_id, source, CASE WHEN lang = 'de' THEN '```' || chr(10) || body || chr(10) || '```' || chr(10) || '## After' ELSE body END AS text
+  FROM (SELECT doc_id, source, lang, '# ' || replace(text, '.' || chr(10), '.' || chr(10) || chr(10) || '## ') AS body FROM documents))"""
+
+
+def _markdown(spark: SparkSession, sf: str) -> DataFrame:
+    body = F.concat(F.lit("# "), F.replace("text", F.lit(".\n"), F.lit(".\n\n## ")))
+    fenced = F.concat(F.lit("```\n"), body, F.lit("\n```\n## After"))
+    docs = tb.read(spark, sf, "documents")
+    return spread(docs.select("doc_id", "source", F.when(F.col("lang") == "de", fenced).otherwise(body).alias("text")))
+
+
+S_SECTIONS = S_MARKDOWN + """, ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM md),
+fence AS (SELECT *, sum(starts_with(line, '```')::INT) OVER (PARTITION BY doc_id ORDER BY n) % 2 AS open FROM ln),
+sec AS (SELECT *, sum((regexp_matches(line, '^#{1,4} ') AND open = 0)::INT) OVER (PARTITION BY doc_id ORDER BY n) AS s FROM fence),
+first_sec AS (SELECT doc_id, min(s) AS s0 FROM sec GROUP BY doc_id),
+sections AS (SELECT doc_id, s - s0 AS section_no, string_agg(line, chr(10) ORDER BY n) AS section FROM sec JOIN first_sec USING (doc_id) GROUP BY ALL)"""
+
+
+@register("chunk_sections", f"WITH {S_SECTIONS} SELECT doc_id, section_no::BIGINT AS section_no, section FROM sections")
+def _(spark, sf):
+    return _markdown(spark, sf).select("doc_id", F.posexplode_outer(tx.sections(F.col("text"))).alias("n", "section")).select(
+        "doc_id", F.col("n").cast("long").alias("section_no"), "section")
+
+
+# Packing as a recursion over paragraphs; an oversize paragraph is cut by a recursion of its own.
+S_PACK = f"""WITH RECURSIVE {S_SECTIONS},
+whole AS (SELECT doc_id, section_no, section FROM sections WHERE length(section) <= 2048),
+paras AS (SELECT doc_id, section_no, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY i) AS i, p FROM (
+    SELECT doc_id, section_no, i, regexp_replace(regexp_replace(p, '^\\s+', ''), '\\s+$', '') AS p FROM (
+      SELECT doc_id, section_no, unnest(regexp_split_to_array(section, '\\n\\s*\\n')) AS p, generate_subscripts(regexp_split_to_array(section, '\\n\\s*\\n'), 1) AS i
+      FROM sections WHERE length(section) > 2048)) WHERE p <> ''),
+costs AS (SELECT *, greatest(1, length(p) // 4) AS cost FROM paras),
+pack AS (SELECT doc_id, section_no, i, cost, CASE WHEN cost > 512 THEN 0 ELSE cost END AS used, 1 AS grp, cost > 512 AS big FROM costs WHERE i = 1
+  UNION ALL SELECT c.doc_id, c.section_no, c.i, c.cost,
+    CASE WHEN c.cost > 512 THEN 0 WHEN k.big OR k.used + c.cost > 512 THEN c.cost ELSE k.used + c.cost END,
+    CASE WHEN c.cost > 512 OR k.big OR k.used + c.cost > 512 THEN k.grp + 1 ELSE k.grp END, c.cost > 512
+  FROM pack k JOIN costs c ON c.doc_id = k.doc_id AND c.section_no = k.section_no AND c.i = k.i + 1),
+small AS (SELECT doc_id, section_no, grp, 0 AS piece_no, string_agg(p, chr(10) || chr(10) ORDER BY i) AS piece FROM pack JOIN costs USING (doc_id, section_no, i) WHERE NOT big GROUP BY ALL),
+cut AS (SELECT doc_id, section_no, grp, 0 AS piece_no, NULL::VARCHAR AS piece, p AS rest FROM pack JOIN costs USING (doc_id, section_no, i) WHERE big
+  UNION ALL SELECT doc_id, section_no, grp, piece_no + 1, left(rest, at_char::BIGINT), ltrim(substring(rest, at_char::BIGINT + 1), chr(10)) FROM (
+    SELECT *, CASE WHEN length(rest) <= 2048 THEN length(rest) WHEN nl < 2048 AND 2048 - nl - 1 > 0 THEN 2048 - nl - 1 ELSE 2048 END AS at_char
+    FROM (SELECT *, CASE WHEN contains(left(rest, 2048), chr(10)) THEN instr(reverse(left(rest, 2048)), chr(10)) - 1 ELSE 2048 END AS nl FROM cut WHERE rest <> ''))),
+pieces AS (SELECT doc_id, section_no, 0 AS grp, 0 AS piece_no, section AS piece FROM whole UNION ALL SELECT * FROM small
+  UNION ALL SELECT doc_id, section_no, grp, piece_no, piece FROM cut WHERE piece IS NOT NULL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, grp, piece_no) - 1 AS chunk_no, piece AS text FROM pieces"""
+
+
+@register("chunk_pack", S_PACK)
+def _(spark, sf):
+    return _markdown(spark, sf).select("doc_id", F.posexplode_outer(tx.chunk_text(F.col("text"))).alias("n", "text")).select(
+        "doc_id", F.col("n").cast("long").alias("chunk_no"), "text")
+
+
+@register("section_title", f"""WITH {S_MARKDOWN}, h AS (SELECT doc_id, list_filter(string_split(text, chr(10))[1:3], lambda x: regexp_matches(x, '^#{{1,4}}\\s+')) AS heads FROM md)
+  SELECT doc_id, coalesce(left(trim(regexp_replace(heads[1], '^#{{1,4}}\\s+', '')), 80), '') AS section_title FROM h""")
+def _(spark, sf):
+    return _markdown(spark, sf).select("doc_id", tx.section_title(F.col("text")).alias("section_title"))
+
+
+@register("page_title", f"WITH {S_MARKDOWN} SELECT doc_id, left(regexp_replace(string_split(text, chr(10))[1], '^#+\\s*', ''), 80) AS title FROM md")
+def _(spark, sf):
+    return _markdown(spark, sf).select("doc_id", tx.page_title(F.col("text")).alias("title"))
+
+
+@register("tokens_est", "SELECT doc_id, length(text) // 4 AS tokens, greatest(1, length(text) // 4) AS chunk_tokens FROM documents")
+def _(spark, sf):
+    text = F.col("text")
+    return tb.read(spark, sf, "documents").select("doc_id", tx.tokens_est(text).alias("tokens"), tx.tokens_est(text, 1).alias("chunk_tokens"))
+
+
+# CRC-32 by table: each entry is eight shifts of its number with the reflected polynomial.
+S_CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END"
+S_SIMHASH = f"""crc_table AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: {S_CRC_STEP}) AS v FROM range(256) r(i))),
+words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]{{3,}}')) AS w FROM documents),
+vocab AS (SELECT DISTINCT w FROM words),
+hashed AS (SELECT w, xor(4294967295, list_reduce([4294967295] || list_transform(string_split(w, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8))) AS lo,
+    xor(4294967295, list_reduce([4294967295] || list_transform(string_split('s' || w, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8))) AS hi FROM vocab, crc_table),
+bits AS (SELECT i FROM range(32) r(i)),
+votes AS (SELECT doc_id, i, sum((lo >> i) & 1) AS low_votes, sum((hi >> i) & 1) AS high_votes, count(*) AS n FROM words JOIN hashed USING (w), bits GROUP BY doc_id, i),
+words_of AS (SELECT doc_id, sum(CASE WHEN 2 * low_votes > n THEN 1::BIGINT << i ELSE 0 END)::BIGINT AS lo, sum(CASE WHEN 2 * high_votes > n THEN 1::BIGINT << i ELSE 0 END)::BIGINT AS hi FROM votes GROUP BY doc_id),
+sim AS (SELECT doc_id, source, text, coalesce((CASE WHEN hi >= 2147483648 THEN hi - 4294967296 ELSE hi END)::BIGINT * 4294967296 + lo, 0)::BIGINT AS simhash FROM documents LEFT JOIN words_of USING (doc_id))"""
+
+
+@register("simhash64", f"WITH {S_SIMHASH} SELECT doc_id, simhash FROM sim")
+def _(spark, sf):
+    return hashing.add_simhash(spread(tb.read(spark, sf, "documents").select("doc_id", "text")), "doc_id")
+
+
+# Greedy removal as a recursion over each library's texts in order, carrying the kept fingerprints.
+S_GREEDY = f"""WITH RECURSIVE {S_SIMHASH},
+cand AS (SELECT doc_id, source, simhash, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM sim WHERE length(text) >= 300 AND simhash <> 0),
+walk AS (SELECT source, n, doc_id, [simhash] AS kept, true AS stays FROM cand WHERE n = 1
+  UNION ALL SELECT source, n, doc_id, CASE WHEN far THEN list_append(kept, simhash) ELSE kept END, far FROM (
+    SELECT c.source, c.n, c.doc_id, c.simhash, k.kept, len(list_filter(k.kept, lambda h: bit_count(xor(h, c.simhash)) <= 6)) = 0 AS far
+    FROM walk k JOIN cand c ON c.source = k.source AND c.n = k.n + 1))
+SELECT doc_id, source AS lib_id FROM sim WHERE length(text) < 300 OR simhash = 0 UNION ALL SELECT doc_id, source FROM walk WHERE stays"""
+
+
+def _survivors(spark: SparkSession, sf: str, finish_rows: int = neardup.FINISH_ROWS) -> DataFrame:
+    docs = spread(tb.read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("lib_id"), "text"))
+    return neardup.survivors(docs, finish_rows=finish_rows).select(F.col("chunk_id").alias("doc_id"), "lib_id")
+
+
+@register("near_dup_greedy", S_GREEDY)
+def _(spark, sf):
+    return _survivors(spark, sf)
+
+
+@register("near_dup_rounds", S_GREEDY)
+def _(spark, sf):
+    """The same by rounds alone, the way a set beyond the finishing bound is settled."""
+    return _survivors(spark, sf, finish_rows=0)
+
+
+# ---------------------------------------------------------------- writes
+
+@register("prune_semi", f"""WITH {S_CHUNKS}, keep AS (SELECT DISTINCT lib_id, {s_norm_path('path')} AS page FROM chunks WHERE text LIKE '%the%')
+  SELECT chunk_id, lib_id FROM chunks c WHERE lib_id LIKE 'src1%' AND EXISTS (SELECT 1 FROM keep k WHERE k.lib_id = c.lib_id AND k.page = {s_norm_path('c.path')})
+  UNION ALL SELECT chunk_id, lib_id FROM chunks WHERE lib_id NOT LIKE 'src1%'""")
+def _(spark, sf):
+    docs = tb.chunks(spark, sf)
+    keep = docs.filter(F.contains("text", F.lit("the"))).select("lib_id", "path")
+    done = docs.select("lib_id").distinct().filter(F.startswith("lib_id", F.lit("src1")))
+    return upsert.prune_chunks(docs.select("chunk_id", "lib_id", "path"), keep, done).select("chunk_id", "lib_id")
+
+
+@register("replace_pages", f"""WITH {S_CHUNKS}, inc AS (SELECT DISTINCT source AS lib_id, regexp_replace(regexp_replace(path, '/+$', ''), '\\.html$', '') AS base FROM documents JOIN chunks ON chunk_id = doc_id WHERE lang = 'en'),
+  gone AS (SELECT lib_id, unnest([base, base || '.html', base || '/']) AS path FROM inc)
+  SELECT chunk_id, lib_id, path, 'old' AS origin FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.lib_id = c.lib_id AND g.path = c.path)
+  UNION ALL SELECT chunk_id + 1000000000, lib_id, path, 'new' FROM chunks JOIN documents ON doc_id = chunk_id WHERE lang = 'en'""")
+def _(spark, sf):
+    docs = tb.chunks(spark, sf).select("chunk_id", "lib_id", "path")
+    english = tb.read(spark, sf, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("chunk_id"))
+    incoming = docs.join(english, "chunk_id").select((F.col("chunk_id") + 1_000_000_000).alias("chunk_id"), "lib_id", "path", F.lit("new").alias("origin"))
+    return upsert.replace_pages(docs.withColumn("origin", F.lit("old")), incoming)
+
+
+S_LIBS = """libs AS (SELECT 's' || s_suppkey AS id, s_name AS name, 'own/' || s_suppkey AS repo, 'https://docs' || (s_suppkey % 40) || '.dev' AS docs_url, s_acctbal AS trust,
+    CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '1.' || s_nationkey END AS latest_ver, s_suppkey % 2 = 0 AS "full", s_suppkey % 5 AS stable FROM supplier)"""
+
+
+def _libs(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as stored libraries."""
+    key = F.col("s_suppkey")
+    latest = F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("1."), F.col("s_nationkey").cast("string")))
+    none = F.array().cast("array<string>")
+    return tb.read(spark, sf, "supplier").select(
+        F.concat(F.lit("s"), key.cast("string")).alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("own/"), key.cast("string")).alias("repo"),
+        F.concat(F.lit("https://docs"), (key % 40).cast("string"), F.lit(".dev")).alias("docs_url"), F.col("s_acctbal").alias("trust"),
+        latest.alias("latest_ver"), F.when(latest == "", none).otherwise(F.array(latest)).alias("versions"),
+        (key % 2 == 0).alias("full"), (key % 5).cast("int").alias("stable"))
+
+
+def _lib_rows(libs: DataFrame) -> DataFrame:
+    return libs.select("id", "name", "repo", "docs_url", F.round("trust", 6).alias("trust"), "latest_ver", "full", F.col("stable").cast("long").alias("stable"))
+
+
+@register("upsert_merge", f"""WITH {S_LIBS}, inc AS (SELECT 's' || c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'new/' || c_custkey END AS repo, '' AS docs_url, c_acctbal AS trust,
+    CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '2.0' END AS latest_ver FROM customer)
+  SELECT id, coalesce(nullif(i.name, ''), l.name) AS name, coalesce(nullif(i.repo, ''), l.repo) AS repo, l.docs_url, round(coalesce(i.trust, l.trust), 6) AS trust,
+    coalesce(nullif(i.latest_ver, ''), l.latest_ver) AS latest_ver, l."full", l.stable FROM libs l FULL OUTER JOIN inc i USING (id)""")
+def _(spark, sf):
+    key = F.col("c_custkey")
+    ver = F.when(key % 4 == 0, "").otherwise("2.0")
+    incoming = tb.read(spark, sf, "customer").select(
+        F.concat(F.lit("s"), key.cast("string")).alias("id"), F.col("c_name").alias("name"),
+        F.when(key % 2 == 0, "").otherwise(F.concat(F.lit("new/"), key.cast("string"))).alias("repo"), F.lit("").alias("docs_url"),
+        F.col("c_acctbal").alias("trust"), ver.alias("latest_ver"), F.array(ver).alias("versions"))
+    return _lib_rows(upsert.merge_libs(_libs(spark, sf), incoming))
+
+
+@register("cascade_delete", f"WITH {S_CHUNKS} SELECT lib_id, count(*) AS n FROM chunks WHERE lib_id NOT IN (SELECT DISTINCT 'src' || n_regionkey FROM nation) GROUP BY lib_id")
+def _(spark, sf):
+    gone = tb.read(spark, sf, "nation").select(F.concat(F.lit("src"), F.col("n_regionkey").cast("string")).alias("id"))
+    return upsert.drop_libs(tb.chunks(spark, sf), gone).groupBy("lib_id").agg(F.count("*").alias("n"))
+
+
+@register("flags_update", f"""WITH {S_LIBS}, ch AS (SELECT 's' || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN false END AS "full", CASE WHEN c_custkey % 2 = 0 THEN 9 END AS stable FROM customer)
+  SELECT id, name, repo, docs_url, round(trust, 6) AS trust, latest_ver, coalesce(ch."full", libs."full") AS "full", coalesce(ch.stable, libs.stable) AS stable FROM libs LEFT JOIN ch USING (id)""")
+def _(spark, sf):
+    key = F.col("c_custkey")
+    changes = tb.read(spark, sf, "customer").select(
+        F.concat(F.lit("s"), key.cast("string")).alias("id"), F.when(key % 3 == 0, False).alias("full"), F.when(key % 2 == 0, 9).alias("stable"))
+    return _lib_rows(upsert.set_flags(_libs(spark, sf), changes))
+
+
+@register("lib_stats", f"WITH {S_CHUNKS} SELECT lib_id, count(*) AS n_chunks, count(DISTINCT path) AS n_paths FROM chunks GROUP BY lib_id")
+def _(spark, sf):
+    return lib_stats(tb.chunks(spark, sf).withColumn("fetched_at", F.lit(None).cast("timestamp"))).select("lib_id", "n_chunks", "n_paths")
+
+
+# ---------------------------------------------------------------- registry
+
+S_FOUND = """found AS (
+  SELECT 'lib' || (c_custkey // 3) AS name, c_custkey * 3 AS src_ord, CASE WHEN c_custkey % 5 < 2 THEN '' ELSE 'own' || (c_custkey % 2) || '/lib' || (c_custkey // 3) END AS repo,
+    CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'https://github.com/own/lib' || (c_custkey // 3) ELSE 'https://' || lower(c_mktsegment) || '.dev/' END AS docs_url,
+    round(log10(greatest(c_acctbal, 1)), 4) AS trust, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '1.' || (c_custkey % 10) END AS latest_ver FROM customer
+  UNION ALL SELECT 'lib' || (p_partkey // 4), p_partkey * 3 + 1, CASE WHEN p_partkey % 7 < 3 THEN '' ELSE 'own' || (p_partkey % 2) || '/lib' || (p_partkey // 4) END,
+    CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'https://' || lower(p_type) || '.dev//' END, round(log10(p_retailprice), 4), CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '2.' || p_size END FROM part
+  UNION ALL SELECT 'lib' || s_suppkey, s_suppkey * 3 + 2, 'own1/lib' || s_suppkey, '', 0, '3.' || s_nationkey FROM supplier)"""
+S_NORM = f"""{S_FOUND}, cand AS (SELECT name, src_ord, name AS id, repo, regexp_replace(docs_url, '/+$', '') AS docs_url, trust, latest_ver FROM found),
+keyed AS (SELECT *, CASE WHEN repo <> '' THEN repo ELSE docs_url END AS key, docs_url <> '' AND NOT regexp_matches(docs_url, '^https?://(github\\.com|raw\\.githubusercontent\\.com)/') AS site FROM cand)"""
+
+
+def _found(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers, parts and suppliers as answers of three sources."""
+    none = F.array().cast("array<string>")
+    s = lambda c: c.cast("string")
+    ck, pk, sk = F.col("c_custkey"), F.col("p_partkey"), F.col("s_suppkey")
+    cn, pn = F.concat(F.lit("lib"), s(F.floor(ck / 3))), F.concat(F.lit("lib"), s(F.floor(pk / 4)))
+    customers = tb.read(spark, sf, "customer").select(
+        cn.alias("name"), (ck * 3).alias("src_ord"), F.when(ck % 5 < 2, "").otherwise(F.concat(F.lit("own"), s(ck % 2), F.lit("/"), cn)).alias("repo"),
+        F.when(ck % 4 == 0, "").when(ck % 4 == 1, F.concat(F.lit("https://github.com/own/"), cn)).otherwise(F.concat(F.lit("https://"), F.lower("c_mktsegment"), F.lit(".dev/"))).alias("docs_url"),
+        F.round(F.log10(F.greatest("c_acctbal", F.lit(1.0))), 4).alias("trust"), F.when(ck % 3 == 0, "").otherwise(F.concat(F.lit("1."), s(ck % 10))).alias("latest_ver"))
+    parts = tb.read(spark, sf, "part").select(
+        pn.alias("name"), (pk * 3 + 1).alias("src_ord"), F.when(pk % 7 < 3, "").otherwise(F.concat(F.lit("own"), s(pk % 2), F.lit("/"), pn)).alias("repo"),
+        F.when(pk % 3 == 0, "").otherwise(F.concat(F.lit("https://"), F.lower("p_type"), F.lit(".dev//"))).alias("docs_url"),
+        F.round(F.log10("p_retailprice"), 4).alias("trust"), F.when(pk % 2 == 0, "").otherwise(F.concat(F.lit("2."), s(F.col("p_size")))).alias("latest_ver"))
+    sn = F.concat(F.lit("lib"), s(sk))
+    suppliers = tb.read(spark, sf, "supplier").select(
+        sn.alias("name"), (sk * 3 + 2).alias("src_ord"), F.concat(F.lit("own1/"), sn).alias("repo"), F.lit("").alias("docs_url"), F.lit(0.0).alias("trust"),
+        F.concat(F.lit("3."), s(F.col("s_nationkey"))).alias("latest_ver"))
+    rows = customers.unionByName(parts).unionByName(suppliers)
+    return rows.withColumn("id", F.lit(None).cast("string")).withColumn("versions", none)
+
+
+@register("candidate_normalize", f"WITH {S_NORM} SELECT name, src_ord, id, repo, docs_url, trust, latest_ver, latest_ver AS versions FROM cand")
+def _(spark, sf):
+    df = cd.normalize(_found(spark, sf))
+    return df.select("name", "src_ord", "id", "repo", "docs_url", "trust", "latest_ver", F.array_join("versions", ",").alias("versions"))
+
+
+S_MERGED = f"""{S_NORM}, ordered AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY trust DESC, src_ord) AS o FROM keyed),
+whole AS (SELECT name, key, arg_min(src_ord, o) AS src_ord, any_value(id) AS id, coalesce(arg_min(repo, o) FILTER (repo <> ''), '') AS repo,
+    coalesce(arg_min(docs_url, o) FILTER (site), arg_min(docs_url, o) FILTER (docs_url <> ''), '') AS docs_url, max(trust) AS trust,
+    coalesce(arg_min(latest_ver, o) FILTER (latest_ver <> ''), '') AS latest_ver FROM ordered WHERE key <> '' GROUP BY name, key),
+bare AS (SELECT name, id, arg_min(latest_ver, o) FILTER (latest_ver <> '') AS ver FROM ordered WHERE key = '' GROUP BY ALL),
+merged AS (SELECT w.name, w.src_ord, w.id, repo, docs_url, trust, CASE WHEN latest_ver <> '' THEN latest_ver ELSE coalesce(ver, '') END AS latest_ver FROM whole w LEFT JOIN bare b ON b.name = w.name AND b.id = w.id)"""
+
+
+@register("candidate_merge", f"WITH {S_MERGED} SELECT name, src_ord, id, repo, docs_url, trust, latest_ver, latest_ver AS versions FROM merged")
+def _(spark, sf):
+    df = cd.merge(cd.normalize(_found(spark, sf)))
+    return df.select("name", "src_ord", "id", "repo", "docs_url", "trust", "latest_ver", F.array_join("versions", ",").alias("versions"))
+
+
+S_TRUSTED = f"""{S_MERGED}, stars AS (SELECT 'own1/lib' || p_partkey AS repo, p_size * 1000 AS stars FROM part), idx AS (SELECT DISTINCT 'https://' || lower(c_mktsegment) || '.dev' AS docs_url FROM customer WHERE c_mktsegment < 'G'),
+scored AS (SELECT m.name, m.src_ord, m.id, m.repo, m.docs_url, m.latest_ver, greatest(0, round(greatest(trust, log10(greatest(coalesce(stars, 0), 1))) + CASE WHEN idx.docs_url IS NULL THEN 0 ELSE 2 END
+    - CASE WHEN m.repo <> '' AND regexp_replace(lower(string_split(m.repo, '/')[-1]), '[._-]+', '', 'g') <> regexp_replace(lower(m.name), '[._-]+', '', 'g') THEN 2 ELSE 0 END
+    - CASE WHEN contains(m.docs_url, 'github.com') THEN 1 ELSE 0 END, 2)) AS trust FROM merged m LEFT JOIN stars USING (repo) LEFT JOIN idx ON idx.docs_url = m.docs_url),
+trusted AS (SELECT * FROM scored WHERE trust >= 0.5)"""
+
+
+def _trusted(spark: SparkSession, sf: str) -> DataFrame:
+    merged = cd.merge(cd.normalize(_found(spark, sf)))
+    stars = tb.read(spark, sf, "part").select(F.concat(F.lit("own1/lib"), F.col("p_partkey").cast("string")).alias("repo"), (F.col("p_size") * 1000).alias("stars"))
+    indexes = tb.read(spark, sf, "customer").filter("c_mktsegment < 'G'").select(F.concat(F.lit("https://"), F.lower("c_mktsegment"), F.lit(".dev")).alias("docs_url"))
+    return cd.enrich(merged, stars, indexes)
+
+
+@register("trust_score", f"WITH {S_TRUSTED} SELECT name, id, repo, docs_url, trust, latest_ver FROM trusted")
+def _(spark, sf):
+    return _trusted(spark, sf).select("name", "id", "repo", "docs_url", "trust", "latest_ver")
+
+
+@register("query_boost", f"""WITH {S_TRUSTED}, b AS (SELECT *, trust + CASE WHEN regexp_matches(lower(id || ' ' || repo || ' ' || docs_url), 'own1|household') THEN 0.5 ELSE 0 END AS boosted FROM trusted)
+  SELECT name, id, repo, round(boosted, 2) AS trust, row_number() OVER (PARTITION BY name ORDER BY boosted DESC, src_ord, id) AS rank FROM b""")
+def _(spark, sf):
+    terms = cd.query_terms(F.lit("the OWN1 household"))
+    df = _trusted(spark, sf).withColumn("trust", cd.boost(F.col("trust"), terms, F.col("id"), F.col("repo"), F.col("docs_url")))
+    return cd.rank(df).select("name", "id", "repo", F.round("trust", 2).alias("trust"), F.col("rank").cast("long").alias("rank"))
+
+
+S_HISTORY = """line AS (SELECT 'lib' || (l_orderkey // 8) AS name, l_orderkey % 5 AS src_ord, (l_suppkey % 4) || '.' || (l_linenumber) || '.' || (l_quantity::INT % 12) ||
+    CASE l_partkey % 9 WHEN 0 THEN 'rc1' WHEN 1 THEN '.dev2' WHEN 2 THEN '.post1' WHEN 3 THEN '-beta' ELSE '' END AS version FROM lineitem),
+stable AS (SELECT DISTINCT name, src_ord, version, list_transform(string_split(version, '.'), lambda x: x::INT) AS parts FROM line WHERE regexp_matches(version, '^[0-9.]+$'))"""
+
+
+def _histories(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as releases of packages in five ecosystems."""
+    s = lambda c: c.cast("string")
+    tail = F.coalesce(F.get(F.array(*map(F.lit, ("rc1", ".dev2", ".post1", "-beta"))), (F.col("l_partkey") % 9).cast("int")), F.lit(""))
+    version = F.concat(s(F.col("l_suppkey") % 4), F.lit("."), s(F.col("l_linenumber")), F.lit("."), s(F.col("l_quantity").cast("int") % 12), tail)
+    lines = tb.read(spark, sf, "lineitem").select(
+        F.concat(F.lit("lib"), s(F.floor(F.col("l_orderkey") / 8))).alias("name"), (F.col("l_orderkey") % 5).cast("int").alias("src_ord"), version.alias("version"))
+    return lines.groupBy("name", "src_ord").agg(F.collect_set("version").alias("versions"))
+
+
+@register("stable_versions", f"WITH {S_HISTORY}, r AS (SELECT *, row_number() OVER (PARTITION BY name, src_ord ORDER BY parts DESC) AS n FROM stable) SELECT name, src_ord::BIGINT AS src_ord, string_agg(version, ',' ORDER BY n) AS versions FROM r WHERE n <= 20 GROUP BY ALL")
+def _(spark, sf):
+    df = _histories(spark, sf).withColumn("v", vs.stable_versions(F.col("versions"))).filter(F.size("v") > 0)
+    # releases with zeros at the end may be equal in order; none of these are equal as text
+    return df.select("name", F.col("src_ord").cast("long").alias("src_ord"), F.array_join("v", ",").alias("versions"))
+
+
+@register("versions_argmax", f"""WITH {S_HISTORY}, sizes AS (SELECT name, src_ord, count(*) AS n FROM stable GROUP BY ALL), best AS (SELECT name, src_ord FROM sizes QUALIFY row_number() OVER (PARTITION BY name ORDER BY n DESC, src_ord) = 1),
+  r AS (SELECT s.*, row_number() OVER (PARTITION BY name ORDER BY parts DESC) AS n FROM stable s JOIN best USING (name, src_ord)) SELECT name, string_agg(version, ',' ORDER BY n) AS versions FROM r WHERE n <= 20 GROUP BY name""")
+def _(spark, sf):
+    return cd.versions_argmax(_histories(spark, sf)).select("name", F.array_join("versions", ",").alias("versions"))
+
+
+@register("docs_url_dup", f"""WITH {S_LIBS}, c AS (SELECT 's' || c_custkey AS id, 'https://docs' || (c_custkey % 60) || '.dev' AS docs_url FROM customer)
+  SELECT c.id, c.docs_url, coalesce((SELECT min(l.id) FROM libs l WHERE l.docs_url = c.docs_url AND l.id <> c.id), c.id) AS use_id FROM c""")
+def _(spark, sf):
+    key = F.col("c_custkey")
+    asked = tb.read(spark, sf, "customer").select(
+        F.concat(F.lit("s"), key.cast("string")).alias("id"), F.concat(F.lit("https://docs"), (key % 60).cast("string"), F.lit(".dev")).alias("docs_url"))
+    return freshness.same_docs(asked, _libs(spark, sf))
+
+
+@register("metadata_backfill", f"""WITH {S_LIBS}, c AS (SELECT 's' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '9.' || c_nationkey END AS latest_ver FROM customer)
+  SELECT c.id, CASE WHEN c.latest_ver <> '' THEN c.latest_ver ELSE coalesce(l.latest_ver, '') END AS latest_ver, coalesce(l.latest_ver, '') AS versions FROM c LEFT JOIN libs l USING (id)""")
+def _(spark, sf):
+    key = F.col("c_custkey")
+    latest = F.when(key % 2 == 0, "").otherwise(F.concat(F.lit("9."), F.col("c_nationkey").cast("string")))
+    asked = tb.read(spark, sf, "customer").select(F.concat(F.lit("s"), key.cast("string")).alias("id"), latest.alias("latest_ver"), F.array().cast("array<string>").alias("versions"))
+    return cd.backfill(asked, _libs(spark, sf)).select("id", "latest_ver", F.array_join("versions", ",").alias("versions"))
+
+
+@register("alias_lookup", """SELECT c_name AS name, lower(regexp_replace(c_name, '[^A-Za-z0-9-]', '-', 'g')) AS id, 'own/' || n_name AS repo FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def _(spark, sf):
+    nation = tb.read(spark, sf, "nation")
+    both = tb.read(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    known = both.select(F.upper("c_name").alias("alias"), F.concat(F.lit("own/"), "n_name").alias("repo"), F.lit("").alias("docs_url"), F.lit(95.0).alias("trust"), F.lit("").alias("latest_ver"))
+    asked = tb.read(spark, sf, "customer").select(F.col("c_name").alias("name"), F.lit("").alias("query"))
+    return cd.curated(asked, known).select("name", "id", "repo")
+
+
+@register("standard_modules", """WITH m AS (SELECT p_partkey AS k, lower(p_name) AS module, p_size % 2 = 0 AS node FROM part), pages AS (SELECT module, bool_or(node) AS node, bool_or(NOT node) AS py FROM m GROUP BY module),
+  a AS (SELECT k, module, CASE k % 3 WHEN 0 THEN 'py:' WHEN 1 THEN 'node:' ELSE '' END AS pre, k % 4 = 0 AS speaks FROM m)
+  SELECT k, CASE WHEN py AND (NOT node OR pre = 'py:' OR (speaks AND pre <> 'node:')) THEN 'py:' ELSE 'node:' END || module AS id FROM a JOIN pages USING (module)""")
+def _(spark, sf):
+    part = tb.read(spark, sf, "part").withColumn("module", F.lower("p_name"))
+    known = part.select(F.when(F.col("p_size") % 2 == 0, "node").otherwise("python").alias("lang"), "module", F.concat("module", F.lit(".html")).alias("page")).distinct()
+    key = F.col("p_partkey")
+    pre = F.when(key % 3 == 0, "py:").when(key % 3 == 1, "node:").otherwise("")
+    asked = part.select(F.concat(pre, "module").alias("name"), F.concat(F.when(key % 4 == 0, "in Python ").otherwise("how "), key.cast("string")).alias("query"))
+    return cd.standard_modules(asked, known).select(F.regexp_extract("query", r"(\d+)\z", 1).cast("long").alias("k"), "id")
+
+
+# ---------------------------------------------------------------- freshness and admission
+
+_NOW = "2024-02-01 00:00:00"
+
+
+@register("recrawl_due", f"""WITH u AS (SELECT user_id, max(ts) AS fetched, max(ts) FILTER (event_type = 'click') AS crawled FROM events GROUP BY user_id),
+  a AS (SELECT user_id, epoch(TIMESTAMP '{_NOW}')::BIGINT - floor(epoch(fetched))::BIGINT AS age, epoch(TIMESTAMP '{_NOW}')::BIGINT - floor(epoch(crawled))::BIGINT AS since FROM u)
+  SELECT user_id, NOT coalesce(since < 3600, false) AND age > 604800 AS due, NOT coalesce(since < 3600, false) AS forced FROM a""")
+def _(spark, sf):
+    now = F.lit(_NOW).cast("timestamp")
+    ts = F.col("ts").cast("timestamp")
+    u = tb.read(spark, sf, "events").groupBy("user_id").agg(F.max(ts).alias("fetched"), F.max(F.when(F.col("event_type") == "click", ts)).alias("crawled"))
+    return u.select("user_id", freshness.recrawl_allowed(F.col("crawled"), F.col("fetched"), now).alias("due"), freshness.recrawl_allowed(F.col("crawled"), F.col("fetched"), now, True).alias("forced"))
+
+
+@register("refresh_due", f"""SELECT event_id, epoch(TIMESTAMP '{_NOW}')::BIGINT - floor(epoch(ts))::BIGINT >= least(CASE WHEN value > 5 THEN 86400 ELSE 604800 END * power(2, least(user_id % 6, 3)), 604800) AS due FROM events""")
+def _(spark, sf):
+    now = F.lit(_NOW).cast("timestamp")
+    return tb.read(spark, sf, "events").select("event_id", freshness.refresh_due(F.col("ts").cast("timestamp"), F.col("value"), F.col("user_id") % 6, now).alias("due"))
+
+
+@register("ingest_decision", f"""WITH {S_LIBS}, n AS (SELECT 's' || (doc_id % 150) AS id, count(*) AS n FROM documents GROUP BY ALL)
+  SELECT id, coalesce(n, 0) AS n_chunks, coalesce(n, 0) = 0 OR NOT "full" OR stable = 4 AS ingest, "full" AND coalesce(n, 0) >= 3 AS is_full FROM libs LEFT JOIN n USING (id)""")
+def _(spark, sf):
+    counts = tb.read(spark, sf, "documents").groupBy(F.concat(F.lit("s"), (F.col("doc_id") % 150).cast("string")).alias("id")).agg(F.count("*").alias("n"))
+    df = _libs(spark, sf).join(counts, "id", "left").withColumn("n_chunks", F.coalesce("n", F.lit(0).cast("long")))
+    return df.select("id", "n_chunks", freshness.needs_ingest(F.col("n_chunks"), F.col("full"), F.col("stable") == 4, F.lit("")).alias("ingest"),
+                     guards.is_full(F.col("full"), F.col("n_chunks")).alias("is_full"))
+
+
+@register("guidance_filter", """WITH q AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '' WHEN 1 THEN ' docs ' WHEN 2 THEN left(text, 2) WHEN 3 THEN 'Examples' ELSE text END AS query FROM conversations)
+  SELECT conv_id, turn, trim(query) = '' AS empty, length(trim(query)) < 3 OR regexp_matches(trim(query), '(?i)^(docs?|api|usage|documentation|guide|how|what|why|help|overview|library|package|install|example)s?$') AS vague FROM q""")
+def _(spark, sf):
+    turn = F.col("turn")
+    query = F.when(turn % 5 == 0, "").when(turn % 5 == 1, " docs ").when(turn % 5 == 2, F.left("text", F.lit(2))).when(turn % 5 == 3, "Examples").otherwise(F.col("text"))
+    return tb.read(spark, sf, "conversations").select("conv_id", "turn", guards.empty_query(query).alias("empty"), guards.needs_guidance(query).alias("vague"))
+
+
+@register("source_cascade", f"""WITH p AS (SELECT page_id, page_id % 7 AS r, url FROM pages)
+  SELECT page_id, CASE WHEN r = 0 THEN 'list-as-page' WHEN r = 1 THEN 'list+sitemap' WHEN r = 2 THEN 'sitemap' WHEN r = 3 THEN 'readme' WHEN r IN (4, 5) THEN 'crawl' ELSE 'single-page' END AS branch FROM p""")
+def _(spark, sf):
+    r = F.col("page_id") % 7
+    probes = tb.read(spark, sf, "pages").select(
+        "page_id", F.col("url").alias("docs_url"), (r < 2).alias("has_list"), F.when(r == 1, 3).otherwise(0).alias("n_links"), F.when(r < 3, 2).otherwise(0).alias("n_locs"),
+        (r == 3).alias("has_readme"), F.when(r == 4, 5).otherwise(0).alias("n_crawled"), (r != 5).alias("crawl_done"))
+    return ingest.choose_source(probes).select("page_id", "branch")
+
+
+@register("gate", """SELECT count(*) FILTER (quality = 1) AS hits, count(*) AS total, round(100.0 * count(*) FILTER (quality = 1) / count(*), 6) AS pct, 100.0 * count(*) FILTER (quality = 1) / count(*) >= 40 AS passed FROM labels WHERE toxic = 0""")
+def _(spark, sf):
+    outcome = F.when(F.col("toxic") == 1, "n/a").when(F.col("quality") == 1, "@1").otherwise("miss")
+    return metrics.gate(tb.read(spark, sf, "labels").select(outcome.alias("outcome"))).withColumn("pct", F.round("pct", 6))
+
+
+# ---------------------------------------------------------------- whole flows, without SQL
+
+@register("ingest_chunks")
+def ingest_chunks(spark, sf):
+    """Raw pages to chunks without near-duplicates."""
+    raw = _page_list(spark, sf).select("lib_id", "url", "html")
+    found = ingest.page_chunks(ingest.extracted(spread(raw))).withColumn("chunk_id", F.xxhash64("lib_id", "path", "chunk_no"))
+    return neardup.survivors(found).select("lib_id", "path", "title", "chunk_no", "text")
+
+
+@register("crawl_rounds")
+def crawl_rounds(spark, sf):
+    """Every host crawled from its page addresses, the pages table standing in for the network."""
+    pages = _page_list(spark, sf).select("lib_id", "url", "html")
+    stored = pages.select("lib_id", F.col("url"), hx.extract(F.col("html")).alias("text"), "html").dropDuplicates(["lib_id", "url"])
+    seeds = pages.select("lib_id", paths.strip_slashes(F.regexp_extract("url", r"^([a-z]+://[^/]+)", 1)).alias("docs_url"), "url", F.lit("queued").alias("status"), F.lit(0).cast("long").alias("seq"))
+
+    def fetch(batch: DataFrame) -> DataFrame:
+        return batch.join(stored, ["lib_id", "url"], "left").withColumn("html", F.coalesce("html", F.lit("")))
+
+    chunks, frontier = crawl.crawl(seeds, fetch, F.lit("guide"), width=1000)
+    return chunks.groupBy("lib_id").agg(F.count("*").alias("n_chunks")).join(crawl.completed(frontier), "lib_id")
+
+
+@register("resolve_names")
+def resolve_names(spark, sf):
+    """The whole chain: curated entries, standard modules, merged registry answers."""
+    found = _found(spark, sf)
+    names = found.select("name").distinct().withColumn("query", F.lit("own1 usage"))
+    key = F.col("n_nationkey").cast("string")
+    nation = tb.read(spark, sf, "nation")
+    aliases = nation.select(F.concat(F.lit("LIB"), key).alias("alias"), F.concat(F.lit("own/"), key).alias("repo"), F.lit("https://a.dev/").alias("docs_url"), F.lit(95.0).alias("trust"), F.lit("").alias("latest_ver"))
+    modules = tb.read(spark, sf, "region").select(F.lit("node").alias("lang"), F.concat(F.lit("lib"), (F.col("r_regionkey") + 30).cast("string")).alias("module"), F.lit("x.md").alias("page"))
+    stars = tb.read(spark, sf, "part").select(F.concat(F.lit("own1/lib"), F.col("p_partkey").cast("string")).alias("repo"), (F.col("p_size") * 1000).alias("stars"))
+    indexes = tb.read(spark, sf, "customer").select(F.concat(F.lit("https://"), F.lower("c_mktsegment"), F.lit(".dev")).alias("docs_url"))
+    out = resolve.resolve(names, aliases, modules, found, cd.versions_argmax(_histories(spark, sf)), stars, indexes, _libs(spark, sf))
+    return out.select("name", "rank", "id", "repo", "docs_url", F.round("trust", 2).alias("trust"), "latest_ver", F.array_join("versions", ",").alias("versions"))
