@@ -33,11 +33,9 @@ def add_simhash(df: DataFrame, key: str, text: str = "text", out: str = "simhash
         F.count("__h").alias("__n"),
         *[F.sum(F.shiftrightunsigned("__h", i).bitwiseAND(F.lit(_PAIR))).alias(f"__v{i}") for i in range(32)],
     )
-    bits = F.lit(0).cast("long")
-    for i in range(32):
-        low = F.col(f"__v{i}").bitwiseAND(F.lit(0xFFFFFFFF))
-        high = F.shiftrightunsigned(F.col(f"__v{i}"), 32)
-        for votes_for, position in ((low, i), (high, i + 32)):
-            bit = F.shiftleft(F.lit(1).cast("long"), position)
-            bits = bits.bitwiseOR(F.when(votes_for * 2 > F.col("__n"), bit).otherwise(F.lit(0).cast("long")))
-    return sums.select(key, bits.alias(out))
+    tallies = F.array(*[F.col(f"__v{i}") for i in range(32)])
+    bits = F.expr(
+        "aggregate(transform(__votes, (v, i) -> shiftleft(if(2 * (v & 4294967295L) > __n, 1L, 0L), i)"
+        " | shiftleft(if(2 * shiftrightunsigned(v, 32) > __n, 1L, 0L), i + 32)), 0L, (a, b) -> a | b)"
+    )
+    return sums.select(key, "__n", tallies.alias("__votes")).select(key, bits.alias(out))

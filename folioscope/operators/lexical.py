@@ -25,7 +25,7 @@ DOC_MARK = ""
 class QueryTerms:
     """Units of a query batch and their measured size.
 
-    ``by_query``: qid, lib_id, unit, weight. ``parts``: unit, part, term, n_parts.
+    ``by_query``: qid, lib_id, unit, weight, n_units. ``parts``: unit, part, term, n_parts.
     ``n_queries`` and ``n_units`` bound what may be broadcast.
     """
 
@@ -37,22 +37,22 @@ class QueryTerms:
 
 
 def query_terms(queries: DataFrame) -> QueryTerms:
-    """``queries``: qid, lib_id, query. One small job measures the batch."""
-    words = tx.query_units(F.col("query"))
-    size = queries.agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.size(words)), F.lit(0)).alias("units"),
-        F.coalesce(F.bool_or(F.contains("query", F.lit("_"))), F.lit(False)).alias("phrases"),
+    """``queries``: qid, lib_id, query. The units are stored once and measured there."""
+    units = queries.select(
+        "qid", "lib_id", F.explode_outer(tx.query_units(F.col("query"))).alias("words")
+    ).groupBy("qid", "lib_id", "words").agg(F.count("words").cast("double").alias("weight"))
+    units = units.withColumn("n_units", F.count("words").over(W.partitionBy("qid")))
+    units = stored(units.withColumn("unit", F.array_join("words", " ")))
+    size = units.agg(
+        F.count_distinct("qid").alias("n"), F.count("words").alias("units"),
+        F.coalesce(F.max(F.size("words")), F.lit(0)).alias("longest"),
     ).first()
-    units = stored(queries.select("qid", "lib_id", F.explode_outer(words).alias("words")).filter("words IS NOT NULL"))
-    by_query = units.groupBy("qid", "lib_id", F.array_join("words", " ").alias("unit")).agg(
-        F.count("*").cast("double").alias("weight")
+    units = units.filter("words IS NOT NULL")
+    parts = units.select("unit", "words").distinct().select(
+        "unit", F.size("words").alias("n_parts"), F.posexplode_outer("words").alias("part", "term")
     )
-    parts = (
-        units.select("words").distinct()
-        .select(F.array_join("words", " ").alias("unit"), F.size("words").alias("n_parts"), "words")
-        .select("unit", "n_parts", F.posexplode_outer("words").alias("part", "term"))
-    )
-    return QueryTerms(by_query, parts, size["phrases"], size["n"], size["units"])
+    by_query = units.select("qid", "lib_id", "unit", "weight", "n_units")
+    return QueryTerms(by_query, parts, size["longest"] > 1, size["n"], size["units"])
 
 
 def document_postings(docs: DataFrame, asked: QueryTerms | None = None, positions: bool = False) -> DataFrame:
@@ -116,9 +116,8 @@ def bm25_scores(postings: DataFrame, asked: QueryTerms, stats: DataFrame | None
     idf = frequency.withColumn("n_docs", corpus["n_docs"]).select(
         "unit", F.when(raw_idf <= 0, IDF_FLOOR).otherwise(raw_idf).alias("idf")
     )
-    weights = asked.by_query.join(idf, "unit", "left").withColumn(
-        "n_units", F.count("*").over(W.partitionBy("qid"))
-    ).withColumn("avg_dl", corpus["avg_dl"])
+    # units no chunk holds need no weight; n_units still counts them
+    weights = asked.by_query.join(idf, "unit").withColumn("avg_dl", corpus["avg_dl"])
     weights = small_side(weights, asked.n_units)
     tf, norm = F.col("tf"), F.col("dl") / F.col("avg_dl")
     part = F.col("weight") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * norm))

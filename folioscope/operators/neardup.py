@@ -68,16 +68,20 @@ def _close_to(rows: DataFrame, leaders: DataFrame, plan: tuple[int, int]) -> Dat
     return left.join(right, same & near, "left_semi").select("lib_id", "simhash").distinct()
 
 
-def _finish(group: pd.DataFrame) -> pd.DataFrame:
+def _finisher(reach: int):
     """Greedy pass over one library's remaining fingerprints (their total is bounded)."""
-    group = group.sort_values("ord", kind="stable")
-    hashes = group["simhash"].to_numpy(dtype=np.int64).view(np.uint64)
-    kept = np.empty(len(hashes), dtype=np.uint64)
-    n, flags = 0, np.zeros(len(hashes), dtype=bool)
-    for i, value in enumerate(hashes):
-        if n == 0 or np.bitwise_count(kept[:n] ^ value).min() > hashing.MAX_DISTANCE:
-            kept[n], flags[i], n = value, True, n + 1
-    return pd.DataFrame({"lib_id": group["lib_id"], "simhash": group["simhash"], "kept": flags})
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("ord", kind="stable")
+        hashes = group["simhash"].to_numpy(dtype=np.int64).view(np.uint64)
+        kept = np.empty(len(hashes), dtype=np.uint64)
+        n, flags = 0, np.zeros(len(hashes), dtype=bool)
+        for i, value in enumerate(hashes):
+            if n == 0 or np.bitwise_count(kept[:n] ^ value).min() > reach:
+                kept[n], flags[i], n = value, True, n + 1
+        return pd.DataFrame({"lib_id": group["lib_id"], "simhash": group["simhash"], "kept": flags})
+
+    return run
 
 
 def keep_leaders(hashes: DataFrame, stored: DataFrame | None = None, finish_rows: int = FINISH_ROWS) -> DataFrame:
@@ -112,7 +116,7 @@ def keep_leaders(hashes: DataFrame, stored: DataFrame | None = None, finish_rows
         rows = cut(rows.join(_close_to(rows, leaders, plan), ["lib_id", "simhash"], "left_anti"))
         left = rows.count()
     if left:
-        done = rows.groupBy("lib_id").applyInPandas(_finish, "lib_id string, simhash long, kept boolean")
+        done = rows.groupBy("lib_id").applyInPandas(_finisher(hashing.MAX_DISTANCE), "lib_id string, simhash long, kept boolean")
         kept = kept.unionByName(done.filter("kept").select("lib_id", "simhash"))
     return kept
 
