@@ -17,7 +17,7 @@ from .operators import candidates as cd
 from .operators import freshness, fusion, hits as ht, lexical, nearest, neardup, upsert
 from .plans import crawl, ingest, resolve, retrieval
 from .plans.store import lib_stats
-from .session import small_side, spread
+from .session import small_side, spread, stored
 from .sources import listings, tables as tb
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -425,7 +425,7 @@ def _sql_html() -> str:
 
 @register("html_extract", _sql_html())
 def _(spark, sf):
-    return tb.read(spark, sf, "pages").select("page_id", hx.extract(F.col("html")).alias("text"))
+    return spread(tb.read(spark, sf, "pages").select("page_id", "html")).select("page_id", hx.extract(F.col("html")).alias("text"))
 
 
 @register("link_extract", f"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"#?]+)', 1)) AS href FROM pages),
@@ -923,7 +923,7 @@ def _(spark, sf):
 def ingest_chunks(spark, sf):
     """Raw pages to chunks without near-duplicates."""
     raw = _page_list(spark, sf).select("lib_id", "url", "html")
-    found = ingest.page_chunks(ingest.extracted(spread(raw))).withColumn("chunk_id", F.xxhash64("lib_id", "path", "chunk_no"))
+    found = stored(ingest.page_chunks(ingest.extracted(spread(raw))).withColumn("chunk_id", F.xxhash64("lib_id", "path", "chunk_no")))
     return neardup.survivors(found).select("lib_id", "path", "title", "chunk_no", "text")
 
 
@@ -931,11 +931,11 @@ def ingest_chunks(spark, sf):
 def crawl_rounds(spark, sf):
     """Every host crawled from its page addresses, the pages table standing in for the network."""
     pages = _page_list(spark, sf).select("lib_id", "url", "html")
-    stored = pages.select("lib_id", F.col("url"), hx.extract(F.col("html")).alias("text"), "html").dropDuplicates(["lib_id", "url"])
+    fetched = stored(spread(pages).select("lib_id", F.col("url"), hx.extract(F.col("html")).alias("text"), "html").dropDuplicates(["lib_id", "url"]))
     seeds = pages.select("lib_id", paths.strip_slashes(F.regexp_extract("url", r"^([a-z]+://[^/]+)", 1)).alias("docs_url"), "url", F.lit("queued").alias("status"), F.lit(0).cast("long").alias("seq"))
 
     def fetch(batch: DataFrame) -> DataFrame:
-        return batch.join(stored, ["lib_id", "url"], "left").withColumn("html", F.coalesce("html", F.lit("")))
+        return batch.join(fetched, ["lib_id", "url"], "left").withColumn("html", F.coalesce("html", F.lit("")))
 
     chunks, frontier = crawl.crawl(seeds, fetch, F.lit("guide"), width=1000)
     return chunks.groupBy("lib_id").agg(F.count("*").alias("n_chunks")).join(crawl.completed(frontier), "lib_id")

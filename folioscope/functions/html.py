@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import guards
+from .text import let
 
 # Elements without running text, block elements, and character references.
 SILENT = "script style noscript template svg form nav header footer aside iframe button select".split()
@@ -26,10 +27,10 @@ def main_text(html: Column) -> Column:
     """
     body = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     body = F.regexp_replace(body, rf"(?is)<({'|'.join(SILENT)})\b[^>]*>.*?</\1\s*>", "")
-    inner = F.regexp_extract(body, r"(?is)<article\b[^>]*>(.*)</article\s*>", 1)
-    inner = F.when(inner != "", inner).otherwise(F.regexp_extract(body, r"(?is)<main\b[^>]*>(.*)</main\s*>", 1))
-    inner = F.when(inner != "", inner).otherwise(F.regexp_extract(body, r"(?is)<body\b[^>]*>(.*)</body\s*>", 1))
-    text = F.when(inner != "", inner).otherwise(body)
+    def inside(tag: str, source: Column) -> Column:
+        return F.nullif(F.regexp_extract(source, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1), F.lit(""))
+
+    text = let(body, lambda b: F.coalesce(inside("article", b), inside("main", b), inside("body", b), b))
     for level in range(1, 5):
         text = F.regexp_replace(text, rf"(?i)<h{level}\b[^>]*>", "\n" + "#" * level + " ")
     text = F.regexp_replace(text, rf"(?i)</?({'|'.join(BLOCKS)})\b[^>]*>", "\n")

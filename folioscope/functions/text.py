@@ -29,6 +29,11 @@ def _accent_table() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _accent_table()
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold(text: Column) -> Column:
     """Lower case without diacritics (``é`` becomes ``e``; ``ß`` stays)."""
     return F.translate(F.lower(text), _ACCENTED, _PLAIN)
@@ -102,18 +107,20 @@ def sections(text: Column) -> Column:
     behind a carriage return (none is left after line unification), the text is split at the
     visible ones, and the marks are taken out again. One linear pass, no shuffle.
     """
-    body = unix_lines(text)
-    masked = F.array_join(
-        F.transform(
-            F.split(body, "(?dm)^```", -1),
-            lambda piece, i: F.when(i % 2 == 1, F.replace(piece, F.lit("\n#"), F.lit("\n\r#"))).otherwise(piece),
-        ),
-        "```",
-    )
-    shielded = F.when(F.contains(body, F.lit("```")), masked).otherwise(body)
-    return F.transform(
-        F.split(shielded, "\n(?=#{1,4} )", -1), lambda s: F.replace(s, F.lit("\n\r#"), F.lit("\n#"))
-    )
+    def split_body(body: Column) -> Column:
+        masked = F.array_join(
+            F.transform(
+                F.split(body, "(?dm)^```", -1),
+                lambda piece, i: F.when(i % 2 == 1, F.replace(piece, F.lit("\n#"), F.lit("\n\r#"))).otherwise(piece),
+            ),
+            "```",
+        )
+        shielded = F.when(F.contains(body, F.lit("```")), masked).otherwise(body)
+        return F.transform(
+            F.split(shielded, "\n(?=#{1,4} )", -1), lambda s: F.replace(s, F.lit("\n\r#"), F.lit("\n#"))
+        )
+
+    return let(unix_lines(text), split_body)
 
 
 def split_oversize(text: Column, limit: int) -> Column:
@@ -159,4 +166,4 @@ def chunk_text(text: Column, max_tokens: int = CHUNK_TOKENS) -> Column:
         sections(text),
         lambda s: F.when(F.length(s) <= limit, F.array(s)).otherwise(pack_paragraphs(s, max_tokens)),
     ))
-    return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(text))
+    return let(pieces, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(text)))

@@ -70,7 +70,8 @@ def choose_source(probes: DataFrame) -> DataFrame:
 
 def extracted(raw: DataFrame) -> DataFrame:
     """lib_id, path, text of raw pages (lib_id, url, html) that pass the admission rules."""
-    text = hx.extract(F.col("html"))
+    # behind a generator the text is a column of its own: the filters read it, they do not repeat it
+    text = F.explode_outer(F.array(hx.extract(F.col("html"))))
     return raw.select("lib_id", paths.norm_url(F.col("url")).alias("path"), text.alias("text")).filter(
         (F.col("text") != "") & ~guards.has_injection(F.col("text"))
     )

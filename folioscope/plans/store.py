@@ -35,11 +35,23 @@ class Store:
 
     def read(self, table: str) -> DataFrame:
         """Current rows in the current layout; an empty table if nothing was written yet."""
-        row = self.newest(table)
+        return self.snapshot(table)[table]
+
+    def snapshot(self, *tables: str) -> dict[str, DataFrame]:
+        """Several tables as of one moment, found with one look at the version list."""
+        current = self.versions().filter(F.col("table_name").isin(*tables)).groupBy("table_name").agg(
+            F.max_by(F.struct("path", "layout"), "version").alias("at"))
+        places = {r["table_name"]: r["at"] for r in current.collect()}
+        return {t: self._open(t, places.get(t)) for t in tables}
+
+    def _open(self, table: str, at) -> DataFrame:
         kind = schema.TABLES[table]
-        if row is None:
+        if at is None:
             return self.spark.createDataFrame([], kind)
-        return schema.conform(self.spark.read.parquet(row["path"]), table)
+        reader = self.spark.read
+        if at["layout"] == schema.SCHEMA_VERSION:
+            reader = reader.schema(kind)  # no job to look the schema up
+        return schema.conform(reader.parquet(at["path"]), table)
 
     def write(self, table: str, df: DataFrame, sort: tuple[str, ...] = (), tag: str = "", least_rows: int = 0) -> int:
         """Write the next version. ``sort`` columns lay rows out so that scans skip files.
@@ -84,11 +96,11 @@ class Store:
         self.write("corpus_stats", lexical.corpus_stats(self.read("postings")))
 
     def search(self, queries: DataFrame, **options) -> DataFrame:
-        return retrieval.search(queries, self.read("chunks"), self.read("chunk_vec"), **self._index(), **options)
+        return retrieval.search(queries, **self._tables(), **options)
 
     def get_docs(self, queries: DataFrame, **options) -> DataFrame:
         """Answers for a batch (qid, lib_id, query, query_vec, version); see :func:`retrieval.get_docs`."""
-        return retrieval.get_docs(queries, self.read("chunks"), self.read("chunk_vec"), **self._index(), **options)
+        return retrieval.get_docs(queries, **self._tables(), **options)
 
     def get_docs_one(self, lib_id: str, query: str, version: str = "", query_vec: list | None = None, **options) -> DataFrame:
         row = self.spark.createDataFrame([(0, lib_id, query, query_vec, version)], schema.QUERIES)
@@ -97,8 +109,9 @@ class Store:
     def versions_of(self, lib_id: str) -> DataFrame:
         return self.read("libs").filter(F.col("id") == lib_id).select(F.explode_outer("versions").alias("version")).filter("version IS NOT NULL")
 
-    def _index(self) -> dict:
-        return {"postings": self.read("postings"), "stats": self.read("corpus_stats")}
+    def _tables(self) -> dict:
+        now = self.snapshot("chunks", "chunk_vec", "postings", "corpus_stats")
+        return {"chunks": now["chunks"], "vectors": now["chunk_vec"], "postings": now["postings"], "stats": now["corpus_stats"]}
 
 
 def lib_stats(chunks: DataFrame) -> DataFrame:
