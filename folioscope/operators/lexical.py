@@ -106,12 +106,22 @@ def corpus_stats(postings: DataFrame) -> DataFrame:
     )
 
 
-def bm25_scores(postings: DataFrame, asked: QueryTerms, stats: DataFrame | None = None) -> DataFrame:
-    """qid, lib_id, chunk_id, score, all_terms for every chunk of the query's library that holds a unit."""
+def bm25_scores(
+    postings: DataFrame, asked: QueryTerms, stats: DataFrame | None = None, term_df: DataFrame | None = None
+) -> DataFrame:
+    """qid, lib_id, chunk_id, score, all_terms for every chunk of the query's library that holds a unit.
+
+    ``term_df`` (term, df) are stored frequencies; with them ``postings`` may hold the asked
+    libraries only. Phrases are counted in the postings, which must then be those of all libraries.
+    """
     stats = corpus_stats(postings) if stats is None else stats
     found = matches(postings, asked)
     corpus = stats.select(F.struct("n_docs", "avg_dl")).scalar()
-    frequency = found.groupBy("unit").agg(F.count("*").alias("df"))
+    if term_df is None or asked.phrases:
+        frequency = found.groupBy("unit").agg(F.count("*").alias("df"))
+    else:
+        terms = small_side(asked.parts.select("unit", "term"), asked.n_units)
+        frequency = term_df.join(terms, "term").select("unit", "df")
     raw_idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = frequency.withColumn("n_docs", corpus["n_docs"]).select(
         "unit", F.when(raw_idf <= 0, IDF_FLOOR).otherwise(raw_idf).alias("idf")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,45 +16,58 @@ SEARCH_POOL = 20
 ANSWER_ROWS = 10
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """What a batch is searched in. Without ``postings`` the chunk texts are tokenized on the way."""
+
+    chunks: DataFrame
+    vectors: DataFrame | None = None
+    postings: DataFrame | None = None
+    stats: DataFrame | None = None
+    term_df: DataFrame | None = None
+
+
+#: Chooses the corpus once the batch is measured; a store opens only what the batch needs.
+Opener = Callable[[DataFrame, lexical.QueryTerms], Corpus]
+
+
 def ranked_ids(
-    queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, *,
-    asked: lexical.QueryTerms | None = None, postings: DataFrame | None = None,
-    stats: DataFrame | None = None, metric: str = "cosine",
+    queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, *, metric: str = "cosine"
 ) -> DataFrame:
-    """The joined rank list of both searches, with positions.
+    """The joined rank list of both searches, with positions."""
+    return _ranked(queries, lexical.query_terms(queries), Corpus(chunks, vectors), metric)
 
-    With ``postings`` (and ``stats``) the stored index is read, else the chunk texts themselves.
-    """
-    asked = asked or lexical.query_terms(queries)
-    source = lexical.asked_postings(chunks, asked) if postings is None else postings
-    found = lexical.lexical_ranks(lexical.bm25_scores(source, asked, stats))
+
+def _ranked(queries: DataFrame, asked: lexical.QueryTerms, corpus: Corpus, metric: str) -> DataFrame:
+    postings = lexical.asked_postings(corpus.chunks, asked) if corpus.postings is None else corpus.postings
+    found = lexical.lexical_ranks(lexical.bm25_scores(postings, asked, corpus.stats, corpus.term_df))
     near = None
-    if vectors is not None:
-        near = nearest.flag_weak(nearest.nearest(queries, vectors, metric, n_queries=asked.n_queries), metric)
+    if corpus.vectors is not None:
+        near = nearest.flag_weak(nearest.nearest(queries, corpus.vectors, metric, n_queries=asked.n_queries), metric)
     return fusion.list_positions(fusion.ranked_list(found, near))
 
 
 def search(
-    queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, *, k: int = 5,
-    rrf_k: int = fusion.FUSION_K, metric: str = "cosine",
-    postings: DataFrame | None = None, stats: DataFrame | None = None,
+    queries: DataFrame, chunks: DataFrame | None = None, vectors: DataFrame | None = None, *, k: int = 5,
+    rrf_k: int = fusion.FUSION_K, metric: str = "cosine", opener: Opener | None = None,
 ) -> DataFrame:
     """Hybrid search for ``queries`` (qid, lib_id, query, query_vec, version).
 
     Up to ``k`` hits per query: fused order, soft version filter, one hit per page.
     """
     asked = lexical.query_terms(queries)
-    placed = ranked_ids(queries, chunks, vectors, asked=asked, postings=postings, stats=stats, metric=metric)
+    corpus = Corpus(chunks, vectors) if opener is None else opener(queries, asked)
+    placed = _ranked(queries, asked, corpus, metric)
     versions = small_side(queries.select("qid", "version"), asked.n_queries)
     fused = fusion.fuse(placed, rrf_k).join(versions, "qid")
     limit = F.when(F.col("version") == "", F.lit(k)).otherwise(F.lit(3 * k))
     top = fusion.best(fused, limit)
-    full = ht.attach_chunks(top, chunks, asked.n_queries * 3 * k)
+    full = ht.attach_chunks(top, corpus.chunks, asked.n_queries * 3 * k)
     return ht.present(ht.one_per_page(ht.prefer_version(full, F.col("version")), k))
 
 
 def get_docs(
-    queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, *,
+    queries: DataFrame, chunks: DataFrame | None = None, vectors: DataFrame | None = None, *,
     scorer: ht.Scorer = ht.lexical_overlap, **options,
 ) -> DataFrame:
     """Answers for a batch: guidance for unusable queries, else search, rerank, trim, first ten.

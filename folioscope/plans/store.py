@@ -10,19 +10,29 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema
 from ..operators import lexical
 from . import retrieval
 
-_VERSIONS = "table_name string, version long, path string, n_rows long, layout int, tag string, written_at timestamp"
+_VERSIONS = "table_name string, version long, path string, n_rows long, layout int, tag string, buckets int, written_at timestamp"
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """``n_buckets`` is fixed for the life of a store: about the number of libraries or files
+    worth opening separately, 64 on a laptop, some thousands for a large corpus."""
+
+    #: Up to this many libraries a batch names them in the scan itself.
+    NAMED_LIBS = 100
+
+    def __init__(self, spark: SparkSession, root: str, n_buckets: int = 64):
+        self.spark, self.root, self.n_buckets = spark, root.rstrip("/"), n_buckets
+
+    def bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.n_buckets)).cast("int")
 
     def versions(self) -> DataFrame:
         try:
@@ -37,21 +47,29 @@ class Store:
         """Current rows in the current layout; an empty table if nothing was written yet."""
         return self.snapshot(table)[table]
 
-    def snapshot(self, *tables: str) -> dict[str, DataFrame]:
-        """Several tables as of one moment, found with one look at the version list."""
+    def snapshot(self, *tables: str, buckets: dict[str, list[int]] | None = None) -> dict[str, DataFrame]:
+        """Several tables as of one moment, found with one look at the version list.
+
+        ``buckets``: per bucket key (``lib_id``, ``term``) the directories that may hold asked rows.
+        """
         current = self.versions().filter(F.col("table_name").isin(*tables)).groupBy("table_name").agg(
-            F.max_by(F.struct("path", "layout"), "version").alias("at"))
+            F.max_by(F.struct("path", "layout", "buckets"), "version").alias("at"))
         places = {r["table_name"]: r["at"] for r in current.collect()}
-        return {t: self._open(t, places.get(t)) for t in tables}
+        return {t: self._open(t, places.get(t), buckets or {}) for t in tables}
 
-    def _open(self, table: str, at) -> DataFrame:
-        kind = schema.TABLES[table]
+    def _open(self, table: str, at, buckets: dict[str, list[int]]) -> DataFrame:
+        kind, key = schema.TABLES[table], schema.BUCKET_KEY.get(table)
         if at is None:
             return self.spark.createDataFrame([], kind)
+        if at["buckets"] not in (None, self.n_buckets):
+            raise ValueError(f"{self.root} has {at['buckets']} buckets, not {self.n_buckets}")
         reader = self.spark.read
-        if at["layout"] == schema.SCHEMA_VERSION:
-            reader = reader.schema(kind)  # no job to look the schema up
-        return schema.conform(reader.parquet(at["path"]), table)
+        if at["layout"] == schema.SCHEMA_VERSION:  # no job to look the schema up
+            reader = reader.schema(T.StructType(kind.fields + ([T.StructField("bucket", T.IntegerType())] if key else [])))
+        df = reader.parquet(at["path"])
+        if key in buckets and at["buckets"] is not None:
+            df = df.filter(F.col("bucket").isin(*buckets[key]))
+        return schema.conform(df, table)
 
     def write(self, table: str, df: DataFrame, sort: tuple[str, ...] = (), tag: str = "", least_rows: int = 0) -> int:
         """Write the next version. ``sort`` columns lay rows out so that scans skip files.
@@ -61,14 +79,18 @@ class Store:
         row = self.newest(table)
         version = 1 if row is None else row["version"] + 1
         path = f"{self.root}/{table}/v={version}-{uuid.uuid4().hex[:8]}"
-        laid_out = schema.conform(df, table)
-        if sort:
-            laid_out = laid_out.repartitionByRange(*sort).sortWithinPartitions(*sort)
-        laid_out.write.parquet(path)
+        laid_out, key = schema.conform(df, table), schema.BUCKET_KEY.get(table)
+        if key:
+            # by range within the bucket: a bucket (or library, or term) that is large gets many files
+            order = ("bucket", *(sort or (key,)))
+            laid_out = laid_out.withColumn("bucket", self.bucket(F.col(key)))
+            laid_out.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
+        else:
+            laid_out.write.parquet(path)
         n_rows = self.spark.read.parquet(path).count()
         if n_rows < least_rows:
             raise ValueError(f"{table}: {n_rows} rows, expected at least {least_rows}; kept version {version - 1}")
-        self._publish(table, version, path, n_rows, tag)
+        self._publish(table, version, path, n_rows, tag, self.n_buckets if key else None)
         return version
 
     def rollback(self, table: str, version: int) -> None:
@@ -76,31 +98,48 @@ class Store:
         old = self.versions().filter((F.col("table_name") == table) & (F.col("version") == version)).first()
         if old is None:
             raise ValueError(f"{table} has no version {version}")
-        self._publish(table, self.newest(table)["version"] + 1, old["path"], old["n_rows"], old["tag"])
+        self._publish(table, self.newest(table)["version"] + 1, old["path"], old["n_rows"], old["tag"], old["buckets"])
 
-    def _publish(self, table: str, version: int, path: str, n_rows: int, tag: str) -> None:
+    def _publish(self, table: str, version: int, path: str, n_rows: int, tag: str, buckets: int | None) -> None:
         entry = self.spark.createDataFrame(
-            [(table, version, path, n_rows, schema.SCHEMA_VERSION, tag)],
-            "table_name string, version long, path string, n_rows long, layout int, tag string",
+            [(table, version, path, n_rows, schema.SCHEMA_VERSION, tag, buckets)],
+            "table_name string, version long, path string, n_rows long, layout int, tag string, buckets int",
         )
         entry.withColumn("written_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.root}/_versions")
 
     def build_index(self) -> None:
-        """Postings and corpus statistics of the current chunks.
+        """Postings, term frequencies and corpus statistics of the current chunks.
 
-        Rows are range-partitioned by term and chunk: a frequent term spans several files, and a
-        query reads only the row groups of its terms.
+        Rows are laid out by term, library and chunk: a frequent term spans several files, and a
+        query reads only the row groups of its terms and libraries.
         """
-        postings = lexical.document_postings(self.read("chunks"), positions=True)
-        self.write("postings", postings, sort=("term", "lib_id", "chunk_id"))
-        self.write("corpus_stats", lexical.corpus_stats(self.read("postings")))
+        self.write("postings", lexical.document_postings(self.read("chunks"), positions=True), sort=("term", "lib_id", "chunk_id"))
+        postings = self.read("postings")
+        self.write("terms", postings.groupBy("term").agg(F.count("*").alias("df")))
+        self.write("corpus_stats", lexical.corpus_stats(postings))
+
+    def _opened(self, queries: DataFrame, asked: lexical.QueryTerms) -> retrieval.Corpus:
+        """The part of the store a batch needs. What is collected is at most one number per bucket."""
+        libs = queries.select("lib_id").distinct()
+        wanted = libs.select(F.lit("lib_id").alias("key"), self.bucket(F.col("lib_id")).alias("bucket")).union(
+            asked.parts.select(F.lit("term"), self.bucket(F.col("term")))).distinct()
+        buckets: dict[str, list[int]] = {"lib_id": [], "term": []}
+        for row in wanted.collect():
+            buckets[row["key"]].append(row["bucket"])
+        now = self.snapshot("chunks", "chunk_vec", "postings", "terms", "corpus_stats", buckets=buckets)
+        named = [r["lib_id"] for r in libs.limit(self.NAMED_LIBS + 1).collect()]
+        if len(named) <= self.NAMED_LIBS:
+            ours = F.col("lib_id").isin(*named)
+            for table in ("chunks", "chunk_vec") + (() if asked.phrases else ("postings",)):
+                now[table] = now[table].filter(ours)
+        return retrieval.Corpus(now["chunks"], now["chunk_vec"], now["postings"], now["corpus_stats"], now["terms"])
 
     def search(self, queries: DataFrame, **options) -> DataFrame:
-        return retrieval.search(queries, **self._tables(), **options)
+        return retrieval.search(queries, opener=self._opened, **options)
 
     def get_docs(self, queries: DataFrame, **options) -> DataFrame:
         """Answers for a batch (qid, lib_id, query, query_vec, version); see :func:`retrieval.get_docs`."""
-        return retrieval.get_docs(queries, **self._tables(), **options)
+        return retrieval.get_docs(queries, opener=self._opened, **options)
 
     def get_docs_one(self, lib_id: str, query: str, version: str = "", query_vec: list | None = None, **options) -> DataFrame:
         row = self.spark.createDataFrame([(0, lib_id, query, query_vec, version)], schema.QUERIES)
@@ -109,10 +148,6 @@ class Store:
     def versions_of(self, lib_id: str) -> DataFrame:
         return self.read("libs").filter(F.col("id") == lib_id).select(F.explode_outer("versions").alias("version")).filter("version IS NOT NULL")
 
-    def _tables(self) -> dict:
-        now = self.snapshot("chunks", "chunk_vec", "postings", "corpus_stats")
-        return {"chunks": now["chunks"], "vectors": now["chunk_vec"], "postings": now["postings"], "stats": now["corpus_stats"]}
-
 
 def lib_stats(chunks: DataFrame) -> DataFrame:
     """Chunk count, page count and last fetch per library; partial counts merge before the shuffle."""
