@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .evaluation import metrics
-from .functions import guards, hashing, html as hx, paths, text as tx, versions as vs
+from .functions import guards, hashing, html as hx, paths, text as tx
 from .operators import candidates as cd
 from .operators import freshness, fusion, hits as ht, lexical, nearest, neardup, upsert
 from .plans import crawl, ingest, resolve, retrieval
@@ -801,27 +801,25 @@ S_HISTORY = """line AS (SELECT 'lib' || (l_orderkey // 8) AS name, l_orderkey %
 stable AS (SELECT DISTINCT name, src_ord, version, list_transform(string_split(version, '.'), lambda x: x::INT) AS parts FROM line WHERE regexp_matches(version, '^[0-9.]+$'))"""
 
 
-def _histories(spark: SparkSession, sf: str) -> DataFrame:
+def _releases(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as releases of packages in five ecosystems."""
     s = lambda c: c.cast("string")
     tail = F.coalesce(F.get(F.array(*map(F.lit, ("rc1", ".dev2", ".post1", "-beta"))), (F.col("l_partkey") % 9).cast("int")), F.lit(""))
     version = F.concat(s(F.col("l_suppkey") % 4), F.lit("."), s(F.col("l_linenumber")), F.lit("."), s(F.col("l_quantity").cast("int") % 12), tail)
-    lines = tb.read(spark, sf, "lineitem").select(
+    return tb.read(spark, sf, "lineitem").select(
         F.concat(F.lit("lib"), s(F.floor(F.col("l_orderkey") / 8))).alias("name"), (F.col("l_orderkey") % 5).cast("int").alias("src_ord"), version.alias("version"))
-    return lines.groupBy("name", "src_ord").agg(F.collect_set("version").alias("versions"))
 
 
 @register("stable_versions", f"WITH {S_HISTORY}, r AS (SELECT *, row_number() OVER (PARTITION BY name, src_ord ORDER BY parts DESC) AS n FROM stable) SELECT name, src_ord::BIGINT AS src_ord, string_agg(version, ',' ORDER BY n) AS versions FROM r WHERE n <= 20 GROUP BY ALL")
 def _(spark, sf):
-    df = _histories(spark, sf).withColumn("v", vs.stable_versions(F.col("versions"))).filter(F.size("v") > 0)
-    # releases with zeros at the end may be equal in order; none of these are equal as text
-    return df.select("name", F.col("src_ord").cast("long").alias("src_ord"), F.array_join("v", ",").alias("versions"))
+    df = cd.stable_releases(_releases(spark, sf))
+    return df.select("name", F.col("src_ord").cast("long").alias("src_ord"), F.array_join("versions", ",").alias("versions"))
 
 
 @register("versions_argmax", f"""WITH {S_HISTORY}, sizes AS (SELECT name, src_ord, count(*) AS n FROM stable GROUP BY ALL), best AS (SELECT name, src_ord FROM sizes QUALIFY row_number() OVER (PARTITION BY name ORDER BY n DESC, src_ord) = 1),
   r AS (SELECT s.*, row_number() OVER (PARTITION BY name ORDER BY parts DESC) AS n FROM stable s JOIN best USING (name, src_ord)) SELECT name, string_agg(version, ',' ORDER BY n) AS versions FROM r WHERE n <= 20 GROUP BY name""")
 def _(spark, sf):
-    return cd.versions_argmax(_histories(spark, sf)).select("name", F.array_join("versions", ",").alias("versions"))
+    return cd.versions_argmax(cd.stable_releases(_releases(spark, sf))).select("name", F.array_join("versions", ",").alias("versions"))
 
 
 @register("docs_url_dup", f"""WITH {S_LIBS}, c AS (SELECT 's' || c_custkey AS id, 'https://docs' || (c_custkey % 60) || '.dev' AS docs_url FROM customer)
@@ -952,5 +950,5 @@ def resolve_names(spark, sf):
     modules = tb.read(spark, sf, "region").select(F.lit("node").alias("lang"), F.concat(F.lit("lib"), (F.col("r_regionkey") + 30).cast("string")).alias("module"), F.lit("x.md").alias("page"))
     stars = tb.read(spark, sf, "part").select(F.concat(F.lit("own1/lib"), F.col("p_partkey").cast("string")).alias("repo"), (F.col("p_size") * 1000).alias("stars"))
     indexes = tb.read(spark, sf, "customer").select(F.concat(F.lit("https://"), F.lower("c_mktsegment"), F.lit(".dev")).alias("docs_url"))
-    out = resolve.resolve(names, aliases, modules, found, cd.versions_argmax(_histories(spark, sf)), stars, indexes, _libs(spark, sf))
+    out = resolve.resolve(names, aliases, modules, found, cd.versions_argmax(cd.stable_releases(_releases(spark, sf))), stars, indexes, _libs(spark, sf))
     return out.select("name", "rank", "id", "repo", "docs_url", F.round("trust", 2).alias("trust"), "latest_ver", F.array_join("versions", ",").alias("versions"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths, text as tx
+from ..operators.ordering import running
 
 DEPTH = 5
 
@@ -92,8 +93,8 @@ def latency_summary(calls: DataFrame, by: str = "tool", ms: str = "ms") -> DataF
     first, last = F.floor((F.col("n_calls") + 1) / 2), F.floor((F.col("n_calls") + 2) / 2)
     ends = sizes.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("c"))
     middle = ends.filter((F.col("before") < last) & (F.col("upto") >= first)).select(by, "b", "before")
-    inner = F.sum("c").over(W.partitionBy(by, "b").orderBy("v"))
-    placed = bucketed.join(middle, [by, "b"]).withColumn("top", F.col("before") + inner).withColumn("low", F.col("top") - F.col("c"))
+    inner = running(bucketed.join(middle, [by, "b"]), [by, "b"], [F.col("v").asc()], F.col("c"), out="inner")
+    placed = inner.withColumn("top", F.col("before") + F.col("inner")).withColumn("low", F.col("top") - F.col("c"))
     pair = placed.groupBy(by).agg(
         F.max(F.when((F.col("low") < first) & (F.col("top") >= first), F.col("v"))).alias("m1"),
         F.max(F.when((F.col("low") < last) & (F.col("top") >= last), F.col("v"))).alias("m2"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths, text as tx, versions as vs
+from .ordering import running
 
 CURATED_TRUST, NODE_TRUST, PYTHON_TRUST = 95.0, 99.0, 98.0
 MIN_TRUST = 0.5
@@ -94,14 +95,34 @@ def boost(trust: Column, terms: Column, id_: Column, repo: Column, docs_url: Col
     return trust + F.when(F.exists(terms, lambda t: F.contains(hay, t)), 0.5).otherwise(0.0)
 
 
-def versions_argmax(histories: DataFrame, keep: int = vs.KEEP) -> DataFrame:
+def stable_releases(releases: DataFrame, keep: int = vs.KEEP) -> DataFrame:
+    """name, src_ord, versions, n_stable: newest final releases per package and ecosystem.
+
+    ``releases``: name, src_ord, version, one row each. The window keeps ``keep`` rows per task and
+    group, so no package's whole history is gathered; the list holds what is left of it.
+    """
+    good = releases.filter(vs.is_stable(F.col("version"))).select("name", "src_ord", "version").distinct()
+    counts = good.groupBy("name", "src_ord").agg(F.count("*").alias("n_stable"))
+    newest = W.partitionBy("name", "src_ord").orderBy(vs.sort_key(F.col("version")).desc(), "version")
+    top = good.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= keep)
+    lists = top.groupBy("name", "src_ord").agg(F.sort_array(F.collect_list(F.struct("__n", "version"))).alias("__l"))
+    return lists.join(counts, ["name", "src_ord"]).select("name", "src_ord", F.col("__l.version").alias("versions"), "n_stable")
+
+
+def versions_argmax(histories: DataFrame) -> DataFrame:
     """name, versions: the ecosystem with the longest stable history, earlier source on ties.
 
-    ``histories``: name, src_ord, versions. Lengths are compared before the list is cut.
+    ``histories``: name, src_ord, versions, n_stable. Lengths are those before the list was cut.
     """
-    full = histories.withColumn("__all", vs.stable_versions(F.col("versions"), None)).filter(F.size("__all") > 0)
-    best = full.groupBy("name").agg(F.min_by("__all", F.struct(-F.size("__all"), F.col("src_ord"))).alias("__best"))
-    return best.select("name", F.slice("__best", 1, keep).alias("versions"))
+    best = F.min_by("versions", F.struct((-F.col("n_stable")).alias("n"), F.col("src_ord")))
+    return histories.filter("n_stable > 0").groupBy("name").agg(best.alias("versions"))
+
+
+def histories_of(answers: DataFrame, keep: int = vs.KEEP) -> DataFrame:
+    """The same from registry answers, whose version lists are arrays (name, src_ord, versions)."""
+    stable = F.explode_outer(F.array(vs.stable_versions(F.col("versions"), None)))
+    return answers.select("name", "src_ord", stable.alias("__all")).select(
+        "name", "src_ord", F.slice("__all", 1, keep).alias("versions"), F.size("__all").cast("long").alias("n_stable"))
 
 
 def curated(names: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -155,8 +176,8 @@ def backfill(candidates: DataFrame, libs: DataFrame) -> DataFrame:
 
 def rank(candidates: DataFrame) -> DataFrame:
     """Add ``rank`` per name: trust, then source order."""
-    order = W.partitionBy("name").orderBy(F.col("trust").desc(), "src_ord", "id")
-    return candidates.withColumn("rank", F.row_number().over(order))
+    order = [F.col("trust").desc(), F.col("src_ord").asc(), F.col("id").asc(), F.col("repo").asc(), F.col("docs_url").asc()]
+    return running(candidates, ["name"], order, out="rank")
 
 
 def query_terms(query: Column) -> Column:

@@ -111,7 +111,7 @@ def keep_leaders(hashes: DataFrame, stored: DataFrame | None = None, finish_rows
             .filter("leads").select("lib_id", "simhash")
         )
         leaders = cut(leaders)
-        kept = cut(kept.unionByName(leaders))
+        kept = kept.unionByName(leaders)
         # a leader is within reach of itself, so it leaves the undecided with its neighbours
         rows = cut(rows.join(_close_to(rows, leaders, plan), ["lib_id", "simhash"], "left_anti"))
         left = rows.count()

@@ -70,8 +70,8 @@ def crawl(
         if existing is not None:
             known = existing.select("lib_id", paths.norm_url(F.col("path")).alias("path")).distinct()
             body = body.join(known, ["lib_id", "path"], "left_anti")
-        fresh = ingest.page_chunks(body)
-        chunks = cut(fresh if chunks is None else chunks.unionByName(fresh))
+        fresh = cut(ingest.page_chunks(body))
+        chunks = fresh if chunks is None else chunks.unionByName(fresh)
         found = links(got).withColumn("page", F.col("url"))
         top = frontier.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
         queued = found.groupBy("lib_id", "docs_url", "page").agg(
@@ -112,4 +112,4 @@ def levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
         border = cut(step.join(reached.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("level")))
         if border.isEmpty():
             return reached
-        reached = cut(reached.unionByName(border))
+        reached = reached.unionByName(border)  # both lie in the checkpoint folder already

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import guards, html as hx, paths, text as tx
+from ..operators.ordering import running
 
 LIST_CAP, CRAWL_CAP, BUILD_CAP = 400, 300, 2_000_000
 
@@ -23,8 +23,8 @@ def page_order(pages: DataFrame, query: Column) -> DataFrame:
     """Add ``page_rank`` per library: query matches first, more matches, shorter address, address."""
     terms = tx.crawl_terms(query)
     n = paths.matched_terms(F.col("url"), terms)
-    order = W.partitionBy("lib_id").orderBy((n == 0), -n, F.length("url"), "url")
-    return pages.withColumn("page_rank", F.row_number().over(order))
+    order = [(n == 0).asc(), (-n).asc(), F.length("url").asc(), F.col("url").asc()]
+    return running(pages, ["lib_id"], order, out="page_rank")
 
 
 def select_pages(pages: DataFrame, existing: DataFrame, query: Column) -> DataFrame:
@@ -45,10 +45,10 @@ def within_cap(page_sizes: DataFrame, cap: Column | int = LIST_CAP) -> DataFrame
     the library is not complete. Rows here are pages, narrow ones, not chunks.
     """
     limit = cap if isinstance(cap, Column) else F.lit(cap)
-    before = W.partitionBy("lib_id").orderBy("page_rank").rowsBetween(W.unboundedPreceding, -1)
-    total = F.sum("n_chunks").over(W.partitionBy("lib_id"))
-    taken = page_sizes.withColumn("before", F.coalesce(F.sum("n_chunks").over(before), F.lit(0)))
-    return taken.withColumn("complete", total < limit).filter(F.col("before") < limit)
+    upto = running(page_sizes, ["lib_id"], [F.col("page_rank").asc()], F.col("n_chunks"), out="__upto")
+    totals = upto.groupBy("lib_id").agg(F.max("__upto").alias("__total"))
+    taken = upto.withColumn("before", F.col("__upto") - F.col("n_chunks")).filter(F.col("before") < limit)
+    return taken.join(totals, "lib_id").withColumn("complete", F.col("__total") < limit).drop("__upto", "__total")
 
 
 def choose_source(probes: DataFrame) -> DataFrame:
