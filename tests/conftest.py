@@ -10,7 +10,8 @@ from folioscope.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[8]", 4)
+    # tiny fixtures: compiling code for every stage would cost more than running it
+    session = build_session("local[8]", 2, **{"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"})
     yield session
     session.stop()
 
