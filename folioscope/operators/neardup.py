@@ -38,6 +38,11 @@ def block_plan(rows: int) -> tuple[int, int]:
     return 10, 4
 
 
+def _largest(rows: DataFrame) -> int:
+    """Rows of the largest library; only rows of one library ever meet."""
+    return rows.groupBy("lib_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+
+
 def block_keys(simhash: Column, blocks: int, equal: int) -> Column:
     """Keys two fingerprints share whenever they differ in at most six bits."""
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
@@ -96,9 +101,11 @@ def keep_leaders(hashes: DataFrame, stored: DataFrame | None = None, finish_rows
     rows = hashes.filter("simhash IS NOT NULL").groupBy("lib_id", "simhash").agg(F.min("ord").alias("ord"))
     rows = cut(rows)
     left = rows.count()
-    plan = block_plan(left)
+    plan = block_plan(_largest(rows))
     if stored is not None:
-        known = stored.filter("simhash IS NOT NULL").select("lib_id", "simhash").distinct()
+        known = stored.filter("simhash IS NOT NULL").join(rows.select("lib_id").distinct(), "lib_id", "left_semi")
+        known = cut(known.select("lib_id", "simhash").distinct())
+        plan = block_plan(_largest(rows.select("lib_id").unionByName(known.select("lib_id"))))
         rows = cut(rows.join(_close_to(rows, known, plan), ["lib_id", "simhash"], "left_anti"))
         left = rows.count()
     kept = rows.select("lib_id", "simhash").limit(0)

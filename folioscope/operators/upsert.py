@@ -48,11 +48,12 @@ def replace_pages(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.join(gone, ["lib_id", "path"], "left_anti").select(*columns).unionByName(incoming.select(*columns))
 
 
-def add_chunks(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+def add_chunks(existing: DataFrame, incoming: DataFrame, last_id: int | None = None) -> DataFrame:
     """The next ``chunks`` table: near-duplicates dropped, pages replaced, fresh ids given.
 
     ``incoming``: lib_id, ver, path, title, text, fetched_at and ``ord`` (unique arrival order).
-    Rows about to be replaced do not count as stored copies of their own page.
+    Rows about to be replaced do not count as stored copies of their own page. ``existing`` may be
+    the incoming libraries' part of the store; ``last_id`` is then the highest id of the whole.
     """
     batch = cut(incoming.withColumn("chunk_id", F.col("ord").cast("long")))
     gone = batch.select("lib_id", F.explode_outer(paths.path_variants(F.col("path"))).alias("path")).distinct()
@@ -60,7 +61,7 @@ def add_chunks(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     fresh = neardup.survivors(batch, standing.select("lib_id", "simhash"))
     # ids are given to rows already on disk, so a recomputed task gives the same ones
     fresh = cut(fresh.repartitionByRange("lib_id", "ord").sortWithinPartitions("lib_id", "ord"))
-    last = existing.agg(F.coalesce(F.max("chunk_id"), F.lit(-1))).scalar()
+    last = existing.agg(F.coalesce(F.max("chunk_id"), F.lit(-1))).scalar() if last_id is None else F.lit(last_id)
     numbered = fresh.withColumn("chunk_id", last + F.lit(1) + F.monotonically_increasing_id())
     return replace_pages(existing, numbered.select(*[c for c in existing.columns if c in numbered.columns]))
 

@@ -156,17 +156,19 @@ def refresh_store(store: Store, ids: DataFrame, fetch: Fetch, query: Column | No
     target = libs.join(ids.select("id").distinct(), "id", "left_semi")
     asked = cut(target.select(F.col("id").alias("lib_id"), F.when(F.coalesce("docs_url", F.lit("")) != "", F.col("docs_url")).otherwise(
         F.concat(F.lit("https://"), "repo")).alias("docs_url"), F.coalesce("cap", F.lit(0)).alias("cap"), F.coalesce("latest_ver", F.lit("")).alias("ver")))
-    before, state = store.read("chunks"), store.read("crawl_state")
+    # only the buckets of these libraries are read and written again
+    touched = store.buckets_of(asked)
+    before, state = store.read("chunks", touched), store.read("crawl_state")
     existing = before.join(asked.select("lib_id"), "lib_id", "left_semi").select("lib_id", "path").distinct()
     chunks, status, frontier = ingest_libs(asked, fetch, existing, query, state, crawl_rounds)
     order = [F.col("path").asc(), F.col("chunk_no").asc()]
     numbered = running(chunks.join(asked.select("lib_id", "ver"), "lib_id"), ["lib_id"], order, out="__n")
     incoming = numbered.select("lib_id", "ver", "path", "title", "text", now.alias("fetched_at"), F.xxhash64("lib_id", "__n").alias("ord"))
-    after = upsert.add_chunks(before, incoming)
+    after = upsert.add_chunks(before, incoming, store.last_id())
     keep = chunks.select("lib_id", "path").unionByName(existing).distinct()
     filled = chunks.select("lib_id").distinct()
     after = upsert.prune_chunks(after, keep, status.filter("complete").join(filled, "lib_id", "left_semi"))
-    store.write("chunks", after, sort=("lib_id", "chunk_id"))
+    store.write("chunks", after, sort=("lib_id", "chunk_id"), only=touched)
     counts = chunks.groupBy("lib_id").agg(F.count("*").alias("n"))
     flags = status.join(counts, "lib_id", "left").select(
         F.col("lib_id").alias("id"), guards.is_full(F.col("complete"), F.coalesce("n", F.lit(0))).alias("full"), now.alias("recrawl_at"))
@@ -209,7 +211,9 @@ def answer(store: Store, queries: DataFrame, resolved: DataFrame | None = None,
     if resolved is not None:
         queries = queries.join(resolved, "lib_id", "left").withColumn("lib_id", F.coalesce("use_id", "lib_id")).drop("use_id")
     known = store.read("libs").select(F.col("id").alias("lib_id")).withColumn("__lib", F.lit(True))
-    filled = store.read("chunks").select("lib_id").distinct().withColumn("__has", F.lit(True))
+    asked = queries.select("lib_id").distinct()
+    held = store.read("chunks", store.buckets_of(asked)).select("lib_id").join(asked, "lib_id", "left_semi")
+    filled = held.distinct().withColumn("__has", F.lit(True))
     tagged = cut(queries.join(known, "lib_id", "left").join(filled, "lib_id", "left"))
     plain = ~guards.empty_query(F.col("query")) & ~guards.needs_guidance(F.col("query"))
     names = queries.columns

@@ -1,8 +1,8 @@
 """The store: versioned parquet tables under one root, and the search index derived from them.
 
-Every write makes a new version directory and then one row in the ``_versions`` table; readers
-take the newest row of a table. A job that dies half-way leaves a directory nobody reads.
-One writer per store at a time.
+Every write makes a new version directory and then one row in the ``_versions`` table. A version
+holds all buckets of its table or only some; readers take each bucket from its newest version. A
+job that dies half-way leaves a directory nobody reads. One writer per store at a time.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from .. import schema
 from ..operators import lexical
 from . import retrieval
 
-_VERSIONS = "table_name string, version long, path string, n_rows long, layout int, tag string, buckets int, written_at timestamp"
+_VERSIONS = "table_name string, version long, path string, n_rows long, layout int, tag string, buckets int, only array<int>, max_id long"
+_STAMPED = _VERSIONS + ", written_at timestamp"
 
 
 class Store:
@@ -27,6 +28,8 @@ class Store:
 
     #: Up to this many libraries a batch names them in the scan itself.
     NAMED_LIBS = 100
+    #: After this many partial versions the next write is a whole one.
+    MAX_PARTS = 50
 
     def __init__(self, spark: SparkSession, root: str, n_buckets: int = 64):
         self.spark, self.root, self.n_buckets = spark, root.rstrip("/"), n_buckets
@@ -36,50 +39,86 @@ class Store:
 
     def versions(self) -> DataFrame:
         try:
-            return self.spark.read.schema(_VERSIONS).parquet(f"{self.root}/_versions")
+            return self.spark.read.schema(_STAMPED).parquet(f"{self.root}/_versions")
         except AnalysisException:
-            return self.spark.createDataFrame([], _VERSIONS)
+            return self.spark.createDataFrame([], _STAMPED)
 
     def newest(self, table: str):
         return self.versions().filter(F.col("table_name") == table).orderBy(F.col("version").desc()).first()
 
-    def read(self, table: str) -> DataFrame:
+    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
         """Current rows in the current layout; an empty table if nothing was written yet."""
-        return self.snapshot(table)[table]
+        key = schema.BUCKET_KEY.get(table)
+        return self.snapshot(table, buckets=None if buckets is None else {key: buckets})[table]
 
     def snapshot(self, *tables: str, buckets: dict[str, list[int]] | None = None) -> dict[str, DataFrame]:
         """Several tables as of one moment, found with one look at the version list.
 
         ``buckets``: per bucket key (``lib_id``, ``term``) the directories that may hold asked rows.
         """
-        current = self.versions().filter(F.col("table_name").isin(*tables)).groupBy("table_name").agg(
-            F.max_by(F.struct("path", "layout", "buckets"), "version").alias("at"))
-        places = {r["table_name"]: r["at"] for r in current.collect()}
-        return {t: self._open(t, places.get(t), buckets or {}) for t in tables}
+        rows = self.versions().filter(F.col("table_name").isin(*tables))
+        whole = rows.filter("only IS NULL").groupBy("table_name").agg(F.max("version").alias("__whole"))
+        live = rows.join(whole, "table_name").filter("version >= __whole").orderBy(F.col("version").desc()).collect()
+        return {t: self._open(t, [r for r in live if r["table_name"] == t], buckets or {}) for t in tables}
 
-    def _open(self, table: str, at, buckets: dict[str, list[int]]) -> DataFrame:
+    def _open(self, table: str, versions: list, buckets: dict[str, list[int]]) -> DataFrame:
+        """``versions``: newest first, the last one whole; at most ``MAX_PARTS`` + 1 of them."""
         kind, key = schema.TABLES[table], schema.BUCKET_KEY.get(table)
-        if at is None:
+        if not versions:
             return self.spark.createDataFrame([], kind)
-        if at["buckets"] not in (None, self.n_buckets):
-            raise ValueError(f"{self.root} has {at['buckets']} buckets, not {self.n_buckets}")
+        covered: set[int] = set()
+        parts = []
+        for v in versions:
+            if v["buckets"] not in (None, self.n_buckets):
+                raise ValueError(f"{self.root} has {v['buckets']} buckets, not {self.n_buckets}")
+            if not key:
+                parts.append(schema.conform(self._scan(v, kind, False), table))
+                continue
+            here = set(range(self.n_buckets) if v["only"] is None else v["only"]) - covered
+            covered |= here
+            wanted = here & set(buckets[key]) if key in buckets else here
+            if wanted or v["only"] is None:
+                df = self._scan(v, kind, True)
+                if len(wanted) < self.n_buckets:
+                    df = df.filter(F.col("bucket").isin(*sorted(wanted)))
+                parts.append(schema.conform(df, table))
+        out = parts[0]
+        for more in parts[1:]:
+            out = out.unionByName(more)
+        return out
+
+    def _scan(self, version, kind: T.StructType, bucketed: bool) -> DataFrame:
         reader = self.spark.read
-        if at["layout"] == schema.SCHEMA_VERSION:  # no job to look the schema up
-            reader = reader.schema(T.StructType(kind.fields + ([T.StructField("bucket", T.IntegerType())] if key else [])))
-        df = reader.parquet(at["path"])
-        if key in buckets and at["buckets"] is not None:
-            df = df.filter(F.col("bucket").isin(*buckets[key]))
-        return schema.conform(df, table)
-
-    def write(self, table: str, df: DataFrame, sort: tuple[str, ...] = (), tag: str = "", least_rows: int = 0) -> int:
+        if version["layout"] == schema.SCHEMA_VERSION:  # no job to look the schema up
+            reader = reader.schema(T.StructType(kind.fields + ([T.StructField("bucket", T.IntegerType())] if bucketed else [])))
+        return reader.parquet(version["path"])
+
+    def buckets_of(self, keys: DataFrame, column: str = "lib_id") -> list[int]:
+        """Directories that hold the given keys; at most ``n_buckets`` numbers."""
+        return [r["b"] for r in keys.select(self.bucket(F.col(column)).alias("b")).distinct().collect()]
+
+    def last_id(self) -> int:
+        """Highest chunk id ever given."""
+        return self.versions().filter("table_name = 'chunks'").agg(F.coalesce(F.max("max_id"), F.lit(-1))).first()[0]
+
+    def write(
+        self, table: str, df: DataFrame, sort: tuple[str, ...] = (), tag: str = "", least_rows: int = 0,
+        only: list[int] | None = None,
+    ) -> int:
         """Write the next version. ``sort`` columns lay rows out so that scans skip files.
 
+        ``only``: ``df`` is the new content of these buckets; the others stay as they are.
         With fewer than ``least_rows`` rows the version is not published and readers keep the old one.
         """
-        row = self.newest(table)
-        version = 1 if row is None else row["version"] + 1
+        mine = self.versions().filter(F.col("table_name") == table)
+        last, whole = mine.agg(F.max("version"), F.max(F.when(F.col("only").isNull(), F.col("version")))).first()
+        version = (last or 0) + 1
+        key = schema.BUCKET_KEY.get(table)
+        laid_out = schema.conform(df, table)
+        if only is not None and (whole is None or last - whole >= self.MAX_PARTS):
+            rest = [b for b in range(self.n_buckets) if b not in set(only)]
+            laid_out, only = (laid_out.unionByName(self.read(table, rest)) if whole else laid_out), None
         path = f"{self.root}/{table}/v={version}-{uuid.uuid4().hex[:8]}"
-        laid_out, key = schema.conform(df, table), schema.BUCKET_KEY.get(table)
         if key:
             # by range within the bucket: a bucket (or library, or term) that is large gets many files
             order = ("bucket", *(sort or (key,)))
@@ -87,24 +126,23 @@ class Store:
             laid_out.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
         else:
             laid_out.write.parquet(path)
-        n_rows = self.spark.read.parquet(path).count()
+        kind = schema.TABLES[table]
+        top = F.max("chunk_id") if table == "chunks" else F.lit(None).cast("long")
+        n_rows, max_id = self.spark.read.schema(kind).parquet(path).agg(F.count("*"), top).first()
         if n_rows < least_rows:
             raise ValueError(f"{table}: {n_rows} rows, expected at least {least_rows}; kept version {version - 1}")
-        self._publish(table, version, path, n_rows, tag, self.n_buckets if key else None)
+        self._publish((table, version, path, n_rows, schema.SCHEMA_VERSION, tag, self.n_buckets if key else None, only, max_id))
         return version
 
     def rollback(self, table: str, version: int) -> None:
-        """Publish an earlier version again."""
-        old = self.versions().filter((F.col("table_name") == table) & (F.col("version") == version)).first()
+        """Publish an earlier whole version again."""
+        old = self.versions().filter((F.col("table_name") == table) & (F.col("version") == version) & F.col("only").isNull()).first()
         if old is None:
-            raise ValueError(f"{table} has no version {version}")
-        self._publish(table, self.newest(table)["version"] + 1, old["path"], old["n_rows"], old["tag"], old["buckets"])
-
-    def _publish(self, table: str, version: int, path: str, n_rows: int, tag: str, buckets: int | None) -> None:
-        entry = self.spark.createDataFrame(
-            [(table, version, path, n_rows, schema.SCHEMA_VERSION, tag, buckets)],
-            "table_name string, version long, path string, n_rows long, layout int, tag string, buckets int",
-        )
+            raise ValueError(f"{table} has no whole version {version}")
+        self._publish((table, self.newest(table)["version"] + 1, *tuple(old)[2:-1]))
+
+    def _publish(self, row: tuple) -> None:
+        entry = self.spark.createDataFrame([row], _VERSIONS)
         entry.withColumn("written_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.root}/_versions")
 
     def build_index(self) -> None:

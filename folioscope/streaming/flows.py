@@ -36,7 +36,9 @@ def ingest_batch(store: Store, batch: DataFrame, batch_id: int) -> None:
     incoming = rows.select(
         "lib_id", "ver", "path", "title", "text", F.current_timestamp().alias("fetched_at"),
         F.xxhash64("lib_id", "path", "chunk_no").alias("ord"))
-    store.write("chunks", upsert.add_chunks(store.read("chunks"), incoming), sort=("lib_id", "chunk_id"), tag=tag)
+    touched = store.buckets_of(batch)
+    after = upsert.add_chunks(store.read("chunks", touched), incoming, store.last_id())
+    store.write("chunks", after, sort=("lib_id", "chunk_id"), tag=tag, only=touched)
 
 
 def start_ingest(store: Store, pages: DataFrame, checkpoint: str) -> StreamingQuery:

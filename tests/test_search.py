@@ -201,3 +201,22 @@ def test_store_versions(spark, tmp_path):
         raise AssertionError("published an empty table")
     except ValueError:
         assert store.read("libs").count() == 1
+
+
+def test_partial_versions_replace_single_buckets(spark, tmp_path):
+    store = Store(spark, str(tmp_path), n_buckets=4)
+    store.MAX_PARTS = 2
+    rows = [(i, f"lib{i}", "", f"/p{i}", "t", "old") for i in range(12)]
+    store.write("chunks", spark.createDataFrame(rows, CHUNKS))
+    now = {r[1]: "old" for r in rows}
+    for turn in range(4):
+        lib = f"lib{turn * 2}"
+        touched = store.buckets_of(spark.createDataFrame([(lib,)], "lib_id string"))
+        part = store.read("chunks", touched)
+        assert 0 < part.count() < 12
+        text = f"new {turn}"
+        changed = part.filter(f"lib_id <> '{lib}'").unionByName(part.filter(f"lib_id = '{lib}'").selectExpr(*[f"'{text}' AS text" if c == "text" else c for c in part.columns]))
+        store.write("chunks", changed, only=touched)
+        now[lib] = text
+        assert {r["lib_id"]: r["text"] for r in store.read("chunks").collect()} == now
+    assert store.versions().filter("only IS NULL").count() == 2 and store.last_id() == 11
