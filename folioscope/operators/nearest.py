@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors as vc
-from ..session import small_side
+from ..session import BROADCAST_VECTORS, small_side
 
 TOP = 20
 KEEP_RATIO = 0.5
@@ -21,7 +21,7 @@ def nearest(
     Every vector is read once and meets only the queries of its own library. The query side is
     broadcast after its size is measured; the ranking window keeps ``top`` rows per task and query.
     """
-    asked = small_side(queries.filter("query_vec IS NOT NULL").select("qid", "lib_id", "query_vec"), n_queries)
+    asked = small_side(queries.filter("query_vec IS NOT NULL").select("qid", "lib_id", "query_vec"), n_queries, BROADCAST_VECTORS)
     pairs = vectors.join(asked, "lib_id").select(
         "qid", "chunk_id", vc.distance(F.col("embedding"), F.col("query_vec"), metric).alias("distance")
     )

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of narrow rows (ids, scores, query terms) we hint as broadcast.
 BROADCAST_ROWS = 200_000
+#: The same for rows that carry a vector.
+BROADCAST_VECTORS = 10_000
 
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -63,14 +65,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
+def small_side(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast-hint ``df`` if it is measured to be small, else leave it to AQE.
 
     ``rows`` is a bound the caller has already proven; without it the rows are counted.
     """
     if rows is None:
-        rows = df.limit(BROADCAST_ROWS + 1).count()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+        rows = df.limit(most + 1).count()
+    return F.broadcast(df) if rows <= most else df
 
 
 #: Inputs below this size are spread over the cores even if they lie in one row group.

@@ -81,3 +81,23 @@ def test_store_round_trip(spark, tmp_path):
 def test_model_absence_is_reported():
     scorer, reason = models.or_default("/nowhere", "fallback")
     assert scorer == "fallback" and "/nowhere" in reason
+
+
+def test_command_line_build_and_ask(spark, tmp_path, monkeypatch, capsys):
+    from folioscope import __main__ as cli
+    (tmp_path / "names.txt").write_text("# libraries\nList\nlist\n")
+    (tmp_path / "aliases.json").write_text('{"list": {"repo": "", "docs_url": "https://list.dev/", "trust": 95.0, "latest_ver": "1.0"}}')
+    monkeypatch.setattr(cli.http, "fetch", web(spark))
+    base = ["--store", str(tmp_path / "s"), "--buckets", "4"]
+    cli.main([*base, "build", "--names", str(tmp_path / "names.txt"), "--aliases", str(tmp_path / "aliases.json"), "--force"])
+    cli.main([*base, "ask", "list", "gamma sessions"])
+    assert "https://list.dev/gamma" in capsys.readouterr().out
+
+
+def test_report_is_read_back_by_the_gate(spark, tmp_path):
+    from folioscope.evaluation import metrics, report
+    from folioscope.sources import files
+    rows = [(1, "flask", ["a"], 2, 5, 12.4, 80), (2, "vue", ["b"], None, 0, 3.0, 0), (3, "go", [], None, 1, 1.0, 9)]
+    scored = spark.createDataFrame(rows, "n int, library string, fragments array<string>, hit_rank int, n_chunks int, ms double, tokens int")
+    report.write_report(scored, str(tmp_path / "report"))
+    assert tuple(metrics.gate(files.report_rows(spark, str(tmp_path / "report"))).first()) == (1, 2, 50.0, True)
