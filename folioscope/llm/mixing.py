@@ -65,17 +65,18 @@ def offset(source: Column) -> Column:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """``doc_id, size, source_size, target, taken, copies, source`` for every row of
+    """``doc_id, size, source_size, target, taken, copies, source, row`` for every row of
     ``docs (doc_id, source, text)``.
 
-    Null texts have no words and add nothing, rows without a source form the last source, repeated rows and ids are
-    rows of their own (ties of size and id are equal rows and may stand in any order), null ids
-    come first. Other columns are not read. No rows: no result.
+    Null texts have no words and add nothing, rows without a source form the last source, repeated
+    rows and ids are rows of their own, null ids come first. Ties of size and id are placed by a hash of the row, so
+    that reruns agree; what still ties is equal. Other columns are not read. No rows: no result.
     """
     sized = kept(docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
+        _row().alias("row")))
     goal = kept(targets(sized))
-    placed = positions(sized, F.col("source").isNull(), F.col("source"), F.col("size"), F.col("doc_id"))
+    placed = positions(sized, F.col("source").isNull(), F.col("source"), F.col("size"), F.col("doc_id"), F.col("row"))
     first = placed.groupBy("source").agg(F.min("pos").alias("first")).withColumnRenamed("source", "s")
     goal = goal.join(first, goal["source"].eqNullSafe(first["s"])).drop("s").withColumn(
         "each", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
@@ -83,14 +84,23 @@ def mixed(docs: DataFrame) -> DataFrame:
     k = F.col("pos") - F.col("first")
     copies = (F.floor((k + 1) * F.col("each") + F.col("start")) - F.floor(k * F.col("each") + F.col("start"))).cast("long")
     return placed.join(goal, placed["source"].eqNullSafe(goal["s"])).select(
-        "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
+        "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", "row")
+
+
+def _row() -> Column:
+    return F.xxhash64("doc_id", "source", "text")
 
 
 def emitted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all their columns), each as often as the mix takes it.
 
-    Copies are looked up by id, so repeated ids must be gone before.
+    Rows of equal id, source and text are emitted together, with the least of their other columns.
     """
-    taken = mixed(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    return docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__id"))).withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    columns = docs.columns
+    taken = kept(mixed(docs).groupBy("row").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__alike")).where("__copies > 0"))
+    keyed = docs.withColumn("row", _row())
+    single = keyed.join(taken.where("__alike = 1"), "row").select(*columns, "__copies")
+    several = keyed.join(taken.where("__alike > 1"), "row").groupBy("row", "__copies").agg(
+        F.min(F.struct(*columns)).alias("r")).select("r.*", "__copies")
+    return single.unionByName(several).withColumn(
+        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)

@@ -235,3 +235,17 @@ def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Texts of the documents that stand in a pair; the others are not moved."""
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     return docs.select("id", "text").join(asked, "id", "left_semi")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text and any columns) of which each near-duplicate group keeps one.
+
+    The document of least id stays. Of rows that repeat an id, the least row stays. Rows without an
+    id stay.
+    """
+    found = near_duplicates(docs.select(F.col("doc_id").alias("id"), "text"))
+    gone = found.where("not kept").select(F.col("id").alias("doc_id")).distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    twice = kept(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    least = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(least.select(*docs.columns))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, near_dup, tokens
+from ..session import shared_dir
+from . import chat, decontaminate, language, licences, mixing, near_dup, personal, tokens, vector_dup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +24,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dup.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame(
@@ -40,14 +47,38 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"), licences.fit(licences.labelled_table(spark)))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text")
     return near_dup.near_duplicates(docs).withColumnRenamed("id", "doc_id")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.fit(_table(spark, sf_dir, "documents").select("text", F.col("lang").alias("language")))
+    found = language.identify(language.evidence_of_pages(_table(spark, sf_dir, "pages")), model)
+    return found.withColumnRenamed("id", "page_id")
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = personal.fit(personal.labelled_table(spark))
+    return personal.personal_data(_table(spark, sf_dir, "documents"), model).drop("redacted")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.with_revisits(_table(spark, sf_dir, "pages")), path)
+    back = warc.read(spark, path, payload="false", verify="true").where(F.col("record_type").isin("response", "revisit"))
+    page = lambda c: F.expr(f"try_cast(substring({c}, 10) as long)")
+    return back.select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 QUERIES = {
     f.__name__: f for f in (
-        op1_decontaminate, op2_token_counts, op5_chat_format, op6_mix_sources, op8_near_duplicates)
+        op1_decontaminate, op2_token_counts, op3_personal_data, op4_vector_duplicates, op5_chat_format, op6_mix_sources, op7_licences, op8_near_duplicates, op9_language, op10_warc)
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
@@ -99,6 +130,15 @@ p AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / s
     row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST) AS k
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (floor(k * each + start) - floor((k - 1) * each + start)))::BIGINT AS taken FROM p
+""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) % 32 + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
+FROM f
 """,
     "op8_near_duplicates": f"""
 WITH RECURSIVE d AS MATERIALIZED ({_shingles('documents', 'doc_id')}),
