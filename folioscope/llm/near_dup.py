@@ -38,7 +38,7 @@ KEYS = [(c, chosen) for c, (places, agree) in enumerate(CHUNKS) for chosen in co
 #: Link where 100 * intersection >= SHARE * union.
 SHARE = 75
 #: Rows of a bucket that one task compares with one another.
-BLOCK = 256
+BLOCK = 512
 
 
 def _signed(batches):
@@ -210,8 +210,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "key", F.least("mine", "meets").alias("i"), F.greatest("mine", "meets").alias("j"),
         "kid", "mine", "id", "component", "signature")
     busy = kept(_dealt(rest).mapInArrow(_with_candidates, rest.schema))
-    texts = docs.select("id", "text").join(busy.select("id").distinct(), "id", "left_semi")
-    met = busy.join(texts, "id").select(*rest.columns, "text")
+    met = busy.join(_asked(docs, busy.select("id").distinct()), "id").select(*rest.columns, "text")
     later = _dealt(met).mapInArrow(_crossed, "u long, v long")
     final = kept(components(linked.unionByName(later)))
     answer = classes.join(final, classes["id"] == final["node"], "left").select(
@@ -234,7 +233,12 @@ def _repeated(known: DataFrame, classes: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Texts of the documents that stand in a pair; the others are not moved."""
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    return docs.select("id", "text").join(asked, "id", "left_semi")
+    return _asked(docs, asked)
+
+
+def _asked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of some ids, by one and the same join at every size: the ids are a share of the corpus."""
+    return docs.select("id", "text").join(ids.hint("merge"), "id", "left_semi")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -245,7 +249,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs.select(F.col("doc_id").alias("id"), "text"))
     gone = found.where("not kept").select(F.col("id").alias("doc_id")).distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti")
     twice = kept(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     least = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
     return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(least.select(*docs.columns))
