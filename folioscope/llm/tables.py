@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
@@ -38,9 +38,8 @@ def positions(df: DataFrame, *order: Column, out: str = "pos") -> DataFrame:
     part = F.shiftright("__id", 33)
     sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     # one row per partition of the sort: as many as there are tasks
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__part") < F.col("a.__part"), "left")
-    starts = before.groupBy(F.col("a.__part").alias("__part")).agg(
-        F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__start"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     return (
         placed.withColumn("__part", part).join(F.broadcast(starts), "__part")
         .withColumn(out, F.col("__start") + F.col("__id").bitwiseAND(F.lit(_IN_PART)))
