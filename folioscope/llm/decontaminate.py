@@ -28,6 +28,9 @@ SHARE = 75
 #: Bytes of item texts that are sent to the tasks at once; more items are more rounds.
 BLOCK_BYTES = 16 << 20
 
+#: Shingles that are searched at once.
+CHUNK = 1 << 16
+
 OUT = "doc_id long, item_id long, n_item long, n_shared long"
 
 
@@ -59,10 +62,54 @@ def _index(items: list) -> tuple[list, dict]:
     return sets, tables
 
 
-def _window_minima(values: np.ndarray, step: int) -> np.ndarray:
-    """Least value in each window of two steps; the last windows end with the row."""
-    least = np.minimum.reduceat(values, np.arange(0, len(values), step))
-    return least if len(least) == 1 else np.minimum(least[:-1], least[1:])
+class _Windows:
+    """Windows of each size class over the shingles of several documents, laid end to end."""
+
+    def __init__(self, lengths: np.ndarray, sizes: list[int]):
+        self.sizes, self.levels = sizes, {}
+        ends = np.cumsum(lengths)
+        step = 2 << sizes[0]
+        self.starts, owner = self._every(ends - lengths, lengths, step)
+        for size in range(sizes[0], sizes[-1] + 1):
+            if size == sizes[0]:
+                merge = None
+            else:  # a step of this class is two of the one before
+                counts = np.bincount(owner, minlength=len(lengths))
+                merge, owner = self._every(np.cumsum(counts) - counts, counts, 2)
+            self.levels[size] = merge, owner, owner[1:] == owner[:-1]
+
+    @staticmethod
+    def _every(begins: np.ndarray, lengths: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Each ``step``-th place of each stretch, and the stretch it belongs to."""
+        counts = -(-lengths // step)
+        owner = np.repeat(np.arange(len(lengths)), counts)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        return begins[owner] + within * step, owner
+
+    def minima(self, values: np.ndarray):
+        """Per size class the least value of each window of two steps, and its document."""
+        blocks = np.minimum.reduceat(values, self.starts)
+        for size, (merge, owner, joined) in self.levels.items():
+            if merge is not None:
+                blocks = np.minimum.reduceat(blocks, merge)
+            if size in self.sizes:
+                least = blocks.copy()
+                np.minimum(blocks[:-1], blocks[1:], out=least[:-1], where=joined)
+                yield size, least, owner
+
+
+def _chunks(rows: list[np.ndarray]):
+    """Documents in runs of about ``CHUNK`` shingles; those without a shingle are left out."""
+    some, size = [], 0
+    for i, row in enumerate(rows):
+        if len(row):
+            some.append(i)
+            size += len(row)
+        if some and size >= CHUNK:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def _search(index):
@@ -73,29 +120,31 @@ def _search(index):
         hashes, sizes = WordHashes(), sorted(tables)
         for batch in batches:
             found = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                row = shingle_row(words_of(text), hashes)
-                if not len(row):
-                    continue
-                hit = set()
+            ids = batch.column("doc_id").to_pylist()
+            rows = [shingle_row(words_of(t), hashes) for t in batch.column("text").to_pylist()] if sizes else []
+            for some in _chunks(rows):
+                every = np.concatenate([rows[i] for i in some])
+                windows = _Windows(np.array([len(rows[i]) for i in some]), sizes)
+                values, hits = np.empty_like(every), set()
                 for j in range(ORDERS):
-                    values = row * orders.a[j] + orders.b[j]
-                    for size in sizes:
+                    np.multiply(every, orders.a[j], out=values)
+                    np.add(values, orders.b[j], out=values)
+                    for size, least, owner in windows.minima(values):
                         sorted_values, owners, maybe = tables[size][j]
-                        least = _window_minima(values, 2 << size)
-                        least = least[maybe[least & np.uint64(0xFFFF)]]
-                        for value in least:
-                            lo = np.searchsorted(sorted_values, value, "left")
-                            hi = np.searchsorted(sorted_values, value, "right")
-                            hit.update(owners[lo:hi].tolist())
-                if hit:
-                    whole = np.unique(row)
-                    for at in sorted(hit):
-                        item_id, shingles = sets[at]
-                        place = np.minimum(np.searchsorted(whole, shingles), len(whole) - 1)
-                        shared = int((whole[place] == shingles).sum())
-                        if 100 * shared >= SHARE * len(shingles):
-                            found.append((doc_id, item_id, len(shingles), shared))
+                        at = np.flatnonzero(maybe[least.astype(np.uint16)])
+                        lo = np.searchsorted(sorted_values, least[at], "left")
+                        hi = np.searchsorted(sorted_values, least[at], "right")
+                        for k in np.flatnonzero(hi > lo):
+                            hits.update((int(owner[at[k]]), int(o)) for o in owners[lo[k] : hi[k]])
+                last, whole = None, None
+                for doc, item in sorted(hits):
+                    if doc != last:
+                        last, whole = doc, np.unique(rows[some[doc]])
+                    item_id, shingles = sets[item]
+                    place = np.minimum(np.searchsorted(whole, shingles), len(whole) - 1)
+                    shared = int((whole[place] == shingles).sum())
+                    if 100 * shared >= SHARE * len(shingles):
+                        found.append((ids[some[doc]], item_id, len(shingles), shared))
             columns = list(zip(*found)) or [[], [], [], []]
             yield pa.record_batch({
                 name: pa.array(column, pa.int64())
