@@ -157,9 +157,8 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
     Returns ``id, language, posterior, text_language, declared, suffix, host``, one row per input
     row. A text without letters, null or empty, is decided by the other evidence; where there is
-    none of that either, by the whole table's prior. ``und`` means no known language. Missing
-    declared values and suffixes are a value like any other; a missing host has only the prior of
-    the table. Ties go to the first language by name. Other columns are not read.
+    none of that either, by the whole table's prior. ``und`` means no known language. A missing
+    declared value or suffix says nothing; a missing host has only the prior of the table. Ties go to the first language by name. Other columns are not read.
     """
     names = model[0]
     spark = rows.sparkSession
@@ -205,8 +204,8 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
 
     def part(i: int) -> Column:
         host = F.when(F.col("host") == _NONE, flat[i]).otherwise(F.coalesce(F.col("p_host")[i], flat[i]))
-        return (F.col("text_logs")[i] + F.log(host) + F.coalesce(F.col("log_declared")[i], F.lit(0.0))
-                + F.coalesce(F.col("log_suffix")[i], F.lit(0.0)))
+        told_by = [F.when(F.col(c) != _NONE, F.col(f"log_{c}")[i]) for c in ("declared", "suffix")]
+        return F.col("text_logs")[i] + F.log(host) + sum(F.coalesce(x, F.lit(0.0)) for x in told_by)
 
     fused = joined.withColumn("logs", F.array(*[part(i) for i in range(len(everyone))])).withColumn("top_log", F.array_max("logs"))
     mass = F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top_log")))
@@ -218,12 +217,12 @@ def known(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` (doc_id, text, lang, source and more columns) in a language that it knows.
 
     ``lang`` is what is declared, ``source`` stands for the host. Only rows found to be in no known
-    language go; rows without letters stay where nothing speaks against them.
+    language by their text and by all evidence go; rows without letters stay.
     """
     model = fit(docs.select("text", F.col("lang").alias("language")))
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text", "lang", "source"))
     found = identify(keyed.select(
         F.col("__row").alias("id"), "text", F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"),
         F.col("source").alias("host")), model)
-    gone = found.where(F.col("language") == UNKNOWN).select(F.col("id").alias("__row")).distinct()
+    gone = found.where((F.col("language") == UNKNOWN) & (F.col("text_language") == UNKNOWN)).select(F.col("id").alias("__row")).distinct()
     return keyed.join(gone, "__row", "left_anti").select(*docs.columns)
