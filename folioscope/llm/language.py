@@ -213,13 +213,13 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     return fused.select("id", _best(F.col("logs"), names).alias("language"), (1 / mass).alias("posterior"), "text_language", *shown)
 
 
-def known(docs: DataFrame) -> DataFrame:
+def known(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
     """Rows of ``docs`` (doc_id, text, lang, source and more columns) in a language that it knows.
 
     ``lang`` is what is declared, ``source`` stands for the host. Only rows found to be in no known
-    language by their text and by all evidence go; rows without letters stay.
+    language by their text and by all evidence go; rows without letters stay. Without a model, one is fitted on ``docs``.
     """
-    model = fit(docs.select("text", F.col("lang").alias("language")))
+    model = model or fit(docs.select("text", F.col("lang").alias("language")))
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text", "lang", "source"))
     found = identify(keyed.select(
         F.col("__row").alias("id"), "text", F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"),

@@ -197,7 +197,7 @@ def test_language_fuses_its_evidence(spark):
     assert [got[i].language for i in (0, 100, 102, 103, 104)] == ["aa", "aa", "bb", "und", "bb"]
     assert got[101].language == "aa" and got[0].posterior > 0.9
     docs = spark.createDataFrame([(1, "the and of", "aa", "s"), (2, "qzx " * 300, "aa", "s"), (3, None, "aa", "s"), (None, "die und das", "bb", None)], "doc_id long, text string, lang string, source string")
-    assert {r.doc_id for r in language.known(docs).collect()} == {1, 3, None}
+    assert {r.doc_id for r in language.known(docs, model).collect()} == {1, 3, None}
 
 
 @pytest.mark.parametrize("compression", ["gzip", "none"])
