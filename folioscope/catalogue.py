@@ -921,7 +921,8 @@ def _(spark, sf):
 def ingest_chunks(spark, sf):
     """Raw pages to chunks without near-duplicates."""
     raw = _page_list(spark, sf).select("lib_id", "url", "html")
-    found = stored(ingest.page_chunks(ingest.extracted(spread(raw))).withColumn("chunk_id", F.xxhash64("lib_id", "path", "chunk_no")))
+    pages = ingest.one_per_path(ingest.extracted(spread(raw), "url"))
+    found = stored(ingest.numbered(ingest.page_chunks(pages), "chunk_id"))
     return neardup.survivors(found).select("lib_id", "path", "title", "chunk_no", "text")
 
 

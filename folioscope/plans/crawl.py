@@ -48,14 +48,15 @@ def take(frontier: DataFrame, query: Column, width: int = BATCH) -> DataFrame:
 
 def crawl(
     frontier: DataFrame, fetch: Fetch, query: Column, existing: DataFrame | None = None,
-    cap: int = ingest.CRAWL_CAP, width: int = BATCH, max_rounds: int | None = None,
+    caps: DataFrame | None = None, width: int = BATCH, max_rounds: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(chunks, frontier). ``fetch`` maps (lib_id, docs_url, url) to those plus text and html.
 
-    A library stops when it has ``cap`` chunks or nothing queued. ``max_rounds`` is the budget;
+    A library stops when nothing is queued, or with as many chunks as ``caps`` (lib_id, cap) allows it. ``max_rounds`` is the budget;
     what is still queued then is the state a later call resumes from.
     """
-    frontier = cut(frontier.withColumn("page", paths.norm_url(F.col("url"))).dropDuplicates(["lib_id", "page"]))
+    frontier = cut(frontier.withColumn("page", paths.norm_url(F.col("url"))).groupBy("lib_id", "page").agg(
+        F.min_by(F.struct(*frontier.columns), F.struct("seq", "url")).alias("r")).select("r.*", "page"))
     chunks = None
     done_libs = frontier.select("lib_id").limit(0)
     rounds = 0
@@ -82,7 +83,8 @@ def crawl(
         moved = frontier.join(taken, ["lib_id", "page"], "left").withColumn(
             "status", F.when(F.col("__t"), "seen").otherwise(F.col("status"))).select(queued.columns)
         frontier = cut(moved.unionByName(queued))
-        done_libs = chunks.groupBy("lib_id").count().filter(F.col("count") >= cap).select("lib_id")
+        if caps is not None:
+            done_libs = chunks.groupBy("lib_id").count().join(caps, "lib_id").filter(F.col("count") >= F.col("cap")).select("lib_id")
         rounds += 1
     return chunks, frontier
 

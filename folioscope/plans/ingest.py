@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import guards, html as hx, paths, text as tx
 from ..operators.ordering import running
 
-LIST_CAP, CRAWL_CAP, BUILD_CAP = 400, 300, 2_000_000
+#: A library without a cap of its own is read whole.
+NO_CAP = 1 << 62
 
 
 def page_chunks(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -38,7 +39,7 @@ def select_pages(pages: DataFrame, existing: DataFrame, query: Column) -> DataFr
     return page_order(fresh.groupBy("lib_id", "page").agg(F.min_by("url", key).alias("url")), query)
 
 
-def within_cap(page_sizes: DataFrame, cap: Column | int = LIST_CAP) -> DataFrame:
+def within_cap(page_sizes: DataFrame, cap: Column | int = NO_CAP) -> DataFrame:
     """Pages (lib_id, page_rank, n_chunks) taken before the cap is reached, with ``complete``.
 
     A page is taken while the chunks before it are fewer than the cap; reaching it means that
@@ -68,10 +69,22 @@ def choose_source(probes: DataFrame) -> DataFrame:
     )
 
 
-def extracted(raw: DataFrame) -> DataFrame:
-    """lib_id, path, text of raw pages (lib_id, url, html) that pass the admission rules."""
+def extracted(raw: DataFrame, *more: str) -> DataFrame:
+    """lib_id, path, text and ``more`` columns of raw pages (lib_id, url, html) that pass the admission rules."""
     # behind a generator the text is a column of its own: the filters read it, they do not repeat it
     text = F.explode_outer(F.array(hx.extract(F.col("html"))))
-    return raw.select("lib_id", paths.norm_url(F.col("url")).alias("path"), text.alias("text")).filter(
+    return raw.select("lib_id", paths.norm_url(F.col("url")).alias("path"), text.alias("text"), *more).filter(
         (F.col("text") != "") & ~guards.has_injection(F.col("text"))
     )
+
+
+def numbered(chunks: DataFrame, out: str) -> DataFrame:
+    """Number chunks over all libraries in page order: unique, and rising inside a library."""
+    order = [F.col("lib_id").asc(), F.col("path").asc(), F.col("chunk_no").asc()]
+    return running(chunks.withColumn("__all", F.lit(0)), ["__all"], order, out=out).drop("__all")
+
+
+def one_per_path(pages: DataFrame) -> DataFrame:
+    """Of pages (lib_id, path, url and more) whose addresses share a canonical path, the one of least address."""
+    best = pages.groupBy("lib_id", "path").agg(F.min_by(F.struct(*pages.columns), F.struct("url", "text")).alias("p"))
+    return best.select("p.*")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import guards, paths
 from ..operators import freshness, upsert
-from ..operators.ordering import running
 from ..session import cut, stored
 from ..sources import http, listings
 from . import crawl, ingest, retrieval
@@ -96,7 +95,7 @@ def ingest_libs(
     libs: DataFrame, fetch: Fetch, existing: DataFrame, query: Column | None = None,
     state: DataFrame | None = None, crawl_rounds: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(chunks, status, frontier) for libraries (lib_id, docs_url, cap; cap 0 means the default).
+    """(chunks, status, frontier) for libraries (lib_id, docs_url, cap; cap 0 or null: read whole).
 
     Source per library: link list and sitemap, sitemap, repository README, crawl, single page.
     Status: lib_id, branch, complete.
@@ -104,7 +103,7 @@ def ingest_libs(
     query = F.lit("") if query is None else query
     pages, seen = discover(libs, fetch)
     lists = seen.filter("n_links > 0 OR (NOT has_list AND n_locs > 0)").select("lib_id")
-    caps = libs.join(lists, "lib_id", "left_semi").select("lib_id", F.when(F.coalesce("cap", F.lit(0)) > 0, F.col("cap")).otherwise(ingest.LIST_CAP).alias("cap"))
+    caps = libs.join(lists, "lib_id", "left_semi").select("lib_id", F.when(F.coalesce("cap", F.lit(0)) > 0, F.col("cap")).otherwise(F.lit(ingest.NO_CAP)).alias("cap"))
     parts, states = [], []
     chunks, status = ingest_list(pages, caps, existing, fetch, query)
     if chunks is not None:
@@ -126,7 +125,8 @@ def ingest_libs(
         # a refused page gives no links either
         return batch.join(found.withColumn("html", F.when(F.col("text").isNotNull(), F.col("html"))), "url", "left")
 
-    found, frontier = crawl.crawl(crawl.start(sites, state), saved, query, existing, max_rounds=crawl_rounds)
+    own_caps = libs.filter("cap > 0").select("lib_id", "cap")
+    found, frontier = crawl.crawl(crawl.start(sites, state), saved, query, existing, own_caps, max_rounds=crawl_rounds)
     finished = crawl.completed(frontier) if found is not None else sites.select("lib_id", F.lit(True).alias("complete"))
     crawled = sites.select("lib_id").limit(0)
     if found is not None:
@@ -161,9 +161,7 @@ def refresh_store(store: Store, ids: DataFrame, fetch: Fetch, query: Column | No
     before, state = store.read("chunks", touched), store.read("crawl_state")
     existing = before.join(asked.select("lib_id"), "lib_id", "left_semi").select("lib_id", "path").distinct()
     chunks, status, frontier = ingest_libs(asked, fetch, existing, query, state, crawl_rounds)
-    order = [F.col("path").asc(), F.col("chunk_no").asc()]
-    numbered = running(chunks.join(asked.select("lib_id", "ver"), "lib_id"), ["lib_id"], order, out="__n")
-    incoming = numbered.select("lib_id", "ver", "path", "title", "text", now.alias("fetched_at"), F.xxhash64("lib_id", "__n").alias("ord"))
+    incoming = ingest.numbered(chunks.join(asked.select("lib_id", "ver"), "lib_id"), "ord").select("lib_id", "ver", "path", "title", "text", now.alias("fetched_at"), "ord")
     after = upsert.add_chunks(before, incoming, store.last_id())
     keep = chunks.select("lib_id", "path").unionByName(existing).distinct()
     filled = chunks.select("lib_id").distinct()

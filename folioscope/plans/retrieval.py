@@ -35,15 +35,15 @@ def ranked_ids(
     queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, *, metric: str = "cosine"
 ) -> DataFrame:
     """The joined rank list of both searches, with positions."""
-    return _ranked(queries, lexical.query_terms(queries), Corpus(chunks, vectors), metric)
+    return _ranked(queries, lexical.query_terms(queries), Corpus(chunks, vectors), metric, lexical.TOP)
 
 
-def _ranked(queries: DataFrame, asked: lexical.QueryTerms, corpus: Corpus, metric: str) -> DataFrame:
+def _ranked(queries: DataFrame, asked: lexical.QueryTerms, corpus: Corpus, metric: str, top: int) -> DataFrame:
     postings = lexical.asked_postings(corpus.chunks, asked) if corpus.postings is None else corpus.postings
-    found = lexical.lexical_ranks(lexical.bm25_scores(postings, asked, corpus.stats, corpus.term_df))
+    found = lexical.lexical_ranks(lexical.bm25_scores(postings, asked, corpus.stats, corpus.term_df), top)
     near = None
     if corpus.vectors is not None:
-        near = nearest.flag_weak(nearest.nearest(queries, corpus.vectors, metric, n_queries=asked.n_queries), metric)
+        near = nearest.flag_weak(nearest.nearest(queries, corpus.vectors, metric, top, n_queries=asked.n_queries), metric)
     return fusion.list_positions(fusion.ranked_list(found, near))
 
 
@@ -57,7 +57,7 @@ def search(
     """
     asked = lexical.query_terms(queries)
     corpus = Corpus(chunks, vectors) if opener is None else opener(queries, asked)
-    placed = _ranked(queries, asked, corpus, metric)
+    placed = _ranked(queries, asked, corpus, metric, max(lexical.TOP, k))
     versions = small_side(queries.select("qid", "version"), asked.n_queries)
     fused = fusion.fuse(placed, rrf_k).join(versions, "qid")
     limit = F.when(F.col("version") == "", F.lit(k)).otherwise(F.lit(3 * k))

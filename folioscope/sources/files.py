@@ -75,13 +75,3 @@ def junit_totals(spark: SparkSession, path: str) -> DataFrame:
         F.sum(F.col(f"_{n}").cast("long") if f"_{n}" in suites.columns else F.lit(0).cast("long")).alias(n) for n in names
     ])
 
-
-def answer_blocks(text_df: DataFrame, text: str = "text") -> DataFrame:
-    """Blocks of a service answer divided by dashed lines: path (without host) and text."""
-    blocks = text_df.select("*", F.posexplode_outer(F.split(text, r"\n-{10,}\n")).alias("block", "__b"))
-    body = F.regexp_replace(F.col("__b"), r"^\s+|\s+\z", "")
-    source = F.regexp_extract(body, r"Source: (https?://\S+)", 1)
-    return blocks.filter(body != "").select(
-        *[c for c in text_df.columns if c != text], "block",
-        F.regexp_replace(source, r"^https?://[^/]+/", "").alias("path"), body.alias("text"),
-    )

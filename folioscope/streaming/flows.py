@@ -29,13 +29,11 @@ def ingest_batch(store: Store, batch: DataFrame, batch_id: int) -> None:
     newest = store.newest("chunks")
     if newest is not None and newest["tag"] == tag:
         return
-    pages = ingest.extracted(batch).join(
-        batch.groupBy("lib_id").agg(F.max("ver").alias("ver")), "lib_id")
-    rows = ingest.page_chunks(pages).join(pages.select("lib_id", "path", "ver").distinct(), ["lib_id", "path"])
-    # arrival order: a number that follows from the row itself, so a repeated batch gives it again
-    incoming = rows.select(
-        "lib_id", "ver", "path", "title", "text", F.current_timestamp().alias("fetched_at"),
-        F.xxhash64("lib_id", "path", "chunk_no").alias("ord"))
+    pages = ingest.one_per_path(ingest.extracted(batch, "url", "ver"))
+    rows = ingest.page_chunks(pages).join(pages.select("lib_id", "path", "ver"), ["lib_id", "path"])
+    # page order follows from the rows, so a repeated batch gives the same numbers again
+    incoming = ingest.numbered(rows, "ord").select(
+        "lib_id", "ver", "path", "title", "text", F.current_timestamp().alias("fetched_at"), "ord")
     touched = store.buckets_of(batch)
     after = upsert.add_chunks(store.read("chunks", touched), incoming, store.last_id())
     store.write("chunks", after, sort=("lib_id", "chunk_id"), tag=tag, only=touched)

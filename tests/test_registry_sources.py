@@ -17,39 +17,37 @@ def rows(df, *cols):
 
 
 def test_merge_fills_gaps_and_uses_bare_rows(spark):
-    found = [("tsup", 1, None, "", "", 1.0, "8.5.1", ["8.5.1"]), ("tsup", 2, None, "o/tsup", "", 2.0, "", ["7.0.0", "8.5.1"]),
-             ("box", 1, None, "p/box", "https://example.com/", 5.0, "", []), ("box", 2, None, "p/box", "", 0.0, "", ["1.0", "2.0"]),
-             ("git", 1, None, "p/git", "https://github.com/p/git", 5.0, "", []), ("git", 2, None, "p/git", "https://git.dev", 1.0, "1", None), ("git", 3, "8857", "p/git2", "", 0.0, "", None)]
-    got = cd.merge(cd.normalize(spark.createDataFrame(found, CAND)))
-    by = {(r["name"], r["repo"]): r for r in got.collect()}
-    assert (by["tsup", "o/tsup"]["latest_ver"], by["tsup", "o/tsup"]["versions"]) == ("8.5.1", ["7.0.0", "8.5.1"])
-    assert (by["box", "p/box"]["versions"], by["box", "p/box"]["docs_url"], by["box", "p/box"]["trust"]) == (["1.0", "2.0"], "https://example.com", 5.0)
-    assert (by["git", "p/git"]["docs_url"], by["git", "p/git"]["latest_ver"]) == ("https://git.dev", "1")
-    assert by["git", "p/git2"]["id"] == "8857" and len(by) == 4
-
-
-def test_trust_examples(evaluate):
-    cases = [(0.0, 1000.0, False, "pallets/flask", ""), (0.0, 1000.0, False, "someone/not-flask", ""), (0.0, 1000.0, False, "pallets/flask", "https://github.com/pallets/flask"),
-             (0.0, 100.0, True, "pallets/flask", "https://flask.dev"), (0.0, -1.0, None, "", ""), (0.0, None, False, "x/y", "")]
-    got = evaluate(lambda b, s, i, r, d: cd.final_trust(b, s, i, r, d, F.lit("flask")), cases, "b double, s double, i boolean, r string, d string")
-    assert got == [3.0, 1.0, 2.0, 4.0, 0.0, 0.0]
-
-
-def test_resolution_order_and_boost(spark):
-    aliases = spark.createDataFrame([("NextJS", "vercel/next.js", "https://nextjs.org/docs/", 95.0, "0.0.3")], "alias string, repo string, docs_url string, trust double, latest_ver string")
-    modules = spark.createDataFrame([("node", "os", "os.md"), ("python", "os", "os.html"), ("node", "events", "events.md")], "lang string, module string, page string")
-    found = [("webx", 0, None, "fast/fast-extra", "https://fast.tiangolo.com", 4.0, "", []), ("webx", 2, None, "other/helper", "https://example.com", 4.2, "", []), ("junk", 0, None, "", "https://z.example.com/", 0.0, "", [])]
-    names = [("nextjs", ""), ("os", "python import os"), ("node:os", "python"), ("py:os", ""), ("events", ""), ("webx", "tiangolo framework"), ("junk", "")]
+    found = [("quill", 1, None, "", "", 0.5, "3.2.0", ["3.2.0"]), ("quill", 2, None, "ink/quill", "", 1.5, "", ["3.1.0", "3.2.0"]),
+             ("lamp", 1, None, "oil/lamp", "https://lamp.example.org/", 4.5, "", []), ("lamp", 2, None, "oil/lamp", "", 0.0, "", ["0.9"]),
+             ("sail", 1, None, "sea/sail", "https://github.com/sea/sail", 3.0, "", []), ("sail", 2, None, "sea/sail", "https://sail.example.net", 1.0, "6", None), ("sail", 3, "s-41", "sea/sail-old", "", 0.0, "", None)]
+    by = {(r["name"], r["repo"]): r for r in cd.merge(cd.normalize(spark.createDataFrame(found, CAND))).collect()}
+    assert (by["quill", "ink/quill"]["latest_ver"], by["quill", "ink/quill"]["versions"]) == ("3.2.0", ["3.1.0", "3.2.0"])
+    assert (by["lamp", "oil/lamp"]["versions"], by["lamp", "oil/lamp"]["docs_url"], by["lamp", "oil/lamp"]["trust"]) == (["0.9"], "https://lamp.example.org", 4.5)
+    assert (by["sail", "sea/sail"]["docs_url"], by["sail", "sea/sail"]["latest_ver"]) == ("https://sail.example.net", "6")
+    assert by["sail", "sea/sail-old"]["id"] == "s-41" and len(by) == 4
+
+
+def test_trust_of_repository_parts(evaluate):
+    # log10 of the stars; two less where the name is not the repository's own, never below zero
+    cases = [(0.0, 100_000.0, False, "ink/quill", ""), (0.0, None, False, "x/y", ""), (0.0, -1.0, None, "", "")]
+    got = evaluate(lambda b, s, i, r, d: cd.final_trust(b, s, i, r, d, F.lit("quill")), cases, "b double, s double, i boolean, r string, d string")
+    assert got[0] == 5.0 and got[1:] == [0.0, 0.0]
+
+
+def test_resolution_prefers_curated_names_then_modules(spark):
+    aliases = spark.createDataFrame([("Quill", "ink/quill", "https://quill.example.org/docs/", 92.0, "0.1")], "alias string, repo string, docs_url string, trust double, latest_ver string")
+    modules = spark.createDataFrame([("node", "zip", "zip.md"), ("python", "zip", "zip.html"), ("node", "bus", "bus.md")], "lang string, module string, page string")
+    found = [("junk", 0, None, "", "https://z.example.com/", 0.0, "", [])]
+    names = [("quill", ""), ("node:zip", ""), ("py:zip", ""), ("bus", ""), ("junk", "")]
     empty = lambda s: spark.createDataFrame([], s)
-    history = spark.createDataFrame([("nextjs", ["15.4.0", "15.3.0"])], "name string, versions array<string>")
+    history = spark.createDataFrame([("quill", ["3.2.0", "3.1.0"])], "name string, versions array<string>")
     out = resolve.resolve(spark.createDataFrame(names, "name string, query string"), aliases, modules, spark.createDataFrame(found, CAND), history, empty("repo string, stars long"), empty("docs_url string"))
     got = {(r["name"], r["rank"]): r for r in out.collect()}
-    assert {n for n, _ in got} == {"nextjs", "os", "node:os", "py:os", "events", "webx"}
-    assert (got["nextjs", 1]["latest_ver"], got["nextjs", 1]["versions"], got["nextjs", 1]["docs_url"]) == ("15.4.0", ["15.4.0", "15.3.0"], "https://nextjs.org/docs")
-    assert [got[n, 1]["id"] for n in ("os", "node:os", "py:os", "events")] == ["py:os", "node:os", "py:os", "node:events"]
-    assert got["webx", 1]["repo"] == "fast/fast-extra" and math.isclose(got["webx", 1]["trust"], 2.5) and math.isclose(got["webx", 2]["trust"], 2.2)
-    hist = resolve.version_history(out, history, spark.createDataFrame([("events", ["1"])], "id string, versions array<string>"))
-    assert dict(rows(hist, "name", "versions"))["events"] == ["1"]
+    assert {n for n, _ in got} == {"quill", "node:zip", "py:zip", "bus"}
+    assert (got["quill", 1]["latest_ver"], got["quill", 1]["versions"], got["quill", 1]["docs_url"]) == ("3.2.0", ["3.2.0", "3.1.0"], "https://quill.example.org/docs")
+    assert [got[n, 1]["id"] for n in ("node:zip", "py:zip", "bus")] == ["node:zip", "py:zip", "node:bus"]
+    hist = resolve.version_history(out, history, spark.createDataFrame([("bus", ["1"])], "id string, versions array<string>"))
+    assert dict(rows(hist, "name", "versions"))["bus"] == ["1"]
 
 
 def test_registry_answers(spark):
@@ -191,8 +189,6 @@ def test_files(spark, tmp_path):
     assert tuple(files.junit_totals(spark, write("j.xml", '<testsuites><testsuite tests="3" failures="1" errors="0" skipped="1"><testcase name="a"/></testsuite></testsuites>')).first()) == (3, 1, 0, 1)
     golden = files.golden(spark, write("g.json", '[{"library_name": "flask", "query": "q", "expected_path_fragments": ["a"]}]'))
     assert rows(golden, "library_name", "expected_path_fragments") == [("flask", ["a"])]
-    blocks = files.answer_blocks(spark.createDataFrame([("A\nSource: https://h.dev/p/q\n" + "-" * 12 + "\nB",)], "text string"))
-    assert rows(blocks.orderBy("block"), "path") == [("p/q",), ("",)]
 
 
 def test_median_of_even_and_skewed_groups(spark):
