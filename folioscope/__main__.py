@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import paths
 from .operators import candidates, upsert
-from .plans import ingest, libraries
+from .plans import libraries
 from .plans.store import Store
 from .sources import files, http
 
@@ -33,7 +33,7 @@ def build(spark: SparkSession, args: argparse.Namespace) -> None:
         store.write("chunks", upsert.drop_libs(store.read("chunks", touched), ids), sort=("lib_id", "chunk_id"), only=touched)
         libs = upsert.drop_libs(libs, ids, key="id")
     store.write("libs", upsert.merge_libs(libs, incoming))
-    caps = ids.withColumn("cap", F.lit(ingest.NO_CAP))
+    caps = ids.withColumn("cap", F.lit(0))
     store.write("libs", upsert.set_flags(store.read("libs"), caps))
     libraries.refresh_store(store, ids, http.fetch).show(1000, truncate=False)
     store.build_index()

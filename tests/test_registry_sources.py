@@ -161,7 +161,7 @@ def test_crawl_reaches_all_pages_and_resumes(spark):
     assert not {r["path"] for r in part.collect()} & {r["path"] for r in rest.collect()}
     moved = spark.createDataFrame([("s", "https://t.dev")], "lib_id string, docs_url string")
     assert rows(crawl.start(moved, state), "url", "status") == [("https://t.dev/", "queued")]
-    capped, left = crawl.crawl(crawl.start(libs), fetch, F.lit(""), cap=1)
+    capped, left = crawl.crawl(crawl.start(libs), fetch, F.lit(""), caps=libs.select("lib_id", F.lit(1).alias("cap")))
     assert capped.count() == 1 and not crawl.completed(left).first()["complete"]
 
 
