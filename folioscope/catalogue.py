@@ -1,7 +1,7 @@
 """Registered queries over the driver's tables, each beside the SQL that must give the same rows.
 
-Every query reads its tables whole. The SQL is written for DuckDB and shares no code with the
-Spark side; common table expressions and expression helpers stand at the top.
+Every query reads its tables whole. The SQL is written for DuckDB; it shares the fixed word lists
+with the Spark side, but no logic. Common table expressions and expression helpers stand at the top.
 """
 
 from __future__ import annotations
@@ -210,7 +210,7 @@ def _(spark, sf):
 
 
 S_RERANK = f""", counted AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM hits),
-scored AS (SELECT c.*, CASE WHEN n >= 2 THEN coalesce(len(list_intersect(list_distinct({s_tokens('q.query')}), {s_tokens('left(c.text, 1000)')}))::DOUBLE
+scored AS (SELECT c.*, CASE WHEN n >= 2 THEN coalesce(len(list_intersect(list_distinct({s_tokens('q.query')}), {s_tokens('c.text')}))::DOUBLE
     / nullif(len(list_distinct({s_tokens('q.query')})), 0), 0) END AS fresh FROM counted c JOIN queries q USING (qid)),
 reordered AS (SELECT qid, chunk_id, text, row_number() OVER (PARTITION BY qid ORDER BY (fresh IS NULL)::INT, round(fresh, 9) DESC, rank) AS rank,
   CASE WHEN fresh IS NULL THEN round(score, 4) ELSE round(fresh, 4) END AS score FROM scored)"""
@@ -253,19 +253,35 @@ def _(spark, sf):
     return metrics.hit_rates(metrics.first_hit(found, _golden(spark, sf)))
 
 
-@register("rrf_sweep", S_RANKED + S_GOLD + f""", ks AS (SELECT unnest([20, 40, 60, 80, 100]) AS k),
+S_SWEEP = S_RANKED + S_GOLD + f""", ks AS (SELECT unnest([20, 40, 60, 80, 100]) AS k),
 fused AS (SELECT k, qid, chunk_id, sum(1.0::DOUBLE / (k + before)) AS score, min(pos) AS first_pos FROM placed, ks GROUP BY ALL HAVING NOT bool_or(weak)),
 top AS (SELECT *, row_number() OVER (PARTITION BY k, qid ORDER BY round(score, 12) DESC, first_pos) AS fused_rank FROM fused QUALIFY fused_rank <= 10),
 paged AS (SELECT k, qid, fused_rank, path FROM top JOIN chunks USING (chunk_id) QUALIFY row_number() OVER (PARTITION BY k, qid, {s_norm_path('path')} ORDER BY fused_rank) = 1),
 hits AS (SELECT *, row_number() OVER (PARTITION BY k, qid ORDER BY fused_rank) AS rank FROM paged),
-first AS (SELECT h.k, h.qid, min(CASE WHEN contains(lower(path), lower(frag)) THEN rank END) AS r FROM hits h JOIN gold g USING (qid) WHERE rank <= 5 GROUP BY ALL)
-SELECT k, count(*) AS scored, round(avg(coalesce(r <= 1, false)::INT), 3) AS hit_1, round(avg(coalesce(r <= 3, false)::INT), 3) AS hit_3, round(avg(coalesce(r <= 5, false)::INT), 3) AS hit_5 FROM first GROUP BY k""")
-def _(spark, sf):
-    placed = _ranked(spark, sf).withColumn("k", F.explode(F.array(*map(F.lit, (20, 40, 60, 80, 100)))))
+first AS (SELECT s.k, g.qid, min(CASE WHEN contains(lower(path), lower(frag)) THEN rank END) AS r
+  FROM gold g CROSS JOIN ks s LEFT JOIN hits h ON h.k = s.k AND h.qid = g.qid AND rank <= 5 GROUP BY ALL)"""
+
+
+def _sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """First hits of every golden query under each setting of the fusion."""
+    ks = (20, 40, 60, 80, 100)
+    placed = _ranked(spark, sf).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
     top = fusion.best(fusion.fuse(placed, F.col("k"), by=("k", "qid")), 10, by=("k", "qid"))
     paged = tb.chunks(spark, sf).select("chunk_id", "path").join(top, "chunk_id").withColumn("kq", F.struct("k", "qid"))
     hits = ht.one_per_page(paged.drop("qid").withColumnRenamed("kq", "qid"), 10, "fused_rank").withColumn("qid", F.col("qid.qid"))
-    return metrics.hit_rates(metrics.first_hit(hits, _golden(spark, sf), by=("k", "qid")), by=("k",))
+    return metrics.first_hit(hits, _golden(spark, sf), ks=ks)
+
+
+@register("rrf_sweep", S_SWEEP + """
+SELECT k, count(*) AS scored, round(avg(coalesce(r <= 1, false)::INT), 3) AS hit_1, round(avg(coalesce(r <= 3, false)::INT), 3) AS hit_3, round(avg(coalesce(r <= 5, false)::INT), 3) AS hit_5 FROM first GROUP BY k""")
+def _(spark, sf):
+    return metrics.hit_rates(_sweep(spark, sf), by=("k",))
+
+
+@register("rrf_best_k", S_SWEEP + """ SELECT k AS best_k, count(*) FILTER (r <= 5) AS hit5, count(*) FILTER (r <= 1) AS hit1, count(*) AS n
+FROM first GROUP BY k ORDER BY hit5 DESC, hit1 DESC, k LIMIT 1""")
+def _(spark, sf):
+    return metrics.best_k(_sweep(spark, sf))
 
 
 @register("resolve_hit", """SELECT c_custkey AS id, contains(regexp_replace(lower('src-' || c_name), '[^a-z0-9]', '', 'g'), regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g')) AS by_nation,
@@ -277,14 +293,17 @@ def _(spark, sf):
     return both.select(F.col("c_custkey").alias("id"), metrics.resolve_hit(top, F.col("n_name")).alias("by_nation"), metrics.resolve_hit(top, F.col("c_name")).alias("by_name"))
 
 
-@register("keyword_hit", """WITH q AS (SELECT item_id, text, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) > 3)) AS terms FROM benchmark)
-  SELECT item_id, bool_or(len(list_filter(terms, lambda t: contains(lower(d.text), t))) > 0) AS hit, count(*) FILTER (len(list_filter(terms, lambda t: contains(lower(d.text), t))) > 0) AS n_chunks
-  FROM q JOIN documents d ON d.source = 'src' || (item_id % 20) GROUP BY item_id""")
+@register("keyword_hit", S_RANKED + s_hits("", 20) + S_RERANK + """, used AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM reordered),
+  answers AS (SELECT qid, lower(left(text, (12000 - used)::BIGINT)) AS low FROM used WHERE used < 12000 AND rank <= 10),
+  asked AS (SELECT qid, list_filter(regexp_extract_all(lower(query), '[\\p{L}\\p{N}_]+'), lambda w: length(w) > 3) AS terms FROM queries),
+  found AS (SELECT qid, len(list_filter(terms, lambda t: contains(low, t))) > 0 AS hit FROM asked LEFT JOIN answers USING (qid))
+  SELECT qid AS item_id, coalesce(bool_or(hit), false) AS hit, count(*) FILTER (hit) AS n_chunks FROM found GROUP BY qid""")
 def _(spark, sf):
-    asked = tb.queries(spark, sf).select(F.col("qid").alias("item_id"), "lib_id", tx.keyword_terms(F.col("query")).alias("terms"))
-    docs = spread(tb.chunks(spark, sf).select("lib_id", F.lower("text").alias("low")))
-    hit = F.exists("terms", lambda t: F.contains("low", t))
-    return docs.join(small_side(asked), "lib_id").groupBy("item_id").agg(F.bool_or(hit).alias("hit"), F.count_if(hit).alias("n_chunks"))
+    queries = tb.queries(spark, sf)
+    answers = retrieval.get_docs(queries, tb.chunks(spark, sf), tb.chunk_vectors(spark, sf)).select("qid", "text")
+    hit = metrics.keyword_hit(F.col("text"), F.col("query"))
+    return queries.select("qid", "query").join(answers, "qid", "left").groupBy(F.col("qid").alias("item_id")).agg(
+        F.coalesce(F.bool_or(hit), F.lit(False)).alias("hit"), F.count_if(hit).alias("n_chunks"))
 
 
 @register("latency_summary", """SELECT event_type AS tool, count(*) AS n_calls, round(avg(value), 6) AS mean_ms, round(median(value), 6) AS median_ms, round(sum(value), 2) AS total_ms FROM events GROUP BY event_type""")
@@ -930,7 +949,8 @@ def ingest_chunks(spark, sf):
 def crawl_rounds(spark, sf):
     """Every host crawled from its page addresses, the pages table standing in for the network."""
     pages = _page_list(spark, sf).select("lib_id", "url", "html")
-    fetched = stored(spread(pages).select("lib_id", F.col("url"), hx.extract(F.col("html")).alias("text"), "html").dropDuplicates(["lib_id", "url"]))
+    one = spread(pages).groupBy("lib_id", "url").agg(F.min("html").alias("html"))
+    fetched = stored(one.withColumn("text", hx.extract(F.col("html"))))
     seeds = pages.select("lib_id", paths.strip_slashes(F.regexp_extract("url", r"^([a-z]+://[^/]+)", 1)).alias("docs_url"), "url", F.lit("queued").alias("status"), F.lit(0).cast("long").alias("seq"))
 
     def fetch(batch: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,18 +19,18 @@ def any_fragment(path: Column, fragments: Column) -> Column:
     return F.exists(fragments, lambda f: F.contains(low, F.lower(f)))
 
 
-def first_hit(hits: DataFrame, golden: DataFrame, depth: int = DEPTH, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+def first_hit(hits: DataFrame, golden: DataFrame, depth: int = DEPTH, ks: Sequence[int] | None = None) -> DataFrame:
     """Per golden query (qid, fragments) the rank of its first hit within ``depth``, null for a miss.
 
-    Queries without fragments are not scored.
+    Queries without fragments are not scored. With ``ks``, hits carry the setting ``k`` they were
+    found with, and every query has a row for each setting, whether it was answered or not.
     """
     scored = golden.filter(F.size("fragments") > 0)
+    by = ["qid"] if ks is None else ["k", "qid"]
+    asked = scored.select("qid") if ks is None else scored.select(F.explode(F.array(*map(F.lit, ks))).alias("k"), "qid")
     near = hits.filter(F.col("rank") <= depth).join(scored.select("qid", "fragments"), "qid")
     ranks = near.filter(any_fragment(F.col("path"), F.col("fragments"))).groupBy(*by).agg(F.min("rank").alias("hit_rank"))
-    if by == ("qid",):
-        return scored.select("qid").join(ranks, "qid", "left")
-    grid = near.select(*by).distinct()
-    return grid.join(ranks, list(by), "left")
+    return asked.join(ranks, by, "left")
 
 
 def hit_rates(first: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -40,6 +42,14 @@ def hit_rates(first: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         F.count("*").alias("scored"), share(1).alias("hit_1"), share(3).alias("hit_3"), share(5).alias("hit_5"))
 
 
+def best_k(first: DataFrame) -> DataFrame:
+    """The setting with most queries hit at all, then most hit first, then the smallest; one row."""
+    counts = first.groupBy("k").agg(
+        F.count_if(F.col("hit_rank") <= DEPTH).alias("hit5"), F.count_if(F.col("hit_rank") <= 1).alias("hit1"), F.count("*").alias("n"))
+    best = F.max_by(F.struct("k", "hit5", "hit1", "n"), F.struct("hit5", "hit1", -F.col("k")))
+    return counts.agg(best.alias("b")).select(F.col("b.k").alias("best_k"), "b.hit5", "b.hit1", "b.n")
+
+
 def resolve_hit(top_id: Column, name: Column) -> Column:
     """The candidate's id holds the asked name, both reduced to letters and digits."""
     return F.coalesce((top_id != "") & F.contains(paths.letters_only(top_id), paths.letters_only(name)), F.lit(False))

@@ -16,7 +16,10 @@ FIELDS = ("id", "repo", "docs_url", "trust", "latest_ver", "versions")
 
 
 def normalize(found: DataFrame) -> DataFrame:
-    """Uniform candidates: text id, address without trailing slash, numeric trust, version list."""
+    """Uniform candidates: text id, address without trailing slash, numeric trust, version list.
+
+    Lists are cut here; ``histories_of`` reads them whole.
+    """
     latest = F.coalesce(F.col("latest_ver"), F.lit(""))
     given = F.coalesce(F.col("versions"), F.array().cast("array<string>"))
     fallback = F.when(latest != "", F.array(latest)).otherwise(F.array().cast("array<string>"))
@@ -28,7 +31,7 @@ def normalize(found: DataFrame) -> DataFrame:
         paths.strip_slashes(F.col("docs_url")).alias("docs_url"),
         F.coalesce(F.col("trust").cast("double"), F.lit(0.0)).alias("trust"),
         latest.alias("latest_ver"),
-        F.when(F.size(given) > 0, given).otherwise(fallback).alias("versions"),
+        F.when(F.size(given) > 0, F.slice(given, 1, vs.KEEP)).otherwise(fallback).alias("versions"),
     )
 
 

@@ -70,16 +70,17 @@ def lexical_overlap(query: Column, text: Column) -> Column:
 Scorer = Callable[[Column, Column], Column]
 
 
-def rerank(hits: DataFrame, scorer: Scorer = lexical_overlap, top_n: int = 20, chars: int = 1000) -> DataFrame:
+def rerank(hits: DataFrame, scorer: Scorer = lexical_overlap, top_n: int = 20, chars: int | None = None) -> DataFrame:
     """Reorder the first ``top_n`` hits of each query by ``scorer(query, text)``.
 
     ``hits`` carry ``query``. Later hits keep their order and score; a lone hit is left as it is.
-    ``chars`` is the model's input window, not a cut of the stored text.
+    Whole texts are scored; ``chars`` is the input window of a scorer that has one.
     """
+    read = F.col("text") if chars is None else F.left(F.col("text"), F.lit(chars))
     lone = F.count("*").over(W.partitionBy("qid")) < 2
     head = (F.col("rank") <= top_n) & ~F.col("__lone")
     scored = hits.withColumn("__lone", lone).withColumn(
-        "__new", F.when(head, scorer(F.col("query"), F.left(F.col("text"), F.lit(chars))))
+        "__new", F.when(head, scorer(F.col("query"), read))
     )
     order = W.partitionBy("qid").orderBy(
         F.col("__new").isNull(), F.round("__new", 9).desc(), "rank"

@@ -32,7 +32,7 @@ def block_plan(rows: int) -> tuple[int, int]:
     With at most six differing bits, ``blocks - 6`` of the blocks agree, so any choice is exact.
     More agreeing blocks make longer keys: fewer chance meetings for more copies of each row.
     """
-    for limit, blocks in ((200_000, 7), (20_000_000, 8), (500_000_000, 9)):
+    for limit, blocks in ((2_000, 7), (2_000_000, 8), (500_000_000, 9)):
         if rows <= limit:
             return blocks, blocks - hashing.MAX_DISTANCE
     return 10, 4
@@ -73,6 +73,20 @@ def _close_to(rows: DataFrame, leaders: DataFrame, plan: tuple[int, int]) -> Dat
     return left.join(right, same & near, "left_semi").select("lib_id", "simhash").distinct()
 
 
+def _preceded(rows: DataFrame, plan: tuple[int, int]) -> DataFrame:
+    """lib_id, simhash of rows with an earlier one within reach; stops at the first one found.
+
+    The left side of this join may be split, so a block that many rows share is dealt over tasks
+    by skew handling; the plan keeps chance meetings to a few rows of a block.
+    """
+    left = _keyed(rows, plan).alias("r")
+    right = _keyed(rows, plan).alias("l")
+    near = hashing.hamming(F.col("r.simhash"), F.col("l.simhash")) <= hashing.MAX_DISTANCE
+    same = (F.col("r.lib_id") == F.col("l.lib_id")) & (F.col("r.key") == F.col("l.key"))
+    earlier = F.col("l.ord") < F.col("r.ord")
+    return left.join(right, same & earlier & near, "left_semi").select("lib_id", "simhash").distinct()
+
+
 def _finisher(reach: int):
     """Greedy pass over one library's remaining fingerprints (their total is bounded)."""
 
@@ -94,9 +108,9 @@ def keep_leaders(hashes: DataFrame, stored: DataFrame | None = None, finish_rows
 
     ``hashes``: lib_id, simhash, ord. Equal fingerprints share one fate, so they are merged
     first: a million exact copies are one row here. Then rounds run until little is left. In
-    a round, a fingerprint that is the earliest in every one of its blocks cannot be near an
-    earlier one and stays; whatever lies near it leaves. A block has one earliest row, so a
-    round compares each row with at most one leader per block and never pairs up a block.
+    a round, a fingerprint with no earlier undecided one within reach stays; whatever lies near
+    it leaves. So the rounds follow the length of chains of near copies, not the number of rows.
+    ``finish_rows`` only chooses how the last rows are settled; the rows that stay are the same.
     """
     rows = hashes.filter("simhash IS NOT NULL").groupBy("lib_id", "simhash").agg(F.min("ord").alias("ord"))
     rows = cut(rows)
@@ -110,14 +124,7 @@ def keep_leaders(hashes: DataFrame, stored: DataFrame | None = None, finish_rows
         left = rows.count()
     kept = rows.select("lib_id", "simhash").limit(0)
     while left > finish_rows:
-        keyed = _keyed(rows, plan)
-        first = keyed.groupBy("lib_id", "key").agg(F.min("ord").alias("first"))
-        leaders = (
-            keyed.join(first, ["lib_id", "key"])
-            .groupBy("lib_id", "simhash").agg(F.bool_and(F.col("ord") == F.col("first")).alias("leads"))
-            .filter("leads").select("lib_id", "simhash")
-        )
-        leaders = cut(leaders)
+        leaders = cut(rows.join(_preceded(rows, plan), ["lib_id", "simhash"], "left_anti").select("lib_id", "simhash"))
         kept = kept.unionByName(leaders)
         # a leader is within reach of itself, so it leaves the undecided with its neighbours
         rows = cut(rows.join(_close_to(rows, leaders, plan), ["lib_id", "simhash"], "left_anti"))

@@ -33,6 +33,11 @@ def _json(path: str, column: str = "body") -> Column:
     return F.get_json_object(column, path)
 
 
+def _stable(versions: Column) -> Column:
+    """All final releases: the longest history is chosen before any list is cut."""
+    return vs.stable_versions(versions, None)
+
+
 def _log_trust(count: Column) -> Column:
     return F.log10(F.greatest(F.coalesce(count.cast("double"), F.lit(0.0)), F.lit(1.0)))
 
@@ -49,7 +54,7 @@ def npm(raw: DataFrame) -> DataFrame:
     names = F.json_object_keys(_json("$.versions"))
     return _row(
         raw.filter("status = 200"), "npm", repo=paths.repo_of(place), docs=_json("$.homepage"),
-        trust=_log_trust(_json("$.downloads", "extra")), latest=_json("$['dist-tags'].latest"), versions=vs.stable_versions(names),
+        trust=_log_trust(_json("$.downloads", "extra")), latest=_json("$['dist-tags'].latest"), versions=_stable(names),
     )
 
 
@@ -62,20 +67,20 @@ def pypi(raw: DataFrame) -> DataFrame:
     repo = F.regexp_extract(link("Source", "Source Code", "Repository", "Homepage"), r"github\.com[/:]([\w.-]+/[\w.-]+)", 1)
     return _row(
         raw.filter("status = 200"), "pypi", repo=repo, docs=link("Documentation"), latest=_json("$.info.version"),
-        versions=vs.stable_versions(F.json_object_keys(_json("$.releases"))),
+        versions=_stable(F.json_object_keys(_json("$.releases"))),
     )
 
 
 def crates(raw: DataFrame) -> DataFrame:
     rows = F.from_json(_json("$.versions"), "array<struct<num:string,yanked:boolean>>")
     good = F.transform(F.filter(rows, lambda v: ~F.coalesce(v["yanked"], F.lit(False))), lambda v: v["num"])
-    return _row(raw.filter("status = 200"), "crates", latest=_json("$.crate.max_version"), versions=vs.stable_versions(good))
+    return _row(raw.filter("status = 200"), "crates", latest=_json("$.crate.max_version"), versions=_stable(good))
 
 
 def go(raw: DataFrame) -> DataFrame:
     """``extra`` holds the plain version list."""
     listed = F.filter(F.split(F.coalesce("extra", F.lit("")), r"\s+"), lambda v: v != "")
-    return _row(raw.filter("status = 200"), "go", latest=_json("$.Version"), versions=vs.stable_versions(listed))
+    return _row(raw.filter("status = 200"), "go", latest=_json("$.Version"), versions=_stable(listed))
 
 
 def rubygems(raw: DataFrame) -> DataFrame:
@@ -85,7 +90,7 @@ def rubygems(raw: DataFrame) -> DataFrame:
         F.filter(rows, lambda v: ~F.coalesce(v["yanked"], F.lit(False)) & ~F.coalesce(v["prerelease"], F.lit(False))),
         lambda v: v["number"],
     )
-    return _row(raw.filter("status = 200"), "rubygems", docs=_json("$.documentation_uri"), latest=_json("$.version"), versions=vs.stable_versions(good))
+    return _row(raw.filter("status = 200"), "rubygems", docs=_json("$.documentation_uri"), latest=_json("$.version"), versions=_stable(good))
 
 
 def search_language(query: Column) -> Column:
