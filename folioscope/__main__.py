@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import paths
-from .operators import candidates, upsert
+from .operators import candidates, freshness, upsert
 from .plans import libraries
 from .plans.store import Store
 from .sources import files, http
@@ -30,13 +30,15 @@ def build(spark: SparkSession, args: argparse.Namespace) -> None:
     ids = names.select(paths.clean_id(F.col("name")).alias("id"))
     if args.force:
         touched = store.buckets_of(ids, "id")
-        store.write("chunks", upsert.drop_libs(store.read("chunks", touched), ids), sort=("lib_id", "chunk_id"), only=touched)
+        store.write_chunks(upsert.drop_libs(store.read("chunks", touched), ids), touched)
+        store.write("crawl_state", upsert.drop_libs(store.read("crawl_state"), ids))
         libs = upsert.drop_libs(libs, ids, key="id")
     store.write("libs", upsert.merge_libs(libs, incoming))
     caps = ids.withColumn("cap", F.lit(0))
     store.write("libs", upsert.set_flags(store.read("libs"), caps))
-    libraries.refresh_store(store, ids, http.fetch).show(1000, truncate=False)
-    store.build_index()
+    libraries.refresh_store(store, ids, http.fetch, max_age=freshness.MAX_AGE).groupBy("branch", "complete").count().show(truncate=False)
+    if not store.index_is_current():
+        store.build_index()
 
 
 def ask(spark: SparkSession, args: argparse.Namespace) -> None:

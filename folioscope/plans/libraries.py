@@ -146,10 +146,14 @@ def ingest_libs(
     return stored(out), cut(status), frontier if found is not None else None
 
 
-def refresh_store(store: Store, ids: DataFrame, fetch: Fetch, query: Column | None = None, crawl_rounds: int | None = None) -> DataFrame:
-    """Ingest the stored libraries named in ``ids`` (id), write chunks, flags and crawl state; returns status.
+def refresh_store(
+    store: Store, ids: DataFrame, fetch: Fetch, query: Column | None = None, crawl_rounds: int | None = None,
+    max_age: int | None = None,
+) -> DataFrame:
+    """Ingest the stored libraries named in ``ids`` (id), write chunks, index, flags and crawl state; returns status.
 
     Finished libraries lose pages no longer found; pages skipped because they were stored are kept.
+    Pages fetched more than ``max_age`` seconds ago are read again; without it every stored page is skipped.
     """
     now = F.current_timestamp()
     libs = store.read("libs")
@@ -159,14 +163,19 @@ def refresh_store(store: Store, ids: DataFrame, fetch: Fetch, query: Column | No
     # only the buckets of these libraries are read and written again
     touched = store.buckets_of(asked)
     before, state = store.read("chunks", touched), store.read("crawl_state")
-    existing = before.join(asked.select("lib_id"), "lib_id", "left_semi").select("lib_id", "path").distinct()
+    mine = before.join(asked.select("lib_id"), "lib_id", "left_semi")
+    if max_age is not None:
+        age = freshness.seconds_since(F.col("fetched_at"), now)
+        mine = mine.filter(F.coalesce(age <= max_age, F.lit(False)))
+    # fixed now: the age of a page must not change between the steps that read it
+    existing = cut(mine.select("lib_id", "path").distinct())
     chunks, status, frontier = ingest_libs(asked, fetch, existing, query, state, crawl_rounds)
     incoming = ingest.numbered(chunks.join(asked.select("lib_id", "ver"), "lib_id"), "ord").select("lib_id", "ver", "path", "title", "text", now.alias("fetched_at"), "ord")
     after = upsert.add_chunks(before, incoming, store.last_id())
     keep = chunks.select("lib_id", "path").unionByName(existing).distinct()
     filled = chunks.select("lib_id").distinct()
     after = upsert.prune_chunks(after, keep, status.filter("complete").join(filled, "lib_id", "left_semi"))
-    store.write("chunks", after, sort=("lib_id", "chunk_id"), only=touched)
+    store.write_chunks(after, touched)
     counts = chunks.groupBy("lib_id").agg(F.count("*").alias("n"))
     flags = status.join(counts, "lib_id", "left").select(
         F.col("lib_id").alias("id"), guards.is_full(F.col("complete"), F.coalesce("n", F.lit(0))).alias("full"), now.alias("recrawl_at"))
@@ -178,13 +187,24 @@ def refresh_store(store: Store, ids: DataFrame, fetch: Fetch, query: Column | No
     return status
 
 
-def embed_missing(store: Store, encoder: Callable[[Column], Column]) -> int:
-    """Give vectors to the chunks that have none; vectors are keyed by chunk, so text is never written again."""
-    chunks, have = store.read("chunks"), store.read("chunk_vec")
+def check_libs(store: Store, checks: DataFrame, now: Column, resolved: DataFrame | None = None) -> None:
+    """Fold freshness probes (id, latest_ver, versions, etag) and newly resolved addresses (id, docs_url, repo)
+    into the stored libraries; :func:`due` then names those that must be read again."""
+    libs = freshness.apply_check(store.read("libs"), checks, now)
+    store.write("libs", libs if resolved is None else freshness.docs_moved(libs, resolved))
+
+
+def embed_missing(store: Store, encoder: Callable[[Column], Column], ids: DataFrame | None = None) -> int:
+    """Give vectors to the chunks that have none; vectors are keyed by chunk, so text is never written again.
+
+    ``ids`` (id): only the directories of these libraries are read and written.
+    """
+    touched = None if ids is None else store.buckets_of(ids, "id")
+    chunks, have = store.read("chunks", touched), store.read("chunk_vec", touched)
     todo = chunks.select("chunk_id", "lib_id", "text").join(have.select("chunk_id"), "chunk_id", "left_anti")
     live = have.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
     fresh = todo.select("chunk_id", "lib_id", encoder(F.col("text")).alias("embedding"))
-    return store.write("chunk_vec", live.select("chunk_id", "lib_id", "embedding").unionByName(fresh), sort=("lib_id", "chunk_id"))
+    return store.write("chunk_vec", live.select("chunk_id", "lib_id", "embedding").unionByName(fresh), sort=("lib_id", "chunk_id"), only=touched)
 
 
 def due(store: Store, now: Column) -> DataFrame:

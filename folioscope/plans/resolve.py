@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import versions as vs
 from ..operators import candidates as cd
+from ..sources import packages
 
 _COLUMNS = ["name", "query", "src_ord", "id", "repo", "docs_url", "trust", "latest_ver", "versions"]
 
@@ -41,6 +42,19 @@ def resolve(
     return cd.rank(found if libs is None else cd.backfill(found, libs))
 
 
+def from_answers(raw: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(answers, histories) for :func:`resolve` from stored registry answers, one table per source.
+
+    ``raw`` maps a name of ``packages.SOURCES`` to its rows. Of a name's version lists the longest
+    counts, measured before any list is cut.
+    """
+    rows = None
+    for source, table in raw.items():
+        part = packages.SOURCES[source](table)
+        rows = part if rows is None else rows.unionByName(part)
+    return rows, cd.versions_argmax(cd.histories_of(rows))
+
+
 def version_history(candidates: DataFrame, ecosystem: DataFrame, libs: DataFrame) -> DataFrame:
     """name, versions: the resolved list if it has more than one entry, else the longest ecosystem
     history, else what the store knows (libs: id = name)."""

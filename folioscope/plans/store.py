@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from .. import schema
 from ..operators import lexical
+from ..session import stored
 from . import retrieval
 
 _VERSIONS = "table_name string, version long, path string, n_rows long, layout int, tag string, buckets int, only array<int>, max_id long"
@@ -56,10 +57,13 @@ class Store:
 
         ``buckets``: per bucket key (``lib_id``, ``term``) the directories that may hold asked rows.
         """
+        live = self._live(*tables)
+        return {t: self._open(t, [r for r in live if r["table_name"] == t], buckets or {}) for t in tables}
+
+    def _live(self, *tables: str) -> list:
         rows = self.versions().filter(F.col("table_name").isin(*tables))
         whole = rows.filter("only IS NULL").groupBy("table_name").agg(F.max("version").alias("__whole"))
-        live = rows.join(whole, "table_name").filter("version >= __whole").orderBy(F.col("version").desc()).collect()
-        return {t: self._open(t, [r for r in live if r["table_name"] == t], buckets or {}) for t in tables}
+        return rows.join(whole, "table_name").filter("version >= __whole").orderBy(F.col("version").desc()).collect()
 
     def _open(self, table: str, versions: list, buckets: dict[str, list[int]]) -> DataFrame:
         """``versions``: newest first, the last one whole; at most ``MAX_PARTS`` + 1 of them."""
@@ -151,20 +155,73 @@ class Store:
         Rows are laid out by term, library and chunk: a frequent term spans several files, and a
         query reads only the row groups of its terms and libraries.
         """
+        stamp = self._chunk_stamp()
         self.write("postings", lexical.document_postings(self.read("chunks"), positions=True), sort=("term", "lib_id", "chunk_id"))
-        postings = self.read("postings")
-        self.write("terms", postings.groupBy("term").agg(F.count("*").alias("df")))
-        self.write("corpus_stats", lexical.corpus_stats(postings))
+        self.write("terms", self.read("postings").groupBy("term").agg(F.count("*").alias("df")))
+        self._write_stats(stamp)
+
+    def write_chunks(self, after: DataFrame, touched: list[int], tag: str = "") -> None:
+        """Give the ``touched`` buckets of ``chunks`` new content and let index and vectors follow.
+
+        Only directories of words that stand in added or removed chunks are written again. Vectors
+        of removed chunks go; ``libraries.embed_missing`` makes those of added ones. A store whose
+        index was never built stays without.
+        """
+        indexed = self.index_is_current()
+        before = self.read("chunks", touched)
+        self.write("chunks", after, sort=("lib_id", "chunk_id"), tag=tag, only=touched)
+        now = self.read("chunks", touched)
+        gone = stored(before.join(now.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "lib_id", "text"))
+        vectors = self.read("chunk_vec", touched)
+        if self.newest("chunk_vec") is not None:
+            live = vectors.join(gone.select("chunk_id"), "chunk_id", "left_anti")
+            self.write("chunk_vec", live, sort=("lib_id", "chunk_id"), only=touched)
+        if not indexed:
+            return
+        fresh = now.join(before.select("chunk_id"), "chunk_id", "left_anti")
+        added = stored(lexical.document_postings(fresh, positions=True))
+        removed = stored(lexical.document_postings(gone))
+        words = added.select("term").unionByName(removed.select("term")).distinct()
+        buckets = self.buckets_of(words, "term")
+        kept = self.read("postings", buckets).join(removed.select("term", "chunk_id"), ["term", "chunk_id"], "left_anti")
+        columns = [f.name for f in schema.POSTINGS.fields]
+        self.write("postings", kept.select(*columns).unionByName(added.select(*columns)), sort=("term", "lib_id", "chunk_id"), only=buckets)
+        change = added.select("term", F.lit(1).alias("n")).unionByName(removed.select("term", F.lit(-1).alias("n")))
+        counts = self.read("terms", buckets).select("term", F.col("df").alias("n")).unionByName(change)
+        self.write("terms", counts.groupBy("term").agg(F.sum("n").alias("df")).filter("df > 0"), only=buckets)
+        self._write_stats(self._chunk_stamp())
+
+    def _chunk_stamp(self) -> str:
+        newest = self.newest("chunks")
+        return f"chunks-{newest['version'] if newest else 0}"
+
+    def _write_stats(self, stamp: str) -> None:
+        """The last table of an index; its tag names the chunks it was made from."""
+        marks = self.read("postings", self.buckets_of(self.spark.createDataFrame([(lexical.DOC_MARK,)], "term string"), "term"))
+        self.write("corpus_stats", lexical.corpus_stats(marks), tag=stamp)
+
+    def index_is_current(self) -> bool:
+        stats = self.newest("corpus_stats")
+        return stats is not None and stats["tag"] == self._chunk_stamp()
 
     def _opened(self, queries: DataFrame, asked: lexical.QueryTerms) -> retrieval.Corpus:
-        """The part of the store a batch needs. What is collected is at most one number per bucket."""
+        """The part of the store a batch needs. What is collected is at most one number per bucket.
+
+        An index made from other chunks than the current ones would miss some without a sign, so it
+        is refused.
+        """
         libs = queries.select("lib_id").distinct()
         wanted = libs.select(F.lit("lib_id").alias("key"), self.bucket(F.col("lib_id")).alias("bucket")).union(
             asked.parts.select(F.lit("term"), self.bucket(F.col("term")))).distinct()
         buckets: dict[str, list[int]] = {"lib_id": [], "term": []}
         for row in wanted.collect():
             buckets[row["key"]].append(row["bucket"])
-        now = self.snapshot("chunks", "chunk_vec", "postings", "terms", "corpus_stats", buckets=buckets)
+        tables = ("chunks", "chunk_vec", "postings", "terms", "corpus_stats")
+        live = self._live(*tables)
+        newest = {t: next((r for r in live if r["table_name"] == t), None) for t in tables}
+        if newest["chunks"] and (newest["corpus_stats"] is None or newest["corpus_stats"]["tag"] != f"chunks-{newest['chunks']['version']}"):
+            raise ValueError(f"{self.root}: the index is missing or older than the chunks; run build_index")
+        now = {t: self._open(t, [r for r in live if r["table_name"] == t], buckets) for t in tables}
         named = [r["lib_id"] for r in libs.limit(self.NAMED_LIBS + 1).collect()]
         if len(named) <= self.NAMED_LIBS:
             ours = F.col("lib_id").isin(*named)

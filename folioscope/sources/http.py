@@ -1,20 +1,15 @@
-"""Batch HTTP reader: a Python data source with one task per group of addresses.
-
-``spark.dataSource.register(HttpPages)`` and then
-``spark.read.format("folioscope_http").option("urls", path_of_parquet_or_text)...``
-or, for addresses that already are a DataFrame, :func:`fetch`.
-"""
+"""Batch HTTP reader: :func:`fetch` turns a DataFrame of addresses into one of answers."""
 
 from __future__ import annotations
 
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import guards, html as hx, paths
 
@@ -36,49 +31,19 @@ def get_page(url: str, timeout: float, etag: str = "", method: str = "GET", open
         return url, 0, "", "", ""
 
 
-class UrlGroup(InputPartition):
-    def __init__(self, urls: list[str]):
-        self.urls = urls
-
-
-class HttpReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.urls = [u for u in options.get("urls", "").split("\n") if u.strip()]
-        self.size = int(options.get("batch", "50"))
-        self.timeout = float(options.get("timeout", "20"))
-
-    def partitions(self) -> list[UrlGroup]:
-        return [UrlGroup(self.urls[i:i + self.size]) for i in range(0, len(self.urls), self.size)]
-
-    def read(self, partition: UrlGroup) -> Iterator[tuple]:
-        for url in partition.urls:
-            yield get_page(url, self.timeout)
-
-
-class HttpPages(DataSource):
-    """Short address lists given as an option, one per line."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "folioscope_http"
-
-    def schema(self) -> str:
-        return PAGE_SCHEMA
-
-    def reader(self, schema) -> HttpReader:
-        return HttpReader(self.options)
-
-
-def fetch(urls: DataFrame, timeout: float = 20.0, method: str = "GET") -> DataFrame:
+def fetch(urls: DataFrame, timeout: float = 20.0, method: str = "GET", at_once: int = 4) -> DataFrame:
     """Fetch the ``url`` column (with optional ``etag``) where it is safe to; one row per address.
 
-    Addresses are spread over tasks; a task holds one page at a time.
+    Addresses are spread over tasks; a task waits for ``at_once`` pages at a time and holds no more.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             tags = batch["etag"].fillna("") if "etag" in batch else [""] * len(batch)
-            for url, tag in zip(batch["url"], tags):
-                yield pd.DataFrame([get_page(url, timeout, tag, method)], columns=["url", "status", "content_type", "etag", "body"])
+            asked = list(zip(batch["url"], tags))
+            with ThreadPoolExecutor(at_once) as pool:
+                for i in range(0, len(asked), at_once):
+                    got = list(pool.map(lambda one: get_page(one[0], timeout, one[1], method), asked[i:i + at_once]))
+                    yield pd.DataFrame(got, columns=["url", "status", "content_type", "etag", "body"])
 
     columns = [c for c in ("url", "etag") if c in urls.columns]
     safe = urls.select(*columns).filter(guards.ssrf_safe(F.col("url"))).dropDuplicates(["url"])

@@ -19,15 +19,19 @@ def raw_pages(spark: SparkSession, path: str, files_per_batch: int = 100) -> Dat
     return spark.readStream.schema(RAW_PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def ingest_batch(store: Store, batch: DataFrame, batch_id: int) -> None:
+def ingest_batch(store: Store, batch: DataFrame, batch_id: int, stream: str = "") -> None:
     """Extract, chunk, drop near-duplicates of stored text, replace pages, publish.
 
-    The batch number is the version's tag; a batch already published is skipped, so a restart
-    that replays it changes nothing.
+    Stream and batch number are the version's tag; a batch published at any time is skipped, so a
+    restart that replays it changes nothing but an index that was left behind.
     """
-    tag = f"batch-{batch_id}"
-    newest = store.newest("chunks")
-    if newest is not None and newest["tag"] == tag:
+    tag = f"batch-{stream}-{batch_id}"
+    done = store.versions().filter((F.col("table_name") == "chunks") & (F.col("tag") == tag))
+    if not done.isEmpty():
+        if store.newest("corpus_stats") is not None and not store.index_is_current():
+            store.build_index()
+        return
+    if batch.isEmpty():
         return
     pages = ingest.one_per_path(ingest.extracted(batch, "url", "ver"))
     rows = ingest.page_chunks(pages).join(pages.select("lib_id", "path", "ver"), ["lib_id", "path"])
@@ -36,13 +40,13 @@ def ingest_batch(store: Store, batch: DataFrame, batch_id: int) -> None:
         "lib_id", "ver", "path", "title", "text", F.current_timestamp().alias("fetched_at"), "ord")
     touched = store.buckets_of(batch)
     after = upsert.add_chunks(store.read("chunks", touched), incoming, store.last_id())
-    store.write("chunks", after, sort=("lib_id", "chunk_id"), tag=tag, only=touched)
+    store.write_chunks(after, touched, tag)
 
 
 def start_ingest(store: Store, pages: DataFrame, checkpoint: str) -> StreamingQuery:
     """Work through all pages available now, then stop; a later start goes on from there."""
     return (
-        pages.writeStream.foreachBatch(lambda df, n: ingest_batch(store, df, n))
+        pages.writeStream.foreachBatch(lambda df, n: ingest_batch(store, df, n, checkpoint))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 

@@ -110,9 +110,6 @@ def test_requests_never_raise():
         raise urllib.error.HTTPError("u", 304, "", None, None)
     assert http.get_page("https://s.dev", 1, etag="e", opener=fail)[1] == 304
     assert http.get_page("bad url", 1)[1] == 0
-    reader = http.HttpReader({"urls": "a\nb\nc", "batch": "2"})
-    assert [p.urls for p in reader.partitions()] == [["a", "b"], ["c"]]
-    assert [r[1] for r in reader.read(http.UrlGroup(["bad url"]))] == [0]
 
 
 def test_answer_rules(evaluate):

@@ -178,3 +178,24 @@ def test_activity_log_round_trip(spark, tmp_path):
     from folioscope.sources import files
     row = files.activity(spark, copy).first()
     assert (row["tool"], row["lib"], row["top"]) == ("get_docs", "f", '["/a"]')
+
+
+def test_index_follows_writes(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), n_buckets=4)
+    rows = [(1, "f", "", "/a", "T", "zebra stripes are black", None, None), (2, "f", "", "/b", "T", "lions sleep at noon", None, None), (3, "g", "", "/c", "T", "zebra crossing", None, None)]
+    libs = spark.createDataFrame([("f",)], "id string")
+    store.write("chunks", spark.createDataFrame(rows, CHUNKS))
+    with pytest.raises(ValueError, match="build_index"):
+        store.get_docs_one("f", "zebra stripes")
+    store.build_index()
+    store.write("chunk_vec", spark.createDataFrame([(1, "f", [1.0, 0.0]), (2, "f", [0.0, 1.0])], "chunk_id long, lib_id string, embedding array<float>"))
+    touched = store.buckets_of(libs, "id")
+    new = [(4, "f", "", "/d", "T", "a quagga is a zebra too", None, None)]
+    after = store.read("chunks", touched).filter("chunk_id <> 1").unionByName(spark.createDataFrame(new, CHUNKS))
+    store.write_chunks(after, touched)
+    assert store.index_is_current()
+    assert [r["path"] for r in store.get_docs_one("f", "zebra quagga").collect()] == ["/d"]
+    assert [r["chunk_id"] for r in store.read("chunk_vec").collect()] == [2]
+    followed = {t: sorted(map(tuple, store.read(t).collect()), key=repr) for t in ("postings", "terms", "corpus_stats")}
+    store.build_index()
+    assert followed == {t: sorted(map(tuple, store.read(t).collect()), key=repr) for t in followed}
