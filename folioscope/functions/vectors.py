@@ -18,7 +18,8 @@ def l2_distance(a: Column, b: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    return 1.0 - _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
+    """Null where one of them has no direction."""
+    return 1.0 - F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
 
 
 def distance(a: Column, b: Column, metric: str) -> Column:

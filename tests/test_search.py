@@ -3,6 +3,9 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from folioscope.functions import vectors as vc
 from folioscope.operators import fusion, hits as ht, lexical, nearest
 from folioscope.plans import retrieval
 from folioscope.plans.store import Store
@@ -92,6 +95,29 @@ def test_relative_threshold_both_metrics(spark):
     assert not nearest.flag_weak(nearest.nearest(q, far, "cosine"), "cosine").first()["weak"]
 
 
+def test_neighbours_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BROADCAST_VECTORS", 10)
+    monkeypatch.setattr(nearest, "AT_ONCE", 3)
+    rng = random.Random(4)
+    point = lambda: [float(rng.randint(-3, 3)) for _ in range(3)]  # noqa: E731  # small grid: many ties, some zeros
+    vectors = spark.createDataFrame(
+        [(i, "l" if i % 3 else "m", point()) for i in range(300)] + [(900, "l", None), (901, "l", [1.0]), (902, "l", [float("nan")] * 3), (903, None, point())],
+        "chunk_id long, lib_id string, embedding array<float>").repartition(3)
+    q = spark.createDataFrame(
+        [(i, "lmz"[i % 3], "x", point(), "") for i in range(25)] + [(90, "l", "x", None, ""), (91, None, "x", point(), "")], QUERIES)
+    for metric in ("l2", "cosine"):
+        far = vc.distance(F.col("embedding"), F.col("query_vec"), metric)
+        pairs = vectors.where("chunk_id < 900").join(q, "lib_id").select("qid", "chunk_id", far.alias("d")).where("d IS NOT NULL").collect()
+        want = {}
+        for r in sorted(pairs, key=lambda r: (round(r["d"], 9), r["chunk_id"])):
+            want.setdefault(r["qid"], []).append(r["chunk_id"])
+        got = {}
+        for r in nearest.nearest(q, vectors, metric, top=7).orderBy("qid", "vec_rank").collect():
+            got.setdefault(r["qid"], []).append(r["chunk_id"])
+        assert got == {qid: ids[:7] for qid, ids in want.items()}
+    assert nearest.nearest(q.limit(0), vectors).isEmpty() and nearest.nearest(q, vectors.limit(0)).isEmpty()
+
+
 def fused_by_hand(ranked, weak, k):
     scores, first = {}, {}
     for pos, cid in enumerate(ranked):
