@@ -918,16 +918,55 @@ def _(spark, sf):
     return tb.read(spark, sf, "conversations").select("conv_id", "turn", guards.empty_query(query).alias("empty"), guards.needs_guidance(query).alias("vague"))
 
 
-@register("source_cascade", f"""WITH p AS (SELECT page_id, page_id % 7 AS r, url FROM pages)
-  SELECT page_id, CASE WHEN r = 0 THEN 'list-as-page' WHEN r = 1 THEN 'list+sitemap' WHEN r = 2 THEN 'sitemap' WHEN r = 3 THEN 'readme' WHEN r IN (4, 5) THEN 'crawl' ELSE 'single-page' END AS branch FROM p""")
-def _(spark, sf):
-    r = F.col("page_id") % 7
+@register("source_cascade", """WITH p AS (SELECT page_id, url, contains(html, '<nav>') AND length(html) % 2 = 0 AS has_list, len(regexp_extract_all(html, 'href="/[A-Z]')) AS n_links,
+    CASE WHEN starts_with(url, 'https') THEN len(regexp_extract_all(html, '<b>[A-S]')) ELSE 0 END AS n_locs, contains(url, '?') AS has_readme,
+    len(regexp_extract_all(html, '<p>The ')) AS n_crawled, length(html) > 3000 AS crawl_done FROM pages)
+  SELECT page_id, CASE WHEN has_list THEN CASE WHEN n_links = 0 THEN 'list-as-page' ELSE 'list+sitemap' END WHEN n_locs > 0 THEN 'sitemap' WHEN has_readme THEN 'readme'
+    WHEN n_crawled > 0 OR NOT crawl_done THEN 'crawl' ELSE 'single-page' END AS branch FROM p""")
+def _(spark, sf):
+    """What a probe of each page would find, read from its address and markup."""
+    html = F.col("html")
     probes = tb.read(spark, sf, "pages").select(
-        "page_id", F.col("url").alias("docs_url"), (r < 2).alias("has_list"), F.when(r == 1, 3).otherwise(0).alias("n_links"), F.when(r < 3, 2).otherwise(0).alias("n_locs"),
-        (r == 3).alias("has_readme"), F.when(r == 4, 5).otherwise(0).alias("n_crawled"), (r != 5).alias("crawl_done"))
+        "page_id", F.col("url").alias("docs_url"), (F.contains(html, F.lit("<nav>")) & (F.length(html) % 2 == 0)).alias("has_list"),
+        F.regexp_count(html, F.lit('href="/[A-Z]')).alias("n_links"), F.when(F.startswith("url", F.lit("https")), F.regexp_count(html, F.lit("<b>[A-S]"))).otherwise(0).alias("n_locs"),
+        F.contains("url", F.lit("?")).alias("has_readme"), F.regexp_count(html, F.lit("<p>The ")).alias("n_crawled"), (F.length(html) > 3000).alias("crawl_done"))
     return ingest.choose_source(probes).select("page_id", "branch")
 
 
+S_CHECKS = f"""{S_LIBS}, held AS (SELECT *, CASE WHEN substr(id, 2)::BIGINT % 4 = 0 THEN '' ELSE 'e' || length(name || docs_url) % 2 END AS etag FROM libs),
+  checks AS (SELECT 's' || c_custkey AS id, CASE WHEN c_acctbal < 5000 THEN '' ELSE '1.' || c_nationkey END AS ver, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE 'e' || c_nationkey % 2 END AS tag FROM customer WHERE c_custkey % 7 <> 0),
+  j AS (SELECT held.*, ver, tag, checks.id IS NOT NULL AS seen, coalesce(ver <> '' AND ver <> latest_ver, false) AS moved FROM held LEFT JOIN checks USING (id)),
+  k AS (SELECT *, CASE WHEN moved THEN 'moved' WHEN tag IS NULL THEN 'none' WHEN tag = etag THEN 'same' WHEN etag = '' THEN 'first' ELSE 'changed' END AS kind FROM j)"""
+
+
+@register("apply_check", f"""WITH {S_CHECKS} SELECT id, CASE WHEN moved THEN ver ELSE latest_ver END AS latest_ver, CASE WHEN moved THEN ver ELSE latest_ver END AS versions,
+  "full" AND kind NOT IN ('moved', 'changed') AS "full", CASE WHEN kind IN ('moved', 'changed') THEN 0 WHEN kind = 'same' THEN stable + 1 ELSE stable END AS stable,
+  CASE WHEN kind IN ('first', 'changed') THEN tag ELSE etag END AS etag, seen AS checked FROM k""")
+def _(spark, sf):
+    now, number = F.lit(_NOW).cast("timestamp"), F.substr("id", F.lit(2)).cast("long")
+    libs = _libs(spark, sf).withColumn("last_check", F.lit(None).cast("timestamp")).withColumn("etag", F.when(number % 4 == 0, "").otherwise(
+        F.concat(F.lit("e"), (F.length(F.concat("name", "docs_url")) % 2).cast("string"))))
+    ver = F.when(F.col("c_acctbal") < 5000, "").otherwise(F.concat(F.lit("1."), F.col("c_nationkey").cast("string")))
+    checks = tb.read(spark, sf, "customer").filter("c_custkey % 7 <> 0").select(
+        F.concat(F.lit("s"), F.col("c_custkey").cast("string")).alias("id"), ver.alias("latest_ver"), F.array(ver).alias("versions"),
+        F.when(F.col("c_mktsegment") != "BUILDING", F.concat(F.lit("e"), (F.col("c_nationkey") % 2).cast("string"))).alias("etag"))
+    out = freshness.apply_check(libs, checks, now)
+    return out.select("id", "latest_ver", F.array_join("versions", ",").alias("versions"), "full", F.col("stable").cast("long").alias("stable"), "etag",
+                      F.col("last_check").eqNullSafe(now).alias("checked"))
+
+
+@register("docs_moved", f"""WITH {S_LIBS}, r AS (SELECT 's' || c_custkey AS id, CASE WHEN c_acctbal < 2000 THEN 'https://own/' || c_custkey WHEN c_acctbal < 6000 THEN 'https://docs' || (c_custkey % 40) || '.dev'
+    ELSE 'https://' || lower(c_mktsegment) || '.dev' END AS url FROM customer WHERE c_custkey % 7 <> 0)
+  SELECT id, CASE WHEN url <> docs_url THEN url ELSE docs_url END AS docs_url, "full" AND NOT coalesce(url <> docs_url, false) AS "full" FROM libs LEFT JOIN r USING (id)""")
+def _(spark, sf):
+    key = F.col("c_custkey")
+    url = F.when(F.col("c_acctbal") < 2000, "").when(F.col("c_acctbal") < 6000, F.concat(F.lit("https://docs"), (key % 40).cast("string"), F.lit(".dev"))).otherwise(
+        F.concat(F.lit("https://"), F.lower("c_mktsegment"), F.lit(".dev")))
+    resolved = tb.read(spark, sf, "customer").filter("c_custkey % 7 <> 0").select(
+        F.concat(F.lit("s"), key.cast("string")).alias("id"), url.alias("docs_url"), F.concat(F.lit("own/"), key.cast("string")).alias("repo"))
+    return freshness.docs_moved(_libs(spark, sf), resolved).select("id", "docs_url", "full")
+
+
 @register("gate", """SELECT count(*) FILTER (quality = 1) AS hits, count(*) AS total, round(100.0 * count(*) FILTER (quality = 1) / count(*), 6) AS pct, 100.0 * count(*) FILTER (quality = 1) / count(*) >= 40 AS passed FROM labels WHERE toxic = 0""")
 def _(spark, sf):
     outcome = F.when(F.col("toxic") == 1, "n/a").when(F.col("quality") == 1, "@1").otherwise("miss")
