@@ -679,6 +679,40 @@ def _(spark, sf):
     return upsert.replace_pages(docs.withColumn("origin", F.lit("old")), incoming)
 
 
+# The stored fingerprints start the walk; pages that the same write brings anew are not among them.
+# A page is replaced only by a text that stays: a dropped copy leaves the stored page as it is.
+S_ADDED = f"""WITH RECURSIVE {S_SIMHASH}, {S_CHUNKS},
+inc AS (SELECT doc_id, source, CASE WHEN lang = 'en' THEN path ELSE 'copy/' || doc_id END AS path FROM documents JOIN chunks ON chunk_id = doc_id WHERE lang IN ('en', 'de')),
+gone AS (SELECT DISTINCT source, unnest([base, base || '.html', base || '/']) AS path FROM (SELECT source, regexp_replace(regexp_replace(path, '/+$', ''), '\\.html$', '') AS base FROM inc)),
+standing AS (SELECT c.* FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.source = c.lib_id AND g.path = c.path)),
+held AS (SELECT source, list(simhash) AS kept FROM sim JOIN standing ON doc_id = chunk_id WHERE length(sim.text) >= 300 AND simhash <> 0 GROUP BY source),
+cand AS (SELECT doc_id, source, simhash, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM sim SEMI JOIN inc USING (doc_id) WHERE length(text) >= 300 AND simhash <> 0),
+walk AS (SELECT source, 0::BIGINT AS n, -1::BIGINT AS doc_id, coalesce(kept, []::BIGINT[]) AS kept, false AS stays FROM (SELECT DISTINCT source FROM cand) LEFT JOIN held USING (source)
+  UNION ALL SELECT source, n, doc_id, CASE WHEN far THEN list_append(kept, simhash) ELSE kept END, far FROM (
+    SELECT c.source, c.n, c.doc_id, c.simhash, k.kept, len(list_filter(k.kept, lambda h: bit_count(xor(h, c.simhash)) <= 6)) = 0 AS far
+    FROM walk k JOIN cand c ON c.source = k.source AND c.n = k.n + 1)),
+fresh AS (SELECT doc_id FROM sim SEMI JOIN inc USING (doc_id) WHERE length(text) < 300 OR simhash = 0 UNION ALL SELECT doc_id FROM walk WHERE stays),
+wrote AS (SELECT doc_id, source, path, regexp_replace(regexp_replace(path, '/+$', ''), '\\.html$', '') AS base FROM fresh JOIN inc USING (doc_id)),
+lost AS (SELECT DISTINCT source, unnest([base, base || '.html', base || '/']) AS path FROM wrote)
+SELECT lib_id, path, md5(text) AS digest, false AS is_new FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM lost l WHERE l.source = c.lib_id AND l.path = c.path)
+UNION ALL SELECT inc.source, inc.path, md5(text), true FROM fresh JOIN inc USING (doc_id) JOIN sim USING (doc_id)"""
+
+
+@register("add_chunks_stored", S_ADDED)
+def _(spark, sf):
+    """English pages are written again, German ones once more under another path, into a store that holds all."""
+    docs = stored(tb.chunks(spark, sf).join(hashing.add_simhash(spread(tb.read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")), "chunk_id"), "chunk_id"))
+    mark = F.when((F.length("text") >= 300) & (F.col("simhash") != 0), F.col("simhash"))
+    existing = docs.withColumn("simhash", mark).withColumn("fetched_at", F.lit(_NOW).cast("timestamp"))
+    lang = tb.read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
+    path = F.when(F.col("lang") == "en", F.col("path")).otherwise(F.concat(F.lit("copy/"), F.col("chunk_id").cast("string")))
+    incoming = docs.drop("simhash").join(lang.filter("lang IN ('en', 'de')"), "chunk_id").select(
+        "lib_id", "ver", path.alias("path"), "title", "text", F.lit(_NOW).cast("timestamp").alias("fetched_at"), F.col("chunk_id").alias("ord"))
+    last = docs.agg(F.max("chunk_id")).first()[0] or 0
+    out = upsert.add_chunks(existing, incoming, last)
+    return out.select("lib_id", "path", F.md5("text").alias("digest"), (F.col("chunk_id") > last).alias("is_new"))
+
+
 S_LIBS = """libs AS (SELECT 's' || s_suppkey AS id, s_name AS name, 'own/' || s_suppkey AS repo, 'https://docs' || (s_suppkey % 40) || '.dev' AS docs_url, s_acctbal AS trust,
     CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '1.' || s_nationkey END AS latest_ver, s_suppkey % 2 = 0 AS "full", s_suppkey % 5 AS stable FROM supplier)"""
 
