@@ -184,6 +184,30 @@ def test_licences(spark):
     assert got == [(1, "mit"), (1, "mit"), (2, "unknown"), (5, "cc-by-sa"), (7, "apache-2.0")]
 
 
+def test_licence_notices_wrapped_over_lines(spark):
+    fitted = licences.fit(licences.labelled_table(spark))
+    bsd = """ * Copyright (c) 2020, Someone
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are
+ * met:
+ *
+ * 1. Something else."""
+    lgpl = """# This library is free software; you can redistribute it and/or
+# modify it under the terms of the GNU Lesser General Public
+# License as published by the Free Software Foundation; either
+# version 2.1 of the License, or (at your option) any later version."""
+    publisher = "No part of this publication may be reproduced\r\nwithout the prior written permission\r\nof the publisher"
+    nc = "This work is licensed under a Creative Commons Attribution\nNonCommercial 4.0 International License."
+    both = "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."
+    prose = " ".join(f"word{i} and" for i in range(200))
+    texts = [bsd, lgpl, publisher, nc, both, f"{prose}\nNo part of this publication may\nbe reproduced without the prior written\npermission of the publisher. {prose}",
+             f"{prose}\n{prose[:90]}\nLicensed under CC BY 4.0\n{prose}", "// Dedicated to the public\n// domain under CC0 1.0."]
+    found = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), fitted).where("family != 'unknown'").collect()
+    assert sorted((r.doc_id, r.family) for r in found) == [
+        (0, "bsd"), (1, "lgpl"), (2, "proprietary"), (3, "cc-by-nc"), (4, "apache-2.0"), (4, "mit"), (5, "proprietary"), (6, "cc-by"), (7, "cc0")]
+
+
 def test_language_fuses_its_evidence(spark):
     words = {"aa": "the and of that with", "bb": "der und die das nicht"}
     train = spark.createDataFrame([(" ".join(random.Random(i).choices(w.split(), k=40)), k) for i in range(30) for k, w in words.items()], "text string, language string")
