@@ -6,8 +6,8 @@ the token and of its two neighbours on either side: word shape and length, digit
 the sign itself, a cue word, and whether white space stands before. It is trained on a small labelled table by
 maximum likelihood and decoded by Viterbi over batches of stretches of even length.
 
-A stretch is what stands within ``REACH`` characters of a digit or an at sign; elsewhere the field
-may only label outside, so the rest of a text needs no decoding. A decoded span is kept if its digits are
+A stretch is what stands within ``REACH`` characters of a digit, an at sign, the word "at" in brackets or
+the word "at" shortly before the word "dot", in any case of letters; the rest of a text is not decoded. A decoded span is kept if its digits are
 plausible for its kind and it overlaps no pattern span.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 #: Most labelled rows that are fitted.
 FIT_ROWS = 2000
-#: Characters around a digit or at sign that are decoded.
+#: Characters around a digit, at sign or spelled "at" that are decoded.
 REACH = 80
 #: Score that the first token of a span must overcome besides; favours precision.
 CAUTION = 1.5
@@ -216,11 +216,16 @@ def labelled_table(spark: SparkSession, rows: int = 420, seed: int = 3) -> DataF
     name = lambda: "".join(rng.choice("abcdefghilmnoprst") for _ in range(rng.randint(3, 9)))
     byte = lambda: str(rng.randint(0, 255))
     top = lambda: rng.choice(["com", "org", "net", "de", "fr", "es"])
+    pair = lambda: rng.choice(["()", "[]", "{}", "<>"])
+    case = lambda t: rng.choice([t, t, t.upper(), t.title()])
+    bracketed = lambda b: case(f"{name()} {b[0]}at{b[1]} {name()} {b[0]}dot{b[1]} {top()}")
     forms = {
         "email": [
             lambda: f"{name()}@{name()}.{top()}", lambda: f"{name()}.{d(2)}@{name()}{d(1)}.{name()}.{top()}",
             lambda: f"{name()} (at) {name()} (dot) {top()}", lambda: f"{name()} [at] {name()} [dot] {top()}",
-            lambda: f"{name()} @ {name()} . {top()}", lambda: f"{name()}{d(2)} at {name()}{d(1)} dot {top()}"],
+            lambda: f"{name()} @ {name()} . {top()}", lambda: f"{name()}{d(2)} at {name()}{d(1)} dot {top()}",
+            lambda: case(f"{name()} at {name()} dot {top()}"), lambda: case(f"{name()} at {name()} dot {top()}"), lambda: bracketed(pair()),
+            lambda: case(f"{name()} dot {name()} at {name()} dot {top()}"), lambda: case(f"{name()} at {name()} dot {name()} dot {top()}")],
         "ip": [
             lambda: ".".join(byte() for _ in range(4)), lambda: "[.]".join(byte() for _ in range(4)),
             lambda: "(.)".join(byte() for _ in range(4)), lambda: " . ".join(byte() for _ in range(4))],
@@ -235,7 +240,7 @@ def labelled_table(spark: SparkSession, rows: int = 420, seed: int = 3) -> DataF
         lambda: f"20{d(2)}-0{d(1)}-1{d(1)}", lambda: f"1{d(1)}:{d(2)}", lambda: f"version {d(1)}.{d(1)}", lambda: f"v{d(1)}.{d(1)}.{d(2)}",
         lambda: f"${d(1)},{d(3)}.{d(2)}", lambda: f"{d(2)} %", lambda: d(4), lambda: d(6), lambda: f"page {d(3)}", lambda: f"{d(2)}.{d(2)}.20{d(2)}",
         lambda: f'token = "{"".join(rng.choice("0123456789abcdef") for _ in range(40))}"', lambda: f"ISBN 978-{d(1)}-{d(3)}-{d(5)}-{d(1)}",
-        lambda: f"{d(3)} x {d(3)}", lambda: f"{d(1)},{d(3)},{d(3)}", lambda: f"{d(4)}-{d(4)}", lambda: f"{name()} at {name()}", lambda: f"@{name()}",
+        lambda: f"{d(3)} x {d(3)}", lambda: f"{d(1)},{d(3)},{d(3)}", lambda: f"{d(4)}-{d(4)}", lambda: f"{name()} at {name()}", lambda: case(f"{name()} at the {name()} dot"), lambda: f"{name()} dot at {name()}", lambda: f"@{name()}",
         lambda: f"CC BY-NC {d(1)}.{d(1)}", lambda: f"{d(2)}:{d(2)}:{d(2)}", lambda: f"#{d(5)}", lambda: f"{d(1)}.{d(5)}", lambda: f"{d(10)}", lambda: f"{d(13)}"]
     cues = {"email": ["mail", "e-mail:", "write to"], "ip": ["ip", "host", "server"], "card": ["card", "visa"], "phone": ["tel", "call", "phone:", "mobile"]}
     out = []
@@ -276,11 +281,11 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 # ---------------------------------------------------------------- decoding
 
-_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
+_TRIGGER = re.compile(r"[0-9@]|[(\[{<]\s*[Aa][Tt]\s*[)\]}>]|\b[Aa][Tt]\b(?=(?s:.){1,%d}?\b[Dd][Oo][Tt]\b)" % REACH)
 
 
 def stretches(text: str) -> list[Span]:
-    """What stands near a digit or at sign, in stretches that do not overlap."""
+    """What stands near a digit, an at sign or a spelled "at", in stretches that do not overlap."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = m.start(), m.end()
@@ -304,7 +309,7 @@ def stretches(text: str) -> list[Span]:
 def _plausible(kind: str, text: str) -> bool:
     digits = _digits(text)
     if kind == "email":
-        return ("@" in text or re.search(r"\bat\b", text) is not None) and ("." in text or re.search(r"\bdot\b", text) is not None)
+        return ("@" in text or re.search(r"(?i)\bat\b", text) is not None) and ("." in text or re.search(r"(?i)\bdot\b", text) is not None)
     if kind == "ip":
         parts = re.findall(r"[0-9]+", text)
         return len(parts) == 4 and all(map(_small, parts))

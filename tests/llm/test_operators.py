@@ -125,6 +125,15 @@ def test_patterns_and_added_spans(spark):
     assert [tuple(r) for r in personal.without(docs, model).collect()] == [(1, "[EMAIL]", "en", 7), (2, None, "en", None)]
 
 
+def test_spelled_addresses_without_digits(spark):
+    model = personal.fit(personal.labelled_table(spark))
+    filler = "nothing of note stands here and so it goes on. " * 8
+    forms = ["jane at example dot com", "JANE AT EXAMPLE DOT COM", "jane (AT) example (DOT) com", "jane [At] example [Dot] org", "jane {at} example {dot} net", "jane <at> example <dot> de"]
+    texts = [f"{filler}write to {f}, {filler}" for f in forms]
+    _, both = personal.all_spans(texts, *model, personal.TokenClasses())
+    assert [[t[a:b] for a, b in k[0]] for t, k in zip(texts, both)] == [[f] for f in forms]
+
+
 def test_viterbi_agrees_with_all_paths():
     rng = np.random.default_rng(4)
     e, m = rng.normal(size=(1, 3, personal.N_STATES)), rng.normal(size=(personal.N_STATES + 1, personal.N_STATES))
