@@ -45,11 +45,13 @@ _NONE = "\x00none"
 def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Text model from ``labelled (text, language)``: languages and log P(byte | two bytes before).
 
-    A bounded sample is used: the ``LANGUAGES`` languages with most rows, ties by name, and of each
-    ``FIT_ROWS`` rows, the first by hash of the text among those a hash threshold lets through.
+    A bounded sample is used: the ``LANGUAGES`` languages with most distinct texts, ties by name, and of each
+    ``FIT_ROWS`` texts, the first by hash among those a hash threshold lets through. The threshold follows
+    the number of distinct texts and lets all of up to twice ``FIT_ROWS`` through, so copies take no place.
     """
     rows = labelled.where("text is not null and language is not null and language != ''").withColumn("language", F.lower("language"))
-    counts = dict(rows.groupBy("language").count().orderBy(F.desc("count"), "language").limit(LANGUAGES).collect())
+    distinct = rows.select("language", F.xxhash64("text").alias("h")).distinct()
+    counts = dict(distinct.groupBy("language").count().orderBy(F.desc("count"), "language").limit(LANGUAGES).collect())
     spread, chance = 1 << 30, F.lit(0)
     for name, n in counts.items():
         chance = F.when(F.col("language") == name, F.lit(min(spread, 2 * FIT_ROWS * spread // n))).otherwise(chance)
@@ -217,12 +219,17 @@ def known(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None) ->
     """Rows of ``docs`` (doc_id, text, lang, source and more columns) in a language that it knows.
 
     ``lang`` is what is declared, ``source`` stands for the host. Only rows found to be in no known
-    language by their text and by all evidence go; rows without letters stay. Without a model, one is fitted on ``docs``.
+    language by their text and by all evidence go; rows without letters stay. Without a model, one is fitted on ``docs``; then rows stay too whose declared
+    language has no model, since nothing is known about it.
     """
+    own = model is None
     model = model or fit(docs.select("text", F.col("lang").alias("language")))
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text", "lang", "source"))
     found = identify(keyed.select(
         F.col("__row").alias("id"), "text", F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"),
         F.col("source").alias("host")), model)
-    gone = found.where((F.col("language") == UNKNOWN) & (F.col("text_language") == UNKNOWN)).select(F.col("id").alias("__row")).distinct()
+    nothing = (F.col("language") == UNKNOWN) & (F.col("text_language") == UNKNOWN)
+    if own:
+        nothing &= F.col("declared").isNull() | F.col("declared").isin(model[0])
+    gone = found.where(nothing).select(F.col("id").alias("__row")).distinct()
     return keyed.join(gone, "__row", "left_anti").select(*docs.columns)

@@ -233,6 +233,17 @@ def test_language_fuses_its_evidence(spark):
     assert {r.doc_id for r in language.known(docs, model).collect()} == {1, 3, None}
 
 
+def test_language_of_many_copies_and_of_no_model(spark, monkeypatch):
+    monkeypatch.setattr(language, "FIT_ROWS", 4)
+    own = [(f"the cat number {w} sleeps", "en") for w in "abcdefghijklmnopqrst"] * 5
+    copies = [("кошка спит на окне", "ru")] * 3000
+    docs = spark.createDataFrame(own + copies, "text string, language string")
+    assert language.fit(docs)[0] == ["en", "ru"]
+    monkeypatch.setattr(language, "LANGUAGES", 1)
+    table = docs.selectExpr("monotonically_increasing_id() AS doc_id", "text", "language AS lang", "'s' AS source").cache()
+    assert language.known(table).count() == len(own) + len(copies)
+
+
 @pytest.mark.parametrize("compression", ["gzip", "none"])
 def test_archives_read_back(spark, compression):
     html = "<p>é</p>\r\n\r\n" * 3
