@@ -5,11 +5,12 @@ them on average. The 24 places are split into chunks of 5, 5, 5, 5 and 4; by pig
 that differ in at most 13 places differ in at most 2, 2, 2, 2 or 1 places of some chunk (more in
 each would sum to 14). Enumerating the places that may differ leaves 4 x 10 + 4 = 44 keys of three
 agreeing values, so every pair within distance 13 shares a key. At similarity 0.75 exactly, a pair
-shares no key with a probability of 3e-5, and less above it.
+shares no key with a probability of 3e-5, and less above it. Pairs that share a key are compared up to
+distance 17; a pair of that similarity lies beyond with a probability of 4e-7.
 
 Pairs that share a key are confirmed on full shingle sets. Texts with one shingle set are one row
 here. In a bucket, all rows meet its least row first; only where a bucket still holds several
-components do the pairs across components follow, in blocks and within the distance bound; those are
+components do the pairs across components follow, in blocks and within distance 17; those are
 confirmed where they meet, and only a spanning forest of the links leaves a block. So a group of
 copies costs one comparison per row, no list of all its pairs is made, and no link is lost.
 """
@@ -33,6 +34,9 @@ PLACES = 24
 CHUNKS = ((range(0, 5), 3), (range(5, 10), 3), (range(10, 15), 3), (range(15, 20), 3), (range(20, 24), 3))
 #: Signature distance up to which every pair is found.
 DISTANCE = sum(len(places) - agree + 1 for places, agree in CHUNKS) - 1
+#: Signature distance up to which pairs that share a key are compared: at similarity 0.75 a pair is
+#: farther apart with a probability of 4e-7.
+FAR = 17
 #: Chunk and agreeing places of each key.
 KEYS = [(c, chosen) for c, (places, agree) in enumerate(CHUNKS) for chosen in combinations(places, agree)]
 #: Link where 100 * intersection >= SHARE * union.
@@ -136,7 +140,7 @@ def _candidates(group: pa.Table) -> np.ndarray:
         if at < chunk:
             fine &= here < least
         agree += here
-    fine &= PLACES - agree <= DISTANCE
+    fine &= PLACES - agree <= FAR
     x, y = np.nonzero(fine)
     return np.stack([left[x], right[y]], axis=1)
 
@@ -196,7 +200,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = narrow.select(F.col("id").alias("a"), F.col("signature").alias("sign_a"))
     second = narrow.select(F.col("id").alias("b"), F.col("signature").alias("sign_b"))
     stars = shared.where("id != a").select("a", F.col("id").alias("b")).distinct()
-    stars = kept(stars.join(first, "a").join(second, "b").where(_distance("sign_a", "sign_b") <= DISTANCE).select("a", "b").distinct())
+    stars = kept(stars.join(first, "a").join(second, "b").where(_distance("sign_a", "sign_b") <= FAR).select("a", "b").distinct())
     linked = kept(_links(stars, _texts(docs, stars)).unionByName(_repeated(known, classes)))
     labels = kept(components(linked))
     # what stands in one bucket but in several components meets across them

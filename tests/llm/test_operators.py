@@ -1,10 +1,12 @@
 """Small cases of each operator, against brute force or an exact round trip."""
 
 import itertools
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,29 @@ def test_key_bound():
         assert any(not differ & set(chosen) for _, chosen in near_dup.KEYS)
 
 
+def test_far_signatures_of_like_texts_are_compared(spark):
+    tail = sum(math.comb(24, k) * 0.25**k * 0.75 ** (24 - k) for k in range(near_dup.FAR + 1, 25))
+    assert tail < 1e-6
+    rng, base = random.Random(5), [f"w{i}" for i in range(300)]
+    found = None
+    while not found:
+        texts = [" ".join(base)]
+        for _ in range(2000):
+            w = list(base)
+            for p in rng.sample(range(300), 9):
+                w[p] = f"x{rng.random()}"
+            texts.append(" ".join(w))
+        made = next(near_dup._signed([pa.record_batch({"id": pa.array(range(len(texts))), "text": pa.array(texts)})]))
+        signs = np.array(made.column("signature").to_pylist())
+        for i in np.flatnonzero((signs[1:] != signs[0]).sum(axis=1) > near_dup.DISTANCE) + 1:
+            a, b = shingles(texts[0]), shingles(texts[i])
+            key = any(all(signs[0][p] == signs[i][p] for p in chosen) for _, chosen in near_dup.KEYS)
+            if key and 100 * len(a & b) >= 75 * len(a | b):
+                found = [(1, texts[0]), (2, texts[i])]
+    got = near_dup.near_duplicates(spark.createDataFrame(found, "id long, text string")).collect()
+    assert {r.component_id for r in got} == {1}
+
+
 def test_containment_agrees_with_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     vocabulary = [f"v{i}" for i in range(4000)]
