@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import chat, decontaminate, language, licences, mixing, near_dup, personal, tokens, vector_dup, warc
+from . import (
+    chat, decontaminate, language, licences, line_dedup, mixing, near_dup, negatives, personal, tokens, vector_dup, warc, whitening)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,9 +77,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), label.alias("label"), "embedding", (F.col("vec_id") % 50 == 0).alias("anchor")))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.without_shared_lines(docs, line_dedup.keep_bitmaps(docs)).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f for f in (
-        op1_decontaminate, op2_token_counts, op3_personal_data, op4_vector_duplicates, op5_chat_format, op6_mix_sources, op7_licences, op8_near_duplicates, op9_language, op10_warc)
+        op1_decontaminate, op2_token_counts, op3_personal_data, op4_vector_duplicates, op5_chat_format, op6_mix_sources, op7_licences, op8_near_duplicates, op9_language, op10_warc,
+        op11_hard_negatives, op12_line_dedup, op13_whitening)
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
@@ -139,6 +157,30 @@ SELECT page_id, payload_bytes,
     (('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) % 32 + 1, 1)), '') AS payload_digest,
   CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
 FROM f
+""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS s
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 50 = 0),
+g AS (SELECT * FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT g.a AS anchor_id, g.b AS positive_id, p.b AS negative_id, g.s AS positive_score, p.s AS negative_score
+  FROM g JOIN p ON p.a = g.a AND NOT p.same AND 50 * g.s <= 100 * p.s AND 100 * p.s <= 95 * g.s)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id)::INT AS rank,
+  negative_id, positive_score, negative_score FROM n
+QUALIFY rank <= 3
+""",
+    "op12_line_dedup": """
+WITH l AS (SELECT doc_id, generate_subscripts(a, 1) AS pos, unnest(a) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
+f AS (SELECT k, max(doc_id) AS last FROM k WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT doc_id, pos, line, last IS NULL OR last = doc_id AS stays FROM k LEFT JOIN f USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
+FROM m GROUP BY doc_id
 """,
     "op8_near_duplicates": f"""
 WITH RECURSIVE d AS MATERIALIZED ({_shingles('documents', 'doc_id')}),

@@ -83,3 +83,11 @@ class Forest:
         x, y = self.root(x), self.root(y)
         self.above[max(x, y)] = min(x, y)
         return x != y
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column is called so, in upper or lower case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
