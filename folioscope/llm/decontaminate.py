@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import kept, positions
+from .tables import kept, positions, unused
 from .words import MinHash, WordHashes, shingle_row, words_of
 
 ORDERS = 48
@@ -184,7 +184,12 @@ def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (any columns) whose document contains no item; rows without an id by text."""
-    keyed = docs.withColumn("__row", F.coalesce(F.col("doc_id"), F.xxhash64("text")))
-    leaks = contained(keyed.select(F.col("__row").alias("doc_id"), "text"), items)
-    return keyed.join(leaks.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(*docs.columns)
+    """Rows of ``docs`` (any columns) whose document contains no item; rows without an id by text.
+
+    Repeated rows go or stay together: if one row of an id holds an item, all rows of that id go.
+    Null and empty texts hold nothing and stay, unless another row of their id goes.
+    """
+    row = unused(docs.columns, "__row")
+    keyed = docs.withColumn(row, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    leaks = contained(keyed.select(F.col(row).alias("doc_id"), "text"), items)
+    return keyed.join(leaks.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

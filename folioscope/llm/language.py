@@ -17,16 +17,18 @@ bounded, so that a long text does not drown the other evidence.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import kept
+from ..session import small_side
+from .tables import kept, unused
 
-#: Most labelled rows of each language that the text model is fitted on, and most languages.
+#: Most labelled texts of each language that the text model is fitted on; every language has a model.
 FIT_ROWS = 400
-LANGUAGES = 64
 UNKNOWN = "und"
 #: Trigrams are looked up by a hash of so many bits.
 SLOT_BITS = 18
@@ -42,26 +44,81 @@ UNKNOWN_PRIOR = 0.01
 _NONE = "\x00none"
 
 
-def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Text model from ``labelled (text, language)``: languages and log P(byte | two bytes before).
+#: Slots of a text that are looked up at once, which bounds memory for any text and number of languages.
+LOOKED_UP = 4096
+
+
+@dataclass(frozen=True)
+class Model:
+    """Languages, and for each trigram slot the languages that know it with log P(byte | two bytes before).
+
+    Slots that no language knows are not held. ``starts[i]`` to ``starts[i + 1]`` are the entries of ``slots[i]``;
+    ``gain`` is what an entry adds to the value of an unknown trigram, which is the same in all languages.
+    """
 
-    A bounded sample is used: the ``LANGUAGES`` languages with most distinct texts, ties by name, and of each
-    ``FIT_ROWS`` texts, the first by hash among those a hash threshold lets through. The threshold follows
-    the number of distinct texts and lets all of up to twice ``FIT_ROWS`` through, so copies take no place.
+    names: list[str]
+    slots: np.ndarray
+    starts: np.ndarray
+    language: np.ndarray
+    gain: np.ndarray
+
+    def log_likelihood(self, slots: np.ndarray) -> np.ndarray:
+        """Of a text with these trigram slots, for each language."""
+        out = np.full(len(self.names), len(slots) * _UNSEEN)
+        slots, counts = np.unique(slots, return_counts=True)
+        at = np.minimum(np.searchsorted(self.slots, slots), max(0, len(self.slots) - 1))
+        known = self.slots[at] == slots if len(self.slots) else np.zeros(len(slots), dtype=bool)
+        at, counts = at[known], counts[known]
+        for begin in range(0, len(at), LOOKED_UP):
+            some, n = at[begin: begin + LOOKED_UP], counts[begin: begin + LOOKED_UP]
+            sizes = self.starts[some + 1] - self.starts[some]
+            before = np.cumsum(sizes) - sizes
+            entries = np.arange(sizes.sum()) + np.repeat(self.starts[some] - before, sizes)
+            out += np.bincount(self.language[entries], self.gain[entries] * np.repeat(n, sizes), len(self.names))
+        return out
+
+
+def fit(labelled: DataFrame) -> Model:
+    """Text model of every language of ``labelled (text, language)``.
+
+    A bounded sample is used: of each language the ``FIT_ROWS`` distinct texts of least hash. A hash
+    threshold that follows the number of distinct texts, and lets all of up to twice ``FIT_ROWS`` through, comes
+    before, so copies take no place and no large language is ordered as a whole. Trigrams are counted by the
+    tasks that hold the texts; what comes to the driver is one row per language. Rows without text or
+    language are left out.
     """
     rows = labelled.where("text is not null and language is not null and language != ''").withColumn("language", F.lower("language"))
-    distinct = rows.select("language", F.xxhash64("text").alias("h")).distinct()
-    counts = dict(distinct.groupBy("language").count().orderBy(F.desc("count"), "language").limit(LANGUAGES).collect())
-    spread, chance = 1 << 30, F.lit(0)
-    for name, n in counts.items():
-        chance = F.when(F.col("language") == name, F.lit(min(spread, 2 * FIT_ROWS * spread // n))).otherwise(chance)
-    drawn = rows.select("language", "text", F.xxhash64("text").alias("h")).where(F.pmod("h", F.lit(spread)) < chance)
-    texts: dict[str, list] = {name: [] for name in sorted(counts)}
-    for name, text, h in drawn.distinct().collect():
-        texts[name].append((h, text))
-    texts = {name: sorted(own)[:FIT_ROWS] for name, own in texts.items() if own}
-    logs = [_logs([t for _, t in own]) for own in texts.values()]
-    return list(texts), np.stack(logs, axis=1) if logs else np.zeros((1 << SLOT_BITS, 0), dtype=np.float32)
+    hashed = rows.select("language", "text", F.xxhash64("text").alias("h"))
+    counts = hashed.groupBy("language", "h").agg(F.lit(1)).groupBy("language").agg(F.count("*").alias("n"))
+    spread = 1 << 30
+    limit = counts.select("language", F.least(F.lit(spread), F.floor(F.lit(2 * FIT_ROWS * spread) / F.col("n"))).alias("below"))
+    drawn = hashed.join(small_side(limit), "language").where(F.pmod("h", F.lit(spread)) < F.col("below"))
+    drawn = drawn.groupBy("language", "h").agg(F.min("text").alias("text"))
+    place = Window.partitionBy("language").orderBy("h")
+    drawn = drawn.withColumn("nth", F.row_number().over(place)).where(F.col("nth") <= FIT_ROWS)
+
+    def counted(batches):
+        for batch in batches:
+            for name, text in zip(batch.column("language").to_pylist(), batch.column("text").to_pylist()):
+                codes, n = np.unique(_trigrams(_bytes(text)), return_counts=True)
+                yield pa.record_batch({"language": pa.array([name] * len(codes), pa.string()), "code": codes.astype(np.int32), "n": n.astype(np.int64)})
+
+    def logged(table):
+        slots, logs = _logs(table.column("code").to_numpy(), table.column("n").to_numpy())
+        return pa.table({"language": table.column("language").slice(0, 1), "slots": pa.array([slots.tobytes()], pa.binary()), "gain": pa.array([logs.tobytes()], pa.binary())})
+
+    sums = drawn.select("language", "text").mapInArrow(counted, "language string, code int, n long").groupBy("language", "code").agg(F.sum("n").alias("n"))
+    found = sorted(sums.groupBy("language").applyInArrow(logged, "language string, slots binary, gain binary").collect())
+    slots = [np.frombuffer(r["slots"], dtype=np.uint32) for r in found]
+    gains = [np.frombuffer(r["gain"], dtype=np.float32) for r in found]
+    if not found:
+        none = np.zeros(0, dtype=np.uint32)
+        return Model([], none, np.zeros(1, dtype=np.int64), none, none)
+    languages = np.repeat(np.arange(len(found), dtype=np.uint32), [len(s) for s in slots])
+    all_slots = np.concatenate(slots)
+    order = np.argsort(all_slots, kind="stable")
+    distinct, starts = np.unique(all_slots[order], return_index=True)
+    return Model([r["language"] for r in found], distinct, np.append(starts, len(order)), languages[order], np.concatenate(gains)[order])
 
 
 def _bytes(text: str) -> np.ndarray:
@@ -92,35 +149,39 @@ def _trigrams(b: np.ndarray) -> np.ndarray:
     return (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]
 
 
-def _logs(texts: list[str]) -> np.ndarray:
-    """log P(byte | two before) of every trigram slot; unseen trigrams have the uniform share only."""
-    joined = np.concatenate([_bytes(t) for t in texts])
-    codes, counts = np.unique(_trigrams(joined), return_counts=True)
+_UNSEEN = np.log(MIX[3] / 256)
+
+
+def _logs(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of counted trigrams, and log P(byte | two before) above that of unseen ones."""
+    order = np.argsort(codes)
+    codes, counts = codes[order], counts[order]
     a, b, c = codes >> 16, (codes >> 8) & 255, codes & 255
     three, two, one = np.zeros((256, 256)), np.zeros((256, 256)), np.zeros(256)
     np.add.at(three, (a, b), counts)
     np.add.at(two, (b, c), counts)
     np.add.at(one, c, counts)
     p = (MIX[0] * counts / three[a, b] + MIX[1] * two[b, c] / two.sum(axis=1)[b] + MIX[2] * one[c] / one.sum() + MIX[3] / 256)
-    out = np.full(1 << SLOT_BITS, np.log(MIX[3] / 256))
-    np.maximum.at(out, _slots(codes), np.log(p))
-    return out.astype(np.float32)
+    slots, at = np.unique(_slots(codes), return_inverse=True)
+    best = np.full(len(slots), -np.inf)
+    np.maximum.at(best, at, np.log(p))
+    return slots, (best - _UNSEEN).astype(np.float32)
 
 
 def _scorer(model):
     def run(batches):
-        names, logs = model.value
+        fitted = model.value
         uniform = np.log(1 / 256)
         for batch in batches:
             out, lettered = [], []
             for text in batch.column("text").to_pylist():
                 folded = _bytes(text or "")
-                if len(folded) < 4 or not names:  # blanks only
-                    out.append([0.0] * (len(names) + 1))
+                if len(folded) < 4 or not fitted.names:  # blanks only
+                    out.append([0.0] * (len(fitted.names) + 1))
                     lettered.append(False)
                     continue
                 lettered.append(True)
-                total = logs[_slots(_trigrams(folded))].sum(axis=0, dtype=np.float64) * TEMPER
+                total = fitted.log_likelihood(_slots(_trigrams(folded))) * TEMPER
                 total = np.concatenate([total, [uniform * (len(folded) - 2) * TEMPER]])
                 out.append(np.maximum(total - total.max(), -MOST).tolist())
             columns = {name: batch.column(name) for name in ("id", "declared", "suffix", "host")}
@@ -154,7 +215,7 @@ def _best(logs: Column, names: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in [*names, UNKNOWN]]), F.array_position(logs, F.array_max(logs)).cast("int"))
 
 
-def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def identify(rows: DataFrame, model: Model) -> DataFrame:
     """Language of each row of ``rows (id, text, declared, suffix, host)``.
 
     Returns ``id, language, posterior, text_language, declared, suffix, host``, one row per input
@@ -162,7 +223,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     none of that either, by the whole table's prior. ``und`` means no known language. A missing
     declared value or suffix says nothing; a missing host has only the prior of the table. Ties go to the first language by name. Other columns are not read.
     """
-    names = model[0]
+    names = model.names
     spark = rows.sparkSession
     rows = rows.select(
         F.col("id").cast("long").alias("id"), "text", _value("declared").alias("declared"),
@@ -215,21 +276,20 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     return fused.select("id", _best(F.col("logs"), names).alias("language"), (1 / mass).alias("posterior"), "text_language", *shown)
 
 
-def known(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
-    """Rows of ``docs`` (doc_id, text, lang, source and more columns) in a language that it knows.
+def known(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text, lang, source and any columns) in a language that it knows.
 
     ``lang`` is what is declared, ``source`` stands for the host. Only rows found to be in no known
-    language by their text and by all evidence go; rows without letters stay. Without a model, one is fitted on ``docs``; then rows stay too whose declared
-    language has no model, since nothing is known about it.
+    language by their text and by all evidence go; rows without letters stay, null and empty texts among them.
+    Without a model, one is fitted on ``docs``, of every declared language. Rows equal in these four columns go or
+    stay together. No rows: no result.
     """
-    own = model is None
     model = model or fit(docs.select("text", F.col("lang").alias("language")))
-    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text", "lang", "source"))
+    row = unused(docs.columns, "__row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text", "lang", "source"))
     found = identify(keyed.select(
-        F.col("__row").alias("id"), "text", F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"),
+        F.col(row).alias("id"), "text", F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"),
         F.col("source").alias("host")), model)
     nothing = (F.col("language") == UNKNOWN) & (F.col("text_language") == UNKNOWN)
-    if own:
-        nothing &= F.col("declared").isNull() | F.col("declared").isin(model[0])
-    gone = found.where(nothing).select(F.col("id").alias("__row")).distinct()
-    return keyed.join(gone, "__row", "left_anti").select(*docs.columns)
+    gone = found.where(nothing).select(F.col("id").alias(row)).distinct()
+    return keyed.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

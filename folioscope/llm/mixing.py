@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import kept, positions
+from .tables import kept, positions, unused
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -96,11 +96,13 @@ def emitted(docs: DataFrame) -> DataFrame:
 
     Rows of equal id, source and text are emitted together, with the least of their other columns.
     """
-    columns = docs.columns
-    taken = kept(mixed(docs).groupBy("row").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__alike")).where("__copies > 0"))
-    keyed = docs.withColumn("row", _row())
-    single = keyed.join(taken.where("__alike = 1"), "row").select(*columns, "__copies")
-    several = keyed.join(taken.where("__alike > 1"), "row").groupBy("row", "__copies").agg(
-        F.min(F.struct(*columns)).alias("r")).select("r.*", "__copies")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    row, copies, alike, all_ = (unused(docs.columns, c) for c in ("__row", "__copies", "__alike", "__all"))
+    taken = mixed(docs).groupBy(F.col("row").alias(row)).agg(F.sum("copies").alias(copies), F.count("*").alias(alike))
+    taken = kept(taken.where(F.col(copies) > 0))
+    keyed = docs.withColumn(row, _row())
+    single = keyed.join(taken.where(F.col(alike) == 1), row).select(*columns, copies)
+    several = keyed.join(taken.where(F.col(alike) > 1), row).groupBy(row, copies).agg(
+        F.min(F.struct(*columns)).alias(all_)).select(f"{all_}.*", copies)
     return single.unionByName(several).withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+        alike, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*columns)

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 KINDS = ("email", "ip", "card", "phone")
 #: Most labelled rows that are fitted.
@@ -265,9 +266,10 @@ def labelled_table(spark: SparkSession, rows: int = 420, seed: int = 3) -> DataF
 
 
 def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Weights from ``labelled (text, spans)``, at most its ``FIT_ROWS`` first rows by text."""
+    """Weights from ``labelled (text, spans)``: all of its rows, or the ``FIT_ROWS`` of least text hash."""
     classes, sequences = TokenClasses(), []
-    for row in labelled.where("text is not null").select("text", "spans").orderBy("text").limit(FIT_ROWS).collect():
+    drawn = labelled.where("text is not null").select("text", "spans").orderBy(F.xxhash64("text"), "text").limit(FIT_ROWS)
+    for row in drawn.orderBy("text").collect():
         places, ids = tokenized(row["text"], 0, len(row["text"]), classes)
         gold = np.zeros(len(ids), dtype=np.int64)
         for span in row["spans"] or []:
@@ -421,9 +423,13 @@ def personal_data(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], with_te
 
 
 def without(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``docs`` (text, n_chars and any columns) with personal data replaced and ``n_chars`` counted again; null texts stay null."""
+    """``docs`` (text, n_chars and any columns) with personal data replaced; null texts stay null.
+
+    ``n_chars`` is counted again where there is such a column, in its own type. Empty texts and
+    empty tables come back as they are, repeated rows each for itself; nothing is shuffled.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    counted = next((to_arrow_type(f.dataType) for f in docs.schema if f.name == "n_chars"), None)
 
     def run(batches):
         weights, moves = sent.value
@@ -438,7 +444,7 @@ def without(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             columns = {n: batch.column(n) for n in batch.schema.names}
             columns["text"] = pa.array(new, pa.string())
             if "n_chars" in columns:
-                columns["n_chars"] = pa.array([None if t is None else len(t) for t in new], pa.int64())
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in new], pa.int64()).cast(counted)
             yield pa.record_batch(columns)
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(run, docs.schema)

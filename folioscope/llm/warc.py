@@ -7,7 +7,9 @@ by a seek in plain files, and in compressed ones, too, if their members carry th
 ``sl`` extra field of the format's annex, which the writer sets).
 
 Writing: one or more files per task, under names of their own. The files of tasks that committed
-are listed in ``_files``, so a task that ran twice or was lost leaves nothing that is read.
+are listed in a ``_files-`` list of their commit, so a task that ran twice or was lost leaves nothing
+that is read, and a later commit adds to the earlier ones. A record that its file does not hold to
+its end raises an error, whether payloads are asked for or not.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ _ARROW = pa.schema([
 #: Columns known once a header is parsed.
 HEADER = frozenset(_ARROW.names) - {"payload"}
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_S3 = r"^s3[an]://"
 #: Bytes read at once, payload bytes of a batch, and bytes after which a task starts another file.
 CHUNK, BATCH, FILE = 256 << 10, 8 << 20, 256 << 20
 
@@ -110,6 +113,8 @@ class _Plain:
 
     def skip(self, rest: bytes, length: int) -> None:
         self.at += self.skipped + length + 4
+        if self.at - 4 > self.size:
+            raise ValueError(f"a record is cut: the file ends at {self.size}, the record at {self.at - 4}")
 
 
 class _Packed(_Plain):
@@ -151,6 +156,8 @@ class _Packed(_Plain):
                 self._more(CHUNK)
             self.length = self.fed - len(self.inflate.unused_data)
         self.at += self.length
+        if self.at > self.size:
+            raise ValueError(f"a member is cut: the file ends at {self.size}, the member at {self.at}")
 
 
 def _fields(header: bytes) -> dict[str, str]:
@@ -189,6 +196,9 @@ def records(stream, size: int, name: str, wanted, payloads: bool, verify: bool):
         row |= {"file": name, "offset": reader.at}
         length = row["content_length"]
         if wanted(row):
+            # a record that the file does not hold to its end is no record
+            if isinstance(reader, _Plain) and not isinstance(reader, _Packed) and reader.at + reader.skipped + length > size:
+                raise ValueError(f"{name} at {reader.at}: cut record")
             if (payloads or verify) and row["record_type"] not in ("revisit", "warcinfo"):
                 block = reader.block(rest, length)
                 http = (row["content_type"] or "").startswith("application/http")
@@ -197,7 +207,15 @@ def records(stream, size: int, name: str, wanted, payloads: bool, verify: bool):
                     raise ValueError(f"{name} at {reader.at}: the payload is not the one that was written")
                 row["payload"] = payload if payloads else None
             yield row
-        reader.skip(rest, length)
+        try:
+            reader.skip(rest, length)
+        except ValueError as wrong:
+            raise ValueError(f"{name}: {wrong}") from wrong
+
+
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of ``uri``; Hadoop's names of S3 are S3, too."""
+    return fs.FileSystem.from_uri(re.sub(_S3, "s3://", uri))
 
 
 @dataclass
@@ -235,12 +253,14 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        files, root = fs.FileSystem.from_uri(self.path)
+        files, root = filesystem(self.path)
         found = [i for i in files.get_file_info(fs.FileSelector(root, recursive=True)) if i.is_file] if files.get_file_info(root).type == fs.FileType.Directory else [files.get_file_info(root)]
-        listed = next((i for i in found if i.base_name == "_files"), None)
-        if listed:
-            with files.open_input_file(listed.path) as f:
-                good = set(json.loads(f.read()))
+        lists = [i for i in found if re.fullmatch(r"_files(-[0-9a-f]+)?", i.base_name)]
+        if lists:
+            good: set[str] = set()
+            for listed in lists:
+                with files.open_input_file(listed.path) as f:
+                    good.update(json.loads(f.read()))
             found = [i for i in found if i.base_name in good]
         found = sorted((i for i in found if re.search(r"\.warc(\.gz)?$", i.base_name)), key=lambda i: (-i.size, i.path))
         parts: list[list] = []
@@ -254,7 +274,7 @@ class WarcReader(DataSourceReader):
         return [Files(p) for p in parts] or [Files([])]
 
     def read(self, partition):
-        files, _ = fs.FileSystem.from_uri(self.path)
+        files, _ = filesystem(self.path)
         rows, held = [], 0
 
         def wanted(row):
@@ -278,7 +298,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.packed = options.get("compression", "gzip") == "gzip"
 
     def write(self, iterator):
-        files, root = fs.FileSystem.from_uri(self.path)
+        files, root = filesystem(self.path)
         files.create_dir(root, recursive=True)
         pack = member if self.packed else bytes
         names, out, size = [], None, 0
@@ -300,13 +320,14 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(names)
 
     def commit(self, messages):
-        files, root = fs.FileSystem.from_uri(self.path)
+        files, root = filesystem(self.path)
         files.create_dir(root, recursive=True)
-        with files.open_output_stream(f"{root}/_files", compression=None) as f:
+        # a list for each commit: what was appended before stays listed
+        with files.open_output_stream(f"{root}/_files-{uuid.uuid4().hex}", compression=None) as f:
             f.write(json.dumps([n for m in messages if m for n in m.names]).encode())
 
     def abort(self, messages):
-        files, root = fs.FileSystem.from_uri(self.path)
+        files, root = filesystem(self.path)
         for name in (n for m in messages if m for n in m.names):
             files.delete_file(f"{root}/{name}")
 

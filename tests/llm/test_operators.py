@@ -246,7 +246,7 @@ def test_language_fuses_its_evidence(spark):
     words = {"aa": "the and of that with", "bb": "der und die das nicht"}
     train = spark.createDataFrame([(" ".join(random.Random(i).choices(w.split(), k=40)), k) for i in range(30) for k, w in words.items()], "text string, language string")
     model = language.fit(train)
-    assert model[0] == ["aa", "bb"]
+    assert model.names == ["aa", "bb"]
     rows = [(i, "the of and that with the", "aa", "aa", "x.host.com") for i in range(30)] + [(100, None, "aa", None, "x.host.com"), (101, "", None, None, None),
             (102, "und das nicht die der und das nicht und die der", "aa", None, "x.host.com"), (103, "qzx " * 300, None, None, None), (104, "12 34 !?", "bb", "bb", None)]
     rows += [(200 + i, "und die das nicht der", "bb", "bb", "y.other.com") for i in range(10)]
@@ -263,12 +263,95 @@ def test_language_of_many_copies_and_of_no_model(spark, monkeypatch):
     own = [(f"the cat number {w} sleeps", "en") for w in "abcdefghijklmnopqrst"] * 5
     copies = [("кошка спит на окне", "ru")] * 3000
     docs = spark.createDataFrame(own + copies, "text string, language string")
-    assert language.fit(docs)[0] == ["en", "ru"]
-    monkeypatch.setattr(language, "LANGUAGES", 1)
+    assert language.fit(docs).names == ["en", "ru"]
     table = docs.selectExpr("monotonically_increasing_id() AS doc_id", "text", "language AS lang", "'s' AS source").cache()
     assert language.known(table).count() == len(own) + len(copies)
 
 
+def test_every_declared_language_has_a_model(spark):
+    rng = random.Random(8)
+    words = {f"l{i:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(8)] for i in range(90)}
+    rows = [(" ".join(rng.choices(w, k=30)), name) for name, w in words.items() for _ in range(3)]
+    model = language.fit(spark.createDataFrame(rows, "text string, language string"))
+    assert model.names == sorted(words)
+    asked = [(i, " ".join(rng.choices(w, k=60)), None, None, None) for i, w in enumerate(words.values())]
+    asked = spark.createDataFrame(asked, "id long, text string, declared string, suffix string, host string")
+    assert {r.id: r.language for r in language.identify(asked, model).collect()} == dict(enumerate(words))
+
+
+def test_long_text_and_empty_tables_of_language(spark):
+    train = spark.createDataFrame([("the and of that with " * 9, "aa"), ("der und die das nicht " * 9, "bb")], "text string, language string")
+    model = language.fit(train)
+    rows = spark.createDataFrame([(1, "the of and " * 300_000, None, None, None)], "id long, text string, declared string, suffix string, host string")
+    assert language.identify(rows, model).first().language == "aa"
+    assert language.identify(rows.limit(0), model).count() == 0 and language.fit(train.limit(0)).names == []
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    assert language.known(docs).count() == 0
+
+
+def plain_language(train, rows):
+    """Languages and posteriors by dictionaries."""
+    logs, names = {}, sorted({lang for _, lang in train})
+    for name in names:
+        three, two, one, pairs = {}, {}, {}, {}
+        for text in sorted({t for t, lang in train if lang == name}):
+            b = bytes(language._bytes(text))
+            for x, y, z in zip(b, b[1:], b[2:]):
+                for table, key in ((three, (x, y, z)), (pairs, (x, y)), (two, (y, z)), (one, z)):
+                    table[key] = table.get(key, 0) + 1
+        firsts = {}
+        for (y, _), n in two.items():
+            firsts[y] = firsts.get(y, 0) + n
+        logs[name] = {k: math.log(0.85 * n / pairs[k[:2]] + 0.1 * two[k[1:]] / firsts[k[1]] + 0.04 * one[k[2]] / sum(one.values()) + 0.01 / 256)
+                      for k, n in three.items()}
+    everyone, told, seen = [*names, "und"], [], {}
+    for i, text, declared, suffix, host in rows:
+        b = bytes(language._bytes(text or ""))
+        scores = [0.0] * len(everyone)
+        if len(b) >= 4:
+            total = [0.1 * sum(logs[n].get(t, math.log(0.01 / 256)) for t in zip(b, b[1:], b[2:])) for n in names] + [0.1 * (len(b) - 2) * math.log(1 / 256)]
+            scores = [max(t - max(total), -30.0) for t in total]
+            told.append((everyone[scores.index(max(scores))], declared, suffix, host))
+        seen[i] = scores
+    whole = {n: sum(t[0] == n for t in told) for n in everyone}
+    prior = [0.99 * (whole[n] + 1) / (len(told) - whole["und"] + len(names)) for n in names] + [0.01]
+    lean = lambda own, above: [(sum(t[0] == n for t in own) + 5 * p) / (len(own) + 5) for n, p in zip(everyone, above)]
+    out = {}
+    for i, text, declared, suffix, host in rows:
+        p = prior
+        if host:
+            domain = lambda h: ".".join(h.split(".")[-2:])
+            of = lambda test: [t for t in told if t[3] and test(t[3])]
+            if of(lambda h: h == host):
+                p = lean(of(lambda h: h.split(".")[-1] == host.split(".")[-1]), prior)
+                p = lean(of(lambda h: domain(h) == domain(host)), p)
+                p = lean(of(lambda h: h == host), p)
+        total = [s + math.log(x) for s, x in zip(seen[i], p)]
+        for at, value in ((1, declared), (2, suffix)):
+            if value and (own := [t for t in told if t[at] == value]):
+                total = [s + math.log(x / q) for s, x, q in zip(total, lean(own, prior), prior)]
+        top = max(total)
+        out[i] = (everyone[total.index(top)], 1 / sum(math.exp(s - top) for s in total))
+    return out
+
+
+def test_language_agrees_with_dictionaries(spark):
+    rng = random.Random(12)
+    words = {"aa": "the and of that with", "bb": "der und die das nicht", "cc": "le et la que dans"}
+    train = [(" ".join(rng.choices(w.split(), k=12)), k) for k, w in words.items() for _ in range(6)]
+    rows = []
+    for i in range(120):
+        own = rng.choice(list(words))
+        text = rng.choice([" ".join(rng.choices(words[own].split(), k=rng.randint(1, 3))), "", None, "zzq xxj", "the und le"])
+        rows.append((i, text, rng.choice([own, "aa", None, ""]), rng.choice([own, None, "zz"]), rng.choice([f"{own}.site.org", "x.site.org", f"www.{own}.net", None, "local"])))
+    model = language.fit(spark.createDataFrame(train, "text string, language string"))
+    got = language.identify(spark.createDataFrame(rows, "id long, text string, declared string, suffix string, host string"), model)
+    want = plain_language(train, rows)
+    for r in got.collect():
+        assert r.posterior == pytest.approx(want[r.id][1], rel=1e-4)
+        assert r.language == want[r.id][0] or r.posterior < 0.5001
+
+
 @pytest.mark.parametrize("compression", ["gzip", "none"])
 def test_archives_read_back(spark, compression):
     html = "<p>é</p>\r\n\r\n" * 3
@@ -282,3 +365,58 @@ def test_archives_read_back(spark, compression):
     assert all(r.payload_bytes == len(html.encode()) for r in got if r.record_id[9:] in ("1", "3", "none"))
     some = warc.read(spark, path, payload="false").where(F.col("record_type").isin("revisit") & (F.col("target_uri") == "u"))
     assert [(r.record_id, r.payload) for r in some.collect()] == [("urn:page:5", None)]
+
+
+def test_archives_grow_by_commits_and_show_cuts(spark, tmp_path):
+    pages = lambda ids: spark.createDataFrame([(i, "http://a", "y" * 1000) for i in ids], "page_id long, url string, html string")
+    path = f"{shared_dir(spark)}/test-append-{random.random()}"
+    for ids in ([1], [2], [3]):
+        warc.write(warc.with_revisits(pages(ids)), path)
+    assert sorted(r.record_id for r in warc.read(spark, path).where("record_type = 'response'").collect()) == [f"urn:page:{i}" for i in (1, 2, 3)]
+    record = warc.record("response", "urn:page:1", "http://a", None, b"y" * 1000, "1970-01-01T00:00:00Z")
+    for name, data, payload in (("plain.warc", record[:-500], "true"), ("head.warc", record[:-500], "false"),
+                                ("packed.warc.gz", warc.member(record)[:-40], "false"), ("full.warc.gz", warc.member(record)[:-40], "true")):
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(Exception, match="cut"):
+            warc.read(spark, f"file://{tmp_path}/{name}", payload=payload).collect()
+    (tmp_path / "whole.warc").write_bytes(record[:-4])  # only the blank lines at the end are missing
+    assert len(warc.read(spark, f"file://{tmp_path}/whole.warc").first().payload) == 1000
+    assert re.sub(warc._S3, "s3://", "s3a://bucket/a") == "s3://bucket/a"
+
+
+def test_columns_of_any_name_pass_the_stages(spark):
+    columns = "doc_id int, text string, lang string, source string, n_chars int, row string, __row string, __copies int, more int"
+    rows = [(1, "the and of " * 4, "en", "s", 44, "r", "rr", 5, 6), (2, "write to ann@example.com the and of", "en", "s", 35, "q", "qq", 5, 6), (2, None, "en", None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, columns)
+    model = personal.fit(personal.labelled_table(spark))
+    kept = {"known": language.known(docs), "clean": decontaminate.clean(docs, spark.createDataFrame([(1, "nothing of this")], "item_id long, text string")),
+            "without": personal.without(docs, model), "emitted": mixing.emitted(docs), "one_of_each": near_dup.one_of_each(docs)}
+    for name, out in kept.items():
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        for r in out.collect():
+            same = next(x for x in rows if x[0] == r[0] and (x[1] is None) == (r[1] is None))
+            assert tuple(r)[5:] == same[5:], name
+    texts = {(r.doc_id, r.n_chars): r.text for r in kept["without"].collect()}
+    redacted = next(t for (i, n), t in texts.items() if i == 2 and n)
+    assert "ann@" not in redacted and (2, len(redacted)) in texts and (2, None) in texts
+    for out in (language.known(docs.limit(0)), personal.without(docs.limit(0), model), mixing.emitted(docs.limit(0))):
+        assert out.count() == 0
+
+
+def test_base_spans_of_numbers_agree_with_brute_force():
+    rng = random.Random(14)
+
+    def luhn(digits):
+        return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+    def plain(text):
+        cases = [("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+                 ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(d := [int(c) for c in m if c.isdigit()]) <= 19 and luhn(d)),
+                 ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= sum(c.isdigit() for c in m) <= 15)]
+        return {k: [(m.start(), m.end()) for m in re.finditer(p, text) if ok(m[0])] for k, p, ok in cases}
+
+    for _ in range(400):
+        text = "".join(rng.choice(["4111 1111 1111 1111", "1.2.3.4", "256.1.1.1", "+49 30 12345", "+1", "-", " ", ".", "7", "00", "(", ")", "x"]) for _ in range(rng.randint(1, 14)))
+        base = dict(zip(personal.KINDS, personal.pattern_spans(text)))
+        for kind, spans in plain(text).items():
+            assert base[kind] == spans, (kind, text)
