@@ -251,7 +251,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     The document of least id stays. Of rows that repeat an id, the least row stays. Rows without an
     id stay.
     """
-    found = near_duplicates(docs.select(F.col("doc_id").alias("id"), "text"))
+    found = near_duplicates(docs.select(F.col("doc_id").cast("long").alias("id"), "text"))
     gone = found.where("not kept").select(F.col("id").alias("doc_id")).distinct()
     left = docs.join(gone.hint("merge"), "doc_id", "left_anti")
     twice = kept(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
