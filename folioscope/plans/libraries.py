@@ -202,9 +202,12 @@ def embed_missing(store: Store, encoder: Callable[[Column], Column], ids: DataFr
     touched = None if ids is None else store.buckets_of(ids, "id")
     chunks, have = store.read("chunks", touched), store.read("chunk_vec", touched)
     todo = chunks.select("chunk_id", "lib_id", "text").join(have.select("chunk_id"), "chunk_id", "left_anti")
-    live = have.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
     fresh = todo.select("chunk_id", "lib_id", encoder(F.col("text")).alias("embedding"))
-    return store.write("chunk_vec", live.select("chunk_id", "lib_id", "embedding").unionByName(fresh), sort=("lib_id", "chunk_id"), only=touched)
+    stray = have.join(chunks.select("chunk_id"), "chunk_id", "left_anti")
+    if store.newest("chunk_vec") is not None and stray.isEmpty():
+        return store.append("chunk_vec", fresh)
+    live = have.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    return store.write("chunk_vec", live.select("chunk_id", "lib_id", "embedding").unionByName(fresh), only=touched)
 
 
 def due(store: Store, now: Column) -> DataFrame:

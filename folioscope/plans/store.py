@@ -1,12 +1,21 @@
 """The store: versioned parquet tables under one root, and the search index derived from them.
 
-Every write makes a new version directory and then one row in the ``_versions`` table. A version
-holds all buckets of its table or only some; readers take each bucket from its newest version. A
-job that dies half-way leaves a directory nobody reads. One writer per store at a time.
+Every write makes a new version directory and then a row in the ``_versions`` table. A version
+holds all buckets of its table, or only some, or it is a delta that adds rows to what was there;
+readers take each bucket from its newest version and the deltas since. A job that dies half-way
+leaves a directory nobody reads. One writer per store at a time.
+
+A change of pages (``write_chunks``) writes deltas in proportion to the change: the added chunks, their
+postings, the differences of the term frequencies and of the corpus statistics, and the ids of the
+chunks that went, which hide their rows in everything written before. All of them are published by
+one row set, so chunks and index never disagree. Chunk ids are never given twice, so a hidden id
+stays hidden. Deltas of one size tier are folded into one of the next tier, and once the hidden
+chunks are a twentieth of the store everything is written anew without them.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -16,11 +25,20 @@ from pyspark.sql import types as T
 
 from .. import schema
 from ..operators import lexical
-from ..session import stored
+from ..session import local, small_side, stored
 from . import retrieval
 
-_VERSIONS = "table_name string, version long, path string, n_rows long, layout int, tag string, buckets int, only array<int>, max_id long"
+_VERSIONS = (
+    "table_name string, version long, path string, n_rows long, layout int, tag string, buckets int, only array<int>, max_id long, "
+    # of a delta: what it replaces. Of hidden chunks: up to which version of each table. Of corpus statistics: their share
+    "delta boolean, replaces array<long>, hides struct<chunks:long,chunk_vec:long,postings:long>, n_docs long, sum_dl long")
 _STAMPED = _VERSIONS + ", written_at timestamp"
+_HIDDEN = "hidden"
+_HIDES = ("chunks", "chunk_vec", "postings")
+_INDEX = ("postings", "terms", "corpus_stats")
+#: Row order inside a directory, which decides what a scan can skip.
+_SORT = {
+    "chunks": ("lib_id", "chunk_id"), "chunk_vec": ("lib_id", "chunk_id"), "postings": ("term", "lib_id", "chunk_id"), "terms": ("term",)}
 
 
 class Store:
@@ -31,6 +49,10 @@ class Store:
     NAMED_LIBS = 100
     #: After this many partial versions the next write is a whole one.
     MAX_PARTS = 50
+    #: So many deltas of one size tier (sizes within a factor of ``FAN``) are folded into one.
+    FAN = 8
+    #: Hidden chunks are written out of the store once they are this share of it, and so many at least.
+    HIDDEN_SHARE, HIDDEN_LEAST = 0.05, 10_000
 
     def __init__(self, spark: SparkSession, root: str, n_buckets: int = 64):
         self.spark, self.root, self.n_buckets = spark, root.rstrip("/"), n_buckets
@@ -58,37 +80,66 @@ class Store:
         ``buckets``: per bucket key (``lib_id``, ``term``) the directories that may hold asked rows.
         """
         live = self._live(*tables)
-        return {t: self._open(t, [r for r in live if r["table_name"] == t], buckets or {}) for t in tables}
+        return {t: self._open(t, live, buckets or {}) for t in tables}
 
-    def _live(self, *tables: str) -> list:
-        rows = self.versions().filter(F.col("table_name").isin(*tables))
-        whole = rows.filter("only IS NULL").groupBy("table_name").agg(F.max("version").alias("__whole"))
-        return rows.join(whole, "table_name").filter("version >= __whole").orderBy(F.col("version").desc()).collect()
+    def _live(self, *tables: str) -> dict[str, list]:
+        """Versions that make up the present content of each table, newest first, and the hidden chunks.
 
-    def _open(self, table: str, versions: list, buckets: dict[str, list[int]]) -> DataFrame:
-        """``versions``: newest first, the last one whole; at most ``MAX_PARTS`` + 1 of them."""
-        kind, key = schema.TABLES[table], schema.BUCKET_KEY.get(table)
+        One row for each write since the store began is read.
+        """
+        rows = self.versions().filter(F.col("table_name").isin(*tables, _HIDDEN)).collect()
+        rows.sort(key=lambda r: -r["version"])
+        live: dict[str, list] = {}
+        for table in tables:
+            mine = [r for r in rows if r["table_name"] == table]
+            replaced = {v for r in mine for v in r["replaces"] or ()}
+            whole = max((r["version"] for r in mine if r["only"] is None and not r["delta"]), default=None)
+            live[table] = [] if whole is None else [r for r in mine if r["version"] >= whole and r["version"] not in replaced]
+        live[_HIDDEN] = [r for r in rows if r["table_name"] == _HIDDEN]
+        return live
+
+    def _hidden(self, table: str, live: dict[str, list]) -> list:
+        """Sets of hidden chunks that are younger than the last whole version of the table."""
+        versions = live[table]
+        return [h for h in live[_HIDDEN] if table in _HIDES and versions and h["hides"][table] >= versions[-1]["version"]]
+
+    def _open(
+        self, table: str, live: dict[str, list], buckets: dict[str, list[int]], where: Column | None = None,
+        pick: set[int] | None = None,
+    ) -> DataFrame:
+        """Rows of a table; ``where`` is checked first. ``pick``: of these versions only."""
+        kind, key, versions = schema.TABLES[table], schema.BUCKET_KEY.get(table), live[table]
         if not versions:
             return self.spark.createDataFrame([], kind)
+        if table == "corpus_stats" and versions[-1]["n_docs"] is not None:
+            n, total = (sum(r[c] for r in versions) for c in ("n_docs", "sum_dl"))
+            return local(self.spark, kind, [(float(n), total / n if n else None)])
         covered: set[int] = set()
         parts = []
         for v in versions:
             if v["buckets"] not in (None, self.n_buckets):
                 raise ValueError(f"{self.root} has {v['buckets']} buckets, not {self.n_buckets}")
-            if not key:
-                parts.append(schema.conform(self._scan(v, kind, False), table))
-                continue
             here = set(range(self.n_buckets) if v["only"] is None else v["only"]) - covered
-            covered |= here
+            if not v["delta"]:
+                covered |= here if key else set()
+            if pick is not None and v["version"] not in pick:
+                continue
             wanted = here & set(buckets[key]) if key in buckets else here
-            if wanted or v["only"] is None:
-                df = self._scan(v, kind, True)
-                if len(wanted) < self.n_buckets:
+            if not key or wanted or not parts:
+                df = self._scan(v, kind, key is not None)
+                if key and len(wanted) < self.n_buckets:
                     df = df.filter(F.col("bucket").isin(*sorted(wanted)))
-                parts.append(schema.conform(df, table))
+                parts.append(schema.conform(df if where is None else df.filter(where), table))
         out = parts[0]
         for more in parts[1:]:
             out = out.unionByName(more)
+        hidden = self._hidden(table, live)
+        if hidden:
+            ids = self.spark.read.schema("chunk_id long, lib_id string").parquet(*[h["path"] for h in hidden]).select("chunk_id")
+            out = out.join(small_side(ids, sum(h["n_rows"] for h in hidden)), "chunk_id", "left_anti").select(*[f.name for f in kind])
+        if table == "terms" and len(parts) > 1:
+            out = out.groupBy("term").agg(F.sum("df").alias("df"))
+            out = out.filter("df > 0") if pick is None else out.filter("df <> 0")
         return out
 
     def _scan(self, version, kind: T.StructType, bucketed: bool) -> DataFrame:
@@ -115,94 +166,184 @@ class Store:
         With fewer than ``least_rows`` rows the version is not published and readers keep the old one.
         """
         mine = self.versions().filter(F.col("table_name") == table)
-        last, whole = mine.agg(F.max("version"), F.max(F.when(F.col("only").isNull(), F.col("version")))).first()
-        version = (last or 0) + 1
-        key = schema.BUCKET_KEY.get(table)
-        laid_out = schema.conform(df, table)
+        plain = F.col("only").isNull() & ~F.coalesce("delta", F.lit(False))
+        last, whole = mine.agg(F.max("version"), F.max(F.when(plain, F.col("version")))).first()
+        laid_out = df
         if only is not None and (whole is None or last - whole >= self.MAX_PARTS):
             rest = [b for b in range(self.n_buckets) if b not in set(only)]
-            laid_out, only = (laid_out.unionByName(self.read(table, rest)) if whole else laid_out), None
+            laid_out = schema.conform(df, table).unionByName(self.read(table, rest)) if whole else df
+            only = None
+        row = self._files(table, (last or 0) + 1, laid_out, sort, tag=tag, only=only)
+        if row["n_rows"] < least_rows:
+            raise ValueError(f"{table}: {row['n_rows']} rows, expected at least {least_rows}; kept version {last or 0}")
+        self._publish(row)
+        return row["version"]
+
+    def _files(self, table: str, version: int, df: DataFrame, sort: tuple[str, ...] = (), **more) -> dict:
+        """Write the directory of a version and return its row for the version list."""
+        key, kind = schema.BUCKET_KEY.get(table), schema.TABLES[table]
+        laid_out = schema.conform(df, table)
         path = f"{self.root}/{table}/v={version}-{uuid.uuid4().hex[:8]}"
         if key:
             # by range within the bucket: a bucket (or library, or term) that is large gets many files
-            order = ("bucket", *(sort or (key,)))
+            order = ("bucket", *(sort or _SORT[table]))
             laid_out = laid_out.withColumn("bucket", self.bucket(F.col(key)))
-            laid_out.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
+            writer = laid_out.repartitionByRange(*order).sortWithinPartitions(*order).write
+            # a delta is small against the number of buckets: few files, which skip by their statistics
+            (writer if more.get("delta") else writer.partitionBy("bucket")).parquet(path)
         else:
             laid_out.write.parquet(path)
-        kind = schema.TABLES[table]
         top = F.max("chunk_id") if table == "chunks" else F.lit(None).cast("long")
         n_rows, max_id = self.spark.read.schema(kind).parquet(path).agg(F.count("*"), top).first()
-        if n_rows < least_rows:
-            raise ValueError(f"{table}: {n_rows} rows, expected at least {least_rows}; kept version {version - 1}")
-        self._publish((table, version, path, n_rows, schema.SCHEMA_VERSION, tag, self.n_buckets if key else None, only, max_id))
-        return version
+        return dict(table_name=table, version=version, path=path, n_rows=n_rows, layout=schema.SCHEMA_VERSION,
+                    buckets=self.n_buckets if key else None, max_id=max_id) | more
 
     def rollback(self, table: str, version: int) -> None:
         """Publish an earlier whole version again."""
-        old = self.versions().filter((F.col("table_name") == table) & (F.col("version") == version) & F.col("only").isNull()).first()
+        old = self.versions().filter(
+            (F.col("table_name") == table) & (F.col("version") == version) & F.col("only").isNull() & ~F.coalesce("delta", F.lit(False))).first()
         if old is None:
             raise ValueError(f"{table} has no whole version {version}")
-        self._publish((table, self.newest(table)["version"] + 1, *tuple(old)[2:-1]))
-
-    def _publish(self, row: tuple) -> None:
-        entry = self.spark.createDataFrame([row], _VERSIONS)
+        row = old.asDict(recursive=True)
+        row.pop("written_at")
+        self._publish(row | {"version": self.newest(table)["version"] + 1})
+
+    def _publish(self, *rows: dict) -> None:
+        """Make versions known, all of them at once: they stand in one file."""
+        names = [c.split(" ")[0] for c in _VERSIONS.split(", ")]
+        entry = local(self.spark, self.spark.createDataFrame([], _VERSIONS).schema, [tuple(r.get(n) for n in names) for r in rows])
         entry.withColumn("written_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.root}/_versions")
 
     def build_index(self) -> None:
-        """Postings, term frequencies and corpus statistics of the current chunks.
-
-        Rows are laid out by term, library and chunk: a frequent term spans several files, and a
-        query reads only the row groups of its terms and libraries.
-        """
-        stamp = self._chunk_stamp()
-        self.write("postings", lexical.document_postings(self.read("chunks"), positions=True), sort=("term", "lib_id", "chunk_id"))
-        self.write("terms", self.read("postings").groupBy("term").agg(F.count("*").alias("df")))
-        self._write_stats(stamp)
+        """Postings, term frequencies and corpus statistics of the current chunks, made from the texts."""
+        live = self._live("chunks", *_INDEX)
+        self._publish(*self._index_rows(live, self._open("chunks", live, {}), self._chunk_stamp(live)))
+
+    def _index_rows(self, live: dict[str, list], chunks: DataFrame, stamp: str, postings: DataFrame | None = None) -> list[dict]:
+        following = {t: (live[t][0]["version"] if live[t] else 0) + 1 for t in _INDEX}
+        made = lexical.document_postings(chunks, positions=True) if postings is None else postings
+        first = self._files("postings", following["postings"], made)
+        written = self._scan(first, schema.POSTINGS, True)
+        terms = self._files("terms", following["terms"], written.groupBy("term").agg(F.count("*").alias("df")))
+        n, total = self._marks(written)
+        return [first, terms, self._stats_row(following["corpus_stats"], stamp, n, total)]
+
+    def _marks(self, postings: DataFrame) -> tuple[int, int]:
+        """Number and total length of the documents of some postings; reads the directory of the mark only."""
+        mark = self.buckets_of(local(self.spark, T.StructType([T.StructField("term", T.StringType())]), [(lexical.DOC_MARK,)]), "term")
+        mine = postings.filter(F.col("bucket").isin(*mark)) if "bucket" in postings.columns else postings
+        return tuple(mine.filter(F.col("term") == lexical.DOC_MARK).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first())
+
+    @staticmethod
+    def _stats_row(version: int, stamp: str, n_docs: int, sum_dl: int, delta: bool = False) -> dict:
+        return dict(table_name="corpus_stats", version=version, path="", n_rows=1, layout=schema.SCHEMA_VERSION, tag=stamp,
+                    n_docs=n_docs, sum_dl=sum_dl, delta=delta)
+
+    def append(self, table: str, rows: DataFrame) -> int:
+        """Add rows to a table that has a whole version, in proportion to the rows."""
+        last = self.newest(table)
+        row = self._files(table, last["version"] + 1, rows, delta=True)
+        self._publish(row)
+        self._fold()
+        return row["version"]
 
     def write_chunks(self, after: DataFrame, touched: list[int], tag: str = "") -> None:
         """Give the ``touched`` buckets of ``chunks`` new content and let index and vectors follow.
 
-        Only directories of words that stand in added or removed chunks are written again. Vectors
-        of removed chunks go; ``libraries.embed_missing`` makes those of added ones. A store whose
-        index was never built stays without.
+        Rows are told apart by their chunk id. What is written follows the number of chunks that come
+        and go. Vectors of chunks that went are hidden with them; ``libraries.embed_missing`` makes those of
+        added ones. A store whose index was never built stays without. Chunks that changed under their
+        old id cannot be told from those in older deltas, so their buckets are written anew and so is the index.
         """
-        indexed = self.index_is_current()
-        before = self.read("chunks", touched)
-        self.write("chunks", after, sort=("lib_id", "chunk_id"), tag=tag, only=touched)
-        now = self.read("chunks", touched)
-        gone = stored(before.join(now.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "lib_id", "text"))
-        vectors = self.read("chunk_vec", touched)
-        if self.newest("chunk_vec") is not None:
-            live = vectors.join(gone.select("chunk_id"), "chunk_id", "left_anti")
-            self.write("chunk_vec", live, sort=("lib_id", "chunk_id"), only=touched)
-        if not indexed:
+        tables = ("chunks", "chunk_vec", *_INDEX)
+        live = self._live(*tables)
+        indexed = self._current(live)
+        after = stored(schema.conform(after, "chunks"))
+        print_ = F.xxhash64(*[f.name for f in schema.CHUNKS])
+        before = self._open("chunks", live, {"lib_id": touched})
+        marks = stored(before.select("chunk_id", "lib_id", print_.alias("old")).join(
+            after.select("chunk_id", "lib_id", print_.alias("new")), ["chunk_id", "lib_id"], "full").filter("NOT old <=> new"))
+        n_new, n_old, n_changed = marks.agg(
+            F.count_if(F.col("old").isNull()), F.count_if(F.col("new").isNull()), F.count_if(F.col("old").isNotNull() & F.col("new").isNotNull())).first()
+        if not live["chunks"] or n_changed:
+            self.write("chunks", after, tag=tag, only=touched)
+            if indexed:
+                self.build_index()
+            return
+        added = after.join(small_side(marks.filter("old IS NULL").select("chunk_id"), n_new), "chunk_id", "left_semi")
+        gone = before.join(small_side(marks.filter("new IS NULL").select("chunk_id"), n_old), "chunk_id", "left_semi")
+        following = {t: (live[t][0]["version"] if live[t] else 0) + 1 for t in tables}
+        rows = [self._files("chunks", following["chunks"], added, tag=tag, delta=True)]
+        gone = stored(gone.select("chunk_id", "lib_id", "text")) if n_old else None
+        if gone is not None:
+            number = max((r["version"] for r in live[_HIDDEN]), default=0) + 1
+            path = f"{self.root}/{_HIDDEN}/v={number}-{uuid.uuid4().hex[:8]}"
+            gone.select("chunk_id", "lib_id").write.parquet(path)
+            rows.append(dict(table_name=_HIDDEN, version=number, path=path, n_rows=n_old, hides={t: following[t] - 1 for t in _HIDES}))
+        if indexed:
+            rows += self._index_deltas(following, self._scan(rows[0], schema.CHUNKS, True), gone)
+        self._publish(*rows)
+        self._fold()
+
+    def _index_deltas(self, following: dict[str, int], added: DataFrame, gone: DataFrame | None) -> list[dict]:
+        posted = self._files("postings", following["postings"], lexical.document_postings(added, positions=True), delta=True)
+        fresh = self._scan(posted, schema.POSTINGS, True)
+        n, total = self._marks(fresh)
+        change = fresh.select("term", F.lit(1).alias("df"))
+        if gone is not None:
+            left = stored(lexical.document_postings(gone).select("term", "dl"))
+            n_left, total_left = self._marks(left)
+            n, total = n - n_left, total - total_left
+            change = change.unionByName(left.select("term", F.lit(-1).alias("df")))
+        sums = change.groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
+        terms = self._files("terms", following["terms"], sums, delta=True)
+        return [posted, terms, self._stats_row(following["corpus_stats"], f"chunks-{following['chunks']}", n, total, delta=True)]
+
+    def _fold(self) -> None:
+        """Fold deltas of one tier together; write hidden chunks out of the store when they are many."""
+        tables = ("chunks", "chunk_vec", *_INDEX)
+        live = self._live(*tables)
+        held = sum(r["n_rows"] for r in live["chunks"])
+        if sum(r["n_rows"] for r in self._hidden("chunks", live)) > max(self.HIDDEN_LEAST, self.HIDDEN_SHARE * held):
+            self.compact()
             return
-        fresh = now.join(before.select("chunk_id"), "chunk_id", "left_anti")
-        added = stored(lexical.document_postings(fresh, positions=True))
-        removed = stored(lexical.document_postings(gone))
-        words = added.select("term").unionByName(removed.select("term")).distinct()
-        buckets = self.buckets_of(words, "term")
-        kept = self.read("postings", buckets).join(removed.select("term", "chunk_id"), ["term", "chunk_id"], "left_anti")
-        columns = [f.name for f in schema.POSTINGS.fields]
-        self.write("postings", kept.select(*columns).unionByName(added.select(*columns)), sort=("term", "lib_id", "chunk_id"), only=buckets)
-        change = added.select("term", F.lit(1).alias("n")).unionByName(removed.select("term", F.lit(-1).alias("n")))
-        counts = self.read("terms", buckets).select("term", F.col("df").alias("n")).unionByName(change)
-        self.write("terms", counts.groupBy("term").agg(F.sum("n").alias("df")).filter("df > 0"), only=buckets)
-        self._write_stats(self._chunk_stamp())
-
-    def _chunk_stamp(self) -> str:
-        newest = self.newest("chunks")
-        return f"chunks-{newest['version'] if newest else 0}"
-
-    def _write_stats(self, stamp: str) -> None:
-        """The last table of an index; its tag names the chunks it was made from."""
-        marks = self.read("postings", self.buckets_of(self.spark.createDataFrame([(lexical.DOC_MARK,)], "term string"), "term"))
-        self.write("corpus_stats", lexical.corpus_stats(marks), tag=stamp)
+        rows = []
+        for table in tables:
+            tiers: dict[int, list] = {}
+            for r in live[table]:
+                if r["delta"]:
+                    tiers.setdefault(0 if table == "corpus_stats" else int(math.log(max(1, r["n_rows"]), self.FAN)), []).append(r)
+            for full in (t for t in tiers.values() if len(t) >= self.FAN):
+                version = max(r["version"] for r in [*live[table], *[x for x in rows if x["table_name"] == table]]) + 1
+                more = dict(delta=True, replaces=[r["version"] for r in full])
+                if table == "corpus_stats":
+                    n, total = (sum(r[c] for r in full) for c in ("n_docs", "sum_dl"))
+                    newest = max(full, key=lambda r: r["version"])
+                    rows.append(self._stats_row(version, newest["tag"], n, total) | more)
+                else:
+                    rows.append(self._files(table, version, self._open(table, live, {}, pick=set(more["replaces"])), **more))
+        if rows:
+            self._publish(*rows)
+
+    def compact(self) -> None:
+        """Write chunks, vectors and a current index as whole versions without deltas and hidden chunks."""
+        live = self._live("chunks", "chunk_vec", *_INDEX)
+        following = {t: live[t][0]["version"] + 1 for t in ("chunks", "chunk_vec", "postings") if live[t]}
+        rows = [self._files(t, following[t], self._open(t, live, {})) for t in ("chunks", "chunk_vec") if t in following]
+        if self._current(live):
+            chunks = self._open("chunks", live, {})
+            rows += self._index_rows(live, chunks, f"chunks-{following['chunks']}", self._open("postings", live, {}))
+        self._publish(*rows)
+
+    def _chunk_stamp(self, live: dict[str, list]) -> str:
+        """Names the content of the chunks; folding deltas does not change it."""
+        return f"chunks-{next((r['version'] for r in live['chunks'] if not r['replaces']), 0)}"
+
+    def _current(self, live: dict[str, list]) -> bool:
+        return bool(live["corpus_stats"]) and live["corpus_stats"][0]["tag"] == self._chunk_stamp(live)
 
     def index_is_current(self) -> bool:
-        stats = self.newest("corpus_stats")
-        return stats is not None and stats["tag"] == self._chunk_stamp()
+        return self._current(self._live("chunks", "corpus_stats"))
 
     def _opened(self, queries: DataFrame, asked: lexical.QueryTerms) -> retrieval.Corpus:
         """The part of the store a batch needs. What is collected is at most one number per bucket.
@@ -216,19 +357,18 @@ class Store:
         buckets: dict[str, list[int]] = {"lib_id": [], "term": []}
         for row in wanted.collect():
             buckets[row["key"]].append(row["bucket"])
-        tables = ("chunks", "chunk_vec", "postings", "terms", "corpus_stats")
-        live = self._live(*tables)
-        newest = {t: next((r for r in live if r["table_name"] == t), None) for t in tables}
-        if newest["chunks"] and (newest["corpus_stats"] is None or newest["corpus_stats"]["tag"] != f"chunks-{newest['chunks']['version']}"):
-            raise ValueError(f"{self.root}: the index is missing or older than the chunks; run build_index")
-        now = {t: self._open(t, [r for r in live if r["table_name"] == t], buckets) for t in tables}
+        live = self._searchable()
         named = [r["lib_id"] for r in libs.limit(self.NAMED_LIBS + 1).collect()]
-        if len(named) <= self.NAMED_LIBS:
-            ours = F.col("lib_id").isin(*named)
-            for table in ("chunks", "chunk_vec") + (() if asked.phrases else ("postings",)):
-                now[table] = now[table].filter(ours)
+        ours = F.col("lib_id").isin(*named) if len(named) <= self.NAMED_LIBS else None
+        now = {t: self._open(t, live, buckets, ours if t in _HIDES and (t != "postings" or not asked.phrases) else None) for t in live if t != _HIDDEN}
         return retrieval.Corpus(now["chunks"], now["chunk_vec"], now["postings"], now["corpus_stats"], now["terms"])
 
+    def _searchable(self) -> dict[str, list]:
+        live = self._live("chunks", "chunk_vec", *_INDEX)
+        if live["chunks"] and not self._current(live):
+            raise ValueError(f"{self.root}: the index is missing or older than the chunks; run build_index")
+        return live
+
     def search(self, queries: DataFrame, **options) -> DataFrame:
         return retrieval.search(queries, opener=self._opened, **options)
 

@@ -6,8 +6,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Largest number of narrow rows (ids, scores, query terms) we hint as broadcast.
 BROADCAST_ROWS = 200_000
@@ -88,6 +91,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 
+def local(spark: SparkSession, schema: StructType, rows: list[tuple]) -> DataFrame:
+    """A few rows from the driver as a relation that takes no job to read."""
+    columns = list(zip(*rows)) or [()] * len(schema)
+    arrow = to_arrow_schema(schema)
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, schema)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder, for several readers.
 
