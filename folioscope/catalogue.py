@@ -6,6 +6,7 @@ with the Spark side, but no logic. Common table expressions and expression helpe
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,8 @@ from .functions import guards, hashing, html as hx, paths, text as tx
 from .operators import candidates as cd
 from .operators import freshness, fusion, hits as ht, lexical, nearest, neardup, upsert
 from .plans import crawl, ingest, resolve, retrieval
-from .plans.store import lib_stats
-from .session import small_side, spread, stored
+from .plans.store import Store, lib_stats
+from .session import shared_dir, small_side, spread, stored
 from .sources import listings, tables as tb
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -713,6 +714,22 @@ def _(spark, sf):
     return out.select("lib_id", "path", F.md5("text").alias("digest"), (F.col("chunk_id") > last).alias("is_new"))
 
 
+@register("store_upsert_search", "WITH documents AS (SELECT * FROM main.documents WHERE lang <> 'fr'), " + S_RANKED.removeprefix("WITH ") + s_hits("", 10) + S_HIT_COLUMNS)
+def _(spark, sf):
+    """A store of all but the German documents takes these, then loses the French ones, and is asked."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", n_buckets=8)
+    lang = tb.read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
+    chunks, vectors = (df.join(lang, "chunk_id") for df in (tb.chunks(spark, sf), tb.chunk_vectors(spark, sf)))
+    everything = list(range(store.n_buckets))
+    store.write("chunks", chunks.filter("lang <> 'de'"))
+    store.write("chunk_vec", vectors.filter("lang <> 'de'"))
+    store.build_index()
+    store.write_chunks(chunks, everything)
+    store.append("chunk_vec", vectors.filter("lang = 'de'"))
+    store.write_chunks(chunks.filter("lang <> 'fr'"), everything)
+    return store.search(tb.queries(spark, sf), k=10).drop("text")
+
+
 S_LIBS = """libs AS (SELECT 's' || s_suppkey AS id, s_name AS name, 'own/' || s_suppkey AS repo, 'https://docs' || (s_suppkey % 40) || '.dev' AS docs_url, s_acctbal AS trust,
     CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '1.' || s_nationkey END AS latest_ver, s_suppkey % 2 = 0 AS "full", s_suppkey % 5 AS stable FROM supplier)"""
 

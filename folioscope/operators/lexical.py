@@ -6,14 +6,17 @@ floor of 1e-6, statistics over all libraries. A query word holding ``_`` is a ph
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..session import small_side, spread, stored
+from ..session import local, small_side, spread, stored
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 TOP = 20
@@ -34,6 +37,9 @@ class QueryTerms:
     phrases: bool
     n_queries: int
     n_units: int
+    #: Of a single query: its words and its library, known to the driver.
+    terms: list[str] | None = None
+    lib_id: str | None = None
 
 
 def query_terms(queries: DataFrame) -> QueryTerms:
@@ -55,6 +61,22 @@ def query_terms(queries: DataFrame) -> QueryTerms:
     return QueryTerms(by_query, parts, size["longest"] > 1, size["n"], size["units"])
 
 
+def local_terms(query: DataFrame) -> QueryTerms:
+    """:func:`query_terms` of one local row, counted on the driver without a job."""
+    spark = query.sparkSession
+    row = query.select("qid", "lib_id", F.transform(tx.query_units(F.col("query")), lambda u: u).alias("units")).first()
+    counts = Counter(tuple(u) for u in row["units"])
+    kinds = {f.name: f.dataType for f in query.schema}
+    by_query = [(row["qid"], row["lib_id"], " ".join(u), float(n), len(counts)) for u, n in counts.items()]
+    parts = [(" ".join(u), len(u), i, t) for u in counts for i, t in enumerate(u)]
+    text, long_, int_ = T.StringType(), T.LongType(), T.IntegerType()
+    struct = lambda **f: T.StructType([T.StructField(n, k) for n, k in f.items()])
+    return QueryTerms(
+        local(spark, struct(qid=kinds["qid"], lib_id=text, unit=text, weight=T.DoubleType(), n_units=long_), by_query),
+        local(spark, struct(unit=text, n_parts=int_, part=int_, term=text), parts),
+        any(len(u) > 1 for u in counts), 1, len(counts), sorted({t for u in counts for t in u}), row["lib_id"])
+
+
 def document_postings(docs: DataFrame, asked: QueryTerms | None = None, positions: bool = False) -> DataFrame:
     """term, lib_id, chunk_id, dl, tf [, positions] from chunk texts, in one pass over them.
 
@@ -86,6 +108,8 @@ def asked_postings(docs: DataFrame, asked: QueryTerms) -> DataFrame:
 
 def matches(postings: DataFrame, asked: QueryTerms) -> DataFrame:
     """unit, lib_id, chunk_id, dl, tf: how often a chunk holds each unit of the batch."""
+    if asked.terms is not None and not asked.phrases:  # the scan lets the asked words through only
+        return postings.select(F.col("term").alias("unit"), "lib_id", "chunk_id", "dl", "tf")
     single = small_side(asked.parts.filter("n_parts = 1").select("unit", "term"), asked.n_units)
     found = postings.join(single, "term").select("unit", "lib_id", "chunk_id", "dl", "tf")
     if not asked.phrases:
@@ -116,6 +140,8 @@ def bm25_scores(
     """
     stats = corpus_stats(postings) if stats is None else stats
     found = matches(postings, asked)
+    if asked.terms is not None and not asked.phrases:
+        return _summed(found, _local_weights(asked, stats, term_df))
     corpus = stats.select(F.struct("n_docs", "avg_dl")).scalar()
     if term_df is None or asked.phrases:
         frequency = found.groupBy("unit").agg(F.count("*").alias("df"))
@@ -128,7 +154,22 @@ def bm25_scores(
     )
     # units no chunk holds need no weight; n_units still counts them
     weights = asked.by_query.join(idf, "unit").withColumn("avg_dl", corpus["avg_dl"])
-    weights = small_side(weights, asked.n_units)
+    return _summed(found, small_side(weights, asked.n_units))
+
+
+def _local_weights(asked: QueryTerms, stats: DataFrame, term_df: DataFrame) -> DataFrame:
+    """Weights of the words of one query; the few frequencies they need are read by one job."""
+    n_docs, avg_dl = stats.first()
+    idf = {}
+    for term, df in term_df.select("term", "df").collect():
+        raw = math.log((n_docs - df + 0.5) / (df + 0.5))
+        idf[term] = IDF_FLOOR if raw <= 0 else raw
+    rows = [(*r, idf[r["unit"]], avg_dl) for r in asked.by_query.collect() if r["unit"] in idf]
+    kind = T.StructType(asked.by_query.schema.fields + [T.StructField(n, T.DoubleType()) for n in ("idf", "avg_dl")])
+    return F.broadcast(local(asked.by_query.sparkSession, kind, rows))
+
+
+def _summed(found: DataFrame, weights: DataFrame) -> DataFrame:
     tf, norm = F.col("tf"), F.col("dl") / F.col("avg_dl")
     part = F.col("weight") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * norm))
     return (
@@ -158,6 +199,12 @@ def lexical_ranks(scores: DataFrame, top: int = TOP) -> DataFrame:
     ).filter("and_rank IS NOT NULL OR or_rank IS NOT NULL")
 
 
+def best_of_one(scores: DataFrame, top: int = TOP) -> DataFrame:
+    """The rows that :func:`lexical_ranks` of one query needs: the best full matches and the best of all."""
+    order = [F.round("score", 9).desc(), F.col("chunk_id")]
+    return scores.filter("all_terms").orderBy(*order).limit(top).unionByName(scores.orderBy(*order).limit(top))
+
+
 def search_documents(docs: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     """Lexical ranks straight from chunk texts, without a kept index."""
     asked = query_terms(queries)

@@ -97,6 +97,13 @@ def nearest(
     Vectors are not moved, however large their library. Vectors that are null, of another length,
     without direction (cosine) or not finite are nobody's neighbours. Ties go to the smaller chunk.
     """
+    closest = W.partitionBy("qid").orderBy(F.round("distance", 9), "chunk_id")
+    ranked = candidates(queries, vectors, metric, top, n_queries).withColumn("vec_rank", F.row_number().over(closest))
+    return ranked.where(F.col("vec_rank") <= top)
+
+
+def candidates(queries: DataFrame, vectors: DataFrame, metric: str, top: int, n_queries: int | None = None) -> DataFrame:
+    """qid, chunk_id, distance: the best ``top`` of each query in each task, which hold the best of all."""
     asked = queries.where("query_vec IS NOT NULL AND lib_id IS NOT NULL").select("qid", "lib_id", "query_vec")
     n = asked.count() if n_queries is None else n_queries
     blocks = max(1, -(-n // BROADCAST_VECTORS))
@@ -108,9 +115,7 @@ def nearest(
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
         found.append(given.mapInArrow(_search(spark.sparkContext.broadcast(part.toArrow()), metric, top), schema))
-    closest = W.partitionBy("qid").orderBy(F.round("distance", 9), "chunk_id")
-    ranked = reduce(DataFrame.unionByName, found).withColumn("vec_rank", F.row_number().over(closest))
-    return ranked.where(F.col("vec_rank") <= top)
+    return reduce(DataFrame.unionByName, found)
 
 
 def flag_weak(hits: DataFrame, metric: str = "cosine", ratio: float = KEEP_RATIO) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import guards
@@ -49,12 +49,16 @@ def _ranked(queries: DataFrame, asked: lexical.QueryTerms, corpus: Corpus, metri
 
 def search(
     queries: DataFrame, chunks: DataFrame | None = None, vectors: DataFrame | None = None, *, k: int = 5,
-    rrf_k: int = fusion.FUSION_K, metric: str = "cosine", opener: Opener | None = None,
+    rrf_k: int = fusion.FUSION_K, metric: str = "cosine", opener: Opener | None = None, single: bool = False,
 ) -> DataFrame:
     """Hybrid search for ``queries`` (qid, lib_id, query, query_vec, version).
 
-    Up to ``k`` hits per query: fused order, soft version filter, one hit per page.
+    Up to ``k`` hits per query: fused order, soft version filter, one hit per page. ``single``: the caller
+    knows that ``queries`` is one local row on a stored index.
     """
+    if single:
+        asked = lexical.local_terms(queries)
+        return search_one(queries, opener(queries, asked), asked, k, rrf_k, metric)
     asked = lexical.query_terms(queries)
     corpus = Corpus(chunks, vectors) if opener is None else opener(queries, asked)
     placed = _ranked(queries, asked, corpus, metric, max(lexical.TOP, k))
@@ -66,6 +70,33 @@ def search(
     return ht.present(ht.one_per_page(ht.prefer_version(full, F.col("version")), k))
 
 
+def search_one(query: DataFrame, corpus: Corpus, asked: lexical.QueryTerms, k: int, rrf_k: int, metric: str) -> DataFrame:
+    """:func:`search` of a batch of one row, with as few jobs as it takes.
+
+    Both searches prune where the data is and hand on ``max(TOP, k)`` ids each; those few rows are the driver's,
+    so that fusion, version filter and page rule are one task's work instead of a shuffle each.
+    """
+    spark, top = query.sparkSession, max(lexical.TOP, k)
+
+    def here(df: DataFrame) -> DataFrame:
+        return spark.createDataFrame(df.toArrow(), df.schema).coalesce(1)
+
+    scores = lexical.bm25_scores(corpus.postings, asked, corpus.stats, corpus.term_df)
+    found = lexical.lexical_ranks(here(lexical.best_of_one(scores, top)).distinct(), top)
+    near = None
+    if corpus.vectors is not None and query.first()["query_vec"] is not None:
+        closest = [F.round("distance", 9), F.col("chunk_id")]
+        near = here(nearest.candidates(query, corpus.vectors, metric, top, n_queries=1).orderBy(*closest).limit(top))
+        near = nearest.flag_weak(near.withColumn("vec_rank", F.row_number().over(Window.partitionBy("qid").orderBy(*closest))), metric)
+    fused = fusion.fuse(fusion.list_positions(fusion.ranked_list(found, near).coalesce(1)), rrf_k)
+    version = query.first()["version"]
+    winners = here(fusion.best(fused, F.lit(k if version == "" else 3 * k)))
+    ids = [r["chunk_id"] for r in winners.select("chunk_id").collect()]
+    text = here(corpus.chunks.select("chunk_id", "path", "title", "text", "ver").filter(F.col("chunk_id").isin(*ids) if ids else F.lit(False)))
+    full = text.join(winners.hint("merge"), "chunk_id")
+    return ht.present(ht.one_per_page(ht.prefer_version(full, version), k))
+
+
 def get_docs(
     queries: DataFrame, chunks: DataFrame | None = None, vectors: DataFrame | None = None, *,
     scorer: ht.Scorer = ht.lexical_overlap, **options,
@@ -77,10 +108,17 @@ def get_docs(
     asked = queries.filter(~guards.empty_query(F.col("query")))
     vague = asked.filter(guards.needs_guidance(F.col("query")))
     clear = asked.filter(~guards.needs_guidance(F.col("query")))
-    found = search(clear, chunks, vectors, k=SEARCH_POOL, **options).join(clear.select("qid", "query"), "qid")
+    if options.get("single") and clear.first() is None:  # one local row: no job
+        return guidance(vague, "query")
+    hits = search(clear, chunks, vectors, k=SEARCH_POOL, **options)
+    if options.get("single"):
+        found = hits.withColumn("query", F.lit(clear.first()["query"]))
+    else:
+        found = hits.join(clear.select("qid", "query"), "qid")
     ordered = ht.rerank(found, scorer).drop("query")
     answers = ht.trim_to_budget(ordered).filter(F.col("rank") <= ANSWER_ROWS)
-    return answers.withColumn("id", F.col("id").cast("string")).unionByName(guidance(vague, "query"))
+    answers = answers.withColumn("id", F.col("id").cast("string"))
+    return answers if options.get("single") else answers.unionByName(guidance(vague, "query"))
 
 
 def guidance(queries: DataFrame, reason: str) -> DataFrame:

@@ -30,8 +30,8 @@ from . import retrieval
 
 _VERSIONS = (
     "table_name string, version long, path string, n_rows long, layout int, tag string, buckets int, only array<int>, max_id long, "
-    # of a delta: what it replaces. Of hidden chunks: up to which version of each table. Of corpus statistics: their share
-    "delta boolean, replaces array<long>, hides struct<chunks:long,chunk_vec:long,postings:long>, n_docs long, sum_dl long")
+    # of a delta: what it replaces. Of buckets: which hold rows. Of hidden chunks: up to which version of each table. Of corpus statistics: their share
+    "delta boolean, replaces array<long>, filled array<int>, hides struct<chunks:long,chunk_vec:long,postings:long>, n_docs long, sum_dl long")
 _STAMPED = _VERSIONS + ", written_at timestamp"
 _HIDDEN = "hidden"
 _HIDES = ("chunks", "chunk_vec", "postings")
@@ -126,7 +126,7 @@ class Store:
                 continue
             wanted = here & set(buckets[key]) if key in buckets else here
             if not key or wanted or not parts:
-                df = self._scan(v, kind, key is not None)
+                df = self._scan(v, kind, key is not None, wanted)
                 if key and len(wanted) < self.n_buckets:
                     df = df.filter(F.col("bucket").isin(*sorted(wanted)))
                 parts.append(schema.conform(df if where is None else df.filter(where), table))
@@ -142,8 +142,14 @@ class Store:
             out = out.filter("df > 0") if pick is None else out.filter("df <> 0")
         return out
 
-    def _scan(self, version, kind: T.StructType, bucketed: bool) -> DataFrame:
+    def _scan(self, version, kind: T.StructType, bucketed: bool, wanted: set[int] | None = None) -> DataFrame:
+        """``wanted``: directories of other buckets are not even listed."""
         reader = self.spark.read
+        filled = version.get("filled") if isinstance(version, dict) else version["filled"]
+        if bucketed and filled is not None and wanted is not None and len(wanted) < self.n_buckets:
+            own = T.StructType(kind.fields + [T.StructField("bucket", T.IntegerType())])
+            paths = [f"{version['path']}/bucket={b}" for b in sorted(wanted & set(filled))]
+            return reader.schema(own).option("basePath", version["path"]).parquet(*paths) if paths else self.spark.createDataFrame([], own)
         if version["layout"] == schema.SCHEMA_VERSION:  # no job to look the schema up
             reader = reader.schema(T.StructType(kind.fields + ([T.StructField("bucket", T.IntegerType())] if bucketed else [])))
         return reader.parquet(version["path"])
@@ -194,9 +200,11 @@ class Store:
         else:
             laid_out.write.parquet(path)
         top = F.max("chunk_id") if table == "chunks" else F.lit(None).cast("long")
-        n_rows, max_id = self.spark.read.schema(kind).parquet(path).agg(F.count("*"), top).first()
+        own = T.StructType(kind.fields + [T.StructField("bucket", T.IntegerType())]) if key else kind
+        filled = F.collect_set("bucket") if key and not more.get("delta") else F.lit(None)
+        n_rows, max_id, filled = self.spark.read.schema(own).parquet(path).agg(F.count("*"), top, filled).first()
         return dict(table_name=table, version=version, path=path, n_rows=n_rows, layout=schema.SCHEMA_VERSION,
-                    buckets=self.n_buckets if key else None, max_id=max_id) | more
+                    buckets=self.n_buckets if key else None, max_id=max_id, filled=filled) | more
 
     def rollback(self, table: str, version: int) -> None:
         """Publish an earlier whole version again."""
@@ -315,11 +323,11 @@ class Store:
                     tiers.setdefault(0 if table == "corpus_stats" else int(math.log(max(1, r["n_rows"]), self.FAN)), []).append(r)
             for full in (t for t in tiers.values() if len(t) >= self.FAN):
                 version = max(r["version"] for r in [*live[table], *[x for x in rows if x["table_name"] == table]]) + 1
-                more = dict(delta=True, replaces=[r["version"] for r in full])
+                more = dict(delta=True, replaces=[r["version"] for r in full], tag=self._chunk_stamp(live) if table == "chunks" else "")
                 if table == "corpus_stats":
                     n, total = (sum(r[c] for r in full) for c in ("n_docs", "sum_dl"))
                     newest = max(full, key=lambda r: r["version"])
-                    rows.append(self._stats_row(version, newest["tag"], n, total) | more)
+                    rows.append(self._stats_row(version, newest["tag"], n, total) | more | {"tag": newest["tag"]})
                 else:
                     rows.append(self._files(table, version, self._open(table, live, {}, pick=set(more["replaces"])), **more))
         if rows:
@@ -337,7 +345,8 @@ class Store:
 
     def _chunk_stamp(self, live: dict[str, list]) -> str:
         """Names the content of the chunks; folding deltas does not change it."""
-        return f"chunks-{next((r['version'] for r in live['chunks'] if not r['replaces']), 0)}"
+        newest = live["chunks"][0] if live["chunks"] else None
+        return newest["tag"] if newest and newest["replaces"] else f"chunks-{newest['version'] if newest else 0}"
 
     def _current(self, live: dict[str, list]) -> bool:
         return bool(live["corpus_stats"]) and live["corpus_stats"][0]["tag"] == self._chunk_stamp(live)
@@ -351,6 +360,8 @@ class Store:
         An index made from other chunks than the current ones would miss some without a sign, so it
         is refused.
         """
+        if asked.terms is not None:
+            return self._opened_for_one(asked)
         libs = queries.select("lib_id").distinct()
         wanted = libs.select(F.lit("lib_id").alias("key"), self.bucket(F.col("lib_id")).alias("bucket")).union(
             asked.parts.select(F.lit("term"), self.bucket(F.col("term")))).distinct()
@@ -363,6 +374,18 @@ class Store:
         now = {t: self._open(t, live, buckets, ours if t in _HIDES and (t != "postings" or not asked.phrases) else None) for t in live if t != _HIDDEN}
         return retrieval.Corpus(now["chunks"], now["chunk_vec"], now["postings"], now["corpus_stats"], now["terms"])
 
+    def _opened_for_one(self, asked: lexical.QueryTerms) -> retrieval.Corpus:
+        """The same for one query: its words and its library go into the scans, which skip by them."""
+        keys = T.StructType([T.StructField("key", T.StringType())])
+        of = lambda values: [r["b"] for r in local(self.spark, keys, [(v,) for v in values]).select(self.bucket(F.col("key")).alias("b")).collect()]
+        buckets = {"lib_id": of([asked.lib_id]), "term": sorted(set(of(asked.terms)))}
+        mine, words = F.col("lib_id") == F.lit(asked.lib_id), F.col("term").isin(*asked.terms) if asked.terms else F.lit(False)
+        where = {"chunks": mine, "chunk_vec": mine, "postings": words if asked.phrases else words & mine, "terms": words}
+        live = self._searchable()
+        now = {t: self._open(t, live, buckets, where.get(t)) for t in live if t != _HIDDEN}
+        vectors = now["chunk_vec"] if live["chunk_vec"] else None
+        return retrieval.Corpus(now["chunks"], vectors, now["postings"], now["corpus_stats"], now["terms"])
+
     def _searchable(self) -> dict[str, list]:
         live = self._live("chunks", "chunk_vec", *_INDEX)
         if live["chunks"] and not self._current(live):
@@ -377,8 +400,8 @@ class Store:
         return retrieval.get_docs(queries, opener=self._opened, **options)
 
     def get_docs_one(self, lib_id: str, query: str, version: str = "", query_vec: list | None = None, **options) -> DataFrame:
-        row = self.spark.createDataFrame([(0, lib_id, query, query_vec, version)], schema.QUERIES)
-        return self.get_docs(row, **options).drop("qid").orderBy("rank")
+        row = local(self.spark, schema.QUERIES, [(0, lib_id, query, query_vec, version)])
+        return self.get_docs(row, single=True, **options).drop("qid").orderBy("rank")
 
     def versions_of(self, lib_id: str) -> DataFrame:
         return self.read("libs").filter(F.col("id") == lib_id).select(F.explode_outer("versions").alias("version")).filter("version IS NOT NULL")

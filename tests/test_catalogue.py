@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 SF = entry.SMOKE_DIR
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SAMPLE = ["hybrid_search", "knn_cosine", "chunk_pack", "simhash64", "near_dup_greedy", "norm_url", "link_extract", "candidate_merge", "versions_argmax", "latency_summary", "upsert_merge", "refresh_due"]
+SAMPLE = ["hybrid_search", "store_upsert_search", "knn_cosine", "chunk_pack", "simhash64", "near_dup_greedy", "norm_url", "link_extract", "candidate_merge", "versions_argmax", "latency_summary", "upsert_merge", "refresh_due"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("FOLIOSCOPE_ALL") else SAMPLE
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")

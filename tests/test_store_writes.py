@@ -199,3 +199,55 @@ def test_index_follows_writes(spark, tmp_path):
     followed = {t: sorted(map(tuple, store.read(t).collect()), key=repr) for t in ("postings", "terms", "corpus_stats")}
     store.build_index()
     assert followed == {t: sorted(map(tuple, store.read(t).collect()), key=repr) for t in followed}
+
+
+def page_rows(ids, text, path="/p{}"):
+    return [(i, "f" if i % 3 else "g", "", path.format(i), "T", text.format(i), None, None) for i in ids]
+
+
+def contents(store):
+    return {t: sorted(map(tuple, store.read(t).collect()), key=repr) for t in ("chunks", "chunk_vec", "postings", "terms", "corpus_stats")}
+
+
+def test_a_page_costs_the_rows_of_a_page(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), n_buckets=4)
+    store.FAN, store.HIDDEN_LEAST = 3, 6
+    df = lambda rows: spark.createDataFrame(rows, CHUNKS)
+    every = list(range(4))
+    now = page_rows(range(40), "the common words of page number{0}")
+    store.write("chunks", df(now))
+    store.build_index()
+    store.write("chunk_vec", spark.createDataFrame([(i, "f" if i % 3 else "g", [1.0, float(i)]) for i in range(40)], "chunk_id long, lib_id string, embedding array<float>"))
+    for turn in range(5):
+        # one page is replaced, one goes
+        now = [r for r in now if r[0] not in (turn, 20 + turn)] + page_rows([100 + turn], "the common quagga{0} words")
+        before = {r["path"] for r in store.versions().collect()}
+        store.write_chunks(df(now), every)
+        written = {t: [r["n_rows"] for r in store.versions().collect() if r["table_name"] == t and r["path"] not in before and not r["replaces"] and r["delta"]]
+                   for t in ("chunks", "postings", "terms")}
+        if turn < 2:  # later turns fold and clean up as well
+            assert written["chunks"] == [1] and written["postings"] == [5] and written["terms"][0] <= 12
+        assert store.index_is_current() and store.last_id() == 100 + turn
+        assert [r["path"] for r in store.get_docs_one("f" if (100 + turn) % 3 else "g", f"quagga{100 + turn}").collect()] == [f"/p{100 + turn}"]
+        assert store.get_docs_one("g", "number0").collect() == []
+        assert {r["chunk_id"] for r in store.read("chunk_vec").collect()} == {r[0] for r in now if r[0] < 100}
+    followed = contents(store)
+    live = store._live("postings", "chunks")
+    assert len(live["postings"]) < 5 and len(store._hidden("chunks", live)) == 1  # folded, and cleaned up once
+    assert followed["chunks"] == sorted(now, key=repr)
+    store.build_index()
+    assert followed == contents(store)
+    store.append("chunk_vec", spark.createDataFrame([(104, "f", [0.0, 1.0])], "chunk_id long, lib_id string, embedding array<float>"))
+    assert 104 in {r["chunk_id"] for r in store.read("chunk_vec").collect()}
+
+
+def test_a_chunk_changed_under_its_id_and_a_new_start(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), n_buckets=4)
+    df = lambda rows: spark.createDataFrame(rows, CHUNKS)
+    store.write_chunks(df(page_rows([1, 2, 3], "first text {0}")), list(range(4)))
+    store.build_index()
+    store.write_chunks(df(page_rows([2, 3], "first text {0}")), list(range(4)))
+    store.write_chunks(df(page_rows([2, 3], "second text {0}")), list(range(4)))
+    assert [r["path"] for r in store.get_docs_one("f", "second").collect()] == ["/p2"] and store.get_docs_one("f", "first").collect() == []
+    store.write("chunks", df(page_rows([1, 2], "third text {0}")))  # ids that were hidden once are whole again
+    assert sorted(r["chunk_id"] for r in store.read("chunks").collect()) == [1, 2]
