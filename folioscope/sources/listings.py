@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text as tx
 
+#: Fixed value: the form of a link line.
 LINK = r"^\s*[-*\d.]*\s*\[([^\]]+)\]\((\S+)\)"
 
 
