@@ -892,6 +892,24 @@ def _(spark, sf):
     return cd.versions_argmax(cd.stable_releases(_releases(spark, sf))).select("name", F.array_join("versions", ",").alias("versions"))
 
 
+@register("version_history", f"""WITH {S_HISTORY}, sizes AS (SELECT name, src_ord, count(*) AS n FROM stable GROUP BY ALL), best AS (SELECT name, src_ord FROM sizes QUALIFY row_number() OVER (PARTITION BY name ORDER BY n DESC, src_ord) = 1),
+  r AS (SELECT s.*, row_number() OVER (PARTITION BY name ORDER BY parts DESC) AS n FROM stable s JOIN best USING (name, src_ord)),
+  eco AS (SELECT name, string_agg(version, ',' ORDER BY n) AS eco FROM r WHERE n <= 20 GROUP BY name),
+  found AS (SELECT 'lib' || c_custkey AS name, CASE WHEN c_nationkey % 2 = 0 THEN '9.' || c_nationkey || ',8.0' END AS found FROM customer),
+  old AS (SELECT 'lib' || s_suppkey AS name, CASE WHEN s_suppkey % 3 > 0 THEN '1.' || s_nationkey END AS old FROM supplier)
+  SELECT name, coalesce(found, eco, old, '') AS versions FROM found FULL JOIN eco USING (name) FULL JOIN old USING (name)""")
+def _(spark, sf):
+    lib = lambda c: F.concat(F.lit("lib"), F.col(c).cast("string"))
+    newest = F.concat(F.lit("9."), F.col("c_nationkey").cast("string"))
+    found = tb.read(spark, sf, "customer").select(
+        lib("c_custkey").alias("name"), F.lit(1).alias("rank"),
+        F.when(F.col("c_nationkey") % 2 == 0, F.array(newest, F.lit("8.0"))).otherwise(F.array(newest)).alias("versions"))
+    eco = cd.versions_argmax(cd.stable_releases(_releases(spark, sf)))
+    known = tb.read(spark, sf, "supplier").select(lib("s_suppkey").alias("id"), "s_suppkey").join(_libs(spark, sf).select(
+        F.substring("id", 2, 20).cast("long").alias("s_suppkey"), "versions"), "s_suppkey")
+    return resolve.version_history(found, eco, known).select("name", F.array_join("versions", ",").alias("versions"))
+
+
 @register("docs_url_dup", f"""WITH {S_LIBS}, c AS (SELECT 's' || c_custkey AS id, 'https://docs' || (c_custkey % 60) || '.dev' AS docs_url FROM customer)
   SELECT c.id, c.docs_url, coalesce((SELECT min(l.id) FROM libs l WHERE l.docs_url = c.docs_url AND l.id <> c.id), c.id) AS use_id FROM c""")
 def _(spark, sf):
@@ -946,6 +964,12 @@ def _(spark, sf):
     return u.select("user_id", freshness.recrawl_allowed(F.col("crawled"), F.col("fetched"), now).alias("due"), freshness.recrawl_allowed(F.col("crawled"), F.col("fetched"), now, True).alias("forced"))
 
 
+@register("lookup_unexpired", f"SELECT event_id FROM events WHERE epoch(TIMESTAMP '{_NOW}')::BIGINT - floor(epoch(ts))::BIGINT < 604800")
+def _(spark, sf):
+    cache = tb.read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return freshness.unexpired(cache, F.lit(_NOW).cast("timestamp"), 604_800, "ts").select("event_id")
+
+
 @register("refresh_due", f"""SELECT event_id, epoch(TIMESTAMP '{_NOW}')::BIGINT - floor(epoch(ts))::BIGINT >= least(CASE WHEN value > 5 THEN 86400 ELSE 604800 END * power(2, least(user_id % 6, 3)), 604800) AS due FROM events""")
 def _(spark, sf):
     now = F.lit(_NOW).cast("timestamp")

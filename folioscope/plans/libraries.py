@@ -187,8 +187,14 @@ def refresh_store(
     return status
 
 
+def to_check(store: Store, now: Column) -> DataFrame:
+    """id of the stored libraries whose interval since the last check, which grows while they stay stable, is over."""
+    over = freshness.refresh_due(F.col("last_check"), F.coalesce("trust", F.lit(0.0)), F.coalesce("stable", F.lit(0)), now)
+    return store.read("libs").filter(over).select("id")
+
+
 def check_libs(store: Store, checks: DataFrame, now: Column, resolved: DataFrame | None = None) -> None:
-    """Fold freshness probes (id, latest_ver, versions, etag) and newly resolved addresses (id, docs_url, repo)
+    """Fold freshness probes (id, latest_ver, versions, etag) of the libraries :func:`to_check` names, and newly resolved addresses (id, docs_url, repo)
     into the stored libraries; :func:`due` then names those that must be read again."""
     libs = freshness.apply_check(store.read("libs"), checks, now)
     store.write("libs", libs if resolved is None else freshness.docs_moved(libs, resolved))

@@ -101,3 +101,17 @@ def test_report_is_read_back_by_the_gate(spark, tmp_path):
     scored = spark.createDataFrame(rows, "n int, library string, fragments array<string>, hit_rank int, n_chunks int, ms double, tokens int")
     report.write_report(scored, str(tmp_path / "report"))
     assert tuple(metrics.gate(files.report_rows(spark, str(tmp_path / "report"))).first()) == (1, 2, 50.0, True)
+
+
+def test_libraries_to_check_follow_their_interval(spark, tmp_path):
+    import datetime
+
+    store = Store(spark, str(tmp_path / "store"), n_buckets=4)
+    ago = lambda hours: datetime.datetime(2024, 5, 8, 12) - datetime.timedelta(hours=hours)
+    kind = "id string, name string, trust double, latest_ver string, versions array<string>, full boolean, etag string, last_check timestamp, stable int"
+    rows = [("a", "A", 9.0, "", [], True, "", ago(25), 0), ("b", "B", 9.0, "", [], True, "", ago(25), 1), ("c", "C", None, "", [], True, "", None, None)]
+    store.write("libs", spark.createDataFrame(rows, kind))
+    now = F.lit("2024-05-08 12:00:00").cast("timestamp")
+    assert {r["id"] for r in libraries.to_check(store, now).collect()} == {"a", "c"}
+    libraries.check_libs(store, spark.createDataFrame([("a", "", None, "e1")], "id string, latest_ver string, versions array<string>, etag string"), now)
+    assert {r["id"] for r in libraries.to_check(store, now).collect()} == {"c"}
