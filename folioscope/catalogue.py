@@ -16,6 +16,7 @@ from .evaluation import metrics
 from .functions import guards, hashing, html as hx, paths, text as tx
 from .operators import candidates as cd
 from .operators import freshness, fusion, hits as ht, lexical, nearest, neardup, upsert
+from .operators.ordering import running
 from .plans import crawl, ingest, resolve, retrieval
 from .plans.store import Store, lib_stats
 from .session import shared_dir, small_side, spread, stored
@@ -387,15 +388,19 @@ def _(spark, sf):
     return tb.read(spark, sf, "pages").select("page_id", url.alias("url")).withColumn("safe", guards.ssrf_safe(F.col("url")))
 
 
-_TYPES = ["text/html; charset=utf-8", "TEXT/PLAIN", "", "image/png", "application/xhtml+xml", "text/css", "application/vnd.x+html", "application/json"]
+# The ending of a page's address and the character set it declares stand in for the header of its answer.
+S_TYPE = f"""CASE WHEN ends_with({s_path('url')}, '/') THEN '' WHEN ends_with({s_path('url')}, '.html') THEN 'Application/XHTML+XML' WHEN contains(url, '?page') THEN 'application/json'
+  WHEN contains(url, 'utm_') THEN 'image/png' WHEN contains(url, '#') THEN 'application/vnd.x+html' ELSE 'TEXT/' || CASE WHEN contains(html, '<table') THEN 'css' ELSE 'html' END || '; charset=' || regexp_extract(html, 'charset="?([A-Za-z0-9-]+)', 1) END"""
 
 
-@register("textual_mime", f"""WITH p AS (SELECT page_id, {_TYPES!r}[(page_id % 8 + 1)::INT] AS content_type FROM pages)
-  SELECT page_id, content_type, page_id % 8 IN (0, 1, 2, 4, 6) AS textual FROM p""")
+@register("textual_mime", f"""WITH p AS (SELECT page_id, {S_TYPE} AS content_type FROM pages)
+  SELECT page_id, content_type, content_type = '' OR regexp_matches(lower(content_type), '^text/(html|plain|markdown|x-markdown|x-rst)|html$|^application/xhtml') AS textual FROM p""")
 def _(spark, sf):
-    kinds = F.array(*map(F.lit, _TYPES))
-    df = tb.read(spark, sf, "pages").select("page_id", F.get(kinds, (F.col("page_id") % 8).cast("int")).alias("content_type"))
-    return df.withColumn("textual", guards.textual_mime(F.col("content_type")))
+    url, path, html = F.col("url"), paths.path_of(F.col("url")), F.col("html")
+    plain = F.concat(F.lit("TEXT/"), F.when(F.contains(html, F.lit("<table")), "css").otherwise("html"), F.lit("; charset="), F.regexp_extract(html, 'charset="?([A-Za-z0-9-]+)', 1))
+    kind = F.when(F.endswith(path, F.lit("/")), "").when(F.endswith(path, F.lit(".html")), "Application/XHTML+XML").when(F.contains(url, F.lit("?page")), "application/json").when(
+        F.contains(url, F.lit("utm_")), "image/png").when(F.contains(url, F.lit("#")), "application/vnd.x+html").otherwise(plain)
+    return tb.read(spark, sf, "pages").select("page_id", kind.alias("content_type")).withColumn("textual", guards.textual_mime(F.col("content_type")))
 
 
 @register("soft_404", """SELECT doc_id, length(text) < 2000 AND (contains(lower(text), 'not found') OR contains(lower(text), 'page you''re looking for')) AS plain,
@@ -554,11 +559,12 @@ def _markdown(spark: SparkSession, sf: str) -> DataFrame:
     return spread(docs.select("doc_id", "source", F.when(F.col("lang") == "de", fenced).otherwise(body).alias("text")))
 
 
-S_SECTIONS = S_MARKDOWN + """, ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM md),
+S_LINES = """, ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM md),
 fence AS (SELECT *, sum(starts_with(line, '```')::INT) OVER (PARTITION BY doc_id ORDER BY n) % 2 AS open FROM ln),
 sec AS (SELECT *, sum((regexp_matches(line, '^#{1,4} ') AND open = 0)::INT) OVER (PARTITION BY doc_id ORDER BY n) AS s FROM fence),
 first_sec AS (SELECT doc_id, min(s) AS s0 FROM sec GROUP BY doc_id),
 sections AS (SELECT doc_id, s - s0 AS section_no, string_agg(line, chr(10) ORDER BY n) AS section FROM sec JOIN first_sec USING (doc_id) GROUP BY ALL)"""
+S_SECTIONS = S_MARKDOWN + S_LINES
 
 
 @register("chunk_sections", f"WITH {S_SECTIONS} SELECT doc_id, section_no::BIGINT AS section_no, section FROM sections")
@@ -568,7 +574,7 @@ def _(spark, sf):
 
 
 # Packing as a recursion over paragraphs; an oversize paragraph is cut by a recursion of its own.
-S_PACK = f"""WITH RECURSIVE {S_SECTIONS},
+S_PIECES = """,
 whole AS (SELECT doc_id, section_no, section FROM sections WHERE length(section) <= 2048),
 paras AS (SELECT doc_id, section_no, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY i) AS i, p FROM (
     SELECT doc_id, section_no, i, regexp_replace(regexp_replace(p, '^\\s+', ''), '\\s+$', '') AS p FROM (
@@ -586,8 +592,9 @@ cut AS (SELECT doc_id, section_no, grp, 0 AS piece_no, NULL::VARCHAR AS piece, p
     SELECT *, CASE WHEN length(rest) <= 2048 THEN length(rest) WHEN nl < 2048 AND 2048 - nl - 1 > 0 THEN 2048 - nl - 1 ELSE 2048 END AS at_char
     FROM (SELECT *, CASE WHEN contains(left(rest, 2048), chr(10)) THEN instr(reverse(left(rest, 2048)), chr(10)) - 1 ELSE 2048 END AS nl FROM cut WHERE rest <> ''))),
 pieces AS (SELECT doc_id, section_no, 0 AS grp, 0 AS piece_no, section AS piece FROM whole UNION ALL SELECT * FROM small
-  UNION ALL SELECT doc_id, section_no, grp, piece_no, piece FROM cut WHERE piece IS NOT NULL)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, grp, piece_no) - 1 AS chunk_no, piece AS text FROM pieces"""
+  UNION ALL SELECT doc_id, section_no, grp, piece_no, piece FROM cut WHERE piece IS NOT NULL),
+packed AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, grp, piece_no) - 1 AS chunk_no, piece AS text FROM pieces)"""
+S_PACK = f"WITH RECURSIVE {S_SECTIONS}{S_PIECES} SELECT doc_id, chunk_no, text FROM packed"
 
 
 @register("chunk_pack", S_PACK)
@@ -1048,30 +1055,67 @@ def _(spark, sf):
     return metrics.gate(tb.read(spark, sf, "labels").select(outcome.alias("outcome"))).withColumn("pct", F.round("pct", 6))
 
 
-# ---------------------------------------------------------------- whole flows, without SQL
+# ---------------------------------------------------------------- whole flows
 
-@register("ingest_chunks")
+# Every page with its library, address, canonical address and extracted text, one per library and canonical address.
+S_SITES = f"""whole_html AS ({_sql_html()}),
+site AS (SELECT {s_netloc('url')} AS lib_id, url, {s_norm_url('url')} AS path, h.text FROM pages JOIN whole_html h USING (page_id))"""
+S_INGESTED = f"""WITH RECURSIVE {S_SITES},
+one AS (SELECT lib_id, path, arg_min(text, url || chr(1) || text) AS text FROM site
+  WHERE text <> '' AND NOT regexp_matches(text, '(?i)ignore (all )?previous instructions|</system>|do not (follow|obey) (any )?(instructions|previous|the above)') GROUP BY ALL),
+md AS (SELECT row_number() OVER (ORDER BY lib_id, path) AS doc_id, lib_id AS source, path, text FROM one){S_LINES}{S_PIECES},
+placed AS (SELECT row_number() OVER (ORDER BY source, path, chunk_no) AS doc_id, source, path, left(regexp_replace(string_split(md.text, chr(10))[1], '^#+\\s*', ''), 80) AS title, chunk_no, packed.text
+  FROM packed JOIN md USING (doc_id)),
+documents AS (SELECT doc_id, source, text FROM placed), {S_GREEDY.removeprefix('WITH RECURSIVE ').rsplit(chr(10) + 'SELECT', 1)[0]},
+stay AS (SELECT doc_id FROM sim WHERE length(text) < 300 OR simhash = 0 UNION ALL SELECT doc_id FROM walk WHERE stays)
+SELECT source AS lib_id, path, title, chunk_no, text FROM placed WHERE doc_id IN (SELECT doc_id FROM stay)"""
+
+
+@register("ingest_chunks", S_INGESTED)
 def ingest_chunks(spark, sf):
     """Raw pages to chunks without near-duplicates."""
     raw = _page_list(spark, sf).select("lib_id", "url", "html")
     pages = ingest.one_per_path(ingest.extracted(spread(raw), "url"))
     found = stored(ingest.numbered(ingest.page_chunks(pages), "chunk_id"))
-    return neardup.survivors(found).select("lib_id", "path", "title", "chunk_no", "text")
+    return neardup.survivors(found).select("lib_id", "path", "title", F.col("chunk_no").cast("long").alias("chunk_no"), "text")
+
+
+# The pages of a host by address are a tree: page n links to pages 2n and 2n + 1; the crawl starts at page 1.
+S_TREE = f"""{S_SITES},
+tree AS (SELECT *, row_number() OVER (PARTITION BY lib_id ORDER BY path) AS n FROM (SELECT lib_id, path, arg_min(text, url) AS text FROM site GROUP BY ALL)),
+reached AS (SELECT lib_id, n, path, text FROM tree WHERE n = 1
+  UNION ALL SELECT t.lib_id, t.n, t.path, t.text FROM reached r JOIN tree t ON t.lib_id = r.lib_id AND t.n // 2 = r.n
+  WHERE {s_allowed('t.path', 'r.path')} AND NOT regexp_matches(t.path, '_static|_sources|genindex|search\\.html|404|whatsnew/|release/'))"""
+
+
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    """lib_id, url, text, html, n: the pages of a host as a tree of links."""
+    pages = spread(_page_list(spark, sf).select("lib_id", "url", "html")).withColumn("page", paths.norm_url(F.col("url")))
+    one = pages.groupBy("lib_id", "page").agg(F.min_by("html", "url").alias("html"))
+    placed = stored(running(one, ["lib_id"], [F.col("page").asc()], out="n"))
+    below = placed.groupBy("lib_id", F.floor(F.col("n") / 2).alias("n")).agg(F.sort_array(F.collect_list("page")).alias("below"))  # two at most
+    hrefs = F.array_join(F.transform("below", lambda p: F.concat(F.lit('<a href="'), p, F.lit('">next</a>'))), "")
+    return stored(placed.join(below, ["lib_id", "n"], "left").select(
+        "lib_id", F.col("page").alias("url"), "n", hx.extract(F.col("html")).alias("text"), F.coalesce(hrefs, F.lit("")).alias("html")))
 
 
-@register("crawl_rounds")
+@register("crawl_rounds", f"""WITH RECURSIVE {S_TREE},
+  md AS (SELECT row_number() OVER (ORDER BY lib_id, path) AS doc_id, lib_id AS source, path, text FROM reached WHERE text <> ''){S_LINES}{S_PIECES},
+  sizes AS (SELECT source AS lib_id, path, count(*) AS n_chunks FROM packed JOIN md USING (doc_id) GROUP BY ALL)
+  SELECT lib_id, path, coalesce(n_chunks, 0) AS n_chunks, true AS complete FROM reached LEFT JOIN sizes USING (lib_id, path)""")
 def crawl_rounds(spark, sf):
-    """Every host crawled from its page addresses, the pages table standing in for the network."""
-    pages = _page_list(spark, sf).select("lib_id", "url", "html")
-    one = spread(pages).groupBy("lib_id", "url").agg(F.min("html").alias("html"))
-    fetched = stored(one.withColumn("text", hx.extract(F.col("html"))))
-    seeds = pages.select("lib_id", paths.strip_slashes(F.regexp_extract("url", r"^([a-z]+://[^/]+)", 1)).alias("docs_url"), "url", F.lit("queued").alias("status"), F.lit(0).cast("long").alias("seq"))
+    """Every host crawled from one page along its links, the pages table standing in for the network."""
+    saved = _tree(spark, sf)
+    root = F.regexp_extract("url", r"^([a-z]+://[^/]+)", 1)
+    seeds = saved.filter("n = 1").select("lib_id", root.alias("docs_url"), "url", F.lit("queued").alias("status"), F.lit(0).cast("long").alias("seq"))
 
     def fetch(batch: DataFrame) -> DataFrame:
-        return batch.join(fetched, ["lib_id", "url"], "left").withColumn("html", F.coalesce("html", F.lit("")))
+        return batch.join(saved.select("lib_id", "url", "text", "html"), ["lib_id", "url"], "left")
 
-    chunks, frontier = crawl.crawl(seeds, fetch, F.lit("guide"), width=1000)
-    return chunks.groupBy("lib_id").agg(F.count("*").alias("n_chunks")).join(crawl.completed(frontier), "lib_id")
+    chunks, frontier = crawl.crawl(seeds, fetch, F.lit("guide"))
+    sizes = chunks.groupBy("lib_id", "path").agg(F.count("*").alias("n_chunks"))
+    seen = frontier.filter("status = 'seen'").select("lib_id", F.col("page").alias("path")).join(sizes, ["lib_id", "path"], "left")
+    return seen.join(crawl.completed(frontier), "lib_id").select("lib_id", "path", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "complete")
 
 
 @register("resolve_names")

@@ -1,10 +1,12 @@
 """Breadth-first crawl as rounds of DataFrame steps, for all libraries at once and resumable.
 
-The frontier is a table: lib_id, docs_url, url, status (queued or seen), seq, updated_at.
+The frontier is a table: lib_id, docs_url, url, status (queued or seen), seq, updated_at. While a crawl runs it is a
+log in the shared folder: a round appends the addresses it took and those it found, and rewrites nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -12,11 +14,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths, text as tx
-from ..session import cut
+from ..session import cut, shared_dir
 from . import ingest
 
 BATCH = 4
 Fetch = Callable[[DataFrame], DataFrame]
+_LOG = ["lib_id", "docs_url", "url", "status", "seq", "page"]
 
 
 def start(libs: DataFrame, state: DataFrame | None = None) -> DataFrame:
@@ -55,38 +58,47 @@ def crawl(
     A library stops when nothing is queued, or with as many chunks as ``caps`` (lib_id, cap) allows it. ``max_rounds`` is the budget;
     what is still queued then is the state a later call resumes from.
     """
-    frontier = cut(frontier.withColumn("page", paths.norm_url(F.col("url"))).groupBy("lib_id", "page").agg(
-        F.min_by(F.struct(*frontier.columns), F.struct("seq", "url")).alias("r")).select("r.*", "page"))
-    chunks = None
-    done_libs = frontier.select("lib_id").limit(0)
-    rounds = 0
+    spark = frontier.sparkSession
+    folder = f"{shared_dir(spark)}/crawl-{uuid.uuid4().hex}"
+    one = frontier.select(*_LOG[:-1], paths.norm_url(F.col("url")).alias("page")).groupBy("lib_id", "page").agg(
+        F.min_by(F.struct(*_LOG[:-1]), F.struct("seq", "url")).alias("r")).select("r.*", "page")
+    one.write.parquet(f"{folder}/log")
+    kinds = one.schema
+
+    def now() -> DataFrame:
+        """One row per page from the log: seen once any of its rows says so."""
+        rows = spark.read.schema(kinds).parquet(f"{folder}/log").groupBy("lib_id", "page").agg(
+            F.min_by(F.struct("docs_url", "url", "seq"), F.struct("seq", "url")).alias("r"), F.bool_or(F.col("status") == "seen").alias("s"))
+        return rows.select("lib_id", "r.docs_url", "r.url", F.when(F.col("s"), "seen").otherwise("queued").alias("status"), "r.seq", "page")
+
+    known = None if existing is None else cut(existing.select("lib_id", paths.norm_url(F.col("path")).alias("path")).distinct())
+    top = one.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    chunks, rounds = None, 0
     while max_rounds is None or rounds < max_rounds:
-        open_rows = frontier.join(done_libs, "lib_id", "left_anti")
-        batch = cut(take(open_rows, query, width))
+        waiting = now()
+        if caps is not None and chunks is not None:
+            full = chunks.groupBy("lib_id").count().join(caps, "lib_id").filter(F.col("count") >= F.col("cap")).select("lib_id")
+            waiting = waiting.join(full, "lib_id", "left_anti")
+        batch = cut(take(waiting, query, width))
         if batch.isEmpty():
             break
+        rounds += 1
         got = cut(batch.select("lib_id", "docs_url", "page", "seq", "url").join(
             fetch(batch.select("lib_id", "docs_url", "url")).select("lib_id", "url", "text", "html"), ["lib_id", "url"], "left"))
         body = got.select("lib_id", F.col("page").alias("path"), "text")
-        if existing is not None:
-            known = existing.select("lib_id", paths.norm_url(F.col("path")).alias("path")).distinct()
+        if known is not None:
             body = body.join(known, ["lib_id", "path"], "left_anti")
-        fresh = cut(ingest.page_chunks(body))
-        chunks = fresh if chunks is None else chunks.unionByName(fresh)
-        found = links(got).withColumn("page", F.col("url"))
-        top = frontier.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        queued = found.groupBy("lib_id", "docs_url", "page").agg(
-            F.min("url").alias("url"), F.min("pos").alias("__pos")
-        ).join(frontier.select("lib_id", "page"), ["lib_id", "page"], "left_anti").select(
-            "lib_id", "docs_url", "url", F.lit("queued").alias("status"), (F.lit(top) + 1 + F.col("__pos")).cast("long").alias("seq"), "page")
-        taken = batch.select("lib_id", "page").withColumn("__t", F.lit(True))
-        moved = frontier.join(taken, ["lib_id", "page"], "left").withColumn(
-            "status", F.when(F.col("__t"), "seen").otherwise(F.col("status"))).select(queued.columns)
-        frontier = cut(moved.unionByName(queued))
-        if caps is not None:
-            done_libs = chunks.groupBy("lib_id").count().join(caps, "lib_id").filter(F.col("count") >= F.col("cap")).select("lib_id")
-        rounds += 1
-    return chunks, frontier
+        fresh = ingest.page_chunks(body)
+        fresh.write.mode("append").parquet(f"{folder}/chunks")
+        chunks = spark.read.schema(fresh.schema).parquet(f"{folder}/chunks")
+        # a later round comes after all earlier ones, and inside a round the place on the page decides
+        seq = (F.lit(top) + F.lit(rounds << 32) + F.min("pos")).cast("long")
+        found = links(got).groupBy("lib_id", "docs_url", F.col("url").alias("page")).agg(F.min("url").alias("url"), seq.alias("seq"))
+        logged = spark.read.schema(kinds).parquet(f"{folder}/log").select("lib_id", "page")
+        new = found.join(logged, ["lib_id", "page"], "left_anti").withColumn("status", F.lit("queued"))
+        taken = batch.withColumn("status", F.lit("seen"))
+        new.select(_LOG).unionByName(taken.select(_LOG)).write.mode("append").parquet(f"{folder}/log")
+    return chunks, now()
 
 
 def completed(frontier: DataFrame) -> DataFrame:
