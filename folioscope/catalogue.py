@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .evaluation import metrics
@@ -1118,7 +1118,29 @@ def crawl_rounds(spark, sf):
     return seen.join(crawl.completed(frontier), "lib_id").select("lib_id", "path", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "complete")
 
 
-@register("resolve_names")
+# Curated entries answer alone, then standard modules, then the merged answers with their trust and the query's half point.
+S_RESOLVED = f"""WITH {S_MERGED}, {S_LIBS}, {S_HISTORY},
+  sizes AS (SELECT name, src_ord, count(*) AS n FROM stable GROUP BY ALL), best AS (SELECT name, src_ord FROM sizes QUALIFY row_number() OVER (PARTITION BY name ORDER BY n DESC, src_ord) = 1),
+  r AS (SELECT s.*, row_number() OVER (PARTITION BY name ORDER BY parts DESC) AS n FROM stable s JOIN best USING (name, src_ord)),
+  hist AS (SELECT name, string_agg(version, ',' ORDER BY n) AS versions FROM r WHERE n <= 20 GROUP BY name),
+  asked AS (SELECT DISTINCT name FROM found),
+  known AS (SELECT a.name, 0 AS src_ord, a.name AS id, 'own/' || n_nationkey AS repo, 'https://a.dev' AS docs_url, 95.0 AS trust, coalesce(string_split(versions, ',')[1], '') AS latest_ver, coalesce(versions, '') AS versions
+    FROM asked a JOIN nation ON a.name = 'lib' || n_nationkey LEFT JOIN hist h ON h.name = a.name),
+  modules AS (SELECT a.name, 0 AS src_ord, 'node:' || a.name AS id, 'nodejs/node' AS repo, '{cd.NODE_DOCS}x.md' AS docs_url, {cd.NODE_TRUST} AS trust, '' AS latest_ver, '' AS versions
+    FROM asked a JOIN region ON a.name = 'lib' || (r_regionkey + 30) WHERE a.name NOT IN (SELECT name FROM known)),
+  stars AS (SELECT 'own1/lib' || p_partkey AS repo, p_size * 1000 AS stars FROM part), idx AS (SELECT DISTINCT 'https://' || lower(c_mktsegment) || '.dev' AS docs_url FROM customer),
+  scored AS (SELECT m.name, m.src_ord, m.id, m.repo, m.docs_url, greatest(0, round(greatest(trust, log10(greatest(coalesce(stars, 0), 1))) + CASE WHEN idx.docs_url IS NULL THEN 0 ELSE 2 END
+    - CASE WHEN m.repo <> '' AND regexp_replace(lower(string_split(m.repo, '/')[-1]), '[._-]+', '', 'g') <> regexp_replace(lower(m.name), '[._-]+', '', 'g') THEN 2 ELSE 0 END
+    - CASE WHEN contains(m.docs_url, 'github.com') THEN 1 ELSE 0 END, 2)) AS trust, m.latest_ver FROM merged m LEFT JOIN stars USING (repo) LEFT JOIN idx ON idx.docs_url = m.docs_url
+    WHERE m.name NOT IN (SELECT name FROM known UNION ALL SELECT name FROM modules)),
+  every AS (SELECT * FROM known UNION ALL SELECT * FROM modules
+    UNION ALL SELECT name, src_ord, id, repo, docs_url, trust + CASE WHEN regexp_matches(lower(id || ' ' || repo || ' ' || docs_url), 'own1') THEN 0.5 ELSE 0 END, latest_ver, latest_ver FROM scored WHERE trust >= 0.5)
+  SELECT e.name, row_number() OVER (PARTITION BY e.name ORDER BY e.trust DESC, src_ord, e.id, e.repo, e.docs_url) AS rank, e.id, e.repo, e.docs_url, round(e.trust, 2)::DOUBLE AS trust,
+    CASE WHEN e.latest_ver <> '' THEN e.latest_ver ELSE coalesce(l.latest_ver, '') END AS latest_ver, CASE WHEN e.versions <> '' THEN e.versions ELSE coalesce(l.latest_ver, '') END AS versions
+  FROM every e LEFT JOIN libs l ON l.id = e.id AND l.latest_ver <> ''"""
+
+
+@register("resolve_names", S_RESOLVED)
 def resolve_names(spark, sf):
     """The whole chain: curated entries, standard modules, merged registry answers."""
     found = _found(spark, sf)
@@ -1131,3 +1153,49 @@ def resolve_names(spark, sf):
     indexes = tb.read(spark, sf, "customer").select(F.concat(F.lit("https://"), F.lower("c_mktsegment"), F.lit(".dev")).alias("docs_url"))
     out = resolve.resolve(names, aliases, modules, found, cd.versions_argmax(cd.stable_releases(_releases(spark, sf))), stars, indexes, _libs(spark, sf))
     return out.select("name", "rank", "id", "repo", "docs_url", F.round("trust", 2).alias("trust"), "latest_ver", F.array_join("versions", ",").alias("versions"))
+
+
+# Stored answers of every registry: customers, parts, suppliers and nations as its packages.
+S_ANSWERS = """answers AS (
+  SELECT 'lib' || c_custkey AS name, 0 AS src_ord, '' AS repo, 'https://' || lower(c_mktsegment) || '.dev/docs' AS docs_url, 0.0 AS trust, '' AS latest_ver, '' AS versions FROM customer WHERE c_custkey % 5 > 0 AND length(repeat(c_name, 6)) > 100
+  UNION ALL SELECT 'lib' || c_custkey, 1, 'own/lib' || c_custkey, 'https://' || lower(c_mktsegment) || '.dev', log10(greatest(floor(c_acctbal), 1)), '1.' || c_nationkey || '.0', '1.' || c_nationkey || '.0,0.9.0' FROM customer WHERE c_nationkey % 4 > 0
+  UNION ALL SELECT 'lib' || p_partkey, 2, 'own/lib' || p_partkey, 'https://part' || p_size || '.dev', 0, '2.' || p_size, '2.' || p_size || ',2.0,1.0' FROM part
+  UNION ALL SELECT 'lib' || s_suppkey, 3, '', '', 0, '3.' || s_nationkey, '3.' || s_nationkey || ',0.1' FROM supplier
+  UNION ALL SELECT 'lib' || n_nationkey, 4, '', 'https://gem' || n_nationkey || '.dev', 0, '4.' || n_nationkey, '4.' || n_nationkey || ',3.9' FROM nation
+  UNION ALL SELECT 'lib' || p_partkey, 5, 'stars/lib' || p_partkey, 'https://github.com/stars/lib' || p_partkey, log10(greatest(p_size * 100, 1)), '', '' FROM part WHERE p_partkey % 3 = 0
+  UNION ALL SELECT 'lib' || s_suppkey, 6, '', '', 0, 'v1.' || s_nationkey || '.0', 'v1.' || s_nationkey || '.0' FROM supplier)"""
+
+
+def _answers(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The same as bodies the registries would send: name, query, status, body and what a source needs besides."""
+    def rows(table: str, key: str, **more) -> DataFrame:
+        return tb.read(spark, sf, table).select(F.concat(F.lit("lib"), F.col(key).cast("string")).alias("name"), F.lit("").alias("query"), *[c.alias(n) for n, c in more.items()])
+
+    def say(pattern: str, *columns) -> Column:
+        return F.format_string(pattern, *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns])
+
+    site, ok = F.lower("c_mktsegment"), F.lit(200)
+    npm = say('{"repository": {"url": "git+https://github.com/own/lib%s.git"}, "homepage": "https://%s.dev/", "dist-tags": {"latest": "1.%s.0"}, "versions": {"0.9.0": {}, "1.%s.0": {}, "9.0.0-beta": {}}}',
+              "c_custkey", site, "c_nationkey", "c_nationkey")
+    pypi = say('{"info": {"version": "2.%s", "project_urls": {"Source": "https://github.com/own/lib%s", "Documentation": "https://part%s.dev/"}}, "releases": {"1.0": [], "2.0": [], "2.%s": [], "3.0rc1": []}}',
+               "p_size", "p_partkey", "p_size", "p_size")
+    search = say('{"items": [{"name": "other", "full_name": "x/other", "html_url": "https://github.com/x/other", "stargazers_count": 1}, '
+                 '{"name": "lib%s", "full_name": "stars/lib%s", "html_url": "https://github.com/stars/lib%s", "stargazers_count": %s}]}', "p_partkey", "p_partkey", "p_partkey", F.col("p_size") * 100)
+    return {
+        "directory": rows("customer", "c_custkey", status=F.when(F.col("c_custkey") % 5 > 0, 200).otherwise(404), body=F.repeat("c_name", F.lit(6)), url=F.concat(F.lit("https://"), site, F.lit(".dev/docs/llms.txt"))),
+        "npm": rows("customer", "c_custkey", status=F.when(F.col("c_nationkey") % 4 > 0, 200).otherwise(500), body=npm, extra=say('{"downloads": %s}', F.floor("c_acctbal"))),
+        "pypi": rows("part", "p_partkey", status=ok, body=pypi),
+        "crates": rows("supplier", "s_suppkey", status=ok, body=say('{"crate": {"max_version": "3.%s"}, "versions": [{"num": "0.1", "yanked": false}, {"num": "3.%s", "yanked": false}, {"num": "8.0", "yanked": true}]}', "s_nationkey", "s_nationkey")),
+        "rubygems": rows("nation", "n_nationkey", status=ok, body=say('{"version": "4.%s", "documentation_uri": "https://gem%s.dev/"}', "n_nationkey", "n_nationkey"),
+                         extra=say('[{"number": "3.9"}, {"number": "4.%s"}, {"number": "7.0", "prerelease": true}]', "n_nationkey")),
+        "github": rows("part", "p_partkey", form=F.lit(0), status=F.when(F.col("p_partkey") % 3 == 0, 200).otherwise(403), body=search),
+        "go": rows("supplier", "s_suppkey", status=ok, body=say('{"Version": "v1.%s.0"}', "s_nationkey"), extra=say("v1.%s.0", "s_nationkey")),
+    }
+
+
+@register("registry_answers", f"""WITH {S_ANSWERS} SELECT name, src_ord::BIGINT AS src_ord, repo, regexp_replace(docs_url, '/+$', '') AS docs_url, round(trust, 6)::DOUBLE AS trust, latest_ver, versions FROM answers""")
+def _(spark, sf):
+    """The stored answers of seven registries read into candidates."""
+    found, _ = resolve.from_answers(_answers(spark, sf))
+    return found.select("name", F.col("src_ord").cast("long").alias("src_ord"), "repo", paths.strip_slashes(F.col("docs_url")).alias("docs_url"), F.round("trust", 6).alias("trust"),
+                        "latest_ver", F.array_join("versions", ",").alias("versions"))
