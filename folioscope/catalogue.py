@@ -153,6 +153,18 @@ def _(spark, sf):
     return tb.chunks(spark, sf).select("chunk_id", "path", "title").join(best, "chunk_id").select("qid", "rank", "path", "title", "score")
 
 
+@register("bm25_bounded", f"""WITH {S_LEXICAL} SELECT qid, chunk_id, o.rank AS or_rank, a.rank AS and_rank, round(coalesce(o.score, a.score), 6) AS score
+FROM or_list o FULL JOIN and_list a USING (qid, chunk_id)""")
+def _(spark, sf):
+    """Both lists of a stored index whose frequent words are looked up only where the bounds of a block let them matter."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", n_buckets=8)
+    store.PRUNE_FROM = 0
+    store.write("chunks", tb.chunks(spark, sf))
+    store.build_index()
+    return store.lexical_ranks(tb.queries(spark, sf)).select(
+        "qid", "chunk_id", F.col("or_rank").cast("long").alias("or_rank"), F.col("and_rank").cast("long").alias("and_rank"), F.round("score", 6).alias("score"))
+
+
 def _nearest(metric: str) -> Query:
     def run(spark, sf):
         found = nearest.nearest(tb.queries(spark, sf), tb.chunk_vectors(spark, sf), metric)

@@ -10,7 +10,7 @@ import math
 from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,21 +140,30 @@ def bm25_scores(
     """
     stats = corpus_stats(postings) if stats is None else stats
     found = matches(postings, asked)
-    if asked.terms is not None and not asked.phrases:
-        return _summed(found, _local_weights(asked, stats, term_df))
-    corpus = stats.select(F.struct("n_docs", "avg_dl")).scalar()
     if term_df is None or asked.phrases:
-        frequency = found.groupBy("unit").agg(F.count("*").alias("df"))
+        corpus = stats.select(F.struct("n_docs", "avg_dl")).scalar()
+        weights = small_side(_weighted(asked, corpus, found.groupBy("unit").agg(F.count("*").alias("df"))), asked.n_units)
     else:
-        terms = small_side(asked.parts.select("unit", "term"), asked.n_units)
-        frequency = term_df.join(terms, "term").select("unit", "df")
+        weights = word_weights(asked, stats, term_df)
+    return summed(found, weights).select("qid", "lib_id", "chunk_id", "score", holds_all().alias("all_terms"))
+
+
+def word_weights(asked: QueryTerms, stats: DataFrame, term_df: DataFrame) -> DataFrame:
+    """qid, lib_id, unit, weight, n_units, idf, avg_dl of a batch without phrases, from stored frequencies."""
+    if asked.terms is not None:
+        return _local_weights(asked, stats, term_df)
+    corpus = stats.select(F.struct("n_docs", "avg_dl")).scalar()
+    terms = small_side(asked.parts.select("unit", "term"), asked.n_units)
+    return small_side(_weighted(asked, corpus, term_df.join(terms, "term").select("unit", "df")), asked.n_units)
+
+
+def _weighted(asked: QueryTerms, corpus: Column, frequency: DataFrame) -> DataFrame:
     raw_idf = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = frequency.withColumn("n_docs", corpus["n_docs"]).select(
         "unit", F.when(raw_idf <= 0, IDF_FLOOR).otherwise(raw_idf).alias("idf")
     )
     # units no chunk holds need no weight; n_units still counts them
-    weights = asked.by_query.join(idf, "unit").withColumn("avg_dl", corpus["avg_dl"])
-    return _summed(found, small_side(weights, asked.n_units))
+    return asked.by_query.join(idf, "unit").withColumn("avg_dl", corpus["avg_dl"])
 
 
 def _local_weights(asked: QueryTerms, stats: DataFrame, term_df: DataFrame) -> DataFrame:
@@ -169,15 +178,21 @@ def _local_weights(asked: QueryTerms, stats: DataFrame, term_df: DataFrame) -> D
     return F.broadcast(local(asked.by_query.sparkSession, kind, rows))
 
 
-def _summed(found: DataFrame, weights: DataFrame) -> DataFrame:
-    tf, norm = F.col("tf"), F.col("dl") / F.col("avg_dl")
-    part = F.col("weight") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * norm))
-    return (
-        found.join(weights, ["unit", "lib_id"])
-        .groupBy("qid", "lib_id", "chunk_id")
-        .agg(F.sum(part).alias("score"), F.count("*").alias("hit_units"), F.first("n_units").alias("n_units"))
-        .select("qid", "lib_id", "chunk_id", "score", (F.col("hit_units") == F.col("n_units")).alias("all_terms"))
-    )
+def added_score(tf: Column, dl: Column) -> Column:
+    """What a unit adds to the score of a chunk of length ``dl`` that holds it ``tf`` times."""
+    return F.col("weight") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (dl / F.col("avg_dl"))))
+
+
+def sums() -> list[Column]:
+    return [F.sum(added_score(F.col("tf"), F.col("dl"))).alias("score"), F.count("*").alias("hit_units"), F.first("n_units").alias("n_units")]
+
+
+def holds_all() -> Column:
+    return F.col("hit_units") == F.col("n_units")
+
+
+def summed(found: DataFrame, weights: DataFrame) -> DataFrame:
+    return found.join(weights, ["unit", "lib_id"]).groupBy("qid", "lib_id", "chunk_id").agg(*sums())
 
 
 def lexical_ranks(scores: DataFrame, top: int = TOP) -> DataFrame:

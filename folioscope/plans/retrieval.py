@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import guards
-from ..operators import fusion, hits as ht, lexical, nearest
+from ..operators import bounds, fusion, hits as ht, lexical, nearest
 from ..session import small_side
 
 SEARCH_POOL = 20
@@ -25,6 +25,16 @@ class Corpus:
     postings: DataFrame | None = None
     stats: DataFrame | None = None
     term_df: DataFrame | None = None
+    #: Bounds of blocks of the postings (``operators.bounds``).
+    blocks: DataFrame | None = None
+
+    def scores(self, asked: lexical.QueryTerms, top: int) -> DataFrame:
+        """BM25 scores of at least all chunks that may be among the best ``top``."""
+        if self.blocks is not None and not asked.phrases:
+            weights = lexical.word_weights(asked, self.stats, self.term_df)
+            return bounds.best_scores(self.postings, self.blocks, weights, top, asked.n_units)
+        postings = lexical.asked_postings(self.chunks, asked) if self.postings is None else self.postings
+        return lexical.bm25_scores(postings, asked, self.stats, self.term_df)
 
 
 #: Chooses the corpus once the batch is measured; a store opens only what the batch needs.
@@ -39,8 +49,7 @@ def ranked_ids(
 
 
 def _ranked(queries: DataFrame, asked: lexical.QueryTerms, corpus: Corpus, metric: str, top: int) -> DataFrame:
-    postings = lexical.asked_postings(corpus.chunks, asked) if corpus.postings is None else corpus.postings
-    found = lexical.lexical_ranks(lexical.bm25_scores(postings, asked, corpus.stats, corpus.term_df), top)
+    found = lexical.lexical_ranks(corpus.scores(asked, top), top)
     near = None
     if corpus.vectors is not None:
         near = nearest.flag_weak(nearest.nearest(queries, corpus.vectors, metric, top, n_queries=asked.n_queries), metric)
@@ -81,7 +90,7 @@ def search_one(query: DataFrame, corpus: Corpus, asked: lexical.QueryTerms, k: i
     def here(df: DataFrame) -> DataFrame:
         return spark.createDataFrame(df.toArrow(), df.schema).coalesce(1)
 
-    scores = lexical.bm25_scores(corpus.postings, asked, corpus.stats, corpus.term_df)
+    scores = corpus.scores(asked, top)
     found = lexical.lexical_ranks(here(lexical.best_of_one(scores, top)).distinct(), top)
     near = None
     if corpus.vectors is not None and query.first()["query_vec"] is not None:

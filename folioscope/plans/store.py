@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema
-from ..operators import lexical
+from ..operators import bounds, lexical
 from ..session import local, small_side, stored
 from . import retrieval
 
@@ -35,10 +35,11 @@ _VERSIONS = (
 _STAMPED = _VERSIONS + ", written_at timestamp"
 _HIDDEN = "hidden"
 _HIDES = ("chunks", "chunk_vec", "postings")
-_INDEX = ("postings", "terms", "corpus_stats")
+_INDEX = ("postings", "terms", "blocks", "corpus_stats")
 #: Row order inside a directory, which decides what a scan can skip.
 _SORT = {
-    "chunks": ("lib_id", "chunk_id"), "chunk_vec": ("lib_id", "chunk_id"), "postings": ("term", "lib_id", "chunk_id"), "terms": ("term",)}
+    "chunks": ("lib_id", "chunk_id"), "chunk_vec": ("lib_id", "chunk_id"), "postings": ("term", "lib_id", "chunk_id"), "terms": ("term",),
+    "blocks": ("term", "lib_id", "block")}
 
 
 class Store:
@@ -53,6 +54,9 @@ class Store:
     FAN = 8
     #: Hidden chunks are written out of the store once they are this share of it, and so many at least.
     HIDDEN_SHARE, HIDDEN_LEAST = 0.05, 10_000
+    #: With so many postings words are looked up by their bounds (``operators.bounds``); below, one pass over them is
+    #: quicker than several steps. The answers are the same.
+    PRUNE_FROM = 20_000_000
 
     def __init__(self, spark: SparkSession, root: str, n_buckets: int = 64):
         self.spark, self.root, self.n_buckets = spark, root.rstrip("/"), n_buckets
@@ -140,6 +144,8 @@ class Store:
         if table == "terms" and len(parts) > 1:
             out = out.groupBy("term").agg(F.sum("df").alias("df"))
             out = out.filter("df > 0") if pick is None else out.filter("df <> 0")
+        if table == "blocks" and len(parts) > 1:
+            out = bounds.merged(out)
         return out
 
     def _scan(self, version, kind: T.StructType, bucketed: bool, wanted: set[int] | None = None) -> DataFrame:
@@ -233,8 +239,9 @@ class Store:
         first = self._files("postings", following["postings"], made)
         written = self._scan(first, schema.POSTINGS, True)
         terms = self._files("terms", following["terms"], written.groupBy("term").agg(F.count("*").alias("df")))
+        blocks = self._files("blocks", following["blocks"], bounds.of_postings(written))
         n, total = self._marks(written)
-        return [first, terms, self._stats_row(following["corpus_stats"], stamp, n, total)]
+        return [first, terms, blocks, self._stats_row(following["corpus_stats"], stamp, n, total)]
 
     def _marks(self, postings: DataFrame) -> tuple[int, int]:
         """Number and total length of the documents of some postings; reads the directory of the mark only."""
@@ -305,7 +312,8 @@ class Store:
             change = change.unionByName(left.select("term", F.lit(-1).alias("df")))
         sums = change.groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
         terms = self._files("terms", following["terms"], sums, delta=True)
-        return [posted, terms, self._stats_row(following["corpus_stats"], f"chunks-{following['chunks']}", n, total, delta=True)]
+        blocks = self._files("blocks", following["blocks"], bounds.of_postings(fresh), delta=True)
+        return [posted, terms, blocks, self._stats_row(following["corpus_stats"], f"chunks-{following['chunks']}", n, total, delta=True)]
 
     def _fold(self) -> None:
         """Fold deltas of one tier together; write hidden chunks out of the store when they are many."""
@@ -371,8 +379,9 @@ class Store:
         live = self._searchable()
         named = [r["lib_id"] for r in libs.limit(self.NAMED_LIBS + 1).collect()]
         ours = F.col("lib_id").isin(*named) if len(named) <= self.NAMED_LIBS else None
-        now = {t: self._open(t, live, buckets, ours if t in _HIDES and (t != "postings" or not asked.phrases) else None) for t in live if t != _HIDDEN}
-        return retrieval.Corpus(now["chunks"], now["chunk_vec"], now["postings"], now["corpus_stats"], now["terms"])
+        ours_only = {"blocks", *_HIDES} - ({"postings"} if asked.phrases else set())
+        now = {t: self._open(t, live, buckets, ours if t in ours_only else None) for t in live if t != _HIDDEN}
+        return retrieval.Corpus(now["chunks"], now["chunk_vec"], now["postings"], now["corpus_stats"], now["terms"], self._blocks(live, now))
 
     def _opened_for_one(self, asked: lexical.QueryTerms) -> retrieval.Corpus:
         """The same for one query: its words and its library go into the scans, which skip by them."""
@@ -380,11 +389,16 @@ class Store:
         of = lambda values: [r["b"] for r in local(self.spark, keys, [(v,) for v in values]).select(self.bucket(F.col("key")).alias("b")).collect()]
         buckets = {"lib_id": of([asked.lib_id]), "term": sorted(set(of(asked.terms)))}
         mine, words = F.col("lib_id") == F.lit(asked.lib_id), F.col("term").isin(*asked.terms) if asked.terms else F.lit(False)
-        where = {"chunks": mine, "chunk_vec": mine, "postings": words if asked.phrases else words & mine, "terms": words}
+        where = {"chunks": mine, "chunk_vec": mine, "postings": words if asked.phrases else words & mine, "terms": words, "blocks": words & mine}
         live = self._searchable()
         now = {t: self._open(t, live, buckets, where.get(t)) for t in live if t != _HIDDEN}
         vectors = now["chunk_vec"] if live["chunk_vec"] else None
-        return retrieval.Corpus(now["chunks"], vectors, now["postings"], now["corpus_stats"], now["terms"])
+        return retrieval.Corpus(now["chunks"], vectors, now["postings"], now["corpus_stats"], now["terms"], self._blocks(live, now))
+
+    def _blocks(self, live: dict[str, list], now: dict[str, DataFrame]) -> DataFrame | None:
+        """Bounds of a large index; one built before there were bounds has none."""
+        large = sum(r["n_rows"] for r in live["postings"]) >= self.PRUNE_FROM
+        return now["blocks"] if live["blocks"] and large else None
 
     def _searchable(self) -> dict[str, list]:
         live = self._live("chunks", "chunk_vec", *_INDEX)
@@ -392,6 +406,11 @@ class Store:
             raise ValueError(f"{self.root}: the index is missing or older than the chunks; run build_index")
         return live
 
+    def lexical_ranks(self, queries: DataFrame, top: int = lexical.TOP) -> DataFrame:
+        """The two lexical lists alone; see :func:`lexical.lexical_ranks`."""
+        asked = lexical.query_terms(queries)
+        return lexical.lexical_ranks(self._opened(queries, asked).scores(asked, top), top)
+
     def search(self, queries: DataFrame, **options) -> DataFrame:
         return retrieval.search(queries, opener=self._opened, **options)
 

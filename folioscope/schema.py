@@ -26,6 +26,7 @@ CHUNK_VEC = _struct(chunk_id=L, lib_id=S, embedding=T.ArrayType(T.FloatType()))
 CRAWL_STATE = _struct(lib_id=S, docs_url=S, url=S, status=S, seq=L, updated_at=TS)
 POSTINGS = _struct(term=S, lib_id=S, chunk_id=L, tf=L, positions=T.ArrayType(I), dl=L)
 TERMS = _struct(term=S, df=L)
+BLOCKS = _struct(term=S, lib_id=S, block=L, n=L, max_tf=L, min_dl=L)
 CORPUS_STATS = _struct(n_docs=D, avg_dl=D)
 ACTIVITY = _struct(
     t=D, tool=S, name=S, lib=S, q=S, ver=S, ms=L, n_chunks=L, top=S, reason=S, event=S, kind=S, detail=S,
@@ -37,10 +38,10 @@ QUERIES = _struct(qid=L, lib_id=S, query=S, query_vec=T.ArrayType(T.FloatType())
 
 TABLES: dict[str, T.StructType] = {
     "libs": LIBS, "chunks": CHUNKS, "chunk_vec": CHUNK_VEC, "crawl_state": CRAWL_STATE,
-    "postings": POSTINGS, "terms": TERMS, "corpus_stats": CORPUS_STATS,
+    "postings": POSTINGS, "terms": TERMS, "blocks": BLOCKS, "corpus_stats": CORPUS_STATS,
 }
 #: Large tables are laid out in directories by a hash of this column, so that a query opens few of them.
-BUCKET_KEY = {"chunks": "lib_id", "chunk_vec": "lib_id", "postings": "term", "terms": "term"}
+BUCKET_KEY = {"chunks": "lib_id", "chunk_vec": "lib_id", "postings": "term", "terms": "term", "blocks": "term"}
 
 #: Columns added after the first layout, with the value older rows get.
 LATER_COLUMNS: dict[str, dict[str, Column | object]] = {
