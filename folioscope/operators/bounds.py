@@ -5,7 +5,7 @@ and the shortest length in them: together they bound what the word can add to th
 block. A batch is then answered in two steps:
 
 1. The words of a query that can add most (a share ``LEAD`` of all it can reach) are scored everywhere. The
-   score they give is a lower bound of the whole, so the last of the best ``top`` is a threshold.
+   best ``top`` of these chunks are scored in full: the least of their scores is a threshold.
 2. The other, mostly frequent words are looked up only for chunks that can still reach the threshold by the
    bounds of their block, for chunks that may hold all words, and in blocks where these words alone may reach it.
 
@@ -26,7 +26,7 @@ from . import lexical
 #: Chunk ids of one block.
 BLOCK = 128
 #: Share of the reachable score that is left to the first step.
-LEAD = 0.6
+LEAD = 0.92
 #: Scores are compared with so much room, as ranks round them.
 ROOM = 1e-8
 
@@ -64,11 +64,14 @@ class Steps:
 
     def looked_up(self, postings: DataFrame) -> DataFrame:
         """Postings of the second step, with their weights."""
-        found = postings.withColumnRenamed("term", "unit").join(small_side(self.second, self.n_units), ["unit", "lib_id"])
-        found = found.withColumn("block", block_of(F.col("chunk_id"))).alias("p")
-        wanted = small_side(self.open, self.n_open).alias("o")
-        same = (F.col("p.qid") == F.col("o.qid")) & (F.col("p.block") == F.col("o.block"))
-        return found.join(wanted, same & (F.col("o.chunk_id").isNull() | (F.col("o.chunk_id") == F.col("p.chunk_id"))), "left_semi")
+        return _looked_up(postings, small_side(self.second, self.n_units), small_side(self.open, self.n_open))
+
+
+def _looked_up(postings: DataFrame, weights: DataFrame, wanted: DataFrame) -> DataFrame:
+    found = postings.withColumnRenamed("term", "unit").join(weights, ["unit", "lib_id"]).withColumn("block", block_of(F.col("chunk_id")))
+    p, o = found.alias("p"), wanted.alias("o")
+    same = (F.col("p.qid") == F.col("o.qid")) & (F.col("p.block") == F.col("o.block"))
+    return p.join(o, same & (F.col("o.chunk_id").isNull() | (F.col("o.chunk_id") == F.col("p.chunk_id"))), "left_semi")
 
 
 def steps(postings: DataFrame, blocks: DataFrame, weights: DataFrame, top: int, n_units: int) -> Steps:
@@ -89,18 +92,23 @@ def steps(postings: DataFrame, blocks: DataFrame, weights: DataFrame, top: int,
     begun = lexical.summed(words, small_side(split[True], n_units)).withColumn("block", block_of(F.col("chunk_id")))
     begun = stored(begun)
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "chunk_id"))
-    bar = begun.withColumn("place", place).filter(F.col("place") <= top).filter(F.col("place") == top).select("qid", F.col("score").alias("bar"))
+    best = stored(begun.withColumn("place", place).filter(F.col("place") <= top).select("qid", "block", "chunk_id", "score"))
+    added = _looked_up(postings, small_side(split[False], n_units), small_side(best, n_units * top)).select(
+        "qid", "chunk_id", lexical.added_score(F.col("tf"), F.col("dl")).alias("score"))
+    whole = best.select("qid", "chunk_id", "score").unionByName(added).groupBy("qid", "chunk_id").agg(F.sum("score").alias("score"))
+    bar = whole.groupBy("qid").agg(F.min("score").alias("bar"), F.count("*").alias("n")).filter(F.col("n") >= top).select("qid", "bar")
     rest = reach.join(small_side(split[False].select("qid", "lib_id", "unit"), n_units), ["qid", "lib_id", "unit"]).groupBy(
         "qid", "lib_id", "block").agg(F.sum("most").alias("rest"), F.count("*").alias("n_rest"))
+    bar = stored(bar)
     rest = stored(rest.join(small_side(bar, n_units), "qid", "left"))
     # a query without a bar has fewer than ``top`` matches of its leading words: all may go on
-    whole = rest.filter(F.col("bar").isNull() | (F.col("rest") >= F.col("bar") - ROOM)).select("qid", "block", F.lit(None).cast("long").alias("chunk_id"))
+    blocks_open = rest.filter(F.col("bar").isNull() | (F.col("rest") >= F.col("bar") - ROOM)).select("qid", "block", F.lit(None).cast("long").alias("chunk_id"))
     able = begun.join(small_side(bar, n_units), "qid", "left").join(small_side(n_leads, n_units), ["qid", "lib_id"]).join(
         rest.select("qid", "lib_id", "block", "rest", "n_rest"), ["qid", "lib_id", "block"], "left")
     reached = F.col("score") + F.coalesce("rest", F.lit(0.0)) >= F.col("bar") - ROOM
     may_hold_all = (F.col("hit_units") == F.col("n_leads")) & (F.col("n_leads") + F.coalesce("n_rest", F.lit(0)) == F.col("n_units"))
     able = stored(able.filter(F.col("bar").isNull() | reached | may_hold_all))
-    wanted = stored(whole.unionByName(able.filter("rest IS NOT NULL").select("qid", "block", "chunk_id")))
+    wanted = stored(blocks_open.unionByName(able.filter("rest IS NOT NULL").select("qid", "block", "chunk_id")))
     return Steps(split[True], split[False], wanted, able.select(*begun.columns), n_units, wanted.count())
 
 
