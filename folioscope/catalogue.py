@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .evaluation import metrics
 from .functions import guards, hashing, html as hx, paths, text as tx
-from .operators import candidates as cd
+from .operators import bounds, candidates as cd
 from .operators import freshness, fusion, hits as ht, lexical, nearest, neardup, upsert
 from .operators.ordering import running
 from .plans import crawl, ingest, resolve, retrieval
@@ -156,12 +156,12 @@ def _(spark, sf):
 @register("bm25_bounded", f"""WITH {S_LEXICAL} SELECT qid, chunk_id, o.rank AS or_rank, a.rank AS and_rank, round(coalesce(o.score, a.score), 6) AS score
 FROM or_list o FULL JOIN and_list a USING (qid, chunk_id)""")
 def _(spark, sf):
-    """Both lists of a stored index whose frequent words are looked up only where the bounds of a block let them matter."""
-    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", n_buckets=8)
-    store.PRUNE_FROM = 0
-    store.write("chunks", tb.chunks(spark, sf))
-    store.build_index()
-    return store.lexical_ranks(tb.queries(spark, sf)).select(
+    """Both lists from postings whose frequent words are looked up only where the bounds of a block let them matter."""
+    asked = lexical.query_terms(tb.queries(spark, sf))
+    postings = stored(lexical.document_postings(tb.chunks(spark, sf)))
+    weights = lexical.word_weights(asked, lexical.corpus_stats(postings), postings.groupBy("term").agg(F.count("*").alias("df")))
+    scores = bounds.best_scores(postings, bounds.of_postings(postings), weights, lexical.TOP, asked.n_units)
+    return lexical.lexical_ranks(scores).select(
         "qid", "chunk_id", F.col("or_rank").cast("long").alias("or_rank"), F.col("and_rank").cast("long").alias("and_rank"), F.round("score", 6).alias("score"))
 
 
