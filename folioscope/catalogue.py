@@ -1107,8 +1107,9 @@ def _tree(spark: SparkSession, sf: str) -> DataFrame:
     placed = stored(running(one, ["lib_id"], [F.col("page").asc()], out="n"))
     below = placed.groupBy("lib_id", F.floor(F.col("n") / 2).alias("n")).agg(F.sort_array(F.collect_list("page")).alias("below"))  # two at most
     hrefs = F.array_join(F.transform("below", lambda p: F.concat(F.lit('<a href="'), p, F.lit('">next</a>'))), "")
-    return stored(placed.join(below, ["lib_id", "n"], "left").select(
-        "lib_id", F.col("page").alias("url"), "n", hx.extract(F.col("html")).alias("text"), F.coalesce(hrefs, F.lit("")).alias("html")))
+    texts = spread(placed).select("lib_id", "page", "n", hx.extract(F.col("html")).alias("text"))
+    return stored(texts.join(below, ["lib_id", "n"], "left").select(
+        "lib_id", F.col("page").alias("url"), "n", "text", F.coalesce(hrefs, F.lit("")).alias("html")))
 
 
 @register("crawl_rounds", f"""WITH RECURSIVE {S_TREE},

@@ -36,8 +36,10 @@ def start(libs: DataFrame, state: DataFrame | None = None) -> DataFrame:
 def links(fetched: DataFrame) -> DataFrame:
     """lib_id, docs_url, url, pos: canonical links of fetched pages that the crawl may follow."""
     found = fetched.select("lib_id", "docs_url", F.col("url").alias("__page"), F.posexplode_outer(paths.hrefs(F.col("html"))).alias("pos", "href"))
-    target = paths.norm_url(paths.url_join(F.col("__page"), F.col("href")))
-    return found.filter("href IS NOT NULL").select("lib_id", "docs_url", target.alias("url"), "pos", "__page").filter(
+    # behind a generator an address is a column of its own: what reads it does not repeat how it was made
+    own = lambda address: F.explode_outer(F.array(address))
+    joined = found.filter("href IS NOT NULL").select("lib_id", "docs_url", own(paths.url_join(F.col("__page"), F.col("href"))).alias("__to"), "pos", "__page")
+    return joined.select("lib_id", "docs_url", own(paths.norm_url(F.col("__to"))).alias("url"), "pos", "__page").filter(
         paths.url_allowed(F.col("url"), F.col("docs_url")) & ~paths.link_denied(F.col("url"))
     )
 
@@ -49,6 +51,20 @@ def take(frontier: DataFrame, query: Column, width: int = BATCH) -> DataFrame:
     return queued.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= width).drop("__n")
 
 
+def _batch(frontier: DataFrame, query: Column, width: int, caps: DataFrame | None, max_rounds: int | None) -> DataFrame:
+    """What a round takes: ``width`` addresses of a library that may end before its queue, the whole queue of the others.
+
+    Without a cap and a budget every address is taken in the end, so its turn decides nothing.
+    """
+    if max_rounds is not None:
+        return take(frontier, query, width)
+    if caps is None:
+        return frontier.filter("status = 'queued'")
+    limited = caps.filter("cap IS NOT NULL").select("lib_id").distinct()
+    free = frontier.filter("status = 'queued'").join(limited, "lib_id", "left_anti")
+    return take(frontier.join(limited, "lib_id", "left_semi"), query, width).unionByName(free)
+
+
 def crawl(
     frontier: DataFrame, fetch: Fetch, query: Column, existing: DataFrame | None = None,
     caps: DataFrame | None = None, width: int = BATCH, max_rounds: int | None = None,
@@ -56,7 +72,8 @@ def crawl(
     """(chunks, frontier). ``fetch`` maps (lib_id, docs_url, url) to those plus text and html.
 
     A library stops when nothing is queued, or with as many chunks as ``caps`` (lib_id, cap) allows it. ``max_rounds`` is the budget;
-    what is still queued then is the state a later call resumes from.
+    what is still queued then is the state a later call resumes from. Where neither may end a library, a round takes all
+    that is queued, so the rounds follow the depth of the links; elsewhere it takes ``width`` addresses.
     """
     spark = frontier.sparkSession
     folder = f"{shared_dir(spark)}/crawl-{uuid.uuid4().hex}"
@@ -79,7 +96,7 @@ def crawl(
         if caps is not None and chunks is not None:
             full = chunks.groupBy("lib_id").count().join(caps, "lib_id").filter(F.col("count") >= F.col("cap")).select("lib_id")
             waiting = waiting.join(full, "lib_id", "left_anti")
-        batch = cut(take(waiting, query, width))
+        batch = cut(_batch(waiting, query, width, caps, max_rounds))
         if batch.isEmpty():
             break
         rounds += 1
