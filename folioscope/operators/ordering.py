@@ -1,7 +1,7 @@
 """Row numbers and running sums in groups of any size.
 
 A plain window puts a whole group into one task. Where the largest group is measured to be too
-big for that, rows are range-partitioned by group and order, numbered inside their piece, and
+big for that, by its rows or their bytes, rows are range-partitioned by group and order, numbered inside their piece, and
 moved on by the sums of the pieces before: the same numbers, spread over the cluster.
 """
 
@@ -15,11 +15,13 @@ from ..session import cut
 
 #: Largest group a single task may order.
 GROUP_ROWS = 1_000_000
+#: The same in bytes of its texts.
+GROUP_BYTES = 64 << 20
 
 
 def running(
     df: DataFrame, by: list[str], order: list[Column], value: Column | None = None,
-    out: str = "running", group_rows: int = GROUP_ROWS,
+    out: str = "running", group_rows: int = GROUP_ROWS, group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` (default 1, so a row number) up to and with each row.
 
@@ -27,8 +29,10 @@ def running(
     """
     amount = F.lit(1) if value is None else value
     df = cut(df.withColumn("__v", amount.cast("long")))
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= group_rows:
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    sizes = df.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(sum(texts, F.lit(0)).cast("long")).alias("bytes"))
+    rows, size = sizes.agg(F.coalesce(F.max("rows"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
+    if rows <= group_rows and size <= group_bytes:
         total = F.sum("__v").over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
         return df.withColumn(out, total).drop("__v")
     pieces = cut(df.repartitionByRange(*by, *order).withColumn("__piece", F.spark_partition_id()))
