@@ -1,6 +1,6 @@
 """Licence scans, with DataFrame and SQL functions and Spark's own logistic regression.
 
-Lines, sentences and windows that mention licensing are classified by multinomial logistic regression
+Paragraphs, and the lines, sentences and windows in them that may hold a notice, are classified by multinomial logistic regression
 over hashed word uni- and bigrams, trained on variations of short notices of each family and of
 sentences that mention licences without granting one (class ``unknown``), alone and inside other words.
 The probability that a family needs is calibrated on sentences that took no part in the fit: all but one
@@ -10,6 +10,9 @@ piece holds most word bigrams of a notice of the predicted family. Templates of
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -144,31 +147,83 @@ def _windows(cues: Column, size: int, n: Column) -> Column:
     return F.transform(starts, lambda a: F.struct(a.alias("a"), F.least(a + size, n).alias("b")))
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """``doc_id, paragraph, block, a, b, whole, words``: what is classified of each paragraph that mentions licensing.
+def _notice_table() -> list[tuple[str, str]]:
+    return [(f, t) for f, texts in NOTICES.items() for t in texts]
+
+
+def _notice_pairs() -> list[list[str]]:
+    """Word bigrams of every notice, as :func:`bigrams` gives them."""
+    told = lambda text: [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    return [sorted({f"{x} {y}" for x, y in zip(w, w[1:])}) for w in (told(t) for _, t in _notice_table())]
+
 
-    Lines without letters and digits part paragraphs; within one, line ends are blanks. Its pieces are the
-    lines, sentences and overlapping windows of 20, 40 and 80 words that hold a word about licensing, and the
-    whole paragraph; ``a`` and ``b`` are their first word and the one after their last, ``block`` the hash of the paragraph.
+#: Words of the notices that any prose has.
+_COMMON = "a all and any are as be by except for free from have has in is it may no not of or part that the this to under use will with without work you".split()
+
+
+def _anchors() -> str:
+    """Expression that finds a word in every lower-case text that may hold the share ``CONFIRM`` of a notice's bigrams.
+
+    Of each notice so many words that the bigrams without any of them are too few; rarer kinds of words first.
+    """
+    found = set()
+    for pairs in _notice_pairs():
+        left = [p.split(" ") for p in pairs]
+        while len(left) >= CONFIRM * len(pairs):
+            word = min({w for p in left for w in p}, key=lambda w: (w in _COMMON or w.isdigit(), -sum(w in p for p in left), -len(w), w))
+            found.add(word)
+            left = [p for p in left if word not in p]
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(found))})(?![\p{{L}}\p{{N}}])"
+
+
+def pieces(docs: DataFrame, everywhere: bool = False) -> DataFrame:
+    """``doc_id, paragraph, block, mention, a, b, whole, words``: what is classified of each paragraph.
+
+    Lines without letters and digits part paragraphs; within one, line ends are blanks. Every paragraph that mentions
+    licensing or may hold a notice is classified as a whole, with ``everywhere`` each with a word. Its other pieces are the lines, sentences and overlapping windows of 20, 40 and 80 words in
+    which a template may confirm a family, with or without a word about licensing: a notice can only be confirmed where
+    the paragraph holds the share ``CONFIRM`` of its bigrams, and in pieces that hold one of these. What is left out
+    could not count, whatever its class; pieces around words about licensing are classified in any case.
+    ``a`` and ``b`` are their first word and the one after their last, ``block`` the hash of the paragraph.
     """
     # outer, so that no filter on the arrays computes them twice; neither is ever empty
-    blocks = docs.where(F.col("text").rlike(_CUE)).select("doc_id", F.posexplode_outer(F.split("text", _BREAK)).alias("paragraph", "block"))
-    blocks = blocks.where(F.col("block").rlike(_CUE)).withColumn("w", words(F.col("block")))
+    anchors, told = _anchors(), lambda text: F.col(text).rlike(_CUE)
+    worth = lambda text: F.col(text).isNotNull() if everywhere else told(text) | F.lower(text).rlike(anchors)
+    blocks = docs.where(worth("text")).select("doc_id", F.posexplode_outer(F.split("text", _BREAK)).alias("paragraph", "block"))
+    blocks = blocks.where(worth("block") & F.col("block").rlike(r"[\p{L}\p{N}]")).withColumn("mention", told("block")).withColumn("w", words(F.col("block")))
     n, cut = F.size("w"), lambda c, a, b: F.slice(c, a + 1, b - a)
-    cue = F.transform("w", lambda x: x.rlike(_CUE_WORD))
-    blocks = blocks.withColumn("cue", cue).withColumn("marks", F.filter(F.transform("cue", lambda x, i: F.when(x, i)), lambda i: i.isNotNull()))
-    ranges = [F.filter(_ranges(F.col("block"), by), lambda r: F.exists(cut(F.col("cue"), r["a"], r["b"]), lambda x: x))
-              for by in (r"\r?\n", r"(?<=[.!?])\s+")]
+    notices = _notice_pairs()
+    every = sorted({g for held in notices for g in held})
+    pair = lambda x, i: F.concat_ws(" ", x, F.get(F.col("w"), i + 1))
+    # the few bigrams of a paragraph that stand in a notice, with their places
+    hits = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), pair(x, i).alias("g"))), lambda h: h["g"].isin(every))
+    # behind a generator: what reads the hits does not look for them again
+    blocks = blocks.select("*", F.explode_outer(F.array(hits)).alias("hits"))
+    held = F.transform("hits", lambda h: h["g"])
+    able = F.array(*[F.when(F.size(F.array_intersect(F.array(*map(F.lit, g)), held)) >= CONFIRM * len(g), F.array(*map(F.lit, g))) for g in notices])
+    # fewer hits than the shortest notice needs: nothing to compare
+    fewest = min(math.ceil(CONFIRM * len(g)) for g in notices)
+    able = F.when(F.size("hits") >= fewest, F.flatten(F.filter(able, lambda g: g.isNotNull()))).otherwise(F.array().cast("array<string>"))
+    blocks = blocks.select("*", F.explode_outer(F.array(able)).alias("able"))
+    if not everywhere:
+        blocks = blocks.where(F.col("mention") | (F.size("able") > 0))
+    told = F.transform(F.filter("hits", lambda h: F.array_contains(F.col("able"), h["g"])), lambda h: h["i"])
+    cues = F.when(F.col("mention"), F.filter(F.transform("w", lambda x, i: F.when(x.rlike(_CUE_WORD), i)), lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
+    blocks = blocks.withColumn("marks", F.array_distinct(F.concat(told, cues)))
+    near = lambda r: F.exists("marks", lambda i: (i >= r["a"]) & (i < r["b"]))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    ranges = [F.filter(_ranges(F.col("block"), by), near) for by in (r"\r?\n", r"(?<=[.!?])\s+")]
     ranges += [_windows(F.col("marks"), size, n) for size in WINDOWS]
+    parts = F.when(F.size("marks") > 0, F.concat(*ranges)).otherwise(none)
     # a range as one number, so that equal ones are found by hashing
-    coded = F.transform(F.concat(*ranges, F.array(F.struct(F.lit(0).alias("a"), n.alias("b")))), lambda r: F.shiftleft(r["a"].cast("long"), 32) + r["b"])
+    coded = F.transform(F.concat(parts, F.array(F.struct(F.lit(0).alias("a"), n.alias("b")))), lambda r: F.shiftleft(r["a"].cast("long"), 32) + r["b"])
     cuts = F.transform(F.array_distinct(coded), lambda c: F.struct(
         F.shiftright(c, 32).cast("int").alias("a"), (c % (1 << 32)).cast("int").alias("b"),
         cut(F.col("w"), F.shiftright(c, 32).cast("int"), (c % (1 << 32)).cast("int")).alias("words")))
     # the words are cut before the rows are made, so no row carries the whole paragraph
-    rows = blocks.select("doc_id", "paragraph", F.md5("block").alias("block"), n.alias("n"), F.explode_outer(cuts).alias("p"))
+    rows = blocks.select("doc_id", "paragraph", F.md5("block").alias("block"), "mention", n.alias("n"), F.explode_outer(cuts).alias("p"))
     whole = (F.col("p.a") == 0) & (F.col("p.b") == F.col("n"))
-    return rows.select("doc_id", "paragraph", "block", "p.a", "p.b", whole.alias("whole"), "p.words")
+    return rows.select("doc_id", "paragraph", "block", "mention", "p.a", "p.b", whole.alias("whole"), "p.words")
 
 
 def _apart(found: Column) -> Column:
@@ -178,10 +233,11 @@ def _apart(found: Column) -> Column:
     return F.aggregate(found, F.array().cast(kind), lambda held, c: F.when(free(held, c), F.array_append(held, c)).otherwise(held))
 
 
-def scan(docs: DataFrame, fitted: tuple[LogisticRegressionModel, list[str], float]) -> DataFrame:
-    """Licence families of every paragraph of ``docs (doc_id, text)`` that mentions licensing.
+def scan(docs: DataFrame, fitted: tuple[LogisticRegressionModel, list[str], float], everywhere: bool = False) -> DataFrame:
+    """Licence families of the paragraphs of ``docs (doc_id, text)``.
 
-    Every piece of a paragraph is classified, and a template of the predicted family must confirm it. Of the
+    Every paragraph is searched. With ``everywhere`` each gives rows; without it those that hold a family or
+    mention licensing. Every piece that may count is classified, and a template of the predicted family must confirm it. Of the
     confirmed pieces of a paragraph the most alike goes first, then the longer match, the shorter piece and the
     earlier one; what overlaps it goes; each that is left is a part. A paragraph without a confirmed piece is one
     part of family ``unknown``, with its own probability and likeness to the predicted family.
@@ -191,26 +247,28 @@ def scan(docs: DataFrame, fitted: tuple[LogisticRegressionModel, list[str], floa
     Other columns are not read.
     """
     model, names, least = fitted
-    rows = pieces(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = pieces(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), everywhere)
     rows = model.transform(_features(rows.withColumn("grams", grams(F.col("words")))))
     unknown = names.index(UNKNOWN)
-    rows = rows.select("doc_id", "paragraph", "block", "a", "b", "whole", "words", vector_to_array("probability").alias("p"))
+    rows = rows.select("doc_id", "paragraph", "block", "mention", "a", "b", "whole", "words", vector_to_array("probability").alias("p"))
     odds = F.transform("p", lambda p, i: F.when(i == unknown, F.lit(-1.0)).otherwise(p))
     rows = rows.withColumn("probability", F.array_max(odds)).withColumn("sure", (F.col("probability") >= least) & (F.col("probability") > F.get("p", F.lit(unknown))))
     rows = rows.where("sure OR whole").withColumn("family", F.element_at(F.array(*map(F.lit, names)), F.array_position(odds, F.col("probability")).cast("int")))
     # a few rows, fixed above
-    notices = docs.sparkSession.createDataFrame([(f, t) for f, texts in NOTICES.items() for t in texts], "family string, notice string")
+    notices = docs.sparkSession.createDataFrame(_notice_table(), "family string, notice string")
     notices = notices.groupBy("family").agg(F.collect_list(F.array_distinct(bigrams(words(F.col("notice"))))).alias("notices"))
     rows = rows.withColumn("own", F.array_distinct(bigrams(F.col("words")))).join(F.broadcast(notices), "family")
     same = lambda n: F.size(F.array_intersect(n, F.col("own")))
     rows = rows.withColumn("like", F.array_max(F.transform("notices", lambda n: F.struct((same(n) / F.size(n)).alias("similarity"), same(n).alias("same")))))
     piece = F.struct(F.col("like.similarity").alias("similarity"), F.col("like.same").alias("same"), (F.col("a") - F.col("b")).alias("length"), (-F.col("a")).alias("place"),
                      "a", "b", "family", "probability")
-    rows = rows.select("doc_id", "paragraph", "block", "whole", piece.alias("piece"), (F.col("sure") & (F.col("like.similarity") >= CONFIRM)).alias("confirmed"))
+    rows = rows.select("doc_id", "paragraph", "block", "mention", "whole", piece.alias("piece"), (F.col("sure") & (F.col("like.similarity") >= CONFIRM)).alias("confirmed"))
     rows = rows.where("confirmed OR whole")
     # equal rows share their block: their pieces are the same, and each of them has one whole paragraph
-    found = rows.groupBy("doc_id", "paragraph", "block").agg(
+    found = rows.groupBy("doc_id", "paragraph", "block", "mention").agg(
         F.count_if("whole").alias("copies"), F.collect_set(F.when(F.col("confirmed"), F.col("piece"))).alias("found"), F.first(F.when(F.col("whole"), F.col("piece")), True).alias("all"))
+    if not everywhere:
+        found = found.where((F.size("found") > 0) | F.col("mention"))
     picked = F.array_sort(_apart(F.sort_array("found", asc=False)), lambda x, y: x["a"] - y["a"])
     parts = F.when(F.size("found") > 0, picked).otherwise(F.array(F.col("all").withField("family", F.lit(UNKNOWN))))
     out = found.select("doc_id", "paragraph", parts.alias("parts"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))

@@ -120,3 +120,14 @@ def test_held_back_sentences_take_no_part_in_the_fit(spark):
     held = {" ".join(r.words) for r in rows if r.held}
     assert held and {r.family for r in rows if r.held} == {licences.UNKNOWN}
     assert not held & {" ".join(r.words) for r in rows if not r.held}
+
+
+def test_every_paragraph_is_classified_and_notices_need_no_word_about_licensing(spark, fitted):
+    """A notice whose words about licensing are lost is found, and every paragraph with a word gives a row."""
+    eclipse = "This program and the accompanying materials are made available under the terms of the Eclipse Public"
+    blind = next(t for t in [eclipse, *[re.sub(r"(?i)\blicen[sc]\w*|software", "x", t) for texts in licences.NOTICES.values() for t in texts]] if not MENTION.search(t))
+    rows = [(1, "no word about it\n\n" + blind), (2, "plain text"), (3, "--"), (4, None), (5, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licences.scan(table, fitted, everywhere=True).collect())
+    assert [g[:2] for g in got] == [(1, 0), (1, 1), (2, 0)] and got[1][2] == "epl" and got[2][2] == licences.UNKNOWN
+    assert [(r.doc_id, r.paragraph, r.family) for r in licences.scan(table, fitted).collect()] == [(1, 1, "epl")]
