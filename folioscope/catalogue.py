@@ -158,9 +158,11 @@ FROM or_list o FULL JOIN and_list a USING (qid, chunk_id)""")
 def _(spark, sf):
     """Both lists from postings whose frequent words are looked up only where the bounds of a block let them matter."""
     asked = lexical.query_terms(tb.queries(spark, sf))
-    postings = stored(lexical.document_postings(tb.chunks(spark, sf)))
+    postings = stored(lexical.document_postings(tb.chunks(spark, sf), asked))
     weights = lexical.word_weights(asked, lexical.corpus_stats(postings), postings.groupBy("term").agg(F.count("*").alias("df")))
-    scores = bounds.best_scores(postings, bounds.of_postings(postings), weights, lexical.TOP, asked.n_units)
+    # of the blocks, too, only those of a word in a library that is asked for it
+    pairs = small_side(asked.by_query.select(F.col("unit").alias("term"), "lib_id").distinct(), asked.n_units)
+    scores = bounds.best_scores(postings, bounds.of_postings(postings.join(pairs, ["term", "lib_id"], "left_semi")), weights, lexical.TOP, asked.n_units)
     return lexical.lexical_ranks(scores).select(
         "qid", "chunk_id", F.col("or_rank").cast("long").alias("or_rank"), F.col("and_rank").cast("long").alias("and_rank"), F.round("score", 6).alias("score"))
 

@@ -44,6 +44,28 @@ def doc_tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 
+def word_places(tokens: Column, mark: str, positions: bool) -> Column:
+    """``n`` tokens and ``words``: term, tf [, positions] of each distinct one and of ``mark``, which stands once at the end.
+
+    Tokens are sorted with their places, so equal ones are neighbours; no shuffle.
+    """
+    def runs(placed: Column) -> Column:
+        starts = F.filter(
+            F.transform(placed, lambda x, i: F.when((i == 0) | (x["t"] != F.get(placed, F.greatest(i - 1, F.lit(0)))["t"]), i)), lambda i: i.isNotNull())
+
+        def words(first: Column) -> Column:
+            def word(a: Column, k: Column) -> Column:
+                n = F.coalesce(F.get(first, k + 1), F.size(placed)) - a
+                own = [F.transform(F.slice(placed, a + 1, n), lambda x: x["i"]).alias("positions")] if positions else []
+                return F.struct(F.get(placed, a)["t"].alias("term"), n.cast("long").alias("tf"), *own)
+            return F.transform(first, word)
+
+        return F.struct((F.size(placed) - 1).alias("n"), let(starts, words).alias("words"))
+
+    marked = F.array_append(tokens, F.lit(mark))
+    return let(F.sort_array(F.transform(marked, lambda t, i: F.struct(t.alias("t"), i.alias("i")))), runs)
+
+
 def query_units(query: Column) -> Column:
     """Query words as arrays of index tokens; ``a_b`` is one unit of two adjacent tokens."""
     words = F.regexp_extract_all(query, F.lit(r"[A-Za-z0-9_]+"), F.lit(0))

@@ -82,22 +82,24 @@ def document_postings(docs: DataFrame, asked: QueryTerms | None = None, position
 
     With ``asked`` only the words of that batch are kept, before anything is shuffled.
     """
-    # the length gets its own column first: a generator would copy the token array to every row
+    ids = docs.groupBy("chunk_id", "lib_id").count().filter("count > 1")
     texts = spread(docs.select("chunk_id", "lib_id", "text"))
-    tokens = texts.select("chunk_id", "lib_id", tx.doc_tokens(F.col("text")).alias("__tokens")).select(
-        "chunk_id", "lib_id", F.size("__tokens").cast("long").alias("dl"),
-        F.array_append("__tokens", F.lit(DOC_MARK)).alias("__tokens"),
-    )
-    # outer: the array is never empty, and no inferred filter tokenizes the text twice
-    words = tokens.select("chunk_id", "lib_id", "dl", F.posexplode_outer("__tokens").alias("pos", "term"))
+    # a chunk is one row, so its words are counted in place and nothing is shuffled
+    words = texts.select("chunk_id", "lib_id", tx.word_places(tx.doc_tokens(F.col("text")), DOC_MARK, positions).alias("__found")).select(
+        "chunk_id", "lib_id", F.col("__found.n").cast("long").alias("dl"), F.explode_outer("__found.words").alias("w")).select(
+        "chunk_id", "lib_id", "dl", "w.*")
     if asked is not None:
         wanted = asked.parts.select("term").distinct().withColumn("__asked", F.lit(True))
         words = words.join(small_side(wanted, asked.n_units), "term", "left").filter(
             F.col("__asked") | (F.col("term") == DOC_MARK)
         ).drop("__asked")
-    counts = [F.count("pos").alias("tf")]
+    columns = ["chunk_id", "lib_id", "dl", "term", "tf", *(["positions"] if positions else [])]
+    if ids.isEmpty():
+        return words.select(columns)
+    # rows that share their id count together, as one chunk
+    counts = [F.sum("tf").alias("tf")]
     if positions:
-        counts.append(F.sort_array(F.collect_list("pos")).alias("positions"))
+        counts.append(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
     return words.groupBy("chunk_id", "lib_id", "dl", "term").agg(*counts)
 
 
