@@ -740,7 +740,7 @@ def _(spark, sf):
     """A store of all but the German documents takes these, then loses the French ones, and is asked."""
     store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", n_buckets=8)
     lang = tb.read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
-    chunks, vectors = (df.join(lang, "chunk_id") for df in (tb.chunks(spark, sf), tb.chunk_vectors(spark, sf)))
+    chunks, vectors = tb.chunks_of_languages(spark, sf), tb.chunk_vectors(spark, sf).join(lang, "chunk_id")
     everything = list(range(store.n_buckets))
     store.write("chunks", chunks.filter("lang <> 'de'"))
     store.write("chunk_vec", vectors.filter("lang <> 'de'"))

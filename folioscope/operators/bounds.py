@@ -35,16 +35,21 @@ def block_of(chunk_id: Column) -> Column:
     return F.floor(chunk_id / BLOCK)
 
 
-def merged(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy("term", "lib_id", "block").agg(
+def merged(blocks: DataFrame, *by: str) -> DataFrame:
+    return blocks.groupBy(*by, "term", "lib_id", "block").agg(
         F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
 
 
+def rows_of(postings: DataFrame) -> DataFrame:
+    """The rows that :func:`merged` combines to blocks, one for each posting."""
+    rows = postings.filter(F.col("term") != lexical.DOC_MARK)
+    return rows.select(
+        "term", "lib_id", block_of(F.col("chunk_id")).alias("block"), F.lit(1).alias("n"), F.col("tf").alias("max_tf"), F.col("dl").alias("min_dl"))
+
+
 def of_postings(postings: DataFrame) -> DataFrame:
     """term, lib_id, block, n, max_tf, min_dl. Postings lie sorted, so blocks are combined before they move."""
-    rows = postings.filter(F.col("term") != lexical.DOC_MARK)
-    return merged(rows.select(
-        "term", "lib_id", block_of(F.col("chunk_id")).alias("block"), F.lit(1).alias("n"), F.col("tf").alias("max_tf"), F.col("dl").alias("min_dl")))
+    return merged(rows_of(postings))
 
 
 @dataclass(frozen=True)

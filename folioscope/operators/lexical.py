@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..session import local, small_side, spread, stored
+from . import places
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 TOP = 20
@@ -85,9 +86,11 @@ def document_postings(docs: DataFrame, asked: QueryTerms | None = None, position
     ids = docs.groupBy("chunk_id", "lib_id").count().filter("count > 1")
     texts = spread(docs.select("chunk_id", "lib_id", "text"))
     # a chunk is one row, so its words are counted in place and nothing is shuffled
-    words = texts.select("chunk_id", "lib_id", tx.word_places(tx.doc_tokens(F.col("text")), DOC_MARK, positions).alias("__found")).select(
+    settled = places.settled(F.col("text"), docs.sparkSession)
+    rest = texts.filter(~settled).select("chunk_id", "lib_id", tx.word_places(tx.doc_tokens(F.col("text")), DOC_MARK, positions).alias("__found")).select(
         "chunk_id", "lib_id", F.col("__found.n").cast("long").alias("dl"), F.explode_outer("__found.words").alias("w")).select(
         "chunk_id", "lib_id", "dl", "w.*")
+    words = places.places(texts.filter(settled), DOC_MARK, positions).unionByName(rest)
     if asked is not None:
         wanted = asked.parts.select("term").distinct().withColumn("__asked", F.lit(True))
         words = words.join(small_side(wanted, asked.n_units), "term", "left").filter(

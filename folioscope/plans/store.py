@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .. import schema
 from ..operators import bounds, lexical
-from ..session import local, small_side, stored
+from ..session import among, local, settled, stored
 from . import retrieval
 
 _VERSIONS = (
@@ -140,7 +140,7 @@ class Store:
         hidden = self._hidden(table, live)
         if hidden:
             ids = self.spark.read.schema("chunk_id long, lib_id string").parquet(*[h["path"] for h in hidden]).select("chunk_id")
-            out = out.join(small_side(ids, sum(h["n_rows"] for h in hidden)), "chunk_id", "left_anti").select(*[f.name for f in kind])
+            out = among(out, ids, sum(h["n_rows"] for h in hidden), stays=False).select(*[f.name for f in kind])
         if table == "terms" and len(parts) > 1:
             out = out.groupBy("term").agg(F.sum("df").alias("df"))
             out = out.filter("df > 0") if pick is None else out.filter("df <> 0")
@@ -192,15 +192,20 @@ class Store:
         return row["version"]
 
     def _files(self, table: str, version: int, df: DataFrame, sort: tuple[str, ...] = (), **more) -> dict:
-        """Write the directory of a version and return its row for the version list."""
+        """Write the directory of a version and return its row for the version list.
+
+        Rows of ``blocks`` are combined where they are laid out: equal keys meet there, so they move once.
+        """
         key, kind = schema.BUCKET_KEY.get(table), schema.TABLES[table]
         laid_out = schema.conform(df, table)
         path = f"{self.root}/{table}/v={version}-{uuid.uuid4().hex[:8]}"
         if key:
             # by range within the bucket: a bucket (or library, or term) that is large gets many files
             order = ("bucket", *(sort or _SORT[table]))
-            laid_out = laid_out.withColumn("bucket", self.bucket(F.col(key)))
-            writer = laid_out.repartitionByRange(*order).sortWithinPartitions(*order).write
+            laid_out = laid_out.withColumn("bucket", self.bucket(F.col(key))).repartitionByRange(*order)
+            if table == "blocks":
+                laid_out = bounds.merged(laid_out, "bucket").select(*[f.name for f in kind], "bucket")
+            writer = laid_out.sortWithinPartitions(*order).write
             # a delta is small against the number of buckets: few files, which skip by their statistics
             (writer if more.get("delta") else writer.partitionBy("bucket")).parquet(path)
         else:
@@ -239,7 +244,7 @@ class Store:
         first = self._files("postings", following["postings"], made)
         written = self._scan(first, schema.POSTINGS, True)
         terms = self._files("terms", following["terms"], written.groupBy("term").agg(F.count("*").alias("df")))
-        blocks = self._files("blocks", following["blocks"], bounds.of_postings(written))
+        blocks = self._files("blocks", following["blocks"], bounds.rows_of(written))
         n, total = self._marks(written)
         return [first, terms, blocks, self._stats_row(following["corpus_stats"], stamp, n, total)]
 
@@ -273,7 +278,7 @@ class Store:
         tables = ("chunks", "chunk_vec", *_INDEX)
         live = self._live(*tables)
         indexed = self._current(live)
-        after = stored(schema.conform(after, "chunks"))
+        after = settled(schema.conform(after, "chunks"))
         print_ = F.xxhash64(*[f.name for f in schema.CHUNKS])
         before = self._open("chunks", live, {"lib_id": touched})
         marks = stored(before.select("chunk_id", "lib_id", print_.alias("old")).join(
@@ -285,8 +290,11 @@ class Store:
             if indexed:
                 self.build_index()
             return
-        added = after.join(small_side(marks.filter("old IS NULL").select("chunk_id"), n_new), "chunk_id", "left_semi")
-        gone = before.join(small_side(marks.filter("new IS NULL").select("chunk_id"), n_old), "chunk_id", "left_semi")
+        added = among(after, marks.filter("old IS NULL"), n_new)
+        gone = among(before, marks.filter("new IS NULL"), n_old)
+        if self._many_hidden(live, n_new, n_old):
+            self._whole(live, added if n_new else None, marks.filter("new IS NULL"), n_old, tag)
+            return
         following = {t: (live[t][0]["version"] if live[t] else 0) + 1 for t in tables}
         rows = [self._files("chunks", following["chunks"], added, tag=tag, delta=True)]
         gone = stored(gone.select("chunk_id", "lib_id", "text")) if n_old else None
@@ -312,15 +320,14 @@ class Store:
             change = change.unionByName(left.select("term", F.lit(-1).alias("df")))
         sums = change.groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
         terms = self._files("terms", following["terms"], sums, delta=True)
-        blocks = self._files("blocks", following["blocks"], bounds.of_postings(fresh), delta=True)
+        blocks = self._files("blocks", following["blocks"], bounds.rows_of(fresh), delta=True)
         return [posted, terms, blocks, self._stats_row(following["corpus_stats"], f"chunks-{following['chunks']}", n, total, delta=True)]
 
     def _fold(self) -> None:
         """Fold deltas of one tier together; write hidden chunks out of the store when they are many."""
         tables = ("chunks", "chunk_vec", *_INDEX)
         live = self._live(*tables)
-        held = sum(r["n_rows"] for r in live["chunks"])
-        if sum(r["n_rows"] for r in self._hidden("chunks", live)) > max(self.HIDDEN_LEAST, self.HIDDEN_SHARE * held):
+        if self._many_hidden(live):
             self.compact()
             return
         rows = []
@@ -341,14 +348,33 @@ class Store:
         if rows:
             self._publish(*rows)
 
+    def _many_hidden(self, live: dict[str, list], n_new: int = 0, n_old: int = 0) -> bool:
+        """Whether hidden chunks are due to be written out, once ``n_new`` chunks came and ``n_old`` went."""
+        held = sum(r["n_rows"] for r in live["chunks"]) + n_new
+        return sum(r["n_rows"] for r in self._hidden("chunks", live)) + n_old > max(self.HIDDEN_LEAST, self.HIDDEN_SHARE * held)
+
     def compact(self) -> None:
         """Write chunks, vectors and a current index as whole versions without deltas and hidden chunks."""
-        live = self._live("chunks", "chunk_vec", *_INDEX)
+        self._whole(self._live("chunks", "chunk_vec", *_INDEX))
+
+    def _whole(self, live: dict[str, list], added: DataFrame | None = None, gone: DataFrame | None = None, n_gone: int = 0, tag: str = "") -> None:
+        """Whole versions of what is live, with the ``added`` chunks and without the ``n_gone`` that are ``gone``.
+
+        A write after which hidden chunks are due to go is done here at once, not as deltas that are read back and written again.
+        """
+        def left(table: str) -> DataFrame:
+            rows = self._open(table, live, {})
+            return among(rows, gone, n_gone, stays=False) if n_gone else rows
+
         following = {t: live[t][0]["version"] + 1 for t in ("chunks", "chunk_vec", "postings") if live[t]}
-        rows = [self._files(t, following[t], self._open(t, live, {})) for t in ("chunks", "chunk_vec") if t in following]
+        made = {t: left(t) for t in following}
+        if added is not None:
+            made["chunks"] = made["chunks"].unionByName(added)
+            if "postings" in made:
+                made["postings"] = made["postings"].unionByName(schema.conform(lexical.document_postings(added, positions=True), "postings"))
+        rows = [self._files(t, following[t], made[t], **({"tag": tag} if t == "chunks" else {})) for t in ("chunks", "chunk_vec") if t in following]
         if self._current(live):
-            chunks = self._open("chunks", live, {})
-            rows += self._index_rows(live, chunks, f"chunks-{following['chunks']}", self._open("postings", live, {}))
+            rows += self._index_rows(live, made["chunks"], f"chunks-{following['chunks']}", made["postings"])
         self._publish(*rows)
 
     def _chunk_stamp(self, live: dict[str, list]) -> str:

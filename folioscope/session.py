@@ -78,6 +78,41 @@ def small_side(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROW
     return F.broadcast(df) if rows <= most else df
 
 
+#: Ids of one word of :func:`among`.
+_WORD = 64
+
+
+def among(df: DataFrame, ids: DataFrame, rows: int, stays: bool = True, key: str = "chunk_id") -> DataFrame:
+    """Rows of ``df`` whose ``key`` (a long) is among the at most ``rows`` ``ids``, or those whose key is not.
+
+    Many ids go to the tasks as bits: ids given one after another take a word for 64 of them, so ``df`` is not
+    shuffled. Only where the words are too many as well (ids far apart) it is left to a join.
+    """
+    how = "left_semi" if stays else "left_anti"
+    ids = ids.select(F.col(key).cast("long").alias(key))
+    if rows <= BROADCAST_ROWS:
+        return df.join(F.broadcast(ids), key, how)
+    bit = F.shiftleft(F.lit(1).cast("long"), F.col(key).bitwiseAND(_WORD - 1).cast("int"))
+    words = stored(ids.filter(F.col(key).isNotNull()).groupBy(F.shiftright(key, 6).alias("__word")).agg(F.bit_or(bit).alias("__bits")))
+    if words.count() > BROADCAST_ROWS:
+        return df.join(ids, key, how)
+    held = F.coalesce(F.getbit("__bits", F.col(key).bitwiseAND(_WORD - 1).cast("int")) == 1, F.lit(False))
+    met = df.join(F.broadcast(words), F.shiftright(df[key], 6) == F.col("__word"), "left")
+    return met.filter(held if stays else ~held).select(*df.columns)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` for several readers that must see the same rows: itself if each row comes straight from a row of a file, else :func:`stored`."""
+    def plain(plan) -> bool:
+        if plan.nodeName() not in ("Project", "Filter", "Union", "LocalRelation") and not plan.nodeName().startswith(("LogicalRelation", "Relation")):
+            return False
+        children = plan.children()
+        return all(plain(children.apply(i)) for i in range(children.size()))
+
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return df if plan.deterministic() and plain(plan) else stored(df)
+
+
 #: Inputs below this size are spread over the cores even if they lie in one row group.
 SPREAD_BYTES = 256 << 20
 

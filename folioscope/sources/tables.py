@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import among, stored
 
 N_LIBS = 20
 
@@ -29,7 +30,8 @@ def page_path(doc_id: Column) -> Column:
     )
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunks(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """``more``: further columns of the documents."""
     doc = F.col("doc_id")
     return read(spark, sf_dir, "documents").select(
         doc.alias("chunk_id"),
@@ -38,9 +40,22 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         page_path(doc).alias("path"),
         tx.page_title(F.col("text")).alias("title"),
         "text",
+        *more,
     )
 
 
+def chunks_of_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with ``lang``, a row for each language of their id; those whose id has no other row take their own."""
+    numbers = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
+    again = stored(numbers.groupBy("chunk_id").count().filter("count > 1").select("chunk_id"))
+    n = again.count()
+    own = chunks(spark, sf_dir, "lang").filter("chunk_id IS NOT NULL")
+    if not n:
+        return own
+    met = among(chunks(spark, sf_dir), again, n).join(among(numbers, again, n), "chunk_id")
+    return among(own, again, n, stays=False).unionByName(met)
+
+
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of existing chunks only; most chunks have none."""
     ids = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("lib_id"))
