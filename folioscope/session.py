@@ -92,7 +92,7 @@ def among(df: DataFrame, ids: DataFrame, rows: int, stays: bool = True, key: str
     ids = ids.select(F.col(key).cast("long").alias(key))
     if rows <= BROADCAST_ROWS:
         return df.join(F.broadcast(ids), key, how)
-    bit = F.shiftleft(F.lit(1).cast("long"), F.col(key).bitwiseAND(_WORD - 1).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(key).bitwiseAND(_WORD - 1).cast("int"))
     words = stored(ids.filter(F.col(key).isNotNull()).groupBy(F.shiftright(key, 6).alias("__word")).agg(F.bit_or(bit).alias("__bits")))
     if words.count() > BROADCAST_ROWS:
         return df.join(ids, key, how)
